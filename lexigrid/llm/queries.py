@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import leakage, mixing, ranking, repetition, representatives, splitting
+from lexigrid.llm import leakage, mixing, ranking, repetition, representatives, splitting, unify
 from lexigrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,19 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.combined_ranking(table(spark, d, "component_scores"), COMPONENTS)
 
 
+def _names_and_contents(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "kg_entities").select(F.lit("kg_entities").alias("tbl"), "id", F.col("name").alias("text"))
+    return names.unionByName(table(spark, d, "legal_articles").select(F.lit("legal_articles").alias("tbl"), "id", F.col("content").alias("text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return unify.inconsistent(_names_and_contents(spark, d), ["tbl", "id"], "text")
+
+
+def p7_unified(spark: SparkSession, d: str) -> DataFrame:
+    return unify.unified(_names_and_contents(spark, d), ["tbl", "id"], "text")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
 
@@ -82,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
+    "p7_found": p7_found,
+    "p7_unified": p7_unified,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_mix": p9_mix,
