@@ -40,10 +40,11 @@ def bounded_scores(scores: DataFrame) -> DataFrame:
     absolute deviation is 0, the mean absolute deviation takes its place; where that is 0 too, all scores are the same and the value is 0.5.
     """
     s = latest_scores(scores)
+    total = scores.count()
     mid = s.groupBy("qid", "component").agg(_median("score").alias("mid"), F.count("*").alias("n"))
-    a = hot_split_join(s, mid, ["qid", "component"], "n").withColumn("off", F.abs(F.col("score") - F.col("mid")))
+    a = hot_split_join(s, mid, ["qid", "component"], "n", total=total).withColumn("off", F.abs(F.col("score") - F.col("mid")))
     dev = a.groupBy("qid", "component").agg(_median("off").alias("mad"), F.avg("off").alias("aad"), F.count("*").alias("n"))
-    b = hot_split_join(a, dev, ["qid", "component"], "n")
+    b = hot_split_join(a, dev, ["qid", "component"], "n", total=total)
     sigma = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SIGMA).when(F.col("aad") > 0, F.col("aad") * 1.2533)
     z = F.when(sigma.isNull(), 0.0).otherwise((F.col("score") - F.col("mid")) / sigma)
     # exp overflows to infinity beyond 709, where the value is 0 or 1 anyway; 30 keeps both ends apart from 0 and 1.

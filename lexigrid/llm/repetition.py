@@ -196,8 +196,12 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 def fit_field(docs: DataFrame, text: str, most: int = TRAIN_DOCUMENTS) -> Field:
     """The field, fitted on at most `most` documents: those with the least hash of their text, so the same in every run."""
-    rows = docs.filter(F.length(text) > 0).select(F.substring(text, 1, 20_000).alias("t"), F.xxhash64(text).alias("h")).orderBy("h").limit(most).select("t").collect()
-    return Field().fit([r[0] for r in rows])
+    d = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    least = [r[0] for r in d.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not least:
+        return Field()
+    rows = d.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
+    return Field().fit([r["t"] for r in rows])
 
 
 def repetition(docs: DataFrame, key: str, text: str, field: Field | Broadcast, share: float | None = None, slice_chars: int = 2_000_000) -> DataFrame:
