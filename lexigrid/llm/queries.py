@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import leakage, mixing, ranking, repetition, representatives, splitting, unify
+from lexigrid.llm import history, leakage, mixing, names, ranking, repetition, representatives, splitting, unify
 from lexigrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     return representatives.merged_entities(table(spark, d, "entity_versions"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.merged_with(table(spark, d, "entity_feed")).select("first_record_id", "record_id")
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    feed = table(spark, d, "entity_feed")
+    return history.batch_counts(feed, history.merged_with(feed))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.pieces(table(spark, d, "legal_articles"), ["id"], ["content", "raw_text"])
     return cut.filter("n_pieces > 1 and piece_no = 0").select("id", "field_name").distinct()
@@ -33,6 +42,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "legal_articles"), ["id"], ["content", "raw_text"]).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entities(table(spark, d, "kg_entities"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.classes(table(spark, d, "kg_entities"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.combined_ranking(table(spark, d, "component_scores"), COMPONENTS, top=1).select("qid", "article_id")
 
@@ -91,8 +108,12 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
+    "p2_found": p2_found,
+    "p2_batches": p2_batches,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
     "p7_found": p7_found,
