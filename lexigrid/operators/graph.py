@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.functions import dims
 from lexigrid.operators.skew import hot_split_join
 from lexigrid.session import cut
 
@@ -36,3 +39,111 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def symmetric(edges: DataFrame, types: Sequence[str] = dims.SYMMETRIC_RELATIONS) -> DataFrame:
+    """edges (src, dst, relation_type, ...) with the reverse of those whose type goes both ways."""
+    back = edges.filter(F.col("relation_type").isin(*types))
+    cols = [F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in edges.columns]
+    return edges.unionByName(back.select(*cols))
+
+
+def transition(edges: DataFrame, intents: DataFrame, gamma: float = 0.5, floor: float = 0.1) -> DataFrame:
+    """(intent_set, src, dst, w): edge weights of each set of intents, each source's summing to 1.
+
+    edges (src, dst, relation_type, confidence[, similarity]); intents (intent_set, intent, weight). An edge weighs the set's mean of its type's weight
+    by intent, times its confidence, times the target's similarity (1 by default, at least `floor`) to the power gamma. Symmetric types add
+    the reverse edge; repeated edges add up.
+    """
+    spark = edges.sparkSession
+    rows = [(i, t, float(w)) for i, m in dims.INTENT_RELATION_WEIGHTS.items() for t, w in m.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "intent string, relation_type string, table_weight double"))
+    types = edges.select("relation_type").distinct()
+    known = F.coalesce("table_weight", F.lit(dims.UNKNOWN_RELATION))
+    # Intents are a handful, relation types a few dozen: this is a table of the schema, not of the data.
+    per = types.join(F.broadcast(intents), F.lit(True)).join(table, ["intent", "relation_type"], "left")
+    per = per.groupBy("intent_set", "relation_type").agg((F.sum(known * F.col("weight")) / F.sum("weight")).alias("rw"))
+    e = symmetric(edges).filter("src is not null and dst is not null")
+    sim = F.coalesce(F.col("similarity"), F.lit(1.0)) if "similarity" in edges.columns else F.lit(1.0)
+    w = F.col("rw") * F.coalesce("confidence", F.lit(1.0)) * F.pow(F.greatest(sim, F.lit(floor)), F.lit(gamma))
+    raw = e.join(F.broadcast(per), "relation_type").groupBy("intent_set", "src", "dst").agg(F.sum(w).alias("w")).filter("w > 0")
+    out = raw.groupBy("intent_set", "src").agg(F.sum("w").alias("t"))
+    return raw.join(out, ["intent_set", "src"]).select("intent_set", "src", "dst", (F.col("w") / F.col("t")).alias("w"))
+
+
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 50, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+    """(qid, node, score) for score above 0: personalised PageRank of all questions at once.
+
+    edges (src, dst, w) with weights that sum to 1 per source; seeds (qid, node, weight). p <- alpha s + (1 - alpha) W' p from p = s, until the scores of
+    every question change by less than tolerance in sum, at most `iterations` times. alpha is the teleport. Seeds are divided by their sum
+    per question, also those the graph doesn't have; sources without edges lose their share. The edge table is shuffled once by source and
+    checkpointed; a step joins the scores to it and sums per (qid, node), combined on the map side.
+    """
+    s = seeds.filter("node is not null and weight > 0").groupBy("qid", "node").agg(F.sum("weight").alias("w"))
+    s = cut(s.join(s.groupBy("qid").agg(F.sum("w").alias("t")), "qid").select("qid", "node", (F.col("w") / F.col("t")).alias("s")))
+    e = cut(edges.select(F.col("src").alias("node"), "dst", "w").repartition("node"))
+    p = s.select("qid", "node", F.col("s").alias("p"))
+    for i in range(iterations):
+        flow = p.join(e, "node").select("qid", F.col("dst").alias("node"), (F.col("p") * F.col("w") * (1 - alpha)).alias("x"))
+        step = flow.unionByName(s.select("qid", "node", (F.col("s") * alpha).alias("x"))).groupBy("qid", "node").agg(F.sum("x").alias("p"))
+        last = i + 1 == iterations
+        if last or (i + 1) % checkpoint_every == 0:
+            step = cut(step)
+            change = (
+                step.withColumnRenamed("p", "a").join(p.withColumnRenamed("p", "b"), ["qid", "node"], "full_outer")
+                .groupBy("qid").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
+            )
+            p = step
+            if change is None or change < tolerance:
+                break
+        else:
+            p = step
+    return p.filter("p > 0").select("qid", "node", F.col("p").alias("score"))
+
+
+def pagerank_articles(scores: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(qid, article_id, score): the greatest entity score per article number of the entity's first source, given to all articles of that number.
+
+    mentions (entity_id, article_id, article_number, ord).
+    """
+    first = mentions.filter("article_number is not null").groupBy("entity_id").agg(F.min_by("article_number", F.struct("ord", "article_id")).alias("article_number"))
+    best = scores.join(first.withColumnRenamed("entity_id", "node"), "node").groupBy("qid", "article_number").agg(F.max("score").alias("score"))
+    return best.join(mentions.select("article_id", "article_number").distinct(), "article_number").select("qid", "article_id", "score")
+
+
+def neighbourhood(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """(node, neighbour, direction, relation_type, confidence): edges out of and into each node; a neighbour both ways is kept as 'out', each once."""
+    n = nodes.select(F.col(node).alias("node")).distinct()
+    one = lambda a, b, d, o: edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour"), F.lit(d).alias("direction"), F.lit(o).alias("o"), "relation_type", "confidence")
+    both = one("src", "dst", "out", 0).unionByName(one("dst", "src", "in", 1)).join(n, "node").filter("node <> neighbour")
+    best = F.min_by(F.struct("direction", "relation_type", "confidence"), F.struct("o", -F.coalesce("confidence", F.lit(0.0)), "relation_type"))
+    return both.groupBy("node", "neighbour").agg(best.alias("b")).select("node", "neighbour", "b.*")
+
+
+def induced(edges: DataFrame, members: DataFrame, group: str, node: str = "node") -> DataFrame:
+    """Edges whose ends are both members of a group: (group, src, dst, relation_type, confidence)."""
+    m = members.select(group, F.col(node)).distinct()
+    a = edges.join(m.withColumnRenamed(node, "src"), "src")
+    return a.join(m.withColumnRenamed(node, "dst"), [group, "dst"]).select(group, "src", "dst", "relation_type", "confidence")
+
+
+def theme_partition(edges: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
+    """(theme, node, size): components of at least `least` nodes; of larger ones the first `most` nodes by id, a limit that is the feature."""
+    c = connected_components(edges, "src", "dst")
+    size = c.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    w = Window.partitionBy("component").orderBy("node")
+    return c.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).join(size, "component").select(F.col("component").alias("theme"), "node", "size")
+
+
+def closure(parents: DataFrame, child: str, parent: str, depth: int = 20) -> DataFrame:
+    """(node, ancestor, distance): ancestors up to `depth` levels; a cycle ends where it meets a pair again. For trees of classes, not of data."""
+    p = cut(parents.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node is not null and ancestor is not null").distinct())
+    every = frontier = p.withColumn("distance", F.lit(1))
+    up = p.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
+    for d in range(2, depth + 1):
+        frontier = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        frontier = cut(frontier.join(every, ["node", "ancestor"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        every = every.unionByName(frontier)
+    return every

@@ -5,29 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexigrid.operators import orphans
-from lexigrid.session import table
+from lexigrid.functions import dims, query, text
+from lexigrid.operators import evaluate, extract, graph, hierarchy, kg, ontology, orphans, retrieve
+from lexigrid.plans import engine, sqltext as S
+from lexigrid.session import cut, table
+from lexigrid.sources import io
+from lexigrid.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_references(table(spark, d, "kg_relations"), ["source_id", "target_id"], "relation_id", "created_at", table(spark, d, "kg_entities"), "id", "created_at", "deleted_at")
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("ref_id", "endpoint").withColumnRenamed("ref_id", "relation_id").distinct()
+def registered(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
-
-def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphans_by_period(_orphans(spark, d), "kg_relations")
+    return keep
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_by_month": p3_by_month}
+# ---- references to records that do not exist
 
 _SPACE = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
-_ENDS = f"""
+_ORPHANS = f"""
     ends AS (SELECT DISTINCT relation_id, endpoint, lower(regexp_replace(k, {_SPACE})) AS k, created_at FROM (
         SELECT relation_id, 'source_id' AS endpoint, source_id AS k, created_at FROM kg_relations
         UNION ALL SELECT relation_id, 'target_id', target_id, created_at FROM kg_relations)),
@@ -36,9 +41,816 @@ _ENDS = f"""
         SELECT 1 FROM alive WHERE alive.k = ends.k AND a <= ends.created_at AND (b IS NULL OR b > ends.created_at)))
 """
 
-ORACLE: dict[str, str] = {
-    "p3_found": f"WITH {_ENDS} SELECT DISTINCT relation_id, endpoint FROM orphan",
-    "p3_by_month": f"WITH {_ENDS} SELECT 'kg_relations' AS tbl, endpoint, strftime(created_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM orphan GROUP BY ALL",
-}
 
-FLAGSHIP = "p3_found"
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphan_references(table(spark, d, "kg_relations"), ["source_id", "target_id"], "relation_id", "created_at", table(spark, d, "kg_entities"), "id", "created_at", "deleted_at")
+
+
+@registered(f"WITH {_ORPHANS} SELECT DISTINCT relation_id, endpoint FROM orphan")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d).select(F.col("ref_id").alias("relation_id"), "endpoint").distinct()
+
+
+@registered(f"WITH {_ORPHANS} SELECT 'kg_relations' AS tbl, endpoint, strftime(created_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM orphan GROUP BY ALL")
+def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphans_by_period(_orphans(spark, d), "kg_relations")
+
+
+# ---- the tables as the operators take them
+
+_ART = "(SELECT id, min(document_id) AS document_id, min(chapter_id) AS chapter_id, min(section_id) AS section_id, min(article_number) AS article_number, min(title) AS title, min(content) AS content FROM legal_articles WHERE id IS NOT NULL GROUP BY id)"
+_ENT = "(SELECT id, min(name) AS name, min(type_str) AS type_str FROM kg_entities WHERE deleted_at IS NULL AND id IS NOT NULL GROUP BY id)"
+_MEN = f"(SELECT DISTINCT id AS entity_id, source_ids[o] AS article_id, {S.article_number('source_ids[o]')} AS article_number, CAST(o - 1 AS INTEGER) AS ord FROM kg_entities, LATERAL (SELECT unnest(range(1, len(source_ids) + 1)) AS o) WHERE deleted_at IS NULL AND id IS NOT NULL)"
+_EDGE = f"""(SELECT DISTINCT lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, relation_type, CASE WHEN NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 THEN confidence ELSE 0.5 END AS confidence
+    FROM kg_relations WHERE lower(trim(source_id)) IN (SELECT id FROM {_ENT}) AND lower(trim(target_id)) IN (SELECT id FROM {_ENT}))"""
+
+
+def _corpus(spark: SparkSession, d: str) -> engine.Corpus:
+    return engine.corpus(table(spark, d, "legal_documents"), table(spark, d, "legal_articles"), table(spark, d, "kg_entities"), table(spark, d, "kg_relations"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("question").alias("text")).distinct()
+
+
+# ---- scans and statistics
+
+
+@registered("SELECT 'legal_documents' AS tbl, count(*) AS n FROM legal_documents UNION ALL SELECT 'legal_articles', count(*) FROM legal_articles UNION ALL SELECT 'kg_entities', count(*) FROM kg_entities UNION ALL SELECT 'kg_relations', count(*) FROM kg_relations")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.table_counts(**{t: table(spark, d, t) for t in ("legal_documents", "legal_articles", "kg_entities", "kg_relations")})
+
+
+@registered("SELECT DISTINCT document_id, id, pos, CAST(rank() OVER (PARTITION BY document_id ORDER BY pos, id) AS INTEGER) AS place FROM (SELECT DISTINCT document_id, id, pos FROM legal_articles WHERE section_id IS NULL)")
+def scan_children_ordered(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = table(spark, d, "legal_articles").filter("section_id is null").select("document_id", "id", "pos").distinct()
+    return a.withColumn("place", F.rank().over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("pos"), "id")))
+
+
+@registered("SELECT DISTINCT so_hieu, title, created_at FROM legal_documents WHERE created_at IS NOT NULL ORDER BY created_at DESC, so_hieu, title LIMIT 50")
+def documents_recent(spark: SparkSession, d: str) -> DataFrame:
+    """The latest documents: the limit is the feature."""
+    t = table(spark, d, "legal_documents").filter("created_at is not null").select("so_hieu", "title", "created_at").distinct()
+    return t.orderBy(F.desc("created_at"), F.asc_nulls_last("so_hieu"), F.asc_nulls_last("title")).limit(50)
+
+
+@registered("SELECT DISTINCT a.id, a.document_id, d.title AS document_title FROM legal_articles a JOIN (SELECT id, min(title) AS title FROM legal_documents GROUP BY id) d ON a.document_id = d.id")
+def eager_parents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "legal_documents").groupBy(F.col("id").alias("document_id")).agg(F.min("title").alias("document_title"))
+    return table(spark, d, "legal_articles").select("id", "document_id").join(docs, "document_id").select("id", "document_id", "document_title").distinct()
+
+
+_NODES = f"""art AS (SELECT *, coalesce(chapter_id, nullif(regexp_extract(section_id, '^(.*):m\\d+$', 1), '')) AS ch FROM {_ART} WHERE document_id IS NOT NULL),
+    nodes AS (SELECT id AS node_id, 'document' AS node_type, NULL AS parent_id, id AS document_id, 0 AS ord, [id] AS path FROM (SELECT DISTINCT id FROM legal_documents WHERE id IS NOT NULL)
+    UNION ALL SELECT ch, 'chapter', document_id, document_id, min(article_number), [document_id, ch] FROM art WHERE ch IS NOT NULL GROUP BY document_id, ch
+    UNION ALL SELECT section_id, 'section', ch, document_id, min(article_number), [document_id, ch, section_id] FROM art WHERE section_id IS NOT NULL GROUP BY document_id, ch, section_id
+    UNION ALL SELECT id, 'article', coalesce(section_id, ch, document_id), document_id, article_number, list_filter([document_id, ch, section_id, id], lambda x: x IS NOT NULL) FROM art)"""
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.nodes(table(spark, d, "legal_documents"), table(spark, d, "legal_articles"))
+
+
+@registered(f"WITH {_NODES} SELECT node_id, node_type, parent_id, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, ' > ') AS trail FROM nodes")
+def tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("node_id", "node_type", "parent_id", "depth", F.array_join("path", " > ").alias("trail"))
+
+
+@registered(f"WITH {_NODES} SELECT node_type, count(*) AS nodes, count(DISTINCT document_id) AS documents, CAST(max(len(path) - 1) AS INTEGER) AS deepest FROM nodes GROUP BY node_type")
+def forest_stats(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.statistics(_nodes(spark, d))
+
+
+@registered(f"WITH {_NODES} SELECT parent_id, node_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY ord NULLS FIRST, node_id) AS INTEGER) AS place FROM nodes WHERE parent_id IS NOT NULL")
+def tree_children(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.children(_nodes(spark, d))
+
+
+@registered(f"WITH {_NODES}, x AS (SELECT node_id, unnest(path) AS root FROM nodes) SELECT root, count(*) AS below FROM x WHERE root IN (SELECT node_id FROM nodes WHERE node_type = 'chapter') GROUP BY root")
+def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d)
+    return hierarchy.subtree(n, n.filter("node_type = 'chapter'").select(F.col("node_id").alias("root"))).groupBy("root").agg(F.count("*").alias("below"))
+
+
+@registered("SELECT chapter_id, first, last, CASE WHEN first = last THEN 'Điều ' || first ELSE 'Điều ' || first || '-' || last END AS article_range, articles FROM (SELECT chapter_id, min(article_number) AS first, max(article_number) AS last, count(DISTINCT id) AS articles FROM legal_articles WHERE chapter_id IS NOT NULL AND article_number IS NOT NULL GROUP BY chapter_id)")
+def chapter_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.chapter_ranges(table(spark, d, "legal_articles"))
+
+
+@registered()
+def article_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.article_summaries(table(spark, d, "legal_articles"))
+
+
+@registered(f"""SELECT doc.id AS doc_id, so_hieu, loai_van_ban AS doc_type, doc.title, coalesce(n_ch, 0) AS num_chapters, coalesce(n_art, 0) AS num_articles FROM
+    (SELECT id, min(so_hieu) AS so_hieu, min(title) AS title, min(loai_van_ban) AS loai_van_ban FROM legal_documents WHERE id IS NOT NULL GROUP BY id) doc
+    LEFT JOIN (SELECT document_id, count(DISTINCT chapter_id) AS n_ch, count(*) AS n_art FROM {_ART} GROUP BY document_id) a ON a.document_id = doc.id""")
+def document_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.document_summaries(table(spark, d, "legal_documents"), table(spark, d, "legal_articles")).drop("scope", "subjects")
+
+
+# ---- text functions
+
+
+@registered(f"SELECT DISTINCT name, {S.slug('name')} AS slug, {S.canonical('name')} AS canonical FROM kg_entities WHERE name IS NOT NULL")
+def text_slug(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name")
+    return table(spark, d, "kg_entities").filter("name is not null").select("name", text.slug(n).alias("slug"), text.canonical(n).alias("canonical")).distinct()
+
+
+@registered(f"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(question, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT list_contains({S.listed(dims.KEYWORD_STOP_WORDS)}, lower(w)) AND NOT regexp_matches(w, '^[0-9]+$')), ' ') AS keywords,
+    len({S.ngrams(S.words('question'), 2)}) AS bigrams, array_to_string(list_sort({S.terms('question')}), ' ') AS terms FROM (SELECT DISTINCT item_id, question FROM eval_items)""")
+def text_keywords(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("question")
+    t = table(spark, d, "eval_items").select("item_id", "question").distinct()
+    return t.select("item_id", F.array_join(text.keywords(q), " ").alias("keywords"), F.size(text.ngrams(text.words(q), 2)).cast("long").alias("bigrams"), F.array_join(F.array_sort(text.terms(q)), " ").alias("terms"))
+
+
+@registered(f"SELECT DISTINCT so_hieu, {S.document_number('so_hieu')} AS number, regexp_replace({S.document_number('so_hieu')}, '-(CP|BTC|BKHDT|BXD|BCT|NHNN|TTg|UBND|HDND)$', '') AS reference FROM legal_documents WHERE so_hieu IS NOT NULL")
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("so_hieu")
+    return table(spark, d, "legal_documents").filter("so_hieu is not null").select("so_hieu", text.document_number(c).alias("number"), text.reference_number(c).alias("reference")).distinct()
+
+
+@registered(f"SELECT DISTINCT id, {S.article_number('id')} AS number, split_part(id, ':', 1) AS document, 'Điều ' || article_number AS citation FROM legal_articles WHERE id IS NOT NULL AND article_number IS NOT NULL")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "legal_articles").filter("id is not null and article_number is not null")
+    none = F.lit(None)
+    return t.select("id", text.article_number(F.col("id")).alias("number"), text.document_of(F.col("id")).alias("document"), text.citation(F.col("article_number"), none.cast("int"), none.cast("string")).alias("citation")).distinct()
+
+
+_CIT = r"(?i)điều\s+(\d{1,6})", r"(?i)khoản\s+(\d{1,6})", r"(?i)điểm\s+([a-zđ])(?:[^\p{L}]|$)"
+
+
+@registered(f"SELECT DISTINCT name, CAST(nullif(regexp_extract(name, '{_CIT[0]}', 1), '') AS INTEGER) AS article, CAST(nullif(regexp_extract(name, '{_CIT[1]}', 1), '') AS INTEGER) AS clause, lower(nullif(regexp_extract(name, '{_CIT[2]}', 1), '')) AS point FROM kg_entities WHERE type_str = 'LEGAL_REFERENCE' AND name IS NOT NULL")
+def citation_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "kg_entities").filter("type_str = 'LEGAL_REFERENCE' and name is not null").select("name").distinct()
+    return t.withColumn("p", text.parse_citation(F.col("name"))).select("name", "p.*")
+
+
+@registered(r"""SELECT doc_id, try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) AS first_date FROM (SELECT doc_id, regexp_extract(text, p, 1) AS dd, regexp_extract(text, p, 2) AS m, regexp_extract(text, p, 3) AS y FROM
+    (SELECT DISTINCT doc_id, text, '(?i)(?:ngày\s+)?(\d{1,2})(?:\s*[/-]\s*|\s+tháng\s+)(\d{1,2})(?:\s*[/-]\s*|\s+năm\s+)(\d{4})' AS p FROM documents WHERE text IS NOT NULL)) WHERE y <> ''""")
+def first_dates(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", "text").distinct()
+    pattern = r"(?iu)(?:ngày\s+)?\d{1,2}(?:\s*[/-]\s*|\s+tháng\s+)\d{1,2}(?:\s*[/-]\s*|\s+năm\s+)\d{4}"
+    return t.filter(F.col("text").rlike(pattern)).select("doc_id", text.vietnamese_date(F.col("text")).alias("first_date"))
+
+
+@registered("SELECT i AS roman, n AS value FROM " + S.values([("I", 1), ("IV", 4), ("IX", 9), ("XIV", 14), ("XL", 40), ("XCIX", 99), ("ABC", 1)], "i, n"))
+def roman_numbers(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([(x,) for x in ("I", "IV", "IX", "XIV", "XL", "XCIX", "ABC")], "roman string")
+    return t.select("roman", text.roman(F.col("roman")).alias("value"))
+
+
+# ---- questions
+
+
+@registered(f"SELECT item_id AS qid, {S.intent('question')} AS intent, {S.query_type('question')} AS query_type, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(question, '[Đđ]iều\\s+(\\d{{1,9}})', 1), regexp_extract_all(question, '[Đđ]\\.\\s*(\\d{{1,9}})', 1)), lambda x: CAST(x AS INTEGER)))), ',') AS article_refs FROM (SELECT DISTINCT item_id, question FROM eval_items)")
+def query_intent(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("text")
+    return _questions(spark, d).select("qid", query.intent(q).alias("intent"), query.query_type(q).alias("query_type"), F.array_join(query.article_refs(q), ",").alias("article_refs"))
+
+
+@registered(f"SELECT doc_id AS qid, {S.intent('text')} AS intent, {S.query_type('text')} AS query_type FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)")
+def document_intent(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", "text").distinct()
+    return t.select(F.col("doc_id").alias("qid"), query.intent(F.col("text")).alias("intent"), query.query_type(F.col("text")).alias("query_type"))
+
+
+@registered()
+def query_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return query.analyzed(_questions(spark, d))
+
+
+@registered(f"SELECT t.query_type, method, CAST(alpha AS DOUBLE) AS alpha, hops, count(*) AS n FROM (SELECT {S.query_type('question')} AS query_type FROM (SELECT DISTINCT item_id, question FROM eval_items)) t JOIN (SELECT * FROM {S.values([r[:4] for r in dims.STRATEGIES], 'query_type, method, alpha, hops')}) USING (query_type) GROUP BY ALL".replace("t.query_type, method", "query_type, method"))
+def query_strategy(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.createDataFrame(list(dims.STRATEGIES), "query_type string, method string, alpha double, hops int, reasoning boolean, temporal boolean")
+    t = _questions(spark, d).select(query.query_type(F.col("text")).alias("query_type"))
+    return t.join(F.broadcast(s), "query_type").groupBy("query_type", "method", "alpha", "hops").agg(F.count("*").alias("n"))
+
+
+@registered()
+def detected_documents(spark: SparkSession, d: str) -> DataFrame:
+    return query.detected_documents(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
+
+
+# ---- keyphrases and combination
+
+_KEYPHRASE = f"""q AS (SELECT DISTINCT item_id AS qid, lower(question) AS q FROM eval_items WHERE question IS NOT NULL),
+    names AS (SELECT DISTINCT lower(name) AS n FROM {_ENT} WHERE name IS NOT NULL),
+    prep AS (SELECT qid, q, {S.terms('q')} AS qt, {S.words('q')} AS qw FROM q), prep2 AS (SELECT *, {S.ngrams('qw', 2)} AS g2, {S.ngrams('qw', 3)} AS g3 FROM prep),
+    nn AS (SELECT n, {S.words('n')} AS nw FROM names),
+    s0 AS (SELECT qid, n, q, g2, g3, len(list_filter(qt, lambda w: list_contains(nw, w))) AS ov, len(qt) AS nt FROM prep2, nn WHERE len(qt) > 0),
+    s1 AS (SELECT *, CASE WHEN ov > 0 THEN ov / nt * CASE WHEN ov >= 2 THEN 1.5 ELSE 1 END ELSE 0 END AS s FROM s0),
+    s2 AS (SELECT * REPLACE (CASE WHEN len(list_filter(g2, lambda g: contains(n, g))) > 0 THEN greatest(s, 0.5) * 1.5 ELSE s END AS s) FROM s1),
+    s3 AS (SELECT * REPLACE (CASE WHEN len(list_filter(g3, lambda g: contains(n, g))) > 0 THEN greatest(s, 0.7) * 1.5 ELSE s END AS s) FROM s2),
+    s4 AS (SELECT qid, n, least(1.0, CASE WHEN contains(q, n) THEN greatest(s, 0.8) * 1.5 WHEN contains(n, q) THEN greatest(s, 0.6) * 1.2 ELSE s END) AS score FROM s3),
+    keyphrase AS (SELECT qid, e.id AS entity_id, score FROM s4 JOIN {_ENT} e ON lower(e.name) = n WHERE score > 0)"""
+
+
+def _keyphrase(spark: SparkSession, d: str) -> tuple[DataFrame, engine.Corpus]:
+    c = _corpus(spark, d)
+    return retrieve.keyphrase_scores(_questions(spark, d), c.entities), c
+
+
+@registered(f"WITH {_KEYPHRASE} SELECT qid, entity_id, round(score, 6) AS score FROM keyphrase")
+def keyphrase_score(spark: SparkSession, d: str) -> DataFrame:
+    return _keyphrase(spark, d)[0].select("qid", "entity_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"WITH {_KEYPHRASE}, m AS (SELECT DISTINCT qid, article_id, k.entity_id, score FROM keyphrase k JOIN {_MEN} m ON m.entity_id = k.entity_id) SELECT qid, article_id, round(max(score) + 0.3 * ln(count(*) + 1) * avg(score), 6) AS keyphrase FROM m GROUP BY ALL")
+def keyphrase_articles(spark: SparkSession, d: str) -> DataFrame:
+    k, c = _keyphrase(spark, d)
+    return retrieve.article_keyphrase(k, c.mentions).select("qid", "article_id", F.round("keyphrase", 6).alias("keyphrase"))
+
+
+_COMP = """comp AS (SELECT qid, article_id, max(CASE WHEN component = 'keyphrase' THEN score END) AS keyphrase, max(CASE WHEN component = 'semantic' THEN score END) AS semantic,
+    max(CASE WHEN component = 'ppr' THEN score END) AS ppr, max(CASE WHEN component = 'filtered' THEN score END) AS concept FROM (
+    SELECT qid, article_id, component, arg_max(score, (coalesce(epoch_us(scored_at), -4611686018427387904), score)) AS score FROM component_scores WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL) GROUP BY ALL)"""
+_LOW = f"{_COMP}, lw AS (SELECT qid, article_id, 0.05 * coalesce(keyphrase, 0) + 0.2 * coalesce(semantic, 0) + 0.25 * coalesce(ppr, 0) + 0.2 * coalesce(concept, 0) AS s FROM comp), low AS (SELECT qid, article_id, CASE WHEN t > 0 THEN s / t ELSE s END AS low FROM lw JOIN (SELECT qid, max(s) AS t FROM lw GROUP BY qid) USING (qid))"
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "component_scores").filter("score is not null and not isnan(score)")
+    at = F.coalesce(F.unix_micros(F.col("scored_at").cast("timestamp")), F.lit(-(2**62)))
+    s = t.groupBy("qid", "article_id", "component").agg(F.max_by("score", F.struct(at, "score")).alias("score"))
+    pick = lambda c, n: F.max(F.when(F.col("component") == c, F.col("score"))).alias(n)
+    return s.groupBy("qid", "article_id").agg(pick("keyphrase", "keyphrase"), pick("semantic", "semantic"), pick("ppr", "ppr"), pick("filtered", "concept"))
+
+
+def _low(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.low_level(_components(spark, d))
+
+
+@registered(f"WITH {_LOW} SELECT qid, article_id, round(low, 6) AS low FROM low")
+def low_level_combine(spark: SparkSession, d: str) -> DataFrame:
+    return _low(spark, d).withColumn("low", F.round("low", 6))
+
+
+_DUAL = f"{_LOW}, hi AS (SELECT qid, article_id, semantic AS theme, ppr AS hierarchy FROM comp), dual AS (SELECT qid, article_id, round(0.7 * low + 0.15 * coalesce(theme, 0) + 0.15 * coalesce(hierarchy, 0), 6) AS score FROM low JOIN hi USING (qid, article_id)), dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, article_id) AS INTEGER) AS rank FROM dual WHERE score >= 0.1)"
+
+
+def _dual(spark: SparkSession, d: str) -> DataFrame:
+    c = _components(spark, d)
+    f = retrieve.fused(retrieve.low_level(c), c.select("qid", "article_id", F.col("semantic").alias("theme")), c.select("qid", "article_id", F.col("ppr").alias("hierarchy")), least=-1e18)
+    return f.withColumn("score", F.round("score", 6)).filter("score >= 0.1")
+
+
+@registered(f"WITH {_DUAL} SELECT qid, article_id, score, rank FROM dr")
+def dual_fuse(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.ranked(_dual(spark, d))
+
+
+@registered(f"WITH {_DUAL} SELECT qid, article_id, score, rank FROM dr WHERE rank <= 10")
+def dual_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten: the limit is the feature."""
+    return retrieve.ranked(_dual(spark, d), k=10)
+
+
+@registered(f"WITH {_DUAL} SELECT qid, article_id, score, CAST(rank() OVER (PARTITION BY qid ORDER BY score DESC) AS INTEGER) AS dual_rank FROM dual WHERE score >= 0.1")
+def dual_rank(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.shared_rank(_dual(spark, d))
+
+
+# ---- fusion of rankings: keyphrase as the tree's list, semantic as the dual list, ppr as the graph's
+
+
+def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    c = _components(spark, d)
+    one = lambda n: retrieve.ranked(c.filter(F.col(n).isNotNull()).select("qid", "article_id", F.col(n).alias("score")), k=20)
+    return {"tree": one("keyphrase"), "dual": one("semantic"), "kg": one("ppr")}
+
+
+def _list_sql(c: str, n: str) -> str:
+    return f"{n} AS (SELECT qid, article_id, {c} AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {c} DESC, article_id) AS INTEGER) AS rank FROM comp WHERE {c} IS NOT NULL QUALIFY rank <= 20)"
+
+
+_LISTS = f"{_COMP}, {_list_sql('keyphrase', 'l_tree')}, {_list_sql('semantic', 'l_dual')}, {_list_sql('ppr', 'l_kg')}"
+_RRF = f"{_LISTS}, u AS (SELECT qid, article_id, 0.8 / (60 + rank) AS s, 0 AS o, 'tree' AS source FROM l_tree UNION ALL SELECT qid, article_id, 1.0 / (60 + rank), 1, 'dual' FROM l_dual UNION ALL SELECT qid, article_id, 1.2 / (60 + rank), 2, 'kg' FROM l_kg), rrf AS (SELECT qid, article_id, sum(s) AS score, arg_min(source, o) AS source FROM u GROUP BY ALL HAVING sum(s) >= 0.005)"
+
+
+@registered(f"WITH {_RRF} SELECT qid, article_id, round(score, 6) AS score, source FROM rrf")
+def rrf_merge(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.rrf(_lists(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@registered(f"WITH {_LISTS}, u AS (SELECT qid, article_id, 1.0 / (60 + rank) AS s FROM l_dual UNION ALL SELECT qid, article_id, 0.8 / (60 + rank) FROM l_kg) SELECT qid, article_id, round(sum(s), 6) AS score FROM u GROUP BY ALL")
+def rrf_dual_kg(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    return retrieve.rrf({"dual": x["dual"], "kg": x["kg"]}, {"dual": 1.0, "kg": 0.8}, least=None).select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"WITH {_LISTS}, cf AS (SELECT DISTINCT qid, (qid % 10) / 10.0 AS confidence FROM comp), w AS (SELECT qid, CASE WHEN confidence >= 0.7 THEN 0.7 WHEN confidence >= 0.5 THEN 0.5 ELSE 0.3 END AS w FROM cf), u AS (SELECT qid, article_id, w / (60 + rank) AS s FROM l_tree JOIN w USING (qid) UNION ALL SELECT qid, article_id, (1 - w) / (60 + rank) FROM l_kg JOIN w USING (qid)) SELECT qid, article_id, round(sum(s), 6) AS score FROM u GROUP BY ALL")
+def confidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    conf = _components(spark, d).select("qid").distinct().withColumn("confidence", (F.col("qid") % 10) / 10.0)
+    return retrieve.weighted_by_confidence(x["tree"], x["kg"], conf).select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"""WITH {_LISTS}, seeds AS (SELECT DISTINCT qid, article_id FROM l_tree WHERE rank <= 5), near AS (SELECT qid, a.document_id, a.article_number + k AS n, min(abs(k)) AS distance FROM seeds JOIN {_ART} a ON a.id = seeds.article_id, (SELECT unnest([-2, -1, 1, 2]) AS k) WHERE a.article_number + k > 0 GROUP BY ALL)
+    SELECT near.qid, b.id AS article_id, CAST(distance AS INTEGER) AS distance, round(greatest(0.2, 0.4 - 0.05 * distance), 6) AS score FROM near JOIN {_ART} b ON b.document_id = near.document_id AND b.article_number = near.n WHERE length(trim(b.content)) > 0 AND NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.qid = near.qid AND seeds.article_id = b.id)""")
+def adjacent_expand(spark: SparkSession, d: str) -> DataFrame:
+    seeds = _lists(spark, d)["tree"].filter("rank <= 5")
+    return retrieve.neighbours(seeds, _corpus(spark, d).articles)
+
+
+@registered(f"""WITH {_LISTS}, t AS (SELECT DISTINCT qid, article_id FROM l_tree), g AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5), sz AS (SELECT qid, count(t.article_id) AS nt FROM t GROUP BY qid), sg AS (SELECT qid, count(*) AS nd FROM g GROUP BY qid), n AS (SELECT qid, count(*) AS n FROM t JOIN g USING (qid, article_id) GROUP BY qid),
+    r AS (SELECT qid, coalesce(n, 0) AS common, coalesce(n, 0) / greatest(1, least(coalesce(nt, 0), coalesce(nd, 0))) AS ratio FROM sz FULL JOIN sg USING (qid) LEFT JOIN n USING (qid))
+    SELECT qid, common, round(ratio, 6) AS ratio, round(CASE WHEN ratio >= 0.7 THEN 0.6 WHEN ratio <= 0.3 THEN 0.4 ELSE 0.4 + (ratio - 0.3) / 0.4 * 0.2 END, 6) AS threshold FROM r""")
+def tree_dual_overlap(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    o = retrieve.overlap(x["tree"], x["dual"])
+    return o.select("qid", "common", F.round("ratio", 6).alias("ratio"), F.round(retrieve.adaptive_threshold(F.col("ratio")), 6).alias("threshold"))
+
+
+@registered()
+def cross_check(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    return retrieve.cross_check(x["tree"], x["dual"], _corpus(spark, d).articles)
+
+
+@registered(f"WITH {_RRF}, c AS (SELECT qid, article_id, round(score, 9) AS score, substring(content, 1, 200) AS head FROM rrf JOIN {_ART} a ON a.id = rrf.article_id) SELECT qid, article_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY qid, head ORDER BY score DESC, article_id) = 1")
+def text_truncate_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    r = retrieve.rrf(_lists(spark, d)).withColumn("score", F.round("score", 9)).join(_corpus(spark, d).articles.select("article_id", "content"), "article_id")
+    return retrieve.without_repeats(r).select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"WITH {_LISTS}, b AS (SELECT * FROM l_tree WHERE rank <= 15), s AS (SELECT b.qid, b.article_id, b.rank AS original_rank, round(0.6 * coalesce(c.ppr, 0) + 0.4 * b.score, 6) AS blended FROM b JOIN comp c USING (qid, article_id)) SELECT qid, article_id, original_rank, blended, CAST(row_number() OVER (PARTITION BY qid ORDER BY blended DESC, article_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
+    t = _lists(spark, d)["tree"].join(_components(spark, d).select("qid", "article_id", F.coalesce("ppr", F.lit(0.0)).alias("model")), ["qid", "article_id"])
+    base = retrieve.ranked(t.drop("rank"), rank="original_rank", k=15)
+    r = base.withColumn("blended", F.round(0.6 * F.col("model") + 0.4 * F.col("score"), 6))
+    return retrieve.ranked(r, score="blended", k=5).select("qid", "article_id", "original_rank", "blended", "rank")
+
+
+def _doc_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = _lists(spark, d)["tree"].select("qid", "article_id", "score")
+    return s.withColumn("number", F.split_part("article_id", F.lit("-"), F.lit(1))).withColumn("year", F.split_part("article_id", F.lit("-"), F.lit(2))).withColumn("doc_type", F.when(F.col("article_id").contains("-TT-"), "thong_tu").when(F.col("article_id").contains("-ND-"), "nghi_dinh").otherwise("khac"))
+
+
+def _doc_hints(spark: SparkSession, d: str) -> DataFrame:
+    q = _components(spark, d).select("qid").distinct()
+    t = F.when(F.col("qid") % 3 == 0, "thong_tu").when(F.col("qid") % 3 == 1, "nghi_dinh")
+    return q.select("qid", t.alias("doc_type"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("year")).filter("doc_type is not null")
+
+
+_DOCF = f"WITH {_LISTS}, x AS (SELECT qid, article_id, score, CASE WHEN contains(article_id, '-TT-') THEN 'thong_tu' WHEN contains(article_id, '-ND-') THEN 'nghi_dinh' ELSE 'khac' END AS t, CASE qid % 3 WHEN 0 THEN 'thong_tu' WHEN 1 THEN 'nghi_dinh' END AS h FROM l_tree)"
+
+
+@registered(f"{_DOCF} SELECT qid, article_id, round(CASE WHEN t = h THEN score * 2 ELSE score END, 6) AS score FROM x")
+def doc_filter_boost(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.filtered_by_document(_doc_scores(spark, d), _doc_hints(spark, d), "boost").select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"{_DOCF} SELECT qid, article_id, round(score, 6) AS score FROM x WHERE h IS NULL OR t = h")
+def doc_filter_only(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.filtered_by_document(_doc_scores(spark, d), _doc_hints(spark, d), "filter").select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"{_DOCF} SELECT qid, article_id, round(CASE WHEN h IS NULL THEN score WHEN t = h THEN score * 2 ELSE score * 0.5 END, 6) AS score FROM x")
+def doc_filter_rerank(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.filtered_by_document(_doc_scores(spark, d), _doc_hints(spark, d), "rerank").select("qid", "article_id", F.round("score", 6).alias("score"))
+
+
+_COS = "round(coalesce(list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0), 0), 6)"
+_VEC = "v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS a, label FROM embeddings), qv AS (SELECT vec_id AS qid, a AS b FROM v WHERE vec_id % 50 = 0)"
+
+
+@registered(f"WITH {_VEC} SELECT qid, vec_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_COS} DESC, vec_id) AS INTEGER) AS rank FROM v, qv QUALIFY rank <= 10")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 50, against all."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    return retrieve.nearest(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), v, 10)
+
+
+@registered(f"WITH {_VEC}, th AS (SELECT label, list_transform(range(1, 65), lambda i: avg_[i]) AS a FROM (SELECT label, list(m ORDER BY i) AS avg_ FROM (SELECT label, i, avg(a[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label)) SELECT qid, label, {_COS.replace('a,', 'th.a,').replace('(a', '(th.a')} AS similarity FROM th, qv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, label) <= 5".replace("th.th.", "th."))
+def theme_search(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label").dropDuplicates(["vec_id"])
+    long = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    themes = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+    return retrieve.nearest(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), themes, 5, key="label").drop("rank")
+
+
+@registered()
+def tree_select_nollm(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return retrieve.tree_without_model(c.documents, c.articles, _questions(spark, d))
+
+
+# ---- the graph
+
+
+@registered(f"SELECT relation_type, count(*) AS edges FROM (SELECT * FROM {_EDGE} UNION ALL SELECT dst, src, relation_type, confidence FROM {_EDGE} WHERE list_contains({S.listed(dims.SYMMETRIC_RELATIONS)}, relation_type)) GROUP BY ALL")
+def symmetric_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.symmetric(_corpus(spark, d).edges).groupBy("relation_type").agg(F.count("*").alias("edges"))
+
+
+_ITER = 4
+_WGEN = "CASE relation_type " + " ".join(f"WHEN {S.s(k)} THEN {v}" for k, v in dims.INTENT_RELATION_WEIGHTS["general"].items()) + f" ELSE {dims.UNKNOWN_RELATION} END"
+_PPR = (
+    f"""e AS MATERIALIZED (SELECT * FROM {_EDGE}), sy AS (SELECT * FROM e UNION ALL SELECT dst, src, relation_type, confidence FROM e WHERE list_contains({S.listed(dims.SYMMETRIC_RELATIONS)}, relation_type)),
+    raw AS (SELECT src, dst, sum(confidence * {_WGEN}) AS w FROM sy GROUP BY ALL HAVING sum(confidence * {_WGEN}) > 0), w AS MATERIALIZED (SELECT src, dst, w / t AS w FROM raw JOIN (SELECT src, sum(w) AS t FROM raw GROUP BY src) USING (src)),
+    sd AS (SELECT category AS qid, entity_id AS node, count(*) AS n FROM (SELECT DISTINCT item_id, category, article_ref FROM eval_items) i JOIN (SELECT DISTINCT entity_id, article_number FROM {_MEN} WHERE article_number IS NOT NULL) m ON m.article_number = {S.article_number('i.article_ref')} GROUP BY ALL),
+    s AS MATERIALIZED (SELECT qid, node, n / t AS s FROM sd JOIN (SELECT qid, sum(n) AS t FROM sd GROUP BY qid) USING (qid)), p0 AS (SELECT qid, node, s AS p FROM s)"""
+    + "".join(f", p{i} AS MATERIALIZED (SELECT qid, node, sum(x) AS p FROM (SELECT qid, dst AS node, p * w * 0.85 AS x FROM p{i - 1} JOIN w ON src = node UNION ALL SELECT qid, node, s * 0.15 FROM s) GROUP BY ALL)" for i in range(1, _ITER + 1))
+)
+
+
+def _ppr(spark: SparkSession, d: str, iterations: int = _ITER, tolerance: float = 0.0) -> tuple[DataFrame, engine.Corpus]:
+    """Seeds: the entities of the articles that each category's test items refer to."""
+    c = _corpus(spark, d)
+    items = table(spark, d, "eval_items").select("item_id", "category", "article_ref").distinct().select(F.col("category").alias("qid"), text.article_number(F.col("article_ref")).alias("article_number"))
+    m = c.mentions.filter("article_number is not null").select("entity_id", "article_number").distinct()
+    seeds = items.join(m, "article_number").groupBy("qid", F.col("entity_id").alias("node")).agg(F.count("*").cast("double").alias("weight"))
+    intents = spark.createDataFrame([("general", "general", 1.0)], "intent_set string, intent string, weight double")
+    w = graph.transition(c.edges, intents).select("src", "dst", "w")
+    return graph.personalized_pagerank(w, seeds, iterations=iterations, tolerance=tolerance), c
+
+
+@registered(f"WITH {_PPR} SELECT qid, node, round(p, 6) AS score FROM p{_ITER} WHERE p > 0")
+def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _ppr(spark, d)[0].select("qid", "node", F.round("score", 6).alias("score"))
+
+
+@registered(f"""WITH {_PPR}, m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_number, (ord, article_id)) AS n FROM m WHERE article_number IS NOT NULL GROUP BY entity_id), b AS (SELECT qid, n, max(p) AS score FROM p{_ITER} JOIN f ON f.entity_id = node WHERE p > 0 GROUP BY ALL)
+    SELECT qid, article_id, round(score, 6) AS score FROM b JOIN (SELECT DISTINCT article_id, article_number FROM m) a ON a.article_number = n""")
+def ppr_articles(spark: SparkSession, d: str) -> DataFrame:
+    p, c = _ppr(spark, d)
+    return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 6))
+
+
+@registered(f"""WITH e AS (SELECT * FROM {_EDGE} WHERE src <> dst), b AS (SELECT src AS node, dst AS neighbour, 0 AS o, 'out' AS direction, relation_type, confidence FROM e UNION ALL SELECT dst, src, 1, 'in', relation_type, confidence FROM e)
+    SELECT node, neighbour, direction, relation_type, confidence FROM b QUALIFY row_number() OVER (PARTITION BY node, neighbour ORDER BY o, confidence DESC, relation_type) = 1""")
+def kg_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return graph.neighbourhood(c.edges, c.entities, "entity_id")
+
+
+@registered(f"WITH m AS (SELECT DISTINCT entity_id, article_id FROM {_MEN}), e AS MATERIALIZED (SELECT * FROM {_EDGE}) SELECT a.article_id, src, dst, relation_type, confidence FROM e JOIN m a ON a.entity_id = src JOIN m b ON b.entity_id = dst AND a.article_id = b.article_id")
+def kg_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return graph.induced(c.edges, c.mentions.select("article_id", F.col("entity_id").alias("node")), "article_id")
+
+
+_STRICT = f"(SELECT DISTINCT src, dst FROM {_EDGE} WHERE relation_type = 'REFERENCES' AND confidence >= 0.985)"
+_CC = f"e AS MATERIALIZED (SELECT * FROM {_STRICT}), n AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a) SELECT * FROM r), cc AS (SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a)"
+
+
+def _strict(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).edges.filter("relation_type = 'REFERENCES' and confidence >= 0.985").select("src", "dst").distinct()
+
+
+@registered()
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(_corpus(spark, d).edges, "src", "dst")
+
+
+@registered(f"WITH {_CC} SELECT node, component FROM cc WHERE EXISTS (SELECT 1 FROM e WHERE src <> dst AND (src = node OR dst = node))")
+def components_strict(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(_strict(spark, d), "src", "dst")
+
+
+@registered()
+def theme_partition(spark: SparkSession, d: str) -> DataFrame:
+    return graph.theme_partition(_strict(spark, d))
+
+
+@registered(f"""WITH {_LISTS}, s AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5), m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_id, (ord, article_id)) AS article_id FROM m GROUP BY entity_id),
+    x AS (SELECT DISTINCT qid, entity_id AS src FROM s JOIN (SELECT DISTINCT entity_id, article_id FROM m) USING (article_id)), y AS (SELECT qid, f.article_id, max(confidence) AS score FROM x JOIN {_EDGE} e USING (src) JOIN f ON f.entity_id = dst GROUP BY ALL)
+    SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, article_id) AS INTEGER) AS rank FROM y WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = y.qid AND s.article_id = y.article_id) QUALIFY rank <= 3""")
+def kg_expand(spark: SparkSession, d: str) -> DataFrame:
+    return engine.kg_expanded(_lists(spark, d)["dual"].filter("rank <= 5"), _corpus(spark, d))
+
+
+# ---- the life of the graph
+
+_FEED = "(SELECT DISTINCT record_id, name, type_str, description, confidence, source_id, document_id FROM entity_feed)"
+
+
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity_feed").select(F.col("record_id").alias("ord"), "name", "type_str", "description", "confidence", "source_id", "document_id").distinct()
+
+
+@registered(f"""SELECT {S.slug('name')} AS entity_id, arg_min(name, record_id) AS name, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count,
+    array_to_string(list_sort(list_distinct(list(source_id))), ',') AS source_ids, array_to_string(list_sort(list_distinct(list(document_id))), ',') AS document_ids FROM {_FEED} WHERE length({S.slug('name')}) > 0 GROUP BY {S.slug('name')}""")
+def kg_entity_merge(spark: SparkSession, d: str) -> DataFrame:
+    m = kg.merged_entities(_feed(spark, d))
+    return m.select("entity_id", "name", "confidence", "occurrence_count", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("document_ids", ",").alias("document_ids"))
+
+
+@registered(f"SELECT {S.slug('name')} AS slug, arg_max(name, (coalesce({S.valid('confidence')}, -1), id)) AS name, max(coalesce({S.valid('confidence')}, -1)) AS confidence, count(*) AS merge_count FROM (SELECT DISTINCT id, name, confidence FROM kg_entities WHERE deleted_at IS NULL) WHERE length({S.slug('name')}) > 0 GROUP BY {S.slug('name')}")
+def slug_merge(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "kg_entities").filter("deleted_at is null").select("id", "name", "confidence").distinct()
+    return kg.slug_merged(e).select("slug", "name", "confidence", "merge_count")
+
+
+_REL = "(SELECT DISTINCT relation_id, lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, predicate, relation_type, evidence, confidence, article_ids FROM kg_relations)"
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    return table(spark, d, "kg_relations").select(F.col("relation_id").alias("ord"), key("source_id").alias("src"), key("target_id").alias("dst"), "predicate", "relation_type", "evidence", "confidence", "article_ids").distinct()
+
+
+@registered(f"SELECT src, predicate, dst, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(flatten(list(article_ids)))), ',') AS article_ids FROM {_REL} WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL")
+def kg_relation_merge(spark: SparkSession, d: str) -> DataFrame:
+    m = kg.merged_relations(_relations(spark, d))
+    return m.select("src", "predicate", "dst", "confidence", "occurrence_count", F.array_join("article_ids", ",").alias("article_ids"))
+
+
+_REMAP = f"rm AS (SELECT id AS old_id, first AS canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY {S.canonical('name')}, type_str) AS first FROM {_ENT} WHERE length({S.canonical('name')}) > 0) WHERE id <> first)"
+
+
+def _remap(spark: SparkSession, d: str) -> DataFrame:
+    e = _corpus(spark, d).entities.withColumn("c", text.canonical(F.col("name"))).filter("length(c) > 0")
+    g = e.groupBy("c", "type_str").agg(F.min("entity_id").alias("canonical_id"))
+    return e.join(g, ["c", "type_str"]).filter("entity_id <> canonical_id").select(F.col("entity_id").alias("old_id"), "canonical_id")
+
+
+@registered(f"WITH {_REMAP} SELECT coalesce(a.canonical_id, src) AS src, coalesce(b.canonical_id, dst) AS dst, relation_type, max(confidence) AS confidence, count(*) AS n FROM {_EDGE} e LEFT JOIN rm a ON a.old_id = src LEFT JOIN rm b ON b.old_id = dst WHERE coalesce(a.canonical_id, src) <> coalesce(b.canonical_id, dst) GROUP BY ALL")
+def relation_remap(spark: SparkSession, d: str) -> DataFrame:
+    return kg.remapped(_corpus(spark, d).edges, _remap(spark, d))
+
+
+@registered()
+def entity_dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str"))
+
+
+@registered(f"SELECT DISTINCT predicate, coalesce({S.mapped(dims.relation_type_map())}[{S.predicate('predicate')}], 'RELATED_TO') AS relation_type FROM kg_relations WHERE predicate IS NOT NULL")
+def type_map(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "kg_relations").filter("predicate is not null").select("predicate", kg.relation_type(F.col("predicate")).alias("relation_type")).distinct()
+
+
+@registered()
+def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return kg.resolved(table(spark, d, "entity_feed").select("record_id", "name", "type_str", "document_id").distinct()).select("record_id", "entity_id", "canonical", "is_abbreviation")
+
+
+_RULES = "CASE " + " ".join(f"WHEN p = {S.s(k)} THEN (st IS NULL OR list_contains({S.listed(a)}, st)) AND (dt IS NULL OR list_contains({S.listed(b)}, dt))" for k, (a, b) in dims.PREDICATE_RULES.items()) + " ELSE TRUE END"
+_TYPES = f"(SELECT id, type_str FROM {_ENT})"
+_VALID = f"v AS (SELECT relation_id, {S.predicate('predicate')} AS p, a.type_str AS st, b.type_str AS dt FROM {_REL} r LEFT JOIN {_TYPES} a ON a.id = src LEFT JOIN {_TYPES} b ON b.id = dst WHERE src <> dst)"
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    return kg.validated_relations(_relations(spark, d).withColumnRenamed("ord", "relation_id"), _corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "type_str"))
+
+
+@registered(f"WITH {_VALID} SELECT relation_id, p AS predicate, coalesce(list_contains({S.listed(dims.relation_type_map())}, p), FALSE) AS known_type, {_RULES} AS semantic_ok FROM v")
+def validate_relations(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d).select("relation_id", "predicate", F.coalesce("known_type", F.lit(False)).alias("known_type"), "semantic_ok")
+
+
+@registered(f"SELECT {S.predicate('predicate')} AS predicate, count(*) AS n FROM {_REL} WHERE NOT list_contains({S.listed(dims.relation_type_map())}, {S.predicate('predicate')}) GROUP BY 1")
+def new_relation_types(spark: SparkSession, d: str) -> DataFrame:
+    return kg.new_types(_relations(spark, d))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(e, '\s+'), lambda x: length(x) > 2)"
+
+
+@registered(f"""WITH x AS (SELECT relation_id, lower(trim(evidence)) AS e, lower(a.content) AS s FROM (SELECT relation_id, evidence, article_ids[1] AS article_id FROM {_REL}) r LEFT JOIN {_ART} a ON a.id = r.article_id), y AS (SELECT *, {_WORDS} AS w FROM x)
+    SELECT CASE WHEN e IS NULL OR s IS NULL OR length(e) = 0 THEN 'none' WHEN contains(s, e) THEN 'exact' WHEN len(w) > 0 AND len(list_filter(w, lambda z: contains(s, z))) >= 0.7 * len(w) THEN 'words' ELSE 'none' END AS verdict, count(*) AS n FROM y GROUP BY 1""")
+def evidence_check(spark: SparkSession, d: str) -> DataFrame:
+    r = _relations(spark, d).select("ord", "evidence", F.get("article_ids", F.lit(0)).alias("article_id"))
+    j = r.join(_corpus(spark, d).articles.select("article_id", "content"), "article_id", "left")
+    return j.select(kg.evidence_verdict(F.col("evidence"), F.col("content")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT DISTINCT id, article_id FROM (SELECT id, unnest(source_ids) AS article_id FROM kg_entities) WHERE article_id NOT IN (SELECT id FROM legal_articles WHERE id IS NOT NULL)")
+def link_validate(spark: SparkSession, d: str) -> DataFrame:
+    return kg.broken_links(table(spark, d, "kg_entities"), table(spark, d, "legal_articles"))
+
+
+@registered("SELECT article_id, count(DISTINCT id) AS entities, array_to_string(list_sort(list_distinct(list(type_str))), ',') AS types FROM (SELECT DISTINCT id, type_str, unnest(source_ids) AS article_id FROM kg_entities) GROUP BY article_id")
+def provenance(spark: SparkSession, d: str) -> DataFrame:
+    return kg.provenance(table(spark, d, "kg_entities"))
+
+
+_MONTH = "strftime(created_at, '%Y') <> '2025'"
+
+
+@registered(f"SELECT DISTINCT src, dst, relation_type FROM (SELECT DISTINCT lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, relation_type FROM kg_relations WHERE NOT ({_MONTH})) n WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM (SELECT lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, relation_type FROM kg_relations WHERE {_MONTH}) o WHERE o.src = n.src AND o.dst = n.dst AND o.relation_type = n.relation_type)")
+def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The relations of 2025 added to the graph of the years before."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    r = table(spark, d, "kg_relations").select(key("source_id").alias("src"), key("target_id").alias("dst"), "relation_type", F.year("created_at").alias("y"))
+    e = table(spark, d, "kg_entities").select("id", "source_ids")
+    return kg.updated(e, r.filter("y <> 2025"), e.limit(0), r.filter("y = 2025"))[1].select("src", "dst", "relation_type")
+
+
+@registered("SELECT DISTINCT unnest(source_ids) AS article_id FROM kg_entities WHERE strftime(created_at, '%Y') = '2024' AND id NOT IN (SELECT id FROM kg_entities WHERE strftime(created_at, '%Y') <> '2024')")
+def affected_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that the entities new in 2024 come from."""
+    e = table(spark, d, "kg_entities").withColumn("y", F.year("created_at"))
+    empty = _corpus(spark, d).edges.limit(0)
+    fresh = e.filter("y = 2024").select("id", "source_ids")
+    add = fresh.join(e.filter("y <> 2024").select("id"), "id", "left_anti")
+    return kg.updated(e.limit(0).select("id", "source_ids"), empty, add, empty)[2]
+
+
+# ---- extraction
+
+
+@registered()
+def crossref_detect(spark: SparkSession, d: str) -> DataFrame:
+    return extract.crossrefs(table(spark, d, "legal_articles").select("id", "content").distinct())
+
+
+@registered()
+def crossref_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return extract.resolved_crossrefs(extract.crossrefs(table(spark, d, "legal_articles").select("id", "content").distinct()), table(spark, d, "legal_documents"))
+
+
+@registered()
+def crossref_sync(spark: SparkSession, d: str) -> DataFrame:
+    refs = extract.resolved_crossrefs(extract.crossrefs(table(spark, d, "legal_articles").select("id", "content").distinct()), table(spark, d, "legal_documents"))
+    return kg.synced_crossrefs(refs, _corpus(spark, d).edges)
+
+
+@registered()
+def abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    return extract.abbreviations(table(spark, d, "documents").select("doc_id", "text").distinct(), "text")
+
+
+@registered()
+def abbreviation_full_forms(spark: SparkSession, d: str) -> DataFrame:
+    return extract.full_forms(table(spark, d, "documents").select("doc_id", "text").distinct(), "text")
+
+
+_V = f"length(c) - length(translate(c, '{dims.VIETNAMESE_VOWELS}', ''))"
+
+
+@registered(f"""WITH w AS (SELECT DISTINCT upper(w) AS w FROM (SELECT unnest(regexp_split_to_array(name, '\\s+')) AS w FROM kg_entities WHERE name IS NOT NULL) WHERE regexp_matches(w, '^[\\p{{Lu}}][\\p{{Lu}}0-9\\-]{{1,9}}$')), x AS (SELECT w, replace(w, '-', '') AS c FROM w), y AS (SELECT w, length(c) AS n, {_V} AS v FROM x)
+    SELECT w AS word, CASE WHEN v = 0 AND n >= 2 THEN 100 WHEN contains(w, '-') AND n <= 6 THEN 95 WHEN (n - v) / greatest(n, 1) >= 0.75 AND n <= 5 THEN 85 WHEN (n - v) / greatest(n, 1) >= 0.85 AND n <= 6 THEN 70 ELSE 0 END AS confidence FROM y""")
+def abbrev_classify(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "kg_entities").filter("name is not null").select(F.explode(F.split("name", r"\s+")).alias("w")).filter(F.col("w").rlike(r"^[\p{Lu}][\p{Lu}0-9\-]{1,9}$")).select(F.upper("w").alias("word")).distinct()
+    return w.select("word", extract.abbreviation_class(F.col("word"))["confidence"].alias("confidence"))
+
+
+@registered()
+def terminology(spark: SparkSession, d: str) -> DataFrame:
+    return extract.best_terms(extract.terminology(table(spark, d, "legal_articles").select("id", "content").distinct()))
+
+
+@registered()
+def hierarchy_extract(spark: SparkSession, d: str) -> DataFrame:
+    p = extract.structure(table(spark, d, "documents").filter("doc_kind = 'van_ban'").select("doc_id", "text").distinct(), "doc_id", "text")
+    return extract.structure_counts(p, "doc_id")
+
+
+@registered()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return extract.pages_text(table(spark, d, "legal_articles").select("id", "raw_text").distinct(), "id", "raw_text")
+
+
+@registered("SELECT sha256(question) AS cache_key, count(*) AS n FROM (SELECT DISTINCT item_id, question FROM eval_items) GROUP BY 1")
+def llm_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every question asked again meets its cached answer."""
+    q = _questions(spark, d).select("qid", F.col("text").alias("prompt"))
+    cache = q.select(io.cache_key(F.col("prompt")).alias("cache_key"), F.col("prompt").alias("response")).distinct()
+    have, miss = io.cached_answers(q, cache)
+    return have.groupBy("cache_key").agg(F.count("*").alias("n"))
+
+
+# ---- ontology
+
+
+@registered(f"WITH RECURSIVE c AS (SELECT * FROM {S.values(dims.ONTOLOGY_CLASSES, 'name, parent, label')}), up(node, ancestor, distance) AS (SELECT name, parent, 1 FROM c WHERE parent IS NOT NULL UNION ALL SELECT node, parent, distance + 1 FROM up JOIN c ON c.name = ancestor WHERE parent IS NOT NULL) SELECT node, ancestor, distance FROM up")
+def ontology_closure(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(ontology.default_classes(spark), "name", "parent")
+
+
+@registered()
+def ontology_expand(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("qid"), "text").distinct()
+    return ontology.expanded_terms(q, ontology.default_classes(spark))
+
+
+@registered("SELECT 'Thing' AS name, NULL AS parent, 0 AS instances UNION ALL SELECT array_to_string(list_transform(string_split(lower(type_str), '_'), lambda w: upper(w[1]) || w[2:]), ''), 'Thing', count(DISTINCT id) FROM kg_entities WHERE type_str IS NOT NULL AND deleted_at IS NULL GROUP BY type_str")
+def ontology_generate(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.generated_classes(table(spark, d, "kg_entities").filter("deleted_at is null")).select("name", "parent", "instances")
+
+
+@registered(f"""SELECT relation_type AS name, 'object' AS kind, array_to_string(list_sort(list_distinct(list(a.type_str))), ',') AS domains, array_to_string(list_sort(list_distinct(list(b.type_str))), ',') AS ranges, count(*) AS uses FROM {_EDGE} e JOIN {_TYPES} a ON a.id = src JOIN {_TYPES} b ON b.id = dst GROUP BY relation_type
+    UNION ALL SELECT * FROM (VALUES ('hasName', 'data', 'Thing', 'xsd:string', 0), ('hasDescription', 'data', 'Thing', 'xsd:string', 0), ('hasConfidence', 'data', 'Thing', 'xsd:decimal', 0))""")
+def ontology_properties(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return ontology.generated_properties(c.edges, c.entities.select(F.col("entity_id").alias("id"), "type_str"))
+
+
+def _ontology(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = _corpus(spark, d)
+    e = c.entities.select(F.col("entity_id").alias("id"), "type_str", "name")
+    return ontology.generated_classes(e), ontology.generated_properties(c.edges, e)
+
+
+@registered()
+def ontology_validate(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.findings(*_ontology(spark, d))
+
+
+@registered()
+def ontology_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    k, p = _ontology(spark, d)
+    return ontology.quality(k, p, table(spark, d, "kg_entities").filter("deleted_at is null"))
+
+
+@registered("SELECT 'entity' AS kind, count(*) AS total, count(*) FILTER (WHERE type_str IS NULL) AS unknown, round(1 - count(*) FILTER (WHERE type_str IS NULL) / greatest(count(*), 1), 6) AS rate FROM kg_entities UNION ALL SELECT 'relation', count(*), count(*) FILTER (WHERE relation_type IS NULL OR relation_type NOT IN ('REQUIRES', 'REFERENCES', 'RELATED_TO')), round(1 - count(*) FILTER (WHERE relation_type IS NULL OR relation_type NOT IN ('REQUIRES', 'REFERENCES', 'RELATED_TO')) / greatest(count(*), 1), 6) FROM kg_relations")
+def kg_conformance(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "kg_entities")
+    rel = spark.createDataFrame([("REQUIRES",), ("REFERENCES",), ("RELATED_TO",)], "name string")
+    return kg.conformance(e, table(spark, d, "kg_relations"), e.select(F.col("type_str").alias("name")).filter("name is not null"), rel)
+
+
+# ---- evaluation: an article is relevant when its ppr score is among the question's first three
+
+_QREL = f"{_LISTS}, qrel AS (SELECT qid, article_id AS item FROM l_kg WHERE rank <= 3)"
+_METRICS = f"""{_QREL}, sz AS (SELECT qid, count(*) AS expected FROM qrel GROUP BY qid), h AS (SELECT qid, rank FROM l_tree t JOIN qrel USING (qid) WHERE t.article_id = qrel.item), k AS (SELECT unnest({list(dims.CUTOFFS)}) AS k),
+    g AS (SELECT sz.qid, k, expected, count(rank) FILTER (WHERE rank <= k) AS n, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= k), 0) AS dcg, min(rank) AS first FROM sz CROSS JOIN k LEFT JOIN h ON h.qid = sz.qid GROUP BY ALL),
+    metrics AS (SELECT qid, k, CAST(n > 0 AS INTEGER) AS hit, round(n / expected, 6) AS recall, round(n / k, 6) AS precision, round(dcg / list_sum(list_transform(range(1, least(expected, k) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS rr, expected FROM g)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    return evaluate.metrics(x["tree"].select("qid", F.col("article_id").alias("item"), "rank"), _qrels(x))
+
+
+def _qrels(x: dict[str, DataFrame]) -> DataFrame:
+    return x["kg"].filter("rank <= 3").select("qid", F.col("article_id").alias("item"))
+
+
+@registered(f"WITH {_METRICS} SELECT * FROM metrics")
+def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d)
+
+
+@registered(f"WITH {_METRICS} SELECT k, count(*) AS questions, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr FROM metrics GROUP BY k")
+def ir_averages(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.averages(_metrics(spark, d))
+
+
+@registered(f"""WITH {_METRICS}, a AS (SELECT *, CAST(qid % 4 AS VARCHAR) AS kind, CASE WHEN expected <= 1 THEN '1' WHEN expected <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM metrics WHERE k = 10)
+    SELECT 'kind' AS dimension, kind AS value, count(*) AS questions, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr FROM a GROUP BY kind UNION ALL SELECT 'bucket', bucket, count(*), round(avg(hit), 6), round(avg(recall), 6), round(avg(rr), 6) FROM a GROUP BY bucket UNION ALL SELECT 'all', 'all', count(*), round(avg(hit), 6), round(avg(recall), 6), round(avg(rr), 6) FROM a""")
+def ir_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    m = cut(_metrics(spark, d))
+    attr = m.filter("k = 10").select("qid", (F.col("qid") % 4).cast("string").alias("kind"), evaluate.expected_bucket(F.col("expected")).alias("bucket"))
+    return evaluate.breakdown(m, attr, ("kind", "bucket"))
+
+
+@registered(f"WITH {_QREL}, t AS (SELECT DISTINCT l.qid FROM l_tree l JOIN qrel q ON q.qid = l.qid AND q.item = l.article_id WHERE rank <= 10), g AS (SELECT DISTINCT l.qid FROM l_dual l JOIN qrel q ON q.qid = l.qid AND q.item = l.article_id WHERE rank <= 10), x AS (SELECT qid IN (SELECT qid FROM t) AS t, qid IN (SELECT qid FROM g) AS g FROM (SELECT DISTINCT qid FROM qrel)) SELECT unnest(['both', 'tree_only', 'kg_only', 'neither']) AS pattern, unnest([count(*) FILTER (WHERE t AND g), count(*) FILTER (WHERE t AND NOT g), count(*) FILTER (WHERE NOT t AND g), count(*) FILTER (WHERE NOT t AND NOT g)]) AS questions FROM x")
+def agreement(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    item = lambda n: x[n].filter("rank <= 10").select("qid", F.col("article_id").alias("item"))
+    return evaluate.agreement(item("tree"), item("dual"), _qrels(x))
+
+
+@registered(f"WITH {_METRICS} SELECT qid, count(*) OVER w AS n, round(avg(hit) OVER w, 6) AS rate FROM metrics WHERE k = 10 WINDOW w AS (ORDER BY qid ROWS UNBOUNDED PRECEDING)")
+def running_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.running_hit_rate(_metrics(spark, d))
+
+
+@registered(f"WITH {_QREL}, f AS (SELECT DISTINCT qid, article_id AS item FROM l_tree WHERE rank <= 5), n AS (SELECT r.qid, r, coalesce(f, 0) AS f, coalesce(b, 0) AS b FROM (SELECT qid, count(*) AS r FROM qrel GROUP BY qid) r LEFT JOIN (SELECT qid, count(*) AS f FROM f GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS b FROM f JOIN qrel USING (qid, item) GROUP BY qid) USING (qid)) SELECT qid, round(b / greatest(f, 1), 6) AS set_precision, round(b / r, 6) AS set_recall, round(CASE WHEN b > 0 THEN 2 * (b / greatest(f, 1)) * (b / r) / (b / greatest(f, 1) + b / r) ELSE 0 END, 6) AS f1 FROM n")
+def set_scores(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    return evaluate.set_scores(x["tree"].filter("rank <= 5").select("qid", F.col("article_id").alias("item")), _qrels(x))
+
+
+# ---- the engine
+
+
+@registered()
+def engine_full(spark: SparkSession, d: str) -> DataFrame:
+    return engine.retrieve_articles(_questions(spark, d), _corpus(spark, d))
+
+
+@registered()
+def engine_answers(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return engine.answers(engine.retrieve_articles(_questions(spark, d), c, evaluate.Ablation(ppr=False)), c)
+
+
+@registered()
+def engine_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Average metrics of some configurations; the articles test items refer to are relevant, by number."""
+    c = _corpus(spark, d)
+    rel = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), text.article_number(F.col("article_ref")).cast("string").alias("item")).distinct()
+    out = None
+    for a in evaluate.ablations():
+        if a.name in ("tree_only", "no_ppr", "no_adjacent"):
+            a = evaluate.Ablation.from_dict(a.as_dict() | {"ppr": False})
+            r = engine.retrieve_articles(_questions(spark, d), c, a)
+            run = r.select("qid", text.article_number(F.col("article_id")).cast("string").alias("item"), "rank")
+            m = evaluate.averages(evaluate.metrics(run, rel)).withColumn("config", F.lit(a.name))
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+@registered("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.windowed_counts(table(spark, d, "events"), "ts", ["event_type"])
+
+
+FLAGSHIP = "rrf_merge"
