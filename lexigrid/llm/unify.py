@@ -166,7 +166,7 @@ def changed_words(suspects: DataFrame) -> DataFrame:
 
 def inconsistent(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """The distinct keys of the rows whose text isn't in the consistent form. Null and empty texts are in order."""
-    s = _suspects(df, keys, text)
+    s = cut(_suspects(df, keys, text))
     return hot_split_join(s, cut(changed_words(s).select("word", "n")), ["word"], "n").select(*keys).distinct()
 
 
