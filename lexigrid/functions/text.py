@@ -71,15 +71,17 @@ def keywords(c: Column, stop: Sequence[str] = dims.KEYWORD_STOP_WORDS) -> Column
 
 
 def ngrams(w: Column, n: int) -> Column:
-    """Runs of n words of an array, joined by blanks."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words of an array, joined by blanks. Neighbours are zipped, so the array is made n times a row, not once a word."""
+    out = w
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(w, k + 1, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda x: x.isNotNull()) if n > 1 else w
 
 
-def distinct_keywords(c: Column) -> Column:
-    """An array's items of more than one letter, the first of those that differ in case only, in order."""
-    kept = F.filter(c, lambda x: F.length(F.trim(x)) > 1)
-    lower = F.transform(kept, lambda x: F.lower(F.trim(x)))
-    return F.filter(F.transform(kept, lambda x, i: F.when(F.array_position(lower, F.lower(F.trim(x))) == i + 1, F.trim(x))), lambda x: x.isNotNull())
+def distinct_keywords(c: Column, lower: Column) -> Column:
+    """An array's items, the first of those that differ in case only, in order; lower is the array in lower case. Pass columns that are there, not
+    expressions, which would be worked out again for every item."""
+    return F.transform(F.array_distinct(lower), lambda w: F.element_at(c, F.array_position(lower, w).cast("int")))
 
 
 def citation(article: Column, clause: Column, point: Column) -> Column:

@@ -58,6 +58,7 @@ def transition(edges: DataFrame, intents: DataFrame, gamma: float = 0.5, floor:
     spark = edges.sparkSession
     rows = [(i, t, float(w)) for i, m in dims.INTENT_RELATION_WEIGHTS.items() for t, w in m.items()]
     table = F.broadcast(spark.createDataFrame(rows, "intent string, relation_type string, table_weight double"))
+    edges = edges.withColumn("relation_type", F.coalesce("relation_type", F.lit("")))
     types = edges.select("relation_type").distinct()
     known = F.coalesce("table_weight", F.lit(dims.UNKNOWN_RELATION))
     # Intents are a handful, relation types a few dozen: this is a table of the schema, not of the data.

@@ -71,7 +71,8 @@ def chapter_ranges(articles: DataFrame) -> DataFrame:
 def article_summaries(articles: DataFrame, top: int = 15, limit: int = 200) -> DataFrame:
     """(article_id, keywords, description): summaries without a model: an article's first distinct keywords of title and text, and its beginning."""
     a = articles.filter("id is not null").groupBy("id").agg(F.min("title").alias("title"), F.min("content").alias("content"))
-    words = F.slice(text.distinct_keywords(text.keywords(F.concat_ws(" ", "title", "content"))), 1, top)
+    a = a.withColumn("_k", text.keywords(F.concat_ws(" ", "title", "content"))).withColumn("_l", F.transform("_k", F.lower))
+    words = F.slice(text.distinct_keywords(F.col("_k"), F.col("_l")), 1, top)
     return a.select(F.col("id").alias("article_id"), F.array_join(words, ", ").alias("keywords"), text.last_sentence_cut(F.trim(F.coalesce("content", F.lit(""))), limit).alias("description"))
 
 

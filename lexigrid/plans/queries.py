@@ -61,7 +61,7 @@ def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
 _ART = "(SELECT id, min(document_id) AS document_id, min(chapter_id) AS chapter_id, min(section_id) AS section_id, min(article_number) AS article_number, min(title) AS title, min(content) AS content FROM legal_articles WHERE id IS NOT NULL GROUP BY id)"
 _ENT = "(SELECT id, min(name) AS name, min(type_str) AS type_str FROM kg_entities WHERE deleted_at IS NULL AND id IS NOT NULL GROUP BY id)"
 _MEN = f"(SELECT DISTINCT id AS entity_id, source_ids[o] AS article_id, {S.article_number('source_ids[o]')} AS article_number, CAST(o - 1 AS INTEGER) AS ord FROM kg_entities, LATERAL (SELECT unnest(range(1, len(source_ids) + 1)) AS o) WHERE deleted_at IS NULL AND id IS NOT NULL)"
-_EDGE = f"""(SELECT DISTINCT lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, relation_type, CASE WHEN NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 THEN confidence ELSE 0.5 END AS confidence
+_EDGE = f"""(SELECT DISTINCT lower(trim(source_id)) AS src, lower(trim(target_id)) AS dst, relation_type, CASE WHEN CAST(confidence AS VARCHAR) <> 'nan' AND confidence BETWEEN 0 AND 1 THEN confidence ELSE 0.5 END AS confidence
     FROM kg_relations WHERE lower(trim(source_id)) IN (SELECT id FROM {_ENT}) AND lower(trim(target_id)) IN (SELECT id FROM {_ENT}))"""
 
 
@@ -268,7 +268,7 @@ def keyphrase_articles(spark: SparkSession, d: str) -> DataFrame:
 
 _COMP = """comp AS (SELECT qid, article_id, max(CASE WHEN component = 'keyphrase' THEN score END) AS keyphrase, max(CASE WHEN component = 'semantic' THEN score END) AS semantic,
     max(CASE WHEN component = 'ppr' THEN score END) AS ppr, max(CASE WHEN component = 'filtered' THEN score END) AS concept FROM (
-    SELECT qid, article_id, component, arg_max(score, (coalesce(epoch_us(scored_at), -4611686018427387904), score)) AS score FROM component_scores WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL) GROUP BY ALL)"""
+    SELECT qid, article_id, component, arg_max(score, (coalesce(epoch_us(scored_at), -4611686018427387904), score)) AS score FROM component_scores WHERE score IS NOT NULL AND CAST(score AS VARCHAR) <> 'nan' GROUP BY ALL) GROUP BY ALL)"""
 _LOW = f"{_COMP}, lw AS (SELECT qid, article_id, 0.05 * coalesce(keyphrase, 0) + 0.2 * coalesce(semantic, 0) + 0.25 * coalesce(ppr, 0) + 0.2 * coalesce(concept, 0) AS s FROM comp), low AS (SELECT qid, article_id, CASE WHEN t > 0 THEN s / t ELSE s END AS low FROM lw JOIN (SELECT qid, max(s) AS t FROM lw GROUP BY qid) USING (qid))"
 
 
@@ -350,7 +350,7 @@ def confidence_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""WITH {_LISTS}, seeds AS (SELECT DISTINCT qid, article_id FROM l_tree WHERE rank <= 5), near AS (SELECT qid, a.document_id, a.article_number + k AS n, min(abs(k)) AS distance FROM seeds JOIN {_ART} a ON a.id = seeds.article_id, (SELECT unnest([-2, -1, 1, 2]) AS k) WHERE a.article_number + k > 0 GROUP BY ALL)
-    SELECT near.qid, b.id AS article_id, CAST(distance AS INTEGER) AS distance, round(greatest(0.2, 0.4 - 0.05 * distance), 6) AS score FROM near JOIN {_ART} b ON b.document_id = near.document_id AND b.article_number = near.n WHERE length(trim(b.content)) > 0 AND NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.qid = near.qid AND seeds.article_id = b.id)""")
+    SELECT near.qid, b.id AS article_id, CAST(distance AS INTEGER) AS distance, CAST(round(greatest(0.2, 0.4 - 0.05 * distance), 6) AS DOUBLE) AS score FROM near JOIN {_ART} b ON b.document_id = near.document_id AND b.article_number = near.n WHERE length(trim(b.content)) > 0 AND NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.qid = near.qid AND seeds.article_id = b.id)""")
 def adjacent_expand(spark: SparkSession, d: str) -> DataFrame:
     seeds = _lists(spark, d)["tree"].filter("rank <= 5")
     return retrieve.neighbours(seeds, _corpus(spark, d).articles)
@@ -734,7 +734,7 @@ def ontology_generate(spark: SparkSession, d: str) -> DataFrame:
     return ontology.generated_classes(table(spark, d, "kg_entities").filter("deleted_at is null")).select("name", "parent", "instances")
 
 
-@registered(f"""SELECT relation_type AS name, 'object' AS kind, array_to_string(list_sort(list_distinct(list(a.type_str))), ',') AS domains, array_to_string(list_sort(list_distinct(list(b.type_str))), ',') AS ranges, count(*) AS uses FROM {_EDGE} e JOIN {_TYPES} a ON a.id = src JOIN {_TYPES} b ON b.id = dst GROUP BY relation_type
+@registered(f"""SELECT relation_type AS name, 'object' AS kind, array_to_string(list_sort(list_distinct(list(a.type_str))), ',') AS domains, array_to_string(list_sort(list_distinct(list(b.type_str))), ',') AS ranges, count(*) AS uses FROM {_EDGE} e JOIN {_TYPES} a ON a.id = src JOIN {_TYPES} b ON b.id = dst WHERE relation_type IS NOT NULL GROUP BY relation_type
     UNION ALL SELECT * FROM (VALUES ('hasName', 'data', 'Thing', 'xsd:string', 0), ('hasDescription', 'data', 'Thing', 'xsd:string', 0), ('hasConfidence', 'data', 'Thing', 'xsd:decimal', 0))""")
 def ontology_properties(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)

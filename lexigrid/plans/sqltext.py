@@ -83,4 +83,4 @@ def query_type(x: str) -> str:
 
 def valid(x: str) -> str:
     """A confidence or null where it is NaN."""
-    return f"(CASE WHEN NOT isnan({x}) THEN {x} END)"
+    return f"(CASE WHEN CAST({x} AS VARCHAR) <> 'nan' THEN {x} END)"
