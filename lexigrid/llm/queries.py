@@ -55,7 +55,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.combined_ranking(table(spark, d, "component_scores"), COMPONENTS)
+    r = ranking.combined_ranking(table(spark, d, "component_scores"), COMPONENTS)
+    return r.withColumn("combined", F.round("combined", 6))
 
 
 def _names_and_contents(spark: SparkSession, d: str) -> DataFrame:
@@ -125,4 +126,18 @@ QUERIES: dict[str, Query] = {
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
-ORACLE: dict[str, str] = {}
+# Medians are the lower ones, as the operator's.
+_RANKING = f"""s AS (SELECT qid, article_id, component, arg_max(score, (coalesce(epoch_us(scored_at), -4611686018427387904), score)) AS score FROM component_scores
+        WHERE qid IS NOT NULL AND article_id IS NOT NULL AND component IN ('filtered', 'keyphrase', 'ppr', 'semantic') AND score IS NOT NULL AND CAST(score AS VARCHAR) <> 'nan' GROUP BY ALL),
+    m AS (SELECT qid, component, quantile_disc(score, 0.5) AS mid FROM s GROUP BY ALL), a AS (SELECT s.*, mid, abs(score - mid) AS off FROM s JOIN m USING (qid, component)),
+    d AS (SELECT qid, component, quantile_disc(off, 0.5) AS mad, avg(off) AS aad FROM a GROUP BY ALL),
+    z AS (SELECT qid, article_id, CASE WHEN mad > 0 THEN (score - mid) / (mad * {ranking.MAD_TO_SIGMA}) WHEN aad > 0 THEN (score - mid) / (aad * 1.2533) ELSE 0 END AS z FROM a JOIN d USING (qid, component)),
+    v AS (SELECT qid, article_id, 1 / (1 + exp(-greatest(-30, least(30, CAST(z AS DOUBLE))))) AS v FROM z),
+    r AS (SELECT qid, article_id, round(exp((sum(ln(v)) + (4 - count(*)) * ln(0.5)) / 4), 12) AS combined, CAST(count(*) AS INTEGER) AS components FROM v GROUP BY ALL),
+    k AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY combined DESC, components DESC, article_id) AS INTEGER) AS rank FROM r)"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT id, 'content' AS field_name FROM legal_articles WHERE length(content) > 2000 UNION SELECT DISTINCT id, 'raw_text' FROM legal_articles WHERE length(raw_text) > 2000",
+    "p6_found": f"WITH {_RANKING} SELECT qid, article_id FROM k WHERE rank = 1",
+    "p6_ranking": f"WITH {_RANKING} SELECT qid, article_id, round(combined, 6) AS combined, components, rank FROM k",
+}
