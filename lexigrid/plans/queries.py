@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, query, text
-from lexigrid.operators import evaluate, extract, graph, hierarchy, kg, ontology, orphans, retrieve
+from lexigrid.operators import evaluate, extract, graph, hierarchy, kg, ontology, orphans, profiles, retrieve
 from lexigrid.plans import engine, sqltext as S
 from lexigrid.session import cut, table
 from lexigrid.sources import io
@@ -818,6 +818,51 @@ def set_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.set_scores(x["tree"].filter("rank <= 5").select("qid", F.col("article_id").alias("item")), _qrels(x))
 
 
+# ---- without a model
+
+
+@registered(f"SELECT id AS entity_id, name || ' (' || coalesce(type_str, '') || ')' AS description, array_to_string(({S.words('name')})[1:5], ' ') AS search_keywords, lower(name) AS canonical_form FROM {_ENT} WHERE name IS NOT NULL")
+def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.entity_profiles(_corpus(spark, d).entities).drop("confidence")
+
+
+@registered()
+def theme_profiles(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return profiles.theme_profiles(graph.theme_partition(_strict(spark, d)), c.entities)
+
+
+_SEEDS = [(k, v) for k, vs in profiles.SEED_SYNONYMS.items() for v in vs]
+
+
+@registered(f"SELECT informal, formal, max(confidence) AS confidence FROM (SELECT informal, formal, CAST(1.0 AS DOUBLE) AS confidence FROM {S.values(_SEEDS, 'informal, formal')} UNION ALL SELECT lower(name), lower(alias), {S.valid('confidence')} FROM (SELECT name, confidence, unnest(aliases) AS alias FROM kg_entities WHERE type_str = 'LEGAL_TERM') WHERE alias IS NOT NULL AND name IS NOT NULL AND {S.valid('confidence')} >= 0.7) GROUP BY ALL")
+def synonym_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Names of legal terms and their aliases as mined pairs."""
+    e = table(spark, d, "kg_entities").filter("type_str = 'LEGAL_TERM' and name is not null and not isnan(confidence)").select("name", "confidence", F.explode("aliases").alias("alias")).filter("alias is not null")
+    return profiles.synonyms(e.select(F.lower("name").alias("informal"), F.lower("alias").alias("formal"), "confidence"))
+
+
+_KEYWORDS = [("van-dau-tu", "chủ đầu tư", 1.0), ("van-dau-tu", "nhà đầu tư nước ngoài", 1.0), ("hai-quan", "cảng", 0.9), ("hai-quan", "đại lý hải quan", 0.9), ("lao-dong", "người lao động", 0.8)]
+
+
+@registered(f"SELECT item_id AS qid, doc_id, round(max(least(0.8, 0.3 + 0.15 * len(regexp_split_to_array(keyword, '\\s+'))) * weight), 6) AS confidence FROM (SELECT DISTINCT item_id, lower(question) AS q FROM eval_items) i JOIN (SELECT doc_id, keyword, CAST(weight AS DOUBLE) AS weight FROM {S.values(_KEYWORDS, 'doc_id, keyword, weight')}) k ON contains(q, keyword) GROUP BY ALL")
+def doc_detect(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.keyword_documents(_questions(spark, d), spark.createDataFrame(_KEYWORDS, "doc_id string, keyword string, weight double"))
+
+
+@registered()
+def rag_context(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return profiles.contexts(_lists(spark, d)["tree"].join(c.articles.select("article_id", "content"), "article_id"))
+
+
+@registered(f"""WITH RECURSIVE c AS (SELECT * FROM {S.values(dims.ONTOLOGY_CLASSES, 'name, parent, label')}), p AS (SELECT * FROM (VALUES ('hasName', 'Thing'), ('hasOwner', 'Company'), ('issuedBy', 'Document')) AS t(property, domain)), up(node, ancestor) AS (SELECT name, name FROM c UNION ALL SELECT node, parent FROM up JOIN c ON c.name = ancestor WHERE parent IS NOT NULL)
+    SELECT node AS name, property, min(node <> domain) AS inherited FROM up JOIN p ON p.domain = ancestor GROUP BY ALL""")
+def ontology_properties_inherited(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.createDataFrame([("hasName", "Thing"), ("hasOwner", "Company"), ("issuedBy", "Document")], "property string, domain string")
+    return ontology.inherited_properties(ontology.default_classes(spark), p)
+
+
 # ---- the engine
 
 
