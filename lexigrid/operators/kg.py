@@ -128,22 +128,33 @@ LEGAL_REFERENCE = r"dieu\s+\d+|khoan\s+\d+|diem\s+\w+"
 def comparable_pairs(entities: DataFrame, threshold: float = 0.98, short: int = 15) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: pairs of canonical names that are alike by the rules of deduplication, from the threshold on.
 
-    Names of 15 characters or more, no references to the law, equal numbers where both have some; another type takes a fifth off. Equal names are
-    linked through their least id, not by pairs. Names within Jaro-Winkler .98 of one another differ in at most a few letters: blocks are the
-    thirds of a name, one of which stays whole, by place from the front or from the back.
+    Names of 15 characters or more, no references to the law, equal numbers where both have some; pairs of different types fall below any threshold above .8.
+    Equal names are linked through their least id, not by pairs. Jaro-Winkler of .98 leaves one letter in twenty to differ, so all words but
+    one or two, of names of 60 characters and more but three, stay whole: the words without those are the blocks, which no common beginning fills.
     """
     c = entities.select("id", "type_str", text.canonical(F.col("name")).alias("c")).filter("length(c) > 0").distinct()
     g = c.groupBy("c", "type_str").agg(F.min("id").alias("id"))
     same = c.join(g.withColumnRenamed("id", "first"), ["c", "type_str"]).filter("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
     numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("c", F.lit(r"\d+"), F.lit(0)))), " ")
     long = g.filter((F.length("c") >= short) & ~F.col("c").rlike(LEGAL_REFERENCE)).withColumn("nums", numbers).withColumn("len", F.length("c"))
-    third = F.floor(F.col("len") / 3).cast("int")
-    keys = F.array(
-        F.concat(F.lit("f"), F.substring(F.col("c"), F.lit(1), third)),
-        F.concat(F.lit("b"), F.substring(F.col("c"), F.col("len") - third + 1, third)),
-        F.concat(F.lit("m"), F.substring(F.col("c"), third + 1, third)),
+    out_of = lambda n: F.sequence(F.lit(0), n - 1)
+    without = lambda w, drop: F.array_join(F.filter(w, lambda _, k: ~drop(k)), " ")
+    w, n = F.col("w"), F.size("w")
+    one = F.transform(out_of(n), lambda a: without(w, lambda k: k == a))
+    two = F.flatten(F.transform(out_of(n), lambda a: F.transform(F.filter(out_of(n), lambda b: b > a), lambda b: without(w, lambda k: (k == a) | (k == b)))))
+    three = F.flatten(
+        F.flatten(
+            F.transform(
+                out_of(n),
+                lambda a: F.transform(
+                    F.filter(out_of(n), lambda b: b > a), lambda b: F.transform(F.filter(out_of(n), lambda d: d > b), lambda d: without(w, lambda k: (k == a) | (k == b) | (k == d)))
+                ),
+            )
+        )
     )
-    b = long.withColumn("key", F.explode(keys))
+    none = F.array().cast("array<string>")
+    keys = F.concat(one, F.when(n > 2, two).otherwise(none), F.when((F.col("len") >= 60) & (n > 3), three).otherwise(none))
+    b = long.withColumn("w", F.split("c", " ")).select("id", "type_str", "c", "nums", "len", F.explode(F.array_distinct(keys)).alias("key")).withColumn("key", F.xxhash64("type_str", "key"))
     x = b.select("key", F.col("id").alias("id_a"), F.col("c").alias("ca"), F.col("type_str").alias("ta"), F.col("nums").alias("na"), F.col("len").alias("la"))
     y = b.select("key", F.col("id").alias("id_b"), F.col("c").alias("cb"), F.col("type_str").alias("tb"), F.col("nums").alias("nb"), F.col("len").alias("lb"))
     cand = x.join(y, "key").filter("id_a < id_b and ca <> cb and ta = tb and abs(la - lb) <= 0.06 * greatest(la, lb) + 1 and (na = '' or nb = '' or na = nb)")
