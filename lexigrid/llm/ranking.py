@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.operators.skew import hot_split_join
+from lexigrid.operators.skew import hot_split_join, running_total
 
 #: Makes the median absolute deviation of normal values their standard deviation.
 MAD_TO_SIGMA = 1.4826
@@ -17,6 +17,8 @@ ABSENT = 0.5
 ACCURACY = 10_000
 #: Standard deviations that map to the logistic's unit: 1 keeps typical scores in its linear part.
 SOFTNESS = 1.0
+#: Stretches of the combined score that a query's places are counted in.
+STRETCHES = 512
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
@@ -66,6 +68,9 @@ def combined_ranking(scores: DataFrame, weights: Mapping[str, float], top: int |
     one = v.groupBy("qid", "article_id").agg(
         F.round(F.exp((F.sum(w * F.log("value")) + rest) / total), 12).alias("combined"), F.count("*").cast("int").alias("components")
     )
-    order = Window.partitionBy("qid").orderBy(F.desc("combined"), F.desc("components"), "article_id")
-    ranked = one.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= top) if top else ranked
+    if top:
+        order = Window.partitionBy("qid").orderBy(F.desc("combined"), F.desc("components"), "article_id")
+        return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # Places are counts of what goes before, over stretches of the score: no query is sorted in one task.
+    stretch = F.floor((1 - F.col("combined")) * STRETCHES)
+    return running_total(one.withColumn("_one", F.lit(1)), "_one", stretch, [F.desc("combined"), F.desc("components"), F.col("article_id")], ["qid"], out="rank").drop("_one").withColumn("rank", F.col("rank").cast("int"))
