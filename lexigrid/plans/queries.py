@@ -574,9 +574,15 @@ def relation_remap(spark: SparkSession, d: str) -> DataFrame:
     return kg.remapped(_corpus(spark, d).edges, _remap(spark, d))
 
 
-@registered()
+_NUMS = r"array_to_string(list_sort(list_distinct(regexp_extract_all(c, '\d+'))), ' ')"
+
+
+@registered(f"""WITH c AS (SELECT DISTINCT id, type_str, {S.canonical('name')} AS c FROM {_ENT} WHERE length({S.canonical('name')}) > 0), g AS (SELECT c, type_str, min(id) AS id FROM c GROUP BY ALL), l AS (SELECT *, {_NUMS} AS nums FROM g WHERE length(c) >= 15 AND NOT regexp_matches(c, 'dieu\\s+\\d+|khoan\\s+\\d+|diem\\s+\\w+'))
+    SELECT g.id AS id_a, c.id AS id_b, TRUE AS exact FROM c JOIN g ON c.c = g.c AND c.type_str = g.type_str WHERE c.id <> g.id
+    UNION ALL SELECT a.id, b.id, FALSE FROM l a JOIN l b ON a.type_str = b.type_str AND a.id < b.id AND a.c <> b.c AND (a.nums = '' OR b.nums = '' OR a.nums = b.nums) WHERE round(jaro_winkler_similarity(a.c, b.c), 6) >= 0.98""")
 def entity_dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str"))
+    p = kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str"))
+    return p.select("id_a", "id_b", (F.col("similarity") == 1.0).alias("exact"))
 
 
 @registered(f"SELECT DISTINCT predicate, coalesce({S.mapped(dims.relation_type_map())}[{S.predicate('predicate')}], 'RELATED_TO') AS relation_type FROM kg_relations WHERE predicate IS NOT NULL")
