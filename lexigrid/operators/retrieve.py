@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, text
-from lexigrid.session import cut
 
 #: Characters of question text that go to every task at most; larger batches are split by the caller.
 QUERY_BYTES = 64_000_000
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def keyphrase_value(ov: Column, terms: Column, two: Column, three: Column, name_in: Column, query_in: Column) -> Column:
@@ -23,11 +26,68 @@ def keyphrase_value(ov: Column, terms: Column, two: Column, three: Column, name_
     return F.least(F.lit(1.0), F.when(name_in, F.greatest(b, F.lit(0.8)) * 1.5).when(query_in, F.greatest(b, F.lit(0.6)) * 1.2).otherwise(b))
 
 
+class _Batch:
+    """A batch of questions, to be met by one name after the other: terms by an inverted index, runs of words by an automaton, whole questions by search."""
+
+    def __init__(self, rows: Sequence[tuple]):
+        import ahocorasick
+
+        self.ids = [r[0] for r in rows]
+        self.questions = [r[1] for r in rows]
+        self.n_terms = [len(r[2]) for r in rows]
+        self.terms: dict[str, list[int]] = {}
+        runs: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, _, terms, two, three) in enumerate(rows):
+            for t in terms:
+                self.terms.setdefault(t, []).append(k)
+            for n, grams in ((2, two), (3, three)):
+                for g in set(grams):
+                    runs.setdefault(g, []).append((k, n))
+        self.automaton = ahocorasick.Automaton()
+        for g, v in runs.items():
+            self.automaton.add_word(g, v)
+        if runs:
+            self.automaton.make_automaton()
+        self.has_runs = bool(runs)
+        self.joined = "\x00".join(self.questions)
+        self.starts = [0]
+        for q in self.questions:
+            self.starts.append(self.starts[-1] + len(q) + 1)
+        self.by_length = sorted(range(len(rows)), key=lambda k: len(self.questions[k]))
+
+    def facts(self, name: str) -> Iterator[tuple[int, tuple]]:
+        """(question, (shared terms, terms, two, three, name in question, question in name)) for each question the name has to do with."""
+        shared: dict[int, int] = {}
+        for w in {w for w in _BLANKS.split(name) if w}:
+            for k in self.terms.get(w, ()):
+                shared[k] = shared.get(k, 0) + 1
+        two, three, inside, around = set(), set(), set(), set()
+        if self.has_runs:
+            for _, v in self.automaton.iter(name):
+                for k, n in v:
+                    (two if n == 2 else three).add(k)
+        if not name:
+            inside.update(range(len(self.ids)))
+        elif "\x00" not in name:
+            at = self.joined.find(name)
+            while at >= 0:
+                k = bisect_right(self.starts, at) - 1
+                inside.add(k)
+                at = self.joined.find(name, self.starts[k + 1])
+        for k in self.by_length:
+            if len(self.questions[k]) > len(name):
+                break
+            if self.questions[k] in name:
+                around.add(k)
+        for k in shared.keys() | two | three | inside | around:
+            yield k, (shared.get(k, 0), self.n_terms[k], k in two, k in three, k in inside, k in around)
+
+
 def keyphrase_scores(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, entity_id, score) for score above 0: queries (qid, text) against entities (entity_id, name).
 
-    Names are scored once each, however many entities bear them; words and runs of words are made once a name and once a question. The question
-    batch is the stated query set, checked against QUERY_BYTES; it goes to every task, and names are read in place. Questions of stop
+    Names are scored once each, however many entities bear them. The question batch is the stated query set, checked against QUERY_BYTES; it goes
+    to every task as an index, so that a name meets only the questions it has to do with, and names are read in place. Questions of stop
     words only have no rows, as have null names and questions.
     """
     q = queries.select("qid", F.lower("text").alias("q")).filter("q is not null")
@@ -35,14 +95,18 @@ def keyphrase_scores(queries: DataFrame, entities: DataFrame) -> DataFrame:
     if size > QUERY_BYTES:
         raise ValueError(f"the batch of questions has {size} bytes of at most {QUERY_BYTES}; score it in several")
     w = q.select("qid", "q", text.words(F.col("q")).alias("w"))
-    q = cut(w.select("qid", "q", text.terms(F.col("q")).alias("qt"), text.ngrams(F.col("w"), 2).alias("g2"), text.ngrams(F.col("w"), 3).alias("g3")).filter("size(qt) > 0"))
-    names = entities.select(F.lower("name").alias("n")).filter("n is not null").distinct().select("n", text.words(F.col("n")).alias("nw"))
-    inside = lambda g: F.exists(g, lambda x: F.contains(F.col("n"), x))
-    # The question side is the small one, and stays so.
-    facts = cut(names).join(F.broadcast(q), F.lit(True)).select(
-        "qid", "n", F.size(F.array_intersect("qt", "nw")).alias("ov"), F.size("qt").alias("nt"), inside("g2").alias("two"), inside("g3").alias("three"),
-        F.contains(F.col("q"), F.col("n")).alias("name_in"), F.contains(F.col("n"), F.col("q")).alias("query_in"),
-    ).filter("ov > 0 or two or three or name_in or query_in")
+    rows = w.select("qid", "q", text.terms(F.col("q")).alias("qt"), text.ngrams(F.col("w"), 2).alias("g2"), text.ngrams(F.col("w"), 3).alias("g3")).filter("size(qt) > 0").collect()
+    sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    kind = queries.schema["qid"].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = _Batch(sent.value)
+        for f in frames:
+            out = [(batch.ids[k], n, *v) for n in f["n"] for k, v in batch.facts(n)]
+            yield pd.DataFrame(out, columns=["qid", "n", "ov", "nt", "two", "three", "name_in", "query_in"])
+
+    names = entities.select(F.lower("name").alias("n")).filter("n is not null").distinct()
+    facts = names.mapInPandas(work, f"qid {kind}, n string, ov int, nt int, two boolean, three boolean, name_in boolean, query_in boolean")
     scored = facts.select("qid", "n", keyphrase_value(*map(F.col, ("ov", "nt", "two", "three", "name_in", "query_in"))).alias("score"))
     return entities.select("entity_id", F.lower("name").alias("n")).join(scored, "n").select("qid", "entity_id", "score")
 
