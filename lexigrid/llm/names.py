@@ -178,6 +178,24 @@ def forms(entities: DataFrame) -> DataFrame:
     return names.withColumn("f", canon("n", "type_str")).select("id", "type_str", "f.*").filter("form is not null").distinct()
 
 
+def block_keys(spellings: list[str]) -> tuple[list[str], list[str]]:
+    """(probes, targets) of a form by all its spellings (branch, bar, sorted syllables): the codes of the syllables that may be free of slips."""
+    targets, probes = set(), set()
+    for s in spellings:
+        branch, _, rest = s.partition("|")
+        t = rest.split()
+        n = len(t)
+        good = [x for x in t if valid(x) and len(x) > 1]
+        codes = sorted(map(squeezed, t))
+        if 3 <= n <= 8:
+            targets |= {" ".join((branch, str(n), *c)) for size in (n - 1, n - 2) for c in combinations(codes, size)}
+            subsets = set(combinations(codes, n - 1))
+            if n - 2 <= len(good) < n:  # up to two syllables are no syllables: what is left of two slips
+                subsets |= set(combinations(sorted(map(squeezed, good)), n - 2))
+            probes |= {" ".join((branch, str(n), *c)) for c in subsets}
+    return sorted(probes), sorted(targets)
+
+
 def linked_ids(entities: DataFrame) -> DataFrame:
     """(node, component): ids of entities that mean the same organisation or person, directly or through others.
 
@@ -187,26 +205,12 @@ def linked_ids(entities: DataFrame) -> DataFrame:
     f = cut(forms(entities))
     node = lambda c: F.concat_ws("\x01", F.lit("~"), "type_str", c)
     edges = f.select("id", node("form").alias("other")).union(f.select("id", node("joined").alias("other")).filter("length(other) > 14"))
-    distinct = cut(f.groupBy("type_str", "form").agg(F.min("tokens").alias("tokens")))
+    # Spellings of one form ("raap", "rap") are all kept: a slip of one of them is a slip of the form.
+    distinct = cut(f.groupBy("type_str", "form").agg(F.array_sort(F.collect_set("tokens")).alias("tokens")))
 
     @F.pandas_udf("struct<probes:array<string>,targets:array<string>>")
     def blocks(tokens: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, k in zip(tokens, kind):
-            branch, _, rest = s.partition("|")
-            t = rest.split()
-            n = len(t)
-            good = [x for x in t if valid(x) and len(x) > 1]
-            codes = sorted(map(squeezed, t))
-            targets, probes = [], []
-            if 3 <= n <= 8:
-                targets = sorted({" ".join((branch, str(n), *c)) for size in (n - 1, n - 2) for c in combinations(codes, size)})
-                subsets = set(combinations(codes, n - 1))
-                if n - 2 <= len(good) < n:  # up to two syllables are no syllables: what is left of two slips
-                    subsets |= set(combinations(sorted(map(squeezed, good)), n - 2))
-                probes = sorted(" ".join((branch, str(n), *c)) for c in subsets)
-            out.append((probes, targets))
-        return pd.DataFrame(out, columns=["probes", "targets"])
+        return pd.DataFrame([block_keys(list(s)) for s in tokens], columns=["probes", "targets"])
 
     b = cut(distinct.withColumn("b", blocks("tokens", "type_str")).select("type_str", "form", "tokens", "b.*"))
     probes = b.select("type_str", "form", "tokens", F.explode("probes").alias("key"))
@@ -218,11 +222,11 @@ def linked_ids(entities: DataFrame) -> DataFrame:
     def judged(a: pd.Series, c: pd.Series, kind: pd.Series) -> pd.Series:
         out = []
         for x, y, k in zip(a, c, kind):
-            s, t = x.partition("|")[2].split(), y.partition("|")[2].split()
-            if same_name(s, t):
+            ways = [(s.partition("|")[2].split(), t.partition("|")[2].split()) for s in x for t in y]
+            if any(same_name(s, t) for s, t in ways):
                 out.append("same")
             else:
-                out.append("initial" if k == "PERSON_ROLE" and _initial(s, t) else None)
+                out.append("initial" if k == "PERSON_ROLE" and any(_initial(s, t) for s, t in ways) else None)
         return pd.Series(out, dtype=object)
 
     j = cut(pairs.withColumn("how", judged("tokens", "tokens2", "type_str")).filter("how is not null"))

@@ -166,6 +166,17 @@ def test_same_entities(spark):
 # ---- 6
 
 
+def test_every_spelling_of_a_form_counts(spark):
+    o, p = "ORGANIZATION", "PERSON_ROLE"
+    rows = [
+        ("a", "Nguyễn Văn An", p, None), ("b", "Nguiễn Văn An", p, None), ("c", "Nguyn Văn An", p, None),
+        ("d", "Công ty Rap Tỉm Bủm Khúc", o, None), ("e", "Công ty Rááp Tỉm Bủm Khúc", o, None), ("f", "Công ty Rap Tím Bủp Khúc", o, None), ("g", "Công ty Rp Tỉm Bủm Khúc", o, None),
+    ]
+    d = spark.createDataFrame(rows, "id string, name string, type_str string, aliases array<string>")
+    c = {r.id: r.class_id for r in names.classes(d).collect()}
+    assert c["a"] == c["b"] == c["c"] and c["d"] == c["e"] == c["f"] == c["g"]
+
+
 def test_ranking(spark):
     rows = [(1, a, c, s, None) for c, scale in (("x", 1.0), ("y", 1e6)) for a, s in (("good", 9 * scale), ("mid", 5 * scale), ("low", 1 * scale), ("lower", 0.5 * scale))]
     rows += [(1, "spike", "y", 1e12, None), (1, "spike", "x", 0.1, None), (1, "good", "x", float("nan"), "2030-01-01"), (1, "good", "x", None, "2031-01-01"), (1, "mid", "x", 5.0, None), (None, "z", "x", 1.0, None), (2, "only", "x", 1.0, None)]
