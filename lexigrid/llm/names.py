@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -46,14 +47,18 @@ FAMILY_NAMES = (
     "nguyen", "tran", "le", "pham", "hoang", "huynh", "phan", "vu", "vo", "dang", "bui", "do", "ho", "ngo", "duong", "ly", "dinh", "trinh", "mai", "cao", "ta",
     "truong", "luong", "dao", "doan", "lam", "ha", "luu", "tang", "chu", "vuong",
 )
-#: Syllables a whole name has at least; before so many a form of address is one.
+#: Syllables a whole name has at least; before so many a form of address is one. Before fewer it is one where it is written with its
+#: accent or a family name follows.
 WHOLE_NAME = 4
+#: Letters a name has at least to be sought by its letters, without regard to blanks.
+LETTERS = 8
 # Words that stand among aliases and name nobody, without accents.
 GENERAL_WORDS = frozenset({"n a", "na", "ben a", "ben b", "ben", "a", "b", "nguoi dai dien", "null", "none", "khong ro", "khac", "cong ty", "giam doc", "doanh nghiep", "to chuc", "ca nhan", "dn", "ong", "ba"})
 
 _WORDS = re.compile(r"[^\W_]+")
 _BRANCH = re.compile(r"\b(?:(?:chi nhanh|branch|phong giao dich|van phong dai dien)(?:\s*(?:so|no))?\s*(\d+)?|(?:cn|pgd|vpdd)\s*(?:so|no)?\s*(\d+))")
 _PARTS = re.compile(r"\s[-–—]\s|[()\[\];|]")
+_ADDRESSED = {"ong": re.compile(r"(?<!\w)ông(?!\w)"), "ba": re.compile(r"(?<!\w)bà(?!\w)")}
 
 
 def _phrases(words: tuple[str, ...]) -> re.Pattern:
@@ -99,6 +104,10 @@ def proper(name: str, kind: str) -> tuple[str, list[str]] | None:
     else:
         while len(t) > WHOLE_NAME and t[0] in ADDRESSES:
             t = t[1:]
+        if 3 <= len(t) <= WHOLE_NAME and t[0] in ADDRESSES:
+            spoken = _ADDRESSED.get(t[0])
+            if t[1] in FAMILY_NAMES or (spoken and spoken.search(unicodedata.normalize("NFC", name).lower())):
+                t = t[1:]
     return (branch, t) if t and sum(map(len, t)) > 3 else None
 
 
@@ -138,15 +147,19 @@ def slip(a: str, b: str, only: bool) -> bool:
 
 
 def same_name(a: list[str], b: list[str]) -> bool:
-    """If two lists of syllables, of any order, differ by slips only."""
+    """If two lists of syllables, of any order, differ by slips only.
+
+    Of two syllables one is half the name: there another existing syllable is another name.
+    """
     x, y = Counter(a), Counter(b)
     left, right = list((x - y).elements()), list((y - x).elements())
     if len(left) != len(right) or len(left) == len(a):
         return False
+    only = len(left) == 1 and len(a) > 2
     same = sorted((x & y).elements())
     one, other = list(same), list(same)
     for s in left:
-        t = max((t for t in right if slip(s, t, len(left) == 1)), key=lambda t: jaro_winkler(s, t), default=None)
+        t = max((t for t in right if slip(s, t, only)), key=lambda t: jaro_winkler(s, t), default=None)
         if t is None:
             return False
         right.remove(t)
@@ -155,10 +168,28 @@ def same_name(a: list[str], b: list[str]) -> bool:
     return jaro_winkler("".join(one), "".join(other)) >= ALIKE
 
 
+def turned(letters: str) -> str:
+    """The least rotation of the letters: the same for syllables that are run together in another order, from whichever the name begins."""
+    return min(letters[i:] + letters[:i] for i in range(len(letters))) if letters else ""
+
+
+def shortened(letters: str) -> list[str]:
+    """letters and what is left without one of them: two texts one edit apart share one of these."""
+    return sorted({letters} | {letters[:i] + letters[i + 1 :] for i in range(len(letters))})
+
+
+def run_together(a: list[str], b: list[str]) -> bool:
+    """If two names, one of them with syllables run together or parted, have the same letters but for one edit, from whichever they begin."""
+    if len(a) == len(b) > 1 or (all(map(valid, a)) and all(map(valid, b))):
+        return False
+    s, t = "".join(a), "".join(b)
+    return min(len(s), len(t)) >= LETTERS and not {turned(x) for x in shortened(s)}.isdisjoint({turned(x) for x in shortened(t)})
+
+
 def forms(entities: DataFrame) -> DataFrame:
-    """(id, type_str, form): each name and alias of organisations and persons in canonical form: branch, bar, sorted syllables' codes; once.
+    """(id, type_str, form, joined, tokens): each name and alias of organisations and persons in canonical form: branch, bar, sorted syllables' codes; once.
 
-    order keeps the syllables as written for names that are run together.
+    tokens keeps the syllables as written, in their order, for names that are run together.
     """
 
     @F.pandas_udf("struct<form:string,joined:string,tokens:string>")
@@ -170,7 +201,7 @@ def forms(entities: DataFrame) -> DataFrame:
                 out.append((None, None, None))
             else:
                 branch, t = p
-                out.append((branch + "|" + " ".join(sorted(map(squeezed, t))), branch + "|" + "".join(t), branch + "|" + " ".join(sorted(t))))
+                out.append((branch + "|" + " ".join(sorted(map(squeezed, t))), branch + "|" + "".join(t), branch + "|" + " ".join(t)))
         return pd.DataFrame(out, columns=["form", "joined", "tokens"])
 
     names = entities.filter(F.col("type_str").isin("ORGANIZATION", "PERSON_ROLE") & F.col("id").isNotNull())
@@ -179,7 +210,11 @@ def forms(entities: DataFrame) -> DataFrame:
 
 
 def block_keys(spellings: list[str]) -> tuple[list[str], list[str]]:
-    """(probes, targets) of a form by all its spellings (branch, bar, sorted syllables): the codes of the syllables that may be free of slips."""
+    """(probes, targets) of a form by all its spellings (branch, bar, syllables).
+
+    Of three syllables and more the codes of those that may be free of slips; of two the one and what is left of the other without a letter;
+    of a name that is run together, or that others may run together, the letters without one, from the least rotation on.
+    """
     targets, probes = set(), set()
     for s in spellings:
         branch, _, rest = s.partition("|")
@@ -187,12 +222,22 @@ def block_keys(spellings: list[str]) -> tuple[list[str], list[str]]:
         n = len(t)
         good = [x for x in t if valid(x) and len(x) > 1]
         codes = sorted(map(squeezed, t))
-        if 3 <= n <= 8:
+        if n == 2:
+            half = {" ".join((branch, "2", squeezed(x), "~", v)) for x, y in (t, t[::-1]) for v in shortened(y)}
+            targets |= half
+            probes |= half
+        elif n > 2:
             targets |= {" ".join((branch, str(n), *c)) for size in (n - 1, n - 2) for c in combinations(codes, size)}
             subsets = set(combinations(codes, n - 1))
             if n - 2 <= len(good) < n:  # up to two syllables are no syllables: what is left of two slips
                 subsets |= set(combinations(sorted(map(squeezed, good)), n - 2))
             probes |= {" ".join((branch, str(n), *c)) for c in subsets}
+        letters = "".join(t)
+        if len(letters) >= LETTERS:
+            keys = {" ".join((branch, "=", turned(v))) for v in shortened(letters)}
+            targets |= keys
+            if len(good) < n:  # one of two must hold what is no syllable
+                probes |= keys
     return sorted(probes), sorted(targets)
 
 
@@ -223,7 +268,7 @@ def linked_ids(entities: DataFrame) -> DataFrame:
         out = []
         for x, y, k in zip(a, c, kind):
             ways = [(s.partition("|")[2].split(), t.partition("|")[2].split()) for s in x for t in y]
-            if any(same_name(s, t) for s, t in ways):
+            if any(same_name(s, t) or run_together(s, t) for s, t in ways):
                 out.append("same")
             else:
                 out.append("initial" if k == "PERSON_ROLE" and any(_initial(s, t) for s, t in ways) else None)

@@ -177,6 +177,20 @@ def test_every_spelling_of_a_form_counts(spark):
     assert c["a"] == c["b"] == c["c"] and c["d"] == c["e"] == c["f"] == c["g"]
 
 
+def test_short_long_and_run_together_names(spark):
+    o, p = "ORGANIZATION", "PERSON_ROLE"
+    nine = "Rap Tỉm Bủm Khúc Phộp Bẩn Nút Thốp Vưới"
+    rows = [
+        ("a", "Nuất Tìm Quét Xót", p, None), ("b", "Nuattim Quetxt", p, None), ("c", "Quetxot Nuattm", p, None),
+        ("d", "Công ty Hòa Phát", o, None), ("e", "Công ty Hòa Phhtát", o, None), ("f", "Công ty Hòa Phtát", o, None), ("g", "Công ty Hòa Pháp", o, None),
+        ("h", nine, p, None), ("i", nine.replace("Khúc", "Khcú"), p, None),
+        ("j", "Ông Trần Văn An", p, None), ("k", "Trần Văn An", p, None), ("l", "Chu Văn An", p, None), ("m", "Văn An", p, None), ("n", "Ông Vưới An", p, None), ("o", "Vưới An", p, None),
+    ]
+    d = spark.createDataFrame(rows, "id string, name string, type_str string, aliases array<string>")
+    got = {(r.id_a, r.id_b) for r in names.same_entities(d).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "f"), ("d", "e"), ("e", "f"), ("h", "i"), ("j", "k"), ("n", "o")}
+
+
 def test_ranking(spark):
     rows = [(1, a, c, s, None) for c, scale in (("x", 1.0), ("y", 1e6)) for a, s in (("good", 9 * scale), ("mid", 5 * scale), ("low", 1 * scale), ("lower", 0.5 * scale))]
     rows += [(1, "spike", "y", 1e12, None), (1, "spike", "x", 0.1, None), (1, "good", "x", float("nan"), "2030-01-01"), (1, "good", "x", None, "2031-01-01"), (1, "mid", "x", 5.0, None), (None, "z", "x", 1.0, None), (2, "only", "x", 1.0, None)]
