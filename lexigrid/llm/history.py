@@ -19,6 +19,8 @@ from lexigrid.session import cut
 
 #: Bits of a fingerprint that may differ between records that say the same.
 DISTANCE = 15
+#: Rows of one key that a task compares with all rows of the key.
+PART_ROWS = 2000
 #: Blocks a fingerprint is rotated through: one more than DISTANCE, so at least one block of two near fingerprints is equal.
 BLOCKS = 16
 #: Words that may be left unexplained between two descriptions that say the same, as a share of the longer.
@@ -252,18 +254,40 @@ def links(classes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     In every round the earliest unsettled class of each key of the block tables is compared with all classes of the key; those that say the
     same are settled. So a key under which a third of all rows say the same takes one comparison a row, not one a pair; classes that stay
-    apart are all compared. Rounds go on until everything is settled.
+    apart are all compared. Rounds go on until everything is settled. To say the same doesn't carry over from pair to pair, so what the rounds
+    have left apart is then compared pair by pair: only classes that are joined already are not.
     """
     open_, n = _shared(blocks.withColumn("settled", F.lit(False)))
-    found = None
+    found = tried = None
     while n:
         leaders = cut(open_.groupBy("key").agg(F.min(F.when(~F.col("settled"), F.col("id"))).alias("other"), F.count("*").alias("n")))
         met = cut(hot_split_join(open_, leaders, ["key"], "n", total=n))
-        good = cut(verified_pairs(met.filter("id <> other").select("id", "other").distinct(), classes))
+        pairs = met.filter("id <> other").select("id", "other").distinct()
+        good = cut(verified_pairs(pairs, classes))
         found = good if found is None else found.union(good)
+        tried = pairs if tried is None else tried.union(pairs)
         back = met.join(good.withColumn("_ok", F.lit(True)), ["id", "other"], "left")
         open_, n = _shared(back.select("key", "id", (F.col("settled") | F.col("_ok").isNotNull() | (F.col("id") == F.col("other"))).alias("settled")))
-    return found if found is not None else classes.sparkSession.createDataFrame([], "id long, other long")
+    if found is None:
+        return classes.sparkSession.createDataFrame([], "id long, other long")
+    return found.union(_apart(classes, blocks, cut(found), tried))
+
+
+def _apart(classes: DataFrame, blocks: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """(id, other): links between classes of a key that found doesn't join, without the pairs tried.
+
+    Rows of large keys are compared in parts of about PART_ROWS, so that no key is one task.
+    """
+    group = connected_components(found, "id", "other").withColumnRenamed("node", "id")
+    rows = blocks.join(classes.select("id", "print"), "id").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    several = cut(several.select("key", "n", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
+    rows = cut(hot_split_join(rows, several, ["key"], "n"))
+    x = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    y = rows.select("key", F.col("id").alias("other"), F.col("print").alias("print2"), F.col("component").alias("component2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = x.join(y, ["key", "part"]).filter("id > other and component <> component2").filter(F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE)
+    known = tried.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
+    return cut(verified_pairs(pairs.select("id", "other").distinct().join(known, ["id", "other"], "left_anti"), classes))
 
 
 def _shared(rows: DataFrame) -> tuple[DataFrame, int]:
