@@ -703,7 +703,7 @@ def terminology(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def hierarchy_extract(spark: SparkSession, d: str) -> DataFrame:
-    p = extract.structure(table(spark, d, "documents").filter("doc_kind = 'van_ban'").select("doc_id", "text").distinct(), "doc_id", "text")
+    p = extract.structure(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
     return extract.structure_counts(p, "doc_id")
 
 

@@ -106,3 +106,12 @@ def test_hierarchy_and_ontology(spark):
     x = {(r.name, r.relation) for r in ontology.expanded_terms(q, c).collect()}
     assert ("JointStockCompany", "named") in x and ("Company", "parent") in x
     assert ontology.turtle(c).count() == 3 + c.count()
+
+
+def test_structure_of_documents_of_any_kind(spark, tmp_path):
+    from lexigrid.plans import queries
+
+    law = "Chương I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\nNội dung."
+    rows = [("a", "van_ban", law), ("b", None, law), ("c", "an_le", law), ("d", None, "Không có cấu trúc."), ("e", "van_ban", None)]
+    spark.createDataFrame(rows, "doc_id string, doc_kind string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in queries.QUERIES["hierarchy_extract"](spark, str(tmp_path)).collect()} == {"a", "b", "c"}
