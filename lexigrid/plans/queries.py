@@ -514,7 +514,7 @@ def components_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def theme_partition(spark: SparkSession, d: str) -> DataFrame:
-    return graph.theme_partition(_strict(spark, d))
+    return graph.theme_partition(_corpus(spark, d).edges)
 
 
 @registered(f"""WITH {_LISTS}, s AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5), m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_id, (ord, article_id)) AS article_id FROM m GROUP BY entity_id),
@@ -835,7 +835,7 @@ def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
 @registered()
 def theme_profiles(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
-    return profiles.theme_profiles(graph.theme_partition(_strict(spark, d)), c.entities)
+    return profiles.theme_profiles(graph.theme_partition(c.edges), c.entities)
 
 
 _SEEDS = [(k, v) for k, vs in profiles.SEED_SYNONYMS.items() for v in vs]

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,12 @@ def test_running_total_and_skew(spark, monkeypatch):
         j = skew.hot_split_join(left, right, ["k"], "n", how)
         assert j.count() == n and j.filter("x <> k * 2").count() == 0
     assert math.isclose(1, 1)
+
+
+def test_themes_are_of_the_whole_graph(spark, sf):
+    from lexigrid.plans import queries
+
+    sizes = Counter(r.component for r in queries.QUERIES["components"](spark, sf).collect())
+    want = {(k, n, min(n, 50)) for k, n in sizes.items() if n >= 3}
+    got = Counter((r.theme, r["size"]) for r in queries.QUERIES["theme_partition"](spark, sf).collect())
+    assert want and {(*k, n) for k, n in got.items()} == want
