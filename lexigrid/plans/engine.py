@@ -50,7 +50,7 @@ def intents_of(analyzed: DataFrame) -> DataFrame:
     return spark.createDataFrame([(k, v, 1.0) for k, v in to.items()], "intent_set string, intent string, weight double")
 
 
-def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 10) -> DataFrame:
+def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 50) -> DataFrame:
     """(qid, article_id, score, rank): keyphrase and PageRank combined per article."""
     text_col = "expanded" if switches.query_expansion else "text"
     k = cut(retrieve.keyphrase_scores(analyzed.select("qid", F.col(text_col).alias("text")), c.entities))
@@ -84,7 +84,7 @@ def kg_expanded(seeds: DataFrame, c: Corpus, most: int = 3) -> DataFrame:
     return retrieve.ranked(found.join(s, ["qid", "article_id"], "left_anti"), k=most).select("qid", "article_id", "rank")
 
 
-def retrieve_articles(queries: DataFrame, c: Corpus, switches: Ablation = Ablation(), top: int = 50, iterations: int = 10) -> DataFrame:
+def retrieve_articles(queries: DataFrame, c: Corpus, switches: Ablation = Ablation(), top: int = 50, iterations: int = 50) -> DataFrame:
     """(qid, article_id, score, source, rank): the ranked articles of each question (qid, text)."""
     a = cut(query.analyzed(queries))
     lists: dict[str, DataFrame] = {}

@@ -481,6 +481,18 @@ def ppr_articles(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 6))
 
 
+@registered()
+def ppr_scores_settled(spark: SparkSession, d: str) -> DataFrame:
+    """ppr_scores until nothing changes; SQL can only unroll its first steps."""
+    return _ppr(spark, d, iterations=50, tolerance=1e-6)[0].select("qid", "node", F.round("score", 6).alias("score"))
+
+
+@registered()
+def ppr_articles_settled(spark: SparkSession, d: str) -> DataFrame:
+    p, c = _ppr(spark, d, iterations=50, tolerance=1e-6)
+    return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 6))
+
+
 @registered(f"""WITH e AS (SELECT * FROM {_EDGE} WHERE src <> dst), b AS (SELECT src AS node, dst AS neighbour, 0 AS o, 'out' AS direction, relation_type, confidence FROM e UNION ALL SELECT dst, src, 1, 'in', relation_type, confidence FROM e)
     SELECT node, neighbour, direction, relation_type, confidence FROM b QUALIFY row_number() OVER (PARTITION BY node, neighbour ORDER BY o, confidence DESC, relation_type) = 1""")
 def kg_neighbors(spark: SparkSession, d: str) -> DataFrame:

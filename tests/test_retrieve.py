@@ -97,3 +97,21 @@ def test_themes_are_of_the_whole_graph(spark, sf):
     want = {(k, n, min(n, 50)) for k, n in sizes.items() if n >= 3}
     got = Counter((r.theme, r["size"]) for r in queries.QUERIES["theme_partition"](spark, sf).collect())
     assert want and {(*k, n) for k, n in got.items()} == want
+
+
+def test_registered_pagerank_settles(spark, tmp_path):
+    from lexigrid.plans import queries
+
+    n = 12  # a ring: after four steps eight nodes have no score yet
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write([("d", "D")], "id string, title string", "legal_documents")
+    write([("d:d1", "d", None, 1, "x")], "id string, document_id string, chapter_id string, article_number int, content string", "legal_articles")
+    write([(f"e{i}", f"E{i}", "ORGANIZATION", ["d:d1"] if i == 0 else [], None) for i in range(n)], "id string, name string, type_str string, source_ids array<string>, deleted_at timestamp", "kg_entities")
+    write([(f"e{i}", f"e{(i + 1) % n}", "REFERENCES", 1.0) for i in range(n)], "source_id string, target_id string, relation_type string, confidence double", "kg_relations")
+    write([(1, "k", "Điều 1")], "item_id long, category string, article_ref string", "eval_items")
+    s = [1.0] + [0.0] * (n - 1)
+    p = s
+    for _ in range(50):
+        p = [0.15 * s[i] + 0.85 * p[i - 1] for i in range(n)]
+    got = {r.node: r.score for r in queries.QUERIES["ppr_scores_settled"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({f"e{i}": p[i] for i in range(n)}, abs=2e-6)
