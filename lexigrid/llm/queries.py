@@ -25,12 +25,12 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.merged_with(table(spark, d, "entity_feed")).select("first_record_id", "record_id")
+    return history.against_history(table(spark, d, "entity_feed")).select("first_record_id", "record_id")
 
 
 def p2_batches(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "entity_feed")
-    return history.batch_counts(feed, history.merged_with(feed))
+    return history.batch_counts(feed, history.against_history(feed))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

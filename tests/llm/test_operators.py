@@ -79,33 +79,106 @@ def test_store_takes_batches_one_by_one(spark, tmp_path):
     assert found == {(r.record_id, r.first_record_id) for r in history.merged_with(d).collect()} == {(3, 1), (4, 1), (5, 2)}
 
 
-def test_chains_stay_whole(spark):
-    """Each text of a chain has one word replaced; in shuffled order none leads all others. All pairs compared give the same components."""
-    r = random.Random(28)
+def first_by_brute_force(spark, d):
+    """Every record against all before it: what the records up to it lead to."""
+    signs = sorted({(x.record_id, x.type_str, x.sig, x.canon) for x in history.signed(d).collect() if x.canon is not None})
+    groups: list[set] = []
+    want = {}
+    for r in signs:
+        mine = {r}
+        for g in [g for g in groups if any(r[1:3] == x[1:3] and history.says_the_same(r[3], x[3]) for x in g)]:
+            mine |= g
+            groups.remove(g)
+        groups.append(mine)
+        first = min(x[0] for x in mine)
+        if first < r[0]:
+            want[r[0]] = first
+    return want
+
+
+def chain(seed: int, n: int) -> list[tuple]:
+    """Each text of a chain has one word replaced; in shuffled order none leads all others."""
+    r = random.Random(seed)
     syllables = [a + b for a in ("b", "c", "d", "l", "m", "n", "t", "th", "v", "x") for b in ("an", "inh", "oc", "ung", "ao", "em", "uoi", "ap")]
-    ids = list(range(1, 13))
+    ids = list(range(1, n + 1))
     r.shuffle(ids)
     words = [r.choice(syllables) for _ in range(70)]
     rows = []
     for i in ids:
         words[r.randrange(70)] = r.choice(syllables)
-        rows.append((i, 0, "A", " ".join(words)))
+        rows.append((i, i * 4 // n, "A", " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [28, 31])
+def test_chains_are_followed_by_earlier_records_only(spark, tmp_path, seed, monkeypatch):
+    monkeypatch.setattr(history, "SMALL_KEY", 4 if seed == 31 else 64)  # 4: by leaders
+    d = feed(spark, chain(seed, 16))
+    want = first_by_brute_force(spark, d)
+    assert want and {(x.record_id, x.first_record_id) for x in history.merged_with(d).collect()} == set(want.items())
+    store, got = history.FingerprintStore(spark, str(tmp_path / "s")), {}
+    for b in range(5):
+        got |= {x.record_id: x.first_record_id for x in store.update(d.filter(F.col("batch_no") == b)).collect()}
+        store.compact() if b == 2 else None
+    assert got == want
+
+
+def test_a_bridging_record_joins_two_classes_from_then_on(spark, tmp_path):
+    words = ("thuê lại hoàn trả khoản ký quỹ trong ngày nếu còn đủ điều kiện áp dụng theo văn bản mức đồng quỹ phát triển đất xem xét vốn " * 2).split()
+    change = lambda ks: " ".join(f"{w} thêm" if i in ks else w for i, w in enumerate(words))
+    texts = {1: change(()), 2: change((0, 9, 18, 27)), 3: change((0, 9)), 4: change((0, 9, 18, 27)), 5: change((0,))}
+    rows = [(i, {1: 0, 2: 0, 3: 1, 4: 2, 5: 3}[i], "A", t) for i, t in texts.items()]
     d = feed(spark, rows)
-    signs = history.signed(d).collect()
-    want = {x.record_id: x.record_id for x in signs}
-    near = [(x.record_id, y.record_id) for x in signs for y in signs if x.record_id < y.record_id and x.type_str == y.type_str and x.sig == y.sig and ((x.print ^ y.print) & (1 << 64) - 1).bit_count() <= history.DISTANCE and history.says_the_same(x.canon, y.canon)]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in near:
-            if want[a] != want[b]:
-                want[a] = want[b] = min(want[a], want[b])
-                changed = True
-    got = {(x.record_id, x.first_record_id) for x in history.merged_with(d).collect()}
-    assert got == {(k, v) for k, v in want.items() if k != v}
-
-
-def test_hot_group_of_distinct_copies(spark):
+    want = {3: 1, 4: 1, 5: 1}
+    assert first_by_brute_force(spark, d) == want
+    assert {x.record_id: x.first_record_id for x in history.merged_with(d).collect()} == want
+    assert {x.record_id: x.first_record_id for x in history.against_history(d).collect()} == want
+    for parts in ((0, 1, 2, 3), (0, 0, 0, 1), (0, 0, 1, 1)):
+        store, got = history.FingerprintStore(spark, str(tmp_path / f"s{parts}")), {}
+        for n in sorted(set(parts)):
+            some = [b for b in range(4) if parts[b] == n]
+            got |= {x.record_id: x.first_record_id for x in store.update(d.filter(F.col("batch_no").isin(some))).collect()}
+        assert got == want, parts
+
+
+def test_an_update_that_failed_leaves_nothing(spark, tmp_path, monkeypatch):
+    d = feed(spark, [(1, 0, "A", BASE), (2, 1, "A", BASE.upper()), (3, 1, "A", BASE.replace("52", "60"))])
+    store = history.FingerprintStore(spark, str(tmp_path / "s"))
+    store.update(d.filter("batch_no = 0"))
+    with monkeypatch.context() as m:
+        m.setattr(history.FingerprintStore, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.update(d.filter("batch_no = 1"))
+    assert store.versions() == [1]
+    assert {(x.record_id, x.first_record_id) for x in store.update(d.filter("batch_no = 1")).collect()} == {(2, 1)}
+    assert store._table("classes", store.versions()).count() == 2
+
+
+def test_words_must_stand_in_the_same_order():
+    canon = lambda t: "\n".join(history.Said(t).sentences)
+    same = lambda a, b: history.says_the_same(canon(a), canon(b))
+    assert not same("Công ty mẹ phải bồi thường cho công ty con", "Công ty con phải bồi thường cho công ty mẹ")
+    assert not same("Phạt 5 đồng sau 7 ngày", "Phạt 7 đồng sau 5 ngày")
+    assert not same("Quyền sử dụng đất được chuyển nhượng", "Quyền sử dụng đất cấm được chuyển nhượng") and not same("Mọi cổ đông được dự họp", "Mọi cổ đông trừ được dự họp")
+    assert same("Cổ đông được dự họp. Hồ sơ nộp tại kho bạc.", "Hồ sơ nộp tại kho bạc; cổ đông được dự họpp.")
+
+
+def test_blocks_find_what_says_the_same(spark):
+    """Recall of the rotated block tables on pairs with slips, by the keys alone."""
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 400, 2):
+        w = prose(i, 40).split()
+        slips = list(w)
+        slips[r.randrange(40)] += "x"
+        rows += [(i + 1, 0, "A", f"Khoản {i}: " + " ".join(w)), (i + 2, 0, "A", f"Khoản {i}: " + " ".join(slips))]
+    members, classes = history.classes_of(feed(spark, rows))
+    b = history.block_table(classes)
+    pairs = b.alias("x").join(b.select("key", F.col("id").alias("o")), "key").filter("o = id + 1 and id % 2 = 1").select("id").distinct().count()
+    assert pairs >= 198
+
+
+def test_hot_group_of_distinct_copies(spark, monkeypatch):
     r = random.Random(3)
     words = BASE.split()
     places = [k for k, w in enumerate(words) if w.isalpha() and len(w) > 2]
@@ -115,8 +188,13 @@ def test_hot_group_of_distinct_copies(spark):
         return " ".join(w + "x" if i == k else w for i, w in enumerate(words))
 
     rows = [(i, 0, "A", slipped() if i % 2 else BASE.replace("thuê", "thuê" + "abcdefgh"[i % 8])) for i in range(1, 60)]
-    got = history.merged_with(feed(spark, rows)).collect()
+    d = feed(spark, rows)
+    got = history.merged_with(d).collect()
     assert {x.first_record_id for x in got} == {1} and len(got) == 58
+    with monkeypatch.context() as m:
+        m.setattr(history, "SMALL_KEY", 5)
+        m.setattr(history, "PART_ROWS", 7)
+        assert sorted(map(tuple, history.merged_with(d).collect())) == sorted(map(tuple, got))
 
 
 def test_numbers():
