@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims
+from lexigrid.operators.skew import running_total
 
 
 def metrics(runs: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = dims.CUTOFFS) -> DataFrame:
@@ -68,10 +69,15 @@ def agreement(tree: DataFrame, kg: DataFrame, qrels: DataFrame) -> DataFrame:
     return row.select(F.explode(parts).alias("x")).select("x.*")
 
 
-def running_hit_rate(m: DataFrame, order: str = "qid", k: int = 10) -> DataFrame:
-    """(qid, n, rate): the hit rate up to each question, as an evaluation prints it; the questions of one evaluation are one sequence."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return m.filter(F.col("k") == k).select("qid", F.count("*").over(w).alias("n"), F.round(F.avg("hit").over(w), 6).alias("rate"))
+def running_hit_rate(m: DataFrame, order: str = "qid", k: int = 10, stretch: int = 10_000) -> DataFrame:
+    """(qid, n, rate): the hit rate up to each question, as an evaluation prints it.
+
+    The questions of an evaluation are one sequence; it is summed in stretches of `stretch` values of a numeric order, so no task has all of it.
+    """
+    d = m.filter(F.col("k") == k).select("qid", F.col(order).alias("_at"), "hit", F.lit(1).alias("_one"))
+    bucket = F.floor(F.col("_at") / stretch)
+    hits = running_total(d, "hit", bucket, [F.col("_at")], out="hits")
+    return running_total(hits, "_one", bucket, [F.col("_at")], out="n").select("qid", "n", F.round(F.col("hits") / F.col("n"), 6).alias("rate"))
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes when nothing refers to it any more
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -30,12 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs and tests)."""
+    """The folder all executors share: spark.checkpoint.dir, the folder that was set for checkpoints, or, only where the master is this machine, a
+    temporary one. On a cluster without either there is no folder that survives the loss of a machine: an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     ctx = spark.sparkContext._jsc.sc()
     if ctx.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrid-"))
     return ctx.getCheckpointDir().get()
 

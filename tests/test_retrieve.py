@@ -72,7 +72,7 @@ def test_ablations_round_trip():
     assert all(evaluate.Ablation.from_dict(a.as_dict()) == a for a in evaluate.ablations())
 
 
-def test_running_total_and_skew(spark, monkeypatch):
+def test_running_total_and_skew(spark):
     from lexigrid.operators import skew
 
     d = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"))
@@ -81,13 +81,35 @@ def test_running_total_and_skew(spark, monkeypatch):
     for i in range(1000):
         want += i % 7
         assert got[i] == want
-    monkeypatch.setattr(skew, "HOT_LEAST", 10)
-    left = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id")).alias("k"), "id")
-    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 250").withColumn("x", F.col("k") * 2)
-    for how, n in (("inner", 299), ("left", 300)):
-        j = skew.hot_split_join(left, right, ["k"], "n", how)
-        assert j.count() == n and j.filter("x <> k * 2").count() == 0
-    assert math.isclose(1, 1)
+    left = spark.range(300).select(F.when(F.col("id") < 200, 1).when(F.col("id") < 220, 2).otherwise(F.col("id")).alias("k"), "id").union(spark.createDataFrame([(None, 999)], "k long, id long"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k not in (250, 2)").withColumn("x", F.col("k") * 2).withColumn("y", F.array("k"))
+    plain = {how: sorted(map(tuple, left.join(right.drop("n"), "k", how).collect()), key=str) for how in ("inner", "left")}
+    for least in (1, 10, 250, 10_000):
+        for how, n in (("inner", 279), ("left", 301)):
+            j = skew.hot_split_join(left, right, ["k"], "n", how, least=least)
+            assert j.count() == n and j.columns == ["k", "id", "x", "y"] and sorted(map(tuple, j.collect()), key=str) == plain[how]
+    # A hot key's rows are spread over the shuffle, whatever the key.
+    from pyspark.sql.functions import spark_partition_id
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = skew.hot_split_join(left.filter("k = 1").repartition(1), right, ["k"], "n", least=10).hint("merge")
+        sizes = [r["count"] for r in spread.groupBy(spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 200
+
+
+def test_running_rate(spark):
+    from lexigrid.operators import evaluate
+
+    m = spark.createDataFrame([(i * 7919, 10, int(i % 3 == 0)) for i in range(200)] + [(1, 5, 1)], "qid long, k int, hit int")
+    got = {r.qid: (r.n, r.rate) for r in evaluate.running_hit_rate(m).collect()}
+    hits = 0
+    for i in range(200):
+        hits += i % 3 == 0
+        assert got[i * 7919] == (i + 1, pytest.approx(hits / (i + 1), abs=1e-6))
+    assert len(got) == 200 and evaluate.running_hit_rate(m.limit(0)).count() == 0
 
 
 def test_themes_are_of_the_whole_graph(spark, sf):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.sources import io
@@ -61,3 +62,16 @@ def test_every_query_is_registered():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    from lexigrid import session
+
+    nothing = types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isEmpty=lambda: True))
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=types.SimpleNamespace(master="spark://host:7077", _jsc=types.SimpleNamespace(sc=lambda: nothing)))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
+    fake.conf = types.SimpleNamespace(get=lambda k, d: "/shared")
+    assert session.shared_dir(fake) == "/shared"
