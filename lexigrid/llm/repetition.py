@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 RUN = 8
 #: Share of repeated words from which a document is a case.
 SHARE = 0.3
-#: The most documents the field is fitted on: those with the least hash of their text.
+#: The most documents the field is fitted on: those with the least hash of their key.
 TRAIN_DOCUMENTS = 600
-#: Content share below which a document's words are counted: the field must only see that something is repeated, not how much.
-SUSPECT = 1.0
+#: Content share from which a document is retained: half of what may be repeated. Below it the words are counted.
+RETAINED = 1 - SHARE / 2
+#: Lengths of the runs of words the field sees, none of them that by which words count as said again.
+SEEN_RUNS = (6, 3)
+#: How much more a line that was said before and is taken for content costs in fitting than the reverse.
+MISS_COST = 8.0
 #: Words of a line where a text has no line breaks or sentence ends.
 LINE_WORDS = 40
 
 _LINE = re.compile(r"[\r\n\u0085  ]+|(?<=[.!?;…])\s+")
 _MARKS = re.compile(r"[^\w\s]+|_")
 _BUCKETS = 10
-N_FEATURES = 3 * _BUCKETS + 8
+N_FEATURES = len(SEEN_RUNS) * _BUCKETS + 8 + 8
 
 
 def words_of(text: str) -> list[str]:
@@ -98,18 +102,37 @@ class Batch:
         self.n_words = np.bincount(self.owner, minlength=self.n_docs) if len(self.owner) else np.zeros(self.n_docs, dtype=np.int64)
 
     def features(self) -> np.ndarray:
-        """For each line the numbers of its active features: how much of it stood earlier by runs of 8, 4 and 2 words, and its length."""
+        """For each line the numbers of its active features: how much of it stood earlier by runs of SEEN_RUNS words, its length, and how often
+        a line of the same words stood earlier."""
         n = len(self.line_len)
         out = []
         base = 0
-        for run in (RUN, 4, 2):
+        for run in SEEN_RUNS:
             again = np.bincount(self.line_of, weights=repeated_words(self.codes, self.owner, run), minlength=n) if n else np.zeros(0)
             share = again / np.maximum(self.line_len, 1)
             # Ten steps, the first for nothing at all, so that even one run of a long line is seen.
             out.append(base + np.where(again > 0, np.minimum(_BUCKETS - 1, 1 + (share * (_BUCKETS - 1)).astype(np.int64)), 0))
             base += _BUCKETS
         out.append(base + np.minimum(7, self.line_len // 6))
-        return np.stack(out, axis=1) if n else np.zeros((0, 4), dtype=np.int64)
+        out.append(base + 8 + np.minimum(7, self._copies()))
+        return np.stack(out, axis=1) if n else np.zeros((0, len(SEEN_RUNS) + 2), dtype=np.int64)
+
+    def _copies(self) -> np.ndarray:
+        """For each line how many lines of the same words stand before it in its text."""
+        n = len(self.line_len)
+        if not n:
+            return np.zeros(0, dtype=np.int64)
+        starts = np.cumsum(self.line_len) - self.line_len
+        place = np.arange(len(self.codes)) - np.repeat(starts, self.line_len)
+        with np.errstate(over="ignore"):
+            mixed = (self.codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            h = np.zeros(n, dtype=np.uint64)
+            some = np.flatnonzero(self.line_len)
+            if len(some):
+                h[some] = np.add.reduceat(mixed, starts[some])
+        return pd.DataFrame({"d": self.line_doc, "h": h}).groupby(["d", "h"], sort=False).cumcount().to_numpy()
 
     def repeated(self) -> np.ndarray:
         return repeated_words(self.codes, self.owner)
@@ -138,9 +161,10 @@ class Field:
         place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
         back = np.arange(n) + 0
         steps = [np.flatnonzero(place == k) for k in range(int(place.max()) + 1)]
+        cost = np.where(y == 1, MISS_COST, 1.0)
         seen = np.zeros_like(self.emit)
         for j in range(x.shape[1]):
-            np.add.at(seen, (x[:, j], y), 1)
+            np.add.at(seen, (x[:, j], y), cost)
         pair = np.zeros((2, 2))
         inner = np.flatnonzero(~first)
         np.add.at(pair, (y[inner - 1], y[inner]), 1)
@@ -159,7 +183,7 @@ class Field:
             edge = np.exp(alpha[inner - 1][:, :, None] + self.step[None] + (e[inner] + beta[inner])[:, None, :] - total[inner][:, None, None]).sum(axis=0)
             want = np.zeros_like(self.emit)
             for j in range(x.shape[1]):
-                np.add.at(want, x[:, j], node)
+                np.add.at(want, x[:, j], node * cost[:, None])
             # Each parameter moves by its own scale, so rare features learn as fast as common ones.
             self.emit += rate * ((seen - want) - ridge * self.emit) / (np.maximum(seen.sum(axis=1, keepdims=True), 1) ** 0.5) / (1 + r / 40)
             self.step += rate * (pair - edge) / max(len(inner), 1) ** 0.5 / (1 + r / 40) * 0.1
@@ -194,22 +218,19 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(a - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def fit_field(docs: DataFrame, text: str, most: int = TRAIN_DOCUMENTS) -> Field:
-    """The field, fitted on at most `most` documents: those with the least hash of their text, so the same in every run."""
-    d = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    least = [r[0] for r in d.select("h").distinct().orderBy("h").limit(most).collect()]
-    if not least:
-        return Field()
-    rows = d.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
-    return Field().fit([r["t"] for r in rows])
+def fit_field(docs: DataFrame, key: str, text: str, most: int = TRAIN_DOCUMENTS) -> Field:
+    """The field, fitted on the texts of at most `most` documents: those with the least hash of their key, so the same in every run; one scan keeps them."""
+    d = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(key).alias("h"))
+    return Field().fit(sorted({r["t"] for r in d.orderBy("h", "t").limit(most).collect()}))
 
 
 def repetition(docs: DataFrame, key: str, text: str, field: Field | Broadcast, share: float | None = None, slice_chars: int = 2_000_000) -> DataFrame:
     """(key, n_words, content_share, repeated_share): of each text the share of words in lines labelled content and, exact, the share of words
     that lie in runs of eight or more that occurred earlier in it.
 
-    The labels decide which documents are suspect; only these have their words counted, all others get a repeated_share of 0. Null and
-    empty texts have 0 words and shares of 1 and 0. Rows are taken as they are: a repeated row is reported again.
+    With share, only documents that are not retained come out: their content share is below RETAINED, and the exact count, which only they
+    get, is at least share. Without it all documents are counted. Null and empty texts have 0 words and shares of 1 and 0. Rows are taken as they
+    are: a repeated row is reported again.
     """
     emit, step = (field.value if isinstance(field, Broadcast) else field).emit, (field.value if isinstance(field, Broadcast) else field).step
     kind = docs.schema[key].dataType.simpleString()
@@ -226,14 +247,14 @@ def repetition(docs: DataFrame, key: str, text: str, field: Field | Broadcast, s
                 content = np.bincount(b.line_doc, weights=b.line_len * (y == 0), minlength=b.n_docs) if len(y) else np.zeros(b.n_docs)
                 n = np.maximum(b.n_words, 1)
                 content_share = np.where(b.n_words > 0, content / n, 1.0)
-                suspect = content_share < SUSPECT
+                suspect = content_share < RETAINED if share is not None else b.n_words > 0
                 again = np.zeros(b.n_docs)
                 if suspect.any():
                     take = suspect[b.owner]
                     own = b.owner[take]
                     again = np.bincount(own, weights=repeated_words(b.codes[take], own), minlength=b.n_docs)
                 out = pd.DataFrame({key: part[key].to_numpy(), "n_words": b.n_words.astype(np.int64), "content_share": content_share, "repeated_share": again / n})
-                yield out if share is None else out[out["repeated_share"] >= share]
+                yield out if share is None else out[suspect & (out["repeated_share"] >= share).to_numpy()]
 
     cols = docs.select(F.col(key), F.col(text).alias("text"))
     return cols.mapInPandas(work, f"`{key}` {kind}, n_words long, content_share double, repeated_share double")
