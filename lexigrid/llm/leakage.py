@@ -156,20 +156,17 @@ class Items:
                     c, e = c + 1, e + 1
                 known[n, i - p] = c
                 run = c - a
-                if run >= need:
-                    least = 0
-                elif not errors or n in found:
-                    continue
-                elif run + errors >= need or (_goes_on(q, w, c, e, a, b) if errors == 1 else True):
-                    if run + max(_reach(q, w, a, b, k, -1) + _reach(q, w, c, e, errors - k, 1) for k in range(errors + 1)) < need:
-                        continue
-                    least = self.verify(q, w, p, i)
-                    if least > errors:
-                        continue
-                else:
+                if run < need and (not errors or not (run + errors >= need or errors > 1 or _goes_on(q, w, c, e, a, b))):
                     continue
                 old = found.get(n)
-                found[n] = (least, run) if old is None else (min(least, old[0]), max(run, old[1]))
+                # What can neither lower the errors nor raise the run isn't verified again.
+                if old is not None and run <= old[1] and (old[0] == 0 or (old[0] == 1 and run < need)):
+                    continue
+                if run < need and run + max(_reach(q, w, a, b, k, -1) + _reach(q, w, c, e, errors - k, 1) for k in range(errors + 1)) < need:
+                    continue
+                least = self.verify(q, w, p, i)
+                if least <= errors:
+                    found[n] = (least, run) if old is None else (min(least, old[0]), max(run, old[1]))
         return found
 
     def verify(self, q: list[str], w: list[str], p: int, i: int) -> int:
@@ -190,7 +187,7 @@ class Items:
 
 def leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, fields: Sequence[str], passage: int = PASSAGE, errors: int = ERRORS) -> DataFrame:
     """(doc_key, item_key, field_name, errors, longest_run): documents that hold a passage of so many words of an item's field, with at most
-    so many word edits.
+    so many word edits; longest_run is the longest run of equal words of such a passage.
 
     Item texts are cut into pieces so short that every passage contains errors + 1 whole ones; by the pigeonhole principle one of them stands
     in the document as it is. An Aho-Corasick automaton finds the pieces, Myers' algorithm verifies the passages around them. The items are
@@ -223,16 +220,15 @@ def leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key:
 
 
 def _blocks(items: DataFrame, key: str) -> Iterator[list]:
-    """The items in blocks of at most BLOCK rows, by ascending key; one block is on the driver at a time."""
+    """The items in blocks of at most BLOCK rows, by ascending key and, within one, by a hash of the row; one block is on the driver at a time."""
+    rows = items.filter(F.col(key).isNotNull()).withColumn("_h", F.sha2(F.to_json(F.struct(*items.columns)), 256))
     last = None
     while True:
-        block = (items if last is None else items.filter(F.col(key) > last)).filter(F.col(key).isNotNull()).orderBy(key).limit(BLOCK).collect()
+        rest = rows if last is None else rows.filter((F.col(key) > last[0]) | ((F.col(key) == last[0]) & (F.col("_h") > last[1])))
+        block = rest.orderBy(key, "_h").limit(BLOCK).collect()
         if not block:
             return
-        # A key's rows may go on beyond the block: they are sought with the next one.
-        if len(block) == BLOCK and block[0][key] != block[-1][key]:
-            block = [r for r in block if r[key] != block[-1][key]]
-        last = block[-1][key]
         yield block
-        if len(block) < BLOCK // 2:
+        if len(block) < BLOCK:
             return
+        last = block[-1][key], block[-1]["_h"]
