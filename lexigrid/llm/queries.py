@@ -77,8 +77,8 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """The operator allows a wrong word; the exact check that follows keeps passages without one."""
-    return _leaks(spark, d).filter(F.col("longest_run") >= leakage.PASSAGE).select("doc_id", "item_id").distinct()
+    """Passages that Myers' distance finds without a wrong word; with one they are in p8_leaks."""
+    return _leaks(spark, d).filter("errors = 0").select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _repetition(spark: SparkSession, d: str, share: float | None) -> DataFrame:
     docs = table(spark, d, "documents")
-    return repetition.repetition(docs, "doc_id", "text", repetition.fit_field(docs, "text"), share)
+    return repetition.repetition(docs, "doc_id", "text", repetition.fit_field(docs, "doc_id", "text"), share)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
