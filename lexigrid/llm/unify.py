@@ -43,6 +43,9 @@ PLAIN = (
 )
 SUSPICIOUS = f"[^{PLAIN}]"
 
+#: Stretches of a text: blanks of every kind stand alone, plain ones and line breaks aside; all else up to the next blank is one.
+_STRETCH = r"[^\s\p{Z}\u0085]+|[\t\p{Zs}&&[^ ]]"
+
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x2800, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 _LINE_BREAKS = {0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 
@@ -104,36 +107,40 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def consistent_words(words: DataFrame) -> DataFrame:
-    """(word, form): the consistent form of each distinct string in words.word, a stretch between plain spaces and line breaks.
+    """(word, form): the consistent form of each distinct string in words.word, a stretch between blanks.
 
     Strings are exploded to positioned code points, which meet a table of decompositions and twins by broadcast; invisible ones go, twins are
     put right in runs of letters that have a Latin letter besides, marks are ordered by class behind their base, base and marks are
-    composed, and the strings are built again.
+    composed, and the strings are built again. Code points carry their string's number, not the string.
     """
     points, pairs = _tables(words.sparkSession)
-    by_place = Window.partitionBy("word").orderBy("at")
-    cps = words.select("word", F.posexplode(F.split("word", "")).alias("at", "ch"))
+    words = cut(words.select("word", F.monotonically_increasing_id().alias("w")))
+    by_place = Window.partitionBy("w").orderBy("at")
+    cps = words.select("w", F.posexplode(F.split("word", "")).alias("at", "ch"))
     d = cps.join(points, "ch", "left").filter("kind is null or kind <> 'drop'")
     # A run of letters and marks is a word in the sense of the twins; anything else, unless it belongs to no script, ends it.
     is_part = F.col("kind").isin("latin", "letter", "mark") | (F.col("kind").isNull() & F.col("ch").rlike(r"[\p{L}\p{M}]"))
     d = d.withColumn("run", F.sum(F.when(is_part, 0).otherwise(1)).over(by_place))
-    latin = F.max(F.col("kind") == "latin").over(Window.partitionBy("word", "run"))
+    run = Window.partitionBy("w", "run")
+    latin = F.max(F.col("kind") == "latin").over(run)
     # Đ's doubles are Latin letters themselves: any other letter in the run shows that they stand in a word.
-    letters = F.sum(is_part.cast("int")).over(Window.partitionBy("word", "run"))
-    alone = F.col("ch").isin("Ð", "ð", "Ɖ", "ɖ") & (letters > 1) & ~F.coalesce(F.max(F.col("ch").rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & F.col("twin").isNull()).over(Window.partitionBy("word", "run")), F.lit(False))
+    letters = F.sum(is_part.cast("int")).over(run)
+    alone = F.col("ch").isin("Ð", "ð", "Ɖ", "ɖ") & (letters > 1) & ~F.coalesce(F.max(F.col("ch").rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & F.col("twin").isNull()).over(run), F.lit(False))
     d = d.withColumn("twin", F.when(F.coalesce(latin, F.lit(False)) | alone, F.col("twin")))
     parts = F.when(F.col("twin").isNotNull(), F.array("twin")).otherwise(F.coalesce("parts", F.array("ch")))
     classes = F.when(F.col("twin").isNotNull(), F.array(F.lit(0))).otherwise(F.coalesce("classes", F.array(F.lit(0))))
-    e = d.select("word", "at", F.posexplode(F.arrays_zip(parts.alias("c"), classes.alias("k"))).alias("sub", "p")).select("word", "at", "sub", F.col("p.c").alias("c"), F.col("p.k").alias("k"))
-    e = e.withColumn("base", F.sum((F.col("k") == 0).cast("int")).over(Window.partitionBy("word").orderBy("at", "sub")))
+    e = d.select("w", "at", F.posexplode(F.arrays_zip(parts.alias("c"), classes.alias("k"))).alias("sub", "p")).select("w", "at", "sub", F.col("p.c").alias("c"), F.col("p.k").alias("k"))
+    e = e.withColumn("base", F.sum((F.col("k") == 0).cast("int")).over(Window.partitionBy("w").orderBy("at", "sub")))
     # A base with its marks in canonical order: a short list, as long as a letter has marks.
-    clusters = e.groupBy("word", "base").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("k") == 0, -1).otherwise(F.col("k")).alias("k"), "at", "sub", "c"))).alias("list"))
-    clusters = clusters.select("word", "base", F.transform("list", lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))).alias("list"))
-    distinct = clusters.filter(F.size("list") > 1).select("list").distinct()
-    composed = _compose(distinct, pairs)
-    whole = clusters.join(composed, "list", "left").select("word", "base", F.coalesce("text", F.array_join(F.transform("list", lambda x: x["c"]), "")).alias("text"))
-    built = whole.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "text"))), lambda x: x["text"]), "").alias("form"))
-    return words.join(built, "word", "left").select("word", F.coalesce("form", F.lit("")).alias("form"))
+    clusters = e.groupBy("w", "base").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("k") == 0, -1).otherwise(F.col("k")).alias("k"), "at", "sub", "c"))).alias("list"))
+    clusters = cut(clusters.select("w", "base", F.transform("list", lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))).alias("list")))
+    alone_ = clusters.filter(F.size("list") == 1).select("w", "base", F.col("list")[0]["c"].alias("text"))
+    several = clusters.filter(F.size("list") > 1)
+    count = several.groupBy("list").agg(F.count("*").alias("n"))
+    composed = cut(_compose(count.select("list"), pairs).join(count, "list"))
+    whole = alone_.unionByName(hot_split_join(several, composed, ["list"], "n").select("w", "base", "text"))
+    built = whole.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "text"))), lambda x: x["text"]), "").alias("form"))
+    return words.join(built, "w", "left").select("word", F.coalesce("form", F.lit("")).alias("form"))
 
 
 def _compose(lists: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -152,9 +159,9 @@ def _compose(lists: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _suspects(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """(keys..., word, n): the suspicious stretches of the texts, each once a row of keys."""
+    """(keys..., word): the suspicious stretches of the texts, each once a row of keys."""
     d = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").rlike(SUSPICIOUS))
-    return d.select(*keys, F.explode(F.array_distinct(F.filter(F.split("_t", r"[ \n\r]+"), lambda w: w.rlike(SUSPICIOUS)))).alias("word"))
+    return d.select(*keys, F.explode(F.array_distinct(F.filter(F.regexp_extract_all("_t", F.lit(_STRETCH), F.lit(0)), lambda w: w.rlike(SUSPICIOUS)))).alias("word"))
 
 
 def changed_words(suspects: DataFrame) -> DataFrame:
@@ -171,22 +178,22 @@ def inconsistent(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 def unified(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """(keys..., text, affected): each distinct row's text in the consistent form.
+    """(keys..., text, affected): each row's text in the consistent form; a repeated row is reported again.
 
-    Texts of plain characters stay in place; the others' stretches meet the table of changed words, and the texts are built again from
-    their stretches and the blanks between them. Texts that differ under the same keys give a row each.
+    Texts of plain characters stay in place and are never shuffled; the others' stretches meet the table of changed words, and the texts are built again
+    from their stretches and the blanks between them.
     """
     d = df.select(*keys, F.col(text).alias("text"))
     dirty = F.coalesce(F.col("text").rlike(SUSPICIOUS), F.lit(False))
-    clean = d.filter(~dirty).distinct().select(*keys, "text", F.lit(False).alias("affected"))
-    rest = d.filter(dirty).distinct().withColumn("_row", F.xxhash64(*keys, "text"))
-    forms = cut(changed_words(_suspects(d, keys, "text")))
-    # Stretches and the blanks between them alternate.
-    bits = F.regexp_extract_all("text", F.lit(r"[ \n\r]+|[^ \n\r]+"), F.lit(0))
-    p = rest.select(*keys, "_row", F.posexplode(bits).alias("at", "word"))
+    clean = d.filter(~dirty).select(*keys, "text", F.lit(False).alias("affected"))
+    rest = cut(d.filter(dirty).withColumn("_row", F.monotonically_increasing_id()))
+    forms = cut(changed_words(_suspects(rest, ["_row"], "text")))
+    # Stretches, blanks of other kinds, and what stands between them follow each other.
+    bits = F.regexp_extract_all("text", F.lit(_STRETCH + r"|[\s\p{Z}\u0085&&[^\t\p{Zs}]]+| +"), F.lit(0))
+    p = rest.select("_row", F.posexplode(bits).alias("at", "word"))
     q = hot_split_join(p, forms, ["word"], "n", how="left")
-    built = q.groupBy(*keys, "_row").agg(
+    built = q.groupBy("_row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("form", "word").alias("w")))), lambda x: x["w"]), "").alias("text"),
         F.max(F.col("form").isNotNull()).alias("affected"),
     )
-    return clean.unionByName(built.drop("_row"))
+    return clean.unionByName(rest.drop("text").join(built, "_row").drop("_row").select(*keys, "text", "affected"))
