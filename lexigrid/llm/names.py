@@ -19,7 +19,13 @@ from lexigrid.operators.skew import hot_split_join
 from lexigrid.session import cut
 
 #: Jaro-Winkler similarity of two whole names, their syllables paired, from which one may be a slip of the other.
-ALIKE = 0.8
+ALIKE = 0.9
+#: Jaro-Winkler similarity from which what is no syllable may be a slip of a syllable when all others are equal.
+ALIKE_SYLLABLE = 0.85
+#: Pairs that one block of names with two slips may bring; of larger blocks each name is sought by another syllable too.
+BLOCK_PAIRS = 100_000
+#: Ids of a class that a task writes pairs for.
+PART_ROWS = 2000
 
 # Legal forms, lines of business, titles and roles, without accents; longer ones first is up to the pattern.
 LEGAL_FORMS = (
@@ -139,15 +145,19 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
 
 
 def slip(a: str, b: str, only: bool) -> bool:
-    """If one syllable may be a slip of the other: one edit apart, or of the same phonetic code.
+    """If one syllable may be a slip of the other: of the same phonetic code, one edit apart, or, where nothing else differs, what is no syllable and alike.
 
     Where several syllables of two names differ (only is False), one of each pair must be no syllable at all.
     """
-    return a == b or squeezed(a) == squeezed(b) or ((only or not (valid(a) and valid(b))) and one_edit(a, b))
+    if a == b or squeezed(a) == squeezed(b):
+        return True
+    whole = valid(a) and valid(b)
+    return ((only or not whole) and one_edit(a, b)) or (only and not whole and jaro_winkler(a, b) >= ALIKE_SYLLABLE)
 
 
 def same_name(a: list[str], b: list[str]) -> bool:
-    """If two lists of syllables, of any order, differ by slips only.
+    """If two lists of syllables, of any order, differ by slips only: each syllable that differs may be one, and the whole names, their syllables paired,
+    are alike by Jaro-Winkler.
 
     Of two syllables one is half the name: there another existing syllable is another name.
     """
@@ -209,10 +219,27 @@ def forms(entities: DataFrame) -> DataFrame:
     return names.withColumn("f", canon("n", "type_str")).select("id", "type_str", "f.*").filter("form is not null").distinct()
 
 
+#: Begins the keys of blocks for names with two slips.
+WIDE = "<>"
+
+
+def narrowed(spellings: list[str], key: str) -> list[str]:
+    """The key with another syllable less a letter, for each syllable that it leaves out and each letter: two slips of one edit share one of these."""
+    out = set()
+    for s in spellings:
+        branch, _, rest = s.partition("|")
+        t = sorted(rest.split(), key=lambda x: (squeezed(x), x))
+        n = len(t)
+        for i, j in combinations(range(n), 2):
+            if " ".join((WIDE, branch, str(n), *(squeezed(x) for k, x in enumerate(t) if k not in (i, j)))) == key:
+                out |= {f"{key} ~ {v}" for x in (t[i], t[j]) for v in shortened(x)}
+    return sorted(out)
+
+
 def block_keys(spellings: list[str]) -> tuple[list[str], list[str]]:
     """(probes, targets) of a form by all its spellings (branch, bar, syllables).
 
-    Of three syllables and more the codes of those that may be free of slips; of two the one and what is left of the other without a letter;
+    Of three syllables and more the codes of those that may be free of slips, all but one, or all but two in a key that begins with WIDE; of two the one and what is left of the other without a letter;
     of a name that is run together, or that others may run together, the letters without one, from the least rotation on.
     """
     targets, probes = set(), set()
@@ -227,11 +254,11 @@ def block_keys(spellings: list[str]) -> tuple[list[str], list[str]]:
             targets |= half
             probes |= half
         elif n > 2:
-            targets |= {" ".join((branch, str(n), *c)) for size in (n - 1, n - 2) for c in combinations(codes, size)}
-            subsets = set(combinations(codes, n - 1))
+            all_but_one = {" ".join((branch, str(n), *c)) for c in combinations(codes, n - 1)}
+            targets |= all_but_one | {" ".join((WIDE, branch, str(n), *c)) for c in combinations(codes, n - 2)}
+            probes |= all_but_one
             if n - 2 <= len(good) < n:  # up to two syllables are no syllables: what is left of two slips
-                subsets |= set(combinations(sorted(map(squeezed, good)), n - 2))
-            probes |= {" ".join((branch, str(n), *c)) for c in subsets}
+                probes |= {" ".join((WIDE, branch, str(n), *c)) for c in combinations(sorted(map(squeezed, good)), n - 2)}
         letters = "".join(t)
         if len(letters) >= LETTERS:
             keys = {" ".join((branch, "=", turned(v))) for v in shortened(letters)}
@@ -257,11 +284,23 @@ def linked_ids(entities: DataFrame) -> DataFrame:
     def blocks(tokens: pd.Series, kind: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([block_keys(list(s)) for s in tokens], columns=["probes", "targets"])
 
+    @F.pandas_udf("array<string>")
+    def narrow(tokens: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([narrowed(list(s), k) for s, k in zip(tokens, key)], dtype=object)
+
     b = cut(distinct.withColumn("b", blocks("tokens", "type_str")).select("type_str", "form", "tokens", "b.*"))
     probes = b.select("type_str", "form", "tokens", F.explode("probes").alias("key"))
-    keys = cut(probes.groupBy("type_str", "key").agg(F.count("*").alias("n")))
-    targets = hot_split_join(b.select("type_str", F.col("form").alias("form2"), F.col("tokens").alias("tokens2"), F.explode("targets").alias("key")), keys, ["type_str", "key"], "n")
-    pairs = probes.join(targets, ["type_str", "key"]).filter("form <> form2").select("type_str", "form", "tokens", "form2", "tokens2").distinct()
+    keys = cut(probes.groupBy("type_str", "key").agg(F.count("*").alias("n"), F.lit(True).alias("_")))
+    targets = cut(hot_split_join(b.select("type_str", "form", "tokens", F.explode("targets").alias("key")), keys, ["type_str", "key"], "n").drop("_"))
+    met = targets.groupBy("type_str", "key").agg(F.count("*").alias("m")).join(keys.drop("_"), ["type_str", "key"]).withColumn("large", F.col("key").startswith(WIDE) & (F.col("m") * F.col("n") > BLOCK_PAIRS))
+    met = cut(met.filter("m > 1 or n > 1"))  # of one each it is the same form
+    few = {"probes": [], "targets": []}
+    for name, side, count in (("probes", probes, "n"), ("targets", targets, "m")):
+        d = cut(hot_split_join(side, met.select("type_str", "key", "large", F.col(count).alias("_n")), ["type_str", "key"], "_n"))
+        wide = d.filter("large").withColumn("key", F.explode(narrow("tokens", "key")))
+        few[name] = d.filter("not large").unionByName(wide).drop("large")
+    other = few["targets"].select("type_str", "key", F.col("form").alias("form2"), F.col("tokens").alias("tokens2"))
+    pairs = few["probes"].join(other, ["type_str", "key"]).filter("form <> form2").select("type_str", "form", "tokens", "form2", "tokens2").distinct()
 
     @F.pandas_udf("string")
     def judged(a: pd.Series, c: pd.Series, kind: pd.Series) -> pd.Series:
@@ -271,22 +310,24 @@ def linked_ids(entities: DataFrame) -> DataFrame:
             if any(same_name(s, t) or run_together(s, t) for s, t in ways):
                 out.append("same")
             else:
-                out.append("initial" if k == "PERSON_ROLE" and any(_initial(s, t) for s, t in ways) else None)
+                out.append("part" if k == "PERSON_ROLE" and any(_part(s, t) for s, t in ways) else None)
         return pd.Series(out, dtype=object)
 
     j = cut(pairs.withColumn("how", judged("tokens", "tokens2", "type_str")).filter("how is not null"))
     same = j.filter("how = 'same'").select("type_str", "form", "form2")
-    # An initial names a person only when all whole names it fits are one.
-    one = j.filter("how = 'initial'").groupBy("type_str", "form").agg(F.min("form2").alias("form2"), F.max("form2").alias("most")).filter("form2 = most").select("type_str", "form", "form2")
+    # An initial or a nickname names a person only when all whole names it fits are one.
+    one = j.filter("how = 'part'").groupBy("type_str", "form").agg(F.min("form2").alias("form2"), F.max("form2").alias("most")).filter("form2 = most").select("type_str", "form", "form2")
     between = same.union(one).select(node("form").alias("id"), node("form2").alias("other"))
     return connected_components(edges.union(between), "id", "other")
 
 
-def _initial(a: list[str], b: list[str]) -> bool:
-    """If a is b with its family name cut to the first letter."""
+def _part(a: list[str], b: list[str]) -> bool:
+    """If a is b with its family name cut to the first letter, or with a name by order of birth in its place."""
     x, y = Counter(a), Counter(b)
     left, right = list((x - y).elements()), list((y - x).elements())
-    return len(left) == 1 == len(right) and len(left[0]) == 1 and right[0] in FAMILY_NAMES and right[0][0] == left[0]
+    if not (len(left) == 1 == len(right) and right[0] in FAMILY_NAMES and len(a) > 2):
+        return False
+    return left[0] == right[0][0] or (left[0] in ORDER_NICKNAMES and left[0] not in FAMILY_NAMES)
 
 
 def same_entities(entities: DataFrame) -> DataFrame:
@@ -294,10 +335,13 @@ def same_entities(entities: DataFrame) -> DataFrame:
 
     Null names and aliases, and words that name nobody, link nothing; repeated rows count once.
     """
-    c = linked_ids(entities).filter(~F.col("node").startswith("~"))
-    a = c.select(F.col("node").alias("id_a"), "component")
-    b = c.select(F.col("node").alias("id_b"), "component")
-    return a.join(b, "component").filter("id_a < id_b").select("id_a", "id_b")
+    c = cut(linked_ids(entities).filter(~F.col("node").startswith("~")).select(F.col("node").alias("id"), "component"))
+    size = cut(c.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).filter("n > 1"))
+    d = hot_split_join(c, size, ["component"], "n")
+    # Each part of a class meets the whole class, so no class is written by one task.
+    a = d.select(F.col("id").alias("id_a"), "component", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = d.select(F.col("id").alias("id_b"), "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["component", "part"]).filter("id_a < id_b").select("id_a", "id_b")
 
 
 def classes(entities: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_unified(spark: SparkSession, d: str) -> DataFrame:
-    return unify.unified(_names_and_contents(spark, d), ["tbl", "id"], "text")
+    return unify.unified(_names_and_contents(spark, d), ["tbl", "id"], "text").distinct()
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -498,3 +498,18 @@ def test_longest_run_does_not_depend_on_order():
     one = x.search(" ".join(pads[0] + a + pads[1] + b))
     two = x.search(" ".join(pads[0] + b + pads[1] + a))
     assert one == two == {0: (1, 11)}
+
+
+def test_nicknames_and_alike_names(spark, monkeypatch):
+    p, o = "PERSON_ROLE", "ORGANIZATION"
+    rows = [
+        ("a", "Trần Nuất Thốp Vưới", p, None), ("b", "Hai Nuất Thốp Vưới", p, None), ("c", "Trần Mẻn Nước Chuất", p, None), ("d", "Lê Mẻn Nước Chuất", p, None), ("e", "Út Mẻn Nước Chuất", p, None),
+        ("f", "Công ty Khuyện Khược Rững Nghiêng", o, None), ("g", "Công ty Khuyện Khược Rững Nghhieeng", o, None), ("h", "Công ty Khuyện Khược Rững Nghiêu", o, None), ("i", "Công ty Khuyện Khược Rững Bọc", o, None),
+        ("k", "Khuyệjn Khược Rữnfg Bọc", p, None), ("l", "Khuyện Khược Rững Bọc", p, None), ("m", "Khuyệtn Khượcc Rững Bọc", p, None),
+    ]
+    d = spark.createDataFrame(rows, "id string, name string, type_str string, aliases array<string>")
+    got = {(r.id_a, r.id_b) for r in names.same_entities(d).collect()}
+    assert {("a", "b"), ("f", "g"), ("k", "l"), ("l", "m"), ("k", "m")} <= got and not {("c", "d"), ("c", "e"), ("d", "e"), ("f", "i"), ("h", "i")} & got
+    monkeypatch.setattr(names, "BLOCK_PAIRS", 0)  # all by another syllable
+    monkeypatch.setattr(names, "PART_ROWS", 2)
+    assert {(r.id_a, r.id_b) for r in names.same_entities(d).collect()} == got
