@@ -24,14 +24,14 @@ BITS = 256
 #: Bits that may differ between records that say the same: less than a quarter. Between records that don't, about half differ.
 DISTANCE = 60
 #: Rotations a fingerprint is stored under, each BITS / ROTATIONS bits on; the key is the type and the leading BLOCK_BITS bits.
-ROTATIONS = 16
-#: Bits of a block. Records that say the same differ in about one bit of forty, so one of ROTATIONS blocks is equal in all but about one
-#: pair in ten thousand; records that don't share one by chance once in a million.
+ROTATIONS = 8
+#: Bits of a block. Records that say the same differ in about one bit of sixty, so one of ROTATIONS blocks is equal in all but about one
+#: pair in two thousand; records that don't share one by chance once in half a million.
 BLOCK_BITS = 24
 #: Bits of a block of a text without numbers and references: only its words vote, and every slip weighs more.
-BLOCK_BITS_PLAIN = 16
+BLOCK_BITS_PLAIN = 12
 #: How much the numbers and references of a text weigh in its fingerprint, against all its words.
-NUMBER_WEIGHT = 3.0
+NUMBER_WEIGHT = 6.0
 #: Rows of a key that are compared pair by pair; of larger keys the earliest lead.
 SMALL_KEY = 64
 #: Rows of a key that a task compares with all rows that lead.

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.skew import hot_split_join, running_total
+from lexigrid.session import cut
 
 #: Makes the median absolute deviation of normal values their standard deviation.
 MAD_TO_SIGMA = 1.4826
 #: The bounded value of a component that an article has no score for: that of the median.
 ABSENT = 0.5
-#: Rank error of the medians is 1 / ACCURACY; groups of up to so many values have their exact lower median.
-ACCURACY = 10_000
+#: Values of a group up to which one summary has its exact lower median; in larger groups it is selected by counting.
+SUMMARY = 10_000
+#: Bits by which a median's values are counted in each step.
+DIGIT = 16
 #: Standard deviations that map to the logistic's unit: 1 keeps typical scores in its linear part.
 SOFTNESS = 1.0
 #: Stretches of the combined score that a query's places are counted in.
@@ -31,22 +34,44 @@ def latest_scores(scores: DataFrame) -> DataFrame:
     return ok.groupBy("qid", "article_id", "component").agg(F.max(F.struct(when.alias("at"), F.col("score").alias("score")))["score"].alias("score"))
 
 
-def _median(c: str):
-    return F.percentile_approx(c, 0.5, ACCURACY)
+def lower_medians(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., median, n): the exact lower median of each group: of n values the one at place (n + 1) / 2, rounded down.
+
+    Groups of up to SUMMARY values merge summaries that keep them all. Larger groups are counted by ranges of the value, in which each step halves what
+    may be the median DIGIT times, until all that is left is one value; counts are combined before the shuffle, so a group with a third of all rows is never
+    in one task.
+    """
+    g = cut(values.groupBy(*keys).agg(F.percentile_approx(value, 0.5, SUMMARY).alias("median"), F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")))
+    small = g.filter(F.col("n") <= SUMMARY).select(*keys, "median", "n")
+    left = cut(g.filter(F.col("n") > SUMMARY).select(*keys, "n", "lo", "hi", ((F.col("n") + 1) / 2).cast("long").alias("place")))
+    out, buckets = small, 1 << DIGIT
+    while not left.isEmpty():
+        # What is left of a group lies in [lo, hi]; it is counted in equal ranges of it.
+        done = left.filter("lo = hi").select(*keys, F.col("lo").alias("median"), "n")
+        out = out.unionByName(done)
+        left = left.filter("lo < hi")
+        rows = hot_split_join(values.select(*keys, value), left.withColumnRenamed("n", "_n").withColumn("n", F.col("_n")), keys, "_n").filter(F.col(value).between(F.col("lo"), F.col("hi")))
+        width = F.col("hi") / buckets - F.col("lo") / buckets
+        at = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("lo")) / width))).otherwise(F.when(F.col(value) > F.col("lo"), 1).otherwise(0)).cast("int")
+        counts = rows.withColumn("_b", at).groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("n").alias("n"), F.first("place").alias("place"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        here = counts.withColumn("_u", upto).filter("_u >= place and _u - _c < place")
+        left = cut(here.select(*keys, "n", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("place") - F.col("_u") + F.col("_c")).alias("place")))
+    return cut(out)
 
 
 def bounded_scores(scores: DataFrame) -> DataFrame:
-    """latest_scores with value: the score less its query's and component's median, in robust deviations, through the logistic curve.
+    """latest_scores with value: the score less its query's and component's lower median, in robust deviations, through the logistic curve.
 
-    Medians are partial aggregates of bounded size, so a query that holds a third of all rows is merged from summaries. Where the median
-    absolute deviation is 0, the mean absolute deviation takes its place; where that is 0 too, all scores are the same and the value is 0.5.
+    Medians are exact and the lower of two middle values, also that of the deviations. Where the median absolute deviation is 0, the mean absolute
+    deviation takes its place; where that is 0 too, all scores are the same and the value is 0.5.
     """
-    s = latest_scores(scores)
-    total = scores.count()
-    mid = s.groupBy("qid", "component").agg(_median("score").alias("mid"), F.count("*").alias("n"))
-    a = hot_split_join(s, mid, ["qid", "component"], "n", total=total).withColumn("off", F.abs(F.col("score") - F.col("mid")))
-    dev = a.groupBy("qid", "component").agg(_median("off").alias("mad"), F.avg("off").alias("aad"), F.count("*").alias("n"))
-    b = hot_split_join(a, dev, ["qid", "component"], "n", total=total)
+    s = cut(latest_scores(scores))
+    keys = ["qid", "component"]
+    a = cut(hot_split_join(s, lower_medians(s, keys, "score"), keys, "n").withColumn("off", F.abs(F.col("score") - F.col("median"))).withColumnRenamed("median", "mid"))
+    mean = a.groupBy(*keys).agg(F.avg("off").alias("aad"))
+    dev = lower_medians(a, keys, "off").withColumnRenamed("median", "mad").join(mean, keys)
+    b = hot_split_join(a, dev, keys, "n")
     sigma = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SIGMA).when(F.col("aad") > 0, F.col("aad") * 1.2533)
     z = F.when(sigma.isNull(), 0.0).otherwise((F.col("score") - F.col("mid")) / sigma)
     # exp overflows to infinity beyond 709, where the value is 0 or 1 anyway; 30 keeps both ends apart from 0 and 1.
