@@ -219,9 +219,14 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit_field(docs: DataFrame, key: str, text: str, most: int = TRAIN_DOCUMENTS) -> Field:
-    """The field, fitted on the texts of at most `most` documents: those with the least hash of their key, so the same in every run; one scan keeps them."""
-    d = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(key).alias("h"))
-    return Field().fit(sorted({r["t"] for r in d.orderBy("h", "t").limit(most).collect()}))
+    """The field, fitted on the texts of at most `most` documents: those with the least hash of their key, so the same in every run. The hashes are found from the
+    keys alone; then the texts at or below the last are read, so that little goes to the driver however many tasks there are."""
+    h = docs.select(F.xxhash64(key).alias("h"))
+    least = [r[0] for r in h.orderBy("h").limit(most).collect()]
+    if not least:
+        return Field()
+    rows = docs.filter((F.xxhash64(key) <= least[-1]) & (F.length(text) > 0)).select(text).distinct().limit(most).collect()
+    return Field().fit(sorted(r[0] for r in rows))
 
 
 def repetition(docs: DataFrame, key: str, text: str, field: Field | Broadcast, share: float | None = None, slice_chars: int = 2_000_000) -> DataFrame:
