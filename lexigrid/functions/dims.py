@@ -23,11 +23,6 @@ INTENT_RELATION_WEIGHTS = {
 }
 UNKNOWN_RELATION = 0.3
 SYMMETRIC_RELATIONS = ("RELATED_TO", "LIÊN_QUAN_ĐẾN", "SYNONYM", "ĐỒNG_NGHĨA_VỚI", "CONTRADICTS", "MÂU_THUẪN_VỚI")
-TRANSITIVE_RELATIONS = ("IS_A", "PART_OF", "CONTAINS", "PRECEDES", "FOLLOWS", "REQUIRES")
-INVERSE_RELATIONS = {
-    "APPLIES_TO": "PART_OF", "CONTAINS": "PART_OF", "INCLUDES": "PART_OF", "IS_A": "CONTAINS", "PRECEDES": "FOLLOWS", "REFERENCES": "MENTIONED_IN",
-    "DELEGATES_TO": "AUTHORIZED_BY", "REQUIRES": "REQUIRED_BY",
-}
 
 # The intents in the order they are tried, with the words that show them; "reference" is an article number.
 INTENT_WORDS = {
@@ -129,6 +124,17 @@ RELATION_TYPES = {
     "KẾT_QUẢ": "RESULTS_IN", "THỰC_HIỆN_BỞI": "PERFORMED_BY", "CHỨA": "CONTAINS", "ĐỊNH_NGHĨA_TẠI": "DEFINED_IN", "ĐỀ_CẬP_TẠI": "MENTIONED_IN",
 }
 DEFAULT_RELATION_TYPE = "RELATED_TO"
+# Types of entities in Vietnamese and English; forms without accents follow by rule.
+ENTITY_TYPES = {
+    "TỔ_CHỨC": "ORGANIZATION", "VAI_TRÒ": "PERSON_ROLE", "THUẬT_NGỮ": "LEGAL_TERM", "THAM_CHIẾU": "LEGAL_REFERENCE", "TIỀN_TỆ": "MONETARY", "TỶ_LỆ": "PERCENTAGE",
+    "THỜI_HẠN": "DURATION", "ĐỊA_ĐIỂM": "LOCATION", "ĐIỀU_KIỆN": "CONDITION", "HÀNH_VI": "ACTION", "CHẾ_TÀI": "PENALTY",
+}
+DEFAULT_ENTITY_TYPE = "LEGAL_TERM"
+# Kinds of documents as they are written on them, and their names in ids.
+DOCUMENT_KINDS = {
+    "hiến pháp": "hien_phap", "bộ luật": "luat", "luật": "luat", "pháp lệnh": "phap_lenh", "nghị định": "nghi_dinh", "nghị quyết": "nghi_quyet", "quyết định": "quyet_dinh",
+    "thông tư liên tịch": "thong_tu", "thông tư": "thong_tu", "chỉ thị": "chi_thi",
+}
 # Cross-reference predicates and their names.
 CROSSREF_TYPES = {
     "THAM_CHIẾU": "references", "SỬA_ĐỔI": "amends", "THAY_THẾ": "supersedes", "BÃI_BỎ": "repeals", "HƯỚNG_DẪN": "implements", "ĐỊNH_NGHĨA_TẠI": "defined_in",
@@ -177,11 +183,17 @@ def accent_map() -> tuple[str, str]:
     return "".join(marked) + "".join(c.upper() for c in marked), "".join(plain) + "".join(c.upper() for c in plain)
 
 
-def relation_type_map() -> dict[str, str]:
-    """RELATION_TYPES with the forms without accents and the types themselves."""
+def _all_forms(types: dict[str, str]) -> dict[str, str]:
     a, b = accent_map()
     fold = str.maketrans(a, b)
-    out = dict(RELATION_TYPES)
-    out.update({k.translate(fold): v for k, v in RELATION_TYPES.items()})
-    out.update({v: v for v in RELATION_TYPES.values()})
-    return out
+    return types | {k.translate(fold): v for k, v in types.items()} | {v: v for v in types.values()}
+
+
+def relation_type_map() -> dict[str, str]:
+    """RELATION_TYPES with the forms without accents and the types themselves."""
+    return _all_forms(RELATION_TYPES)
+
+
+def entity_type_map() -> dict[str, str]:
+    """ENTITY_TYPES likewise."""
+    return _all_forms(ENTITY_TYPES)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims
@@ -52,6 +53,22 @@ def breakdown(m: DataFrame, attributes: DataFrame, dimensions: tuple[str, ...],
     return agg.select(name.alias("dimension"), F.coalesce(*dimensions, F.lit("all")).alias("value"), "questions", "hit", "recall", "rr")
 
 
+def confidence_bucket(c: Column) -> Column:
+    """low below .5, medium below .7, high from there on; none without."""
+    return F.when(c.isNull(), "none").when(c < 0.5, "low").when(c < 0.7, "medium").otherwise("high")
+
+
+def volume_bucket(n: Column) -> Column:
+    """How many articles came: 0, 1-10, 11-30, 31-50 or more."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0").when(n <= 10, "1-10").when(n <= 30, "11-30").when(n <= 50, "31-50").otherwise("51+")
+
+
+def hit_pattern(tree: Column, kg: Column) -> Column:
+    """both, tree_only, kg_only or neither."""
+    t, g = F.coalesce(tree, F.lit(False)), F.coalesce(kg, F.lit(False))
+    return F.when(t & g, "both").when(t, "tree_only").when(g, "kg_only").otherwise("neither")
+
+
 def expected_bucket(n):
     """1, 2-3 or 4+ relevant items."""
     return F.when(n <= 1, "1").when(n <= 3, "2-3").otherwise("4+")
@@ -96,26 +113,32 @@ def set_scores(found: DataFrame, qrels: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ablation:
-    """The switches of the engine."""
+    """The switches of the engine. What is off by default is what the engine leaves out unless it is asked for: ontology, document_filter and filter_dual, without which
+    adaptive_threshold and ambiguity have nothing to decide."""
 
     name: str = "full"
     tree: bool = True
     dual: bool = True
     bridge: bool = True
     kg_expansion: bool = True
+    kg_retrieval: bool = True
     adjacent: bool = True
-    rerank: bool = False
+    rerank: bool = True
     ppr: bool = True
     keyphrase: bool = True
     semantic: bool = True
     concept: bool = True
     theme: bool = True
     hierarchy: bool = True
-    ontology: bool = True
     cross_check: bool = True
     query_expansion: bool = True
-    document_filter: bool = False
+    classification: bool = True
+    adaptive_threshold: bool = True
+    ambiguity: bool = True
     rrf: bool = True
+    ontology: bool = False
+    document_filter: bool = False
+    filter_dual: bool = False
 
     def as_dict(self) -> dict:
         return dict(self.__dict__)
@@ -124,15 +147,54 @@ class Ablation:
     def from_dict(cls, d: dict) -> Ablation:
         return cls(**{k: v for k, v in d.items() if k in cls.__dataclass_fields__})
 
-
-def ablations() -> list[Ablation]:
-    """The named configurations: everything, each part off, and each tier alone."""
-    full = Ablation()
-    off = ["tree", "dual", "bridge", "kg_expansion", "adjacent", "ppr", "keyphrase", "semantic", "concept", "theme", "hierarchy", "ontology", "cross_check", "query_expansion", "rrf"]
-    out = [full, *[replace(full, name=f"no_{c}", **{c: False}) for c in off]]
-    out.append(replace(full, name="with_rerank", rerank=True))
-    out.append(replace(full, name="with_document_filter", document_filter=True))
-    out.append(replace(full, name="tree_only", dual=False, kg_expansion=False, cross_check=False, adjacent=False))
-    out.append(replace(full, name="dual_only", tree=False, kg_expansion=False, cross_check=False, adjacent=False))
-    out.append(replace(full, name="tiers_1_2", kg_expansion=False, adjacent=False))
-    return out
+    @classmethod
+    def everything(cls) -> Ablation:
+        """Every switch on."""
+        return cls(ontology=True, document_filter=True, filter_dual=True)
+
+
+_FUSION = ("kg_expansion", "bridge", "adjacent", "rrf")
+# The named configurations and the switches they turn off.
+CONFIGURATIONS: dict[str, tuple[str, ...]] = {
+    "full": (),
+    "tree_only": ("dual", *_FUSION),
+    "dual_only": ("tree", *_FUSION),
+    "dual_no_ppr": ("tree", "ppr", *_FUSION),
+    "no_ppr": ("ppr",),
+    "no_semantic_bridge": ("bridge",),
+    "no_kg_expansion": ("kg_expansion",),
+    "no_rrf_merge": ("rrf",),
+    "no_adjacent": ("adjacent",),
+    "no_tree": ("tree",),
+    "no_dual": ("dual",),
+    "simple_merge": _FUSION,
+    "no_reranker": ("rerank",),
+    "no_tree_no_reranker": ("tree", "rerank"),
+    "no_kg": ("dual", "kg_retrieval", "kg_expansion"),
+    "no_query_type": ("classification",),
+    "no_ontology": ("ontology",),
+    "no_doc_filter": ("document_filter",),
+    "no_adaptive_threshold": ("adaptive_threshold",),
+    "no_ambiguity_calibration": ("ambiguity",),
+    "no_calibration": ("adaptive_threshold", "ambiguity"),
+}
+#: The parts of the second tier and of the question's treatment, one off each.
+PARTS = ("keyphrase", "semantic", "concept", "theme", "hierarchy", "cross_check", "query_expansion")
+
+
+def ablations(base: Ablation = Ablation.everything()) -> list[Ablation]:
+    """The named configurations, from a base."""
+    return [replace(base, name=name, **{c: False for c in off}) for name, off in CONFIGURATIONS.items()]
+
+
+def part_ablations(base: Ablation = Ablation.everything()) -> list[Ablation]:
+    """The base with each of PARTS off."""
+    return [replace(base, name=f"no_{c}", **{c: False}) for c in PARTS]
+
+
+def selected(questions: DataFrame, limit: int | None = None, offset: int = 0, ids: Sequence | None = None, key: str = "qid") -> DataFrame:
+    """Some questions of a benchmark: those of the given ids, or from the offset on by key as many as limit says; without anything all."""
+    d = questions if ids is None else questions.filter(F.col(key).isin(*ids))
+    if offset or limit is not None:
+        d = d.orderBy(key).offset(offset)
+    return d if limit is None else d.limit(limit)

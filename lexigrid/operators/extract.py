@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,11 +21,15 @@ CROSSREF_PATTERNS = (
     (rf"thay\s+thế\s+(?:cho\s+)?Điều\s+(\d+)(?:\s+(?:Luật|Nghị\s+định)\s+(?:số\s+)?{_LAW})?", (1, 0, 0, 2), "THAY_THẾ", 0.90),
     (r"(?:tại|của|theo)\s+Điều\s+(\d+)(?:[,\s]+Khoản\s+(\d+))?", (1, 2, 0, 0), "THAM_CHIẾU", 0.75),
 )
+#: The order of words that names the smallest part first and the law as a numbered text; after the fixed patterns.
+FURTHER_PATTERNS = (
+    (rf"(?:theo|căn\s+cứ|tại|của)\s+(?:Điểm\s+([a-zđ])[,\s]+)?(?:Khoản\s+(\d+)[,\s]+)?Điều\s+(\d+)(?:\s+(?:văn\s+bản|Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)\s+(?:số\s+)?{_LAW})?", (3, 2, 1, 4), "THAM_CHIẾU", 0.75),
+)
 #: Added for a law's number and for a clause; the sum is at most 1.
 LAW_BONUS, CLAUSE_BONUS = 0.05, 0.02
 #: Characters on each side in which the sentence around a reference is sought.
 CONTEXT = 200
-_COMPILED = [(re.compile(p, re.I), g, t, c) for p, g, t, c in CROSSREF_PATTERNS]
+_COMPILED = [(re.compile(p, re.I), g, t, c) for p, g, t, c in CROSSREF_PATTERNS + FURTHER_PATTERNS]
 
 
 def context_sentence(s: str, start: int, end: int) -> str:
@@ -98,22 +102,55 @@ def parsed_reference(c: Column) -> Column:
     return F.struct(p["article"].alias("article"), p["clause"].alias("clause"), p["point"].alias("point"), text.document_number(law).alias("document"))
 
 
-def abbreviation_class(c: Column) -> Column:
-    """struct(is_abbreviation, confidence, reason) of a word by its letters: without vowels 100, hyphenated and short 95, mostly consonants 85 or 70."""
+# Tags of common words and of proper names, as a tagger of Vietnamese gives them.
+COMMON_TAGS = ("N", "V", "A", "P", "R", "E", "C", "T", "I", "L")
+PROPER_TAGS = ("Np", "Ny", "Nb", "Nu")
+CLASSIFIER_TAG = "M"
+
+
+def abbreviation_class(c: Column, tag: Column | None = None) -> Column:
+    """struct(is_abbreviation, confidence, reason) of a word by its letters and, where a tagger gave one, its tag.
+
+    Without vowels 100, hyphenated and short 95; tagged as a common word not, at 10; as a proper name with vowels not, at 15; mostly consonants 85, as a classifier 75,
+    and longer ones 70.
+    """
     clean = F.upper(F.regexp_replace(c, "-", ""))
     n = F.length(clean)
     vowels = n - F.length(F.translate(clean, dims.VIETNAMESE_VOWELS, ""))
     ratio = (n - vowels) / F.greatest(n, F.lit(1))
-    yes = lambda conf, why: F.struct(F.lit(True).alias("is_abbreviation"), F.lit(conf).alias("confidence"), F.lit(why).alias("reason"))
+    tag = F.lit(None).cast("string") if tag is None else tag
+    common, proper = F.coalesce(tag.isin(*COMMON_TAGS), F.lit(False)), F.coalesce(tag.isin(*PROPER_TAGS), F.lit(False))
+    say = lambda yes, conf, why: F.struct(F.lit(yes).alias("is_abbreviation"), F.lit(conf).alias("confidence"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"))
     return (
-        F.when((vowels == 0) & (n >= 2), yes(100, "all_consonants"))
-        .when(c.contains("-") & (n <= 6), yes(95, "hyphenated"))
-        .when((ratio >= 0.75) & (n <= 5), yes(85, "high_cons_short_untagged"))
-        .when((ratio >= 0.85) & (n <= 6), yes(70, "very_high_cons"))
-        .otherwise(F.struct(F.lit(False).alias("is_abbreviation"), F.lit(0).alias("confidence"), F.lit("").alias("reason")))
+        F.when((vowels == 0) & (n >= 2), say(True, 100, "all_consonants"))
+        .when(c.contains("-") & (n <= 6), say(True, 95, "hyphenated"))
+        .when(common, say(False, 10, F.concat(F.lit("pos_"), tag)))
+        .when(proper & (vowels > 0) & ((n > 4) | (ratio < 0.70)), say(False, 15, F.concat(F.lit("pos_"), tag, F.lit("_has_vowel"))))
+        .when((ratio >= 0.75) & (n <= 5), say(True, 85, "high_cons_short_untagged"))
+        .when(F.coalesce(tag == CLASSIFIER_TAG, F.lit(False)) & (ratio >= 0.7), say(True, 75, F.concat(F.lit("pos_"), tag, F.lit("_high_cons"))))
+        .when((ratio >= 0.85) & (n <= 6), say(True, 70, "very_high_cons"))
+        .otherwise(say(False, 0, ""))
     )
 
 
+def tagged(words: DataFrame, tagger: Callable[[str, str], str | None], word: str = "word", context: str = "context") -> DataFrame:
+    """words (word, context) with tag, as the tagger gives it for the word in its context; each pair is asked once, in Arrow batches."""
+    pairs = words.select(word, context).distinct()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["tag"] = [tagger(w, c) if w is not None else None for w, c in zip(f[word], f[context])]
+            yield f
+
+    tags = pairs.mapInPandas(ask, f"`{word}` string, `{context}` string, tag string")
+    return words.join(tags.select(F.col(word).alias("_w"), F.col(context).alias("_c"), "tag"), F.col(word).eqNullSafe(F.col("_w")) & F.col(context).eqNullSafe(F.col("_c")), "left").drop("_w", "_c")
+
+
+def listed_abbreviations(a: DataFrame, confidence: int = 0, least: int = 1) -> DataFrame:
+    """abbreviations() of at least so many uses and such confidence, the most used first, ties by the word."""
+    return a.filter((F.col("corpus_count") >= least) & (F.col("confidence") >= confidence)).orderBy(F.desc("corpus_count"), "abbr")
+
+
 _UPPER = r"[\p{Lu}][\p{Lu}0-9\-]{1,9}"
 
 
@@ -165,8 +202,15 @@ def terms_in(s: str) -> list[tuple[str, str, int | None, float]]:
     return list(found.values())
 
 
-def terminology(articles: DataFrame, key: str = "id", column: str = "content") -> DataFrame:
-    """(key, short_form, full_form, clause, confidence): terms articles define."""
+def is_glossary(title: Column) -> Column:
+    """Whether an article's title says that it explains words."""
+    return F.coalesce(title.rlike(GLOSSARY_TITLE), F.lit(False))
+
+
+def terminology(articles: DataFrame, key: str = "id", column: str = "content", title: str | None = None) -> DataFrame:
+    """(key, short_form, full_form, clause, confidence): terms articles define; with title, a column, only of articles that explain words by their title."""
+    if title is not None:
+        articles = articles.filter(is_glossary(F.col(title)))
     return _mapped(articles, key, column, "short_form string, full_form string, clause int, confidence double", terms_in, r"(?iu)gọi\s+(tắt\s+)?là|\)\s+là\s")
 
 

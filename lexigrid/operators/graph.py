@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims
-from lexigrid.operators.skew import hot_split_join
+from lexigrid.operators.skew import hot_split_join, parted_join
 from lexigrid.session import cut
 
 
+#: Edges of a graph that is sent to every task: 24 bytes each and the names of the nodes, some 100 MB at most.
+EDGE_ROWS = 1_000_000
+#: Numbers of a matrix of scores, or of the shares that flow along the edges, that are worked out at once.
+MATRIX_CELLS = 16_000_000
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): for each node of an undirected edge table the least node it is connected with.
 
@@ -72,26 +80,95 @@ def transition(edges: DataFrame, intents: DataFrame, gamma: float = 0.5, floor:
     return raw.join(out, ["intent_set", "src"]).select("intent_set", "src", "dst", (F.col("w") / F.col("t")).alias("w"))
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 50, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+def personalized_pagerank(
+    edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 50, tolerance: float = 1e-6, checkpoint_every: int = 5, most_edges: int = EDGE_ROWS
+) -> DataFrame:
     """(qid, node, score) for score above 0: personalised PageRank of all questions at once.
 
     edges (src, dst, w) with weights that sum to 1 per source; seeds (qid, node, weight). p <- alpha s + (1 - alpha) W' p from p = s, until the scores of
     every question change by less than tolerance in sum, at most `iterations` times. alpha is the teleport. Seeds are divided by their sum
-    per question, also those the graph doesn't have; sources without edges lose their share. The edge table is shuffled once by source and
-    checkpointed; a step joins the scores to it and sums per (qid, node), combined on the map side.
+    per question, also those the graph doesn't have; sources without edges lose their share.
+
+    A graph of at most most_edges edges, which is counted first, goes to every task as a matrix, and the questions are worked out in blocks, each at once. A larger one is
+    walked by joins: the edge table is shuffled once by source and checkpointed; a step joins the scores to it and sums per (qid, node), combined on the
+    map side.
     """
     s = seeds.filter("node is not null and weight > 0").groupBy("qid", "node").agg(F.sum("weight").alias("w"))
     s = cut(s.join(s.groupBy("qid").agg(F.sum("w").alias("t")), "qid").select("qid", "node", (F.col("w") / F.col("t")).alias("s")))
-    e = cut(edges.select(F.col("src").alias("node"), "dst", "w").repartition("node"))
+    e = cut(edges.filter("src is not null and dst is not null").select(F.col("src").alias("node"), "dst", "w").repartition("node"))
+    n = e.count()
+    if n <= most_edges:
+        return _walked_in_blocks(e, s, n, alpha, iterations, tolerance, checkpoint_every)
+    return _walked_by_joins(e, s, alpha, iterations, tolerance, checkpoint_every)
+
+
+class _Matrix:
+    """The transitions as arrays, ordered by target."""
+
+    def __init__(self, nodes: list, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
+        order = np.argsort(dst, kind="stable")
+        self.nodes, self.src, self.w = nodes, src[order], w[order]
+        self.targets, self.starts = np.unique(dst[order], return_index=True)
+
+    def step(self, p: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(p)
+        if len(self.starts):
+            out[self.targets] = np.add.reduceat(self.w[:, None] * p[self.src], self.starts, axis=0)
+        return out
+
+
+def _walked_in_blocks(e: DataFrame, s: DataFrame, n: int, alpha: float, iterations: int, tolerance: float, every: int) -> DataFrame:
+    rows = e.toPandas()
+    codes, nodes = pd.factorize(pd.concat([rows["node"], rows["dst"]], ignore_index=True))
+    sent = e.sparkSession.sparkContext.broadcast(_Matrix(list(nodes), codes[:n], codes[n:], rows["w"].to_numpy()))
+    # As many questions at once as a matrix of some 128 MB takes.
+    width = int(np.clip(MATRIX_CELLS // max(n, len(nodes), 1), 1, 256))
+    blocks = max(1, -(-s.select("qid").distinct().count() // width))
+    schema = f"qid {s.schema['qid'].dataType.simpleString()}, node {s.schema['node'].dataType.simpleString()}, score double"
+
+    def walk(f: pd.DataFrame) -> pd.DataFrame:
+        m = sent.value
+        place = {x: i for i, x in enumerate(m.nodes)}
+        out = []
+        asked = f["qid"].unique()
+        for at in range(0, len(asked), width):
+            qids = asked[at : at + width]
+            g = f[f["qid"].isin(qids)]
+            column = {q: i for i, q in enumerate(qids)}
+            row = g["node"].map(place)
+            known = row.notna().to_numpy()
+            # Seeds that the graph doesn't have keep what comes back to them.
+            away = g[~known]
+            out.append(pd.DataFrame({"qid": away["qid"], "node": away["node"], "score": away["s"] * (alpha if iterations else 1.0)}))
+            seed = np.zeros((len(m.nodes), len(qids)))
+            seed[row[known].astype(int).to_numpy(), g["qid"].map(column)[known].to_numpy()] = g["s"][known].to_numpy()
+            p = seed
+            before = p
+            for i in range(iterations):
+                p = alpha * seed + (1 - alpha) * m.step(p)
+                if i + 1 == iterations or (i + 1) % every == 0:
+                    if np.abs(p - before).sum(axis=0).max(initial=0) < tolerance:
+                        break
+                before = p
+            i, j = np.nonzero(p > 0)
+            out.append(pd.DataFrame({"qid": qids[j], "node": [m.nodes[k] for k in i], "score": p[i, j]}))
+        return pd.concat(out)
+
+    # A block has about `width` questions; where chance gives it more they are taken in turn.
+    return s.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_b")).applyInPandas(lambda f: walk(f), schema)
+
+
+def _walked_by_joins(e: DataFrame, s: DataFrame, alpha: float, iterations: int, tolerance: float, checkpoint_every: int) -> DataFrame:
     p = s.select("qid", "node", F.col("s").alias("p"))
     for i in range(iterations):
         flow = p.join(e, "node").select("qid", F.col("dst").alias("node"), (F.col("p") * F.col("w") * (1 - alpha)).alias("x"))
         step = flow.unionByName(s.select("qid", "node", (F.col("s") * alpha).alias("x"))).groupBy("qid", "node").agg(F.sum("x").alias("p"))
         last = i + 1 == iterations
         if last or (i + 1) % checkpoint_every == 0:
+            before = cut(p) if checkpoint_every > 1 else p
             step = cut(step)
             change = (
-                step.withColumnRenamed("p", "a").join(p.withColumnRenamed("p", "b"), ["qid", "node"], "full_outer")
+                step.withColumnRenamed("p", "a").join(before.withColumnRenamed("p", "b"), ["qid", "node"], "full_outer")
                 .groupBy("qid").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
             )
             p = step
@@ -102,6 +179,23 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     return p.filter("p > 0").select("qid", "node", F.col("p").alias("score"))
 
 
+def first_articles(mentions: DataFrame) -> DataFrame:
+    """(entity_id, article_id): each entity's first source, ties by id."""
+    return mentions.groupBy("entity_id").agg(F.min_by("article_id", F.struct("ord", "article_id")).alias("article_id"))
+
+
+def related_articles(edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(article_id, related_id, relation_type, confidence): the first source of the other end of each edge at one of an article's entities, either way; other articles
+    only, each type at its surest."""
+    at = mentions.select("entity_id", "article_id").distinct()
+    first = first_articles(mentions).withColumnRenamed("article_id", "related_id")
+    both = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other"), "relation_type", "confidence").union(edges.select("dst", "src", "relation_type", "confidence"))
+    # An entity may be at the end of a tenth of all edges: edges are first brought to their other end's article and summed up.
+    ends = both.join(first.withColumnRenamed("entity_id", "other"), "other").groupBy("entity_id", "related_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+    met = parted_join(at, ends, ["entity_id"]).filter("article_id <> related_id")
+    return met.groupBy("article_id", "related_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+
+
 def pagerank_articles(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     """(qid, article_id, score): the greatest entity score per article number of the entity's first source, given to all articles of that number.
 
@@ -109,7 +203,9 @@ def pagerank_articles(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     """
     first = mentions.filter("article_number is not null").groupBy("entity_id").agg(F.min_by("article_number", F.struct("ord", "article_id")).alias("article_number"))
     best = scores.join(first.withColumnRenamed("entity_id", "node"), "node").groupBy("qid", "article_number").agg(F.max("score").alias("score"))
-    return best.join(mentions.select("article_id", "article_number").distinct(), "article_number").select("qid", "article_id", "score")
+    # Numbers are few and every law has the first of them: many rows on both sides.
+    articles = mentions.filter("article_number is not null").select("article_number", "article_id").distinct()
+    return parted_join(best, articles, ["article_number"]).select("qid", "article_id", "score")
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:

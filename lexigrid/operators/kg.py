@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, text
 from lexigrid.operators.graph import connected_components
+from lexigrid.operators.skew import parted_join
 
 
 def merged_entities(raw: DataFrame) -> DataFrame:
@@ -125,41 +128,56 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 LEGAL_REFERENCE = r"dieu\s+\d+|khoan\s+\d+|diem\s+\w+"
 
 
+# Letters of Vietnamese without marks from the most to the least common, about, and digits: of two the later is the rarer.
+LETTER_ORDER = " nhigtcoaumlyvdbpksrqx0123456789efwjz_"
+#: Letters of the rarest that two names must share to meet in a block.
+SHARED = 3
+
+
+def letter_blocks(name: str, threshold: float) -> list[str]:
+    """The block keys of a name: two names at Jaro-Winkler `threshold` (above .9) or more share one, whatever letters differ and wherever they stand.
+
+    Four letters of common beginning add at most .4 (1 - j), so Jaro's j is at least (t - .4) / .6. With all m shared letters in order it is (m/a + m/b + 1) / 3, so
+    m/a + m/b is at least 3 j - 1, and the shorter name has at least 3 j - 2 of the longer one's letters. So a name of n letters shares a least number with any alike
+    one. Its letters, each with how many like it stand before, are ordered from the rarest; of the first n - least + SHARED, alike names share at least SHARED:
+    the combinations of so many are the keys.
+    """
+    j = (threshold - 1e-6 - 0.4) / 0.6
+    n = len(name)
+    other = (3 * j - 2) * n
+    least = math.ceil((3 * j - 1) * n * other / (n + other) - 1e-9)
+    seen: dict[str, int] = {}
+    marks = []
+    for x in sorted(name):
+        k = seen[x] = seen.get(x, 0) + 1
+        marks.append((-k * (LETTER_ORDER.find(x) + 1 or len(LETTER_ORDER) + 1), x, k))
+    marks.sort()
+    return [" ".join(c) for c in combinations([f"{x}{k}" for _, x, k in marks[: max(SHARED, n - least + SHARED)]], SHARED)]
+
+
 def comparable_pairs(entities: DataFrame, threshold: float = 0.98, short: int = 15) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b: pairs of canonical names that are alike by the rules of deduplication, from the threshold on.
+    """(id_a, id_b, similarity), id_a < id_b: pairs of canonical names that are alike by the rules of deduplication, from the threshold (above .9) on.
 
     Names of 15 characters or more, no references to the law, equal numbers where both have some; pairs of different types fall below any threshold above .8.
-    Equal names are linked through their least id, not by pairs. Jaro-Winkler of .98 leaves one letter in twenty to differ, so all words but
-    one or two, of names of 60 characters and more but three, stay whole: the words without those are the blocks, which no common beginning fills.
+    Equal names are linked through their least id, not by pairs. The blocks are exact: see letter_blocks.
     """
     c = entities.select("id", "type_str", text.canonical(F.col("name")).alias("c")).filter("length(c) > 0").distinct()
     g = c.groupBy("c", "type_str").agg(F.min("id").alias("id"))
     same = c.join(g.withColumnRenamed("id", "first"), ["c", "type_str"]).filter("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
     numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("c", F.lit(r"\d+"), F.lit(0)))), " ")
     long = g.filter((F.length("c") >= short) & ~F.col("c").rlike(LEGAL_REFERENCE)).withColumn("nums", numbers).withColumn("len", F.length("c"))
-    out_of = lambda n: F.sequence(F.lit(0), n - 1)
-    without = lambda w, drop: F.array_join(F.filter(w, lambda _, k: ~drop(k)), " ")
-    w, n = F.col("w"), F.size("w")
-    one = F.transform(out_of(n), lambda a: without(w, lambda k: k == a))
-    two = F.flatten(F.transform(out_of(n), lambda a: F.transform(F.filter(out_of(n), lambda b: b > a), lambda b: without(w, lambda k: (k == a) | (k == b)))))
-    three = F.flatten(
-        F.flatten(
-            F.transform(
-                out_of(n),
-                lambda a: F.transform(
-                    F.filter(out_of(n), lambda b: b > a), lambda b: F.transform(F.filter(out_of(n), lambda d: d > b), lambda d: without(w, lambda k: (k == a) | (k == b) | (k == d)))
-                ),
-            )
-        )
-    )
-    none = F.array().cast("array<string>")
-    keys = F.concat(one, F.when(n > 2, two).otherwise(none), F.when((F.col("len") >= 60) & (n > 3), three).otherwise(none))
-    b = long.withColumn("w", F.split("c", " ")).select("id", "type_str", "c", "nums", "len", F.explode(F.array_distinct(keys)).alias("key")).withColumn("key", F.xxhash64("type_str", "key"))
-    x = b.select("key", F.col("id").alias("id_a"), F.col("c").alias("ca"), F.col("type_str").alias("ta"), F.col("nums").alias("na"), F.col("len").alias("la"))
-    y = b.select("key", F.col("id").alias("id_b"), F.col("c").alias("cb"), F.col("type_str").alias("tb"), F.col("nums").alias("nb"), F.col("len").alias("lb"))
-    cand = x.join(y, "key").filter("id_a < id_b and ca <> cb and ta = tb and abs(la - lb) <= 0.06 * greatest(la, lb) + 1 and (na = '' or nb = '' or na = nb)")
-    cand = cand.select("id_a", "id_b", "ca", "cb").distinct()
-    close = cand.withColumn("similarity", F.round(jaro_winkler_column()("ca", "cb"), 6)).filter(F.col("similarity") >= threshold)
+
+    @F.pandas_udf("array<string>")
+    def blocks(names: pd.Series) -> pd.Series:
+        return pd.Series([letter_blocks(n, threshold) for n in names], dtype=object)
+
+    b = long.withColumn("keys", blocks("c")).select("id", "type_str", "c", "nums", "len", F.explode(F.array_distinct("keys")).alias("key"))
+    b = b.withColumn("key", F.xxhash64("type_str", "key"))
+    side = lambda x: b.select("key", *[F.col(v).alias(f"{v}_{x}") for v in ("id", "c", "type_str", "nums", "len")])
+    shorter = (3 * (threshold - 1e-6 - 0.4) / 0.6 - 2) * F.greatest("len_a", "len_b")
+    cand = parted_join(side("a"), side("b"), ["key"], 2000).filter("id_a < id_b and c_a <> c_b and type_str_a = type_str_b and (nums_a = '' or nums_b = '' or nums_a = nums_b)").filter(F.least("len_a", "len_b") >= shorter)
+    cand = cand.select("id_a", "id_b", "c_a", "c_b").distinct()
+    close = cand.withColumn("similarity", F.round(jaro_winkler_column()("c_a", "c_b"), 6)).filter(F.col("similarity") >= threshold)
     return same.unionByName(close.select("id_a", "id_b", "similarity"))
 
 
@@ -184,6 +202,16 @@ def relation_type(c: Column) -> Column:
     return F.coalesce(F.try_element_at(text.literal_map(dims.relation_type_map()), text.predicate(c)), F.lit(dims.DEFAULT_RELATION_TYPE))
 
 
+def entity_type(c: Column) -> Column:
+    """The type of an entity named in Vietnamese or English, with or without accents; LEGAL_TERM for others."""
+    return F.coalesce(F.try_element_at(text.literal_map(dims.entity_type_map()), text.predicate(c)), F.lit(dims.DEFAULT_ENTITY_TYPE))
+
+
+def vietnamese_type(c: Column) -> Column:
+    """The Vietnamese name of an entity's type; null for no type."""
+    return F.try_element_at(text.literal_map({v: k for k, v in dims.ENTITY_TYPES.items()}), c)
+
+
 def evidence_verdict(evidence: Column, source: Column) -> Column:
     """'exact' when the source has the evidence, 'words' when it has seven tenths of its words of more than two letters, else 'none'."""
     e, s = F.lower(F.trim(evidence)), F.lower(source)

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, text
+from lexigrid.operators.skew import parted_join
+from lexigrid.operators.tree import confidence as tree_confidence  # noqa: F401
+from lexigrid.operators.tree import searched as tree_without_model  # noqa: F401
 
 #: Characters of question text that go to every task at most; larger batches are split by the caller.
 QUERY_BYTES = 64_000_000
+#: Query vectors that go to every task at a time, and rows that are multiplied with them at a time: a matrix of some 64 MB.
+QUERY_ROWS, VECTOR_ROWS = 4096, 2048
+#: Threshold of dual's scores where it doesn't follow the overlap.
+FIXED_THRESHOLD = 0.5
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -27,7 +34,7 @@ def keyphrase_value(ov: Column, terms: Column, two: Column, three: Column, name_
 
 
 class _Batch:
-    """A batch of questions, to be met by one name after the other: terms by an inverted index, runs of words by an automaton, whole questions by search."""
+    """A batch of questions, to be met by one name after the other: terms by an inverted index, runs of words and whole questions by automatons."""
 
     def __init__(self, rows: Sequence[tuple]):
         import ahocorasick
@@ -49,36 +56,49 @@ class _Batch:
         if runs:
             self.automaton.make_automaton()
         self.has_runs = bool(runs)
-        self.joined = "\x00".join(self.questions)
-        self.starts = [0]
-        for q in self.questions:
-            self.starts.append(self.starts[-1] + len(q) + 1)
-        self.by_length = sorted(range(len(rows)), key=lambda k: len(self.questions[k]))
+        self.wholes = ahocorasick.Automaton()
+        whole: dict[str, list[int]] = {}
+        for k, q in enumerate(self.questions):
+            if q:
+                whole.setdefault(q, []).append(k)
+        for q, ks in whole.items():
+            self.wholes.add_word(q, ks)
+        if whole:
+            self.wholes.make_automaton()
+        self.has_wholes = bool(whole)
+
+    def inside(self, names: Sequence[str]) -> dict[str, set[int]]:
+        """For each of the names the questions that have it: an automaton of the names reads every question once."""
+        import ahocorasick
 
-    def facts(self, name: str) -> Iterator[tuple[int, tuple]]:
+        a = ahocorasick.Automaton()
+        for n in names:
+            if n:
+                a.add_word(n, n)
+        found: dict[str, set[int]] = {}
+        if len(a):
+            a.make_automaton()
+            for k, q in enumerate(self.questions):
+                for _, n in a.iter(q):
+                    found.setdefault(n, set()).add(k)
+        return found
+
+    def facts(self, name: str, inside: set[int]) -> Iterator[tuple[int, tuple]]:
         """(question, (shared terms, terms, two, three, name in question, question in name)) for each question the name has to do with."""
         shared: dict[int, int] = {}
         for w in {w for w in _BLANKS.split(name) if w}:
             for k in self.terms.get(w, ()):
                 shared[k] = shared.get(k, 0) + 1
-        two, three, inside, around = set(), set(), set(), set()
+        two, three, around = set(), set(), set()
         if self.has_runs:
             for _, v in self.automaton.iter(name):
                 for k, n in v:
                     (two if n == 2 else three).add(k)
         if not name:
-            inside.update(range(len(self.ids)))
-        elif "\x00" not in name:
-            at = self.joined.find(name)
-            while at >= 0:
-                k = bisect_right(self.starts, at) - 1
-                inside.add(k)
-                at = self.joined.find(name, self.starts[k + 1])
-        for k in self.by_length:
-            if len(self.questions[k]) > len(name):
-                break
-            if self.questions[k] in name:
-                around.add(k)
+            inside = set(range(len(self.ids)))
+        if self.has_wholes:
+            for _, ks in self.wholes.iter(name):
+                around.update(ks)
         for k in shared.keys() | two | three | inside | around:
             yield k, (shared.get(k, 0), self.n_terms[k], k in two, k in three, k in inside, k in around)
 
@@ -102,7 +122,8 @@ def keyphrase_scores(queries: DataFrame, entities: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch = _Batch(sent.value)
         for f in frames:
-            out = [(batch.ids[k], n, *v) for n in f["n"] for k, v in batch.facts(n)]
+            inside = batch.inside(f["n"])
+            out = [(batch.ids[k], n, *v) for n in f["n"] for k, v in batch.facts(n, inside.get(n, set()))]
             yield pd.DataFrame(out, columns=["qid", "n", "ov", "nt", "two", "three", "name_in", "query_in"])
 
     names = entities.select(F.lower("name").alias("n")).filter("n is not null").distinct()
@@ -217,11 +238,19 @@ def ambiguity(query: Column, kind: Column, refs: Column, confidence: Column) ->
     return F.greatest(F.lit(0.7), 1 - 0.075 * n)
 
 
-def cross_check(tree: DataFrame, dual: DataFrame, chapters: DataFrame, most: int = 3) -> DataFrame:
+def calibrated(results: DataFrame, thresholds: DataFrame, calibration: DataFrame) -> DataFrame:
+    """results (qid, .., score) from the question's threshold (qid, threshold) times its calibration (qid, calibration) on; a question without a threshold has
+    FIXED_THRESHOLD, one without calibration 1."""
+    d = results.join(thresholds.select("qid", "threshold"), "qid", "left").join(calibration.select("qid", "calibration"), "qid", "left")
+    limit = F.coalesce("threshold", F.lit(FIXED_THRESHOLD)) * F.coalesce("calibration", F.lit(1.0))
+    return d.filter(F.col("score") >= limit).drop("threshold", "calibration")
+
+
+def cross_check(tree: DataFrame, dual: DataFrame, chapters: DataFrame, most: int = 3, bridge: bool = True) -> DataFrame:
     """(qid, article_id, score, why): what dual adds to the tree's articles.
 
     'chapter': where tree and dual's first five overlap less than .4, up to `most` of dual's first ten from chapters the tree doesn't have;
-    'score': dual's first seven above .55 that the tree lacks. chapters (article_id, chapter_id).
+    'score', with bridge: dual's first seven above .55 that the tree lacks. chapters (article_id, chapter_id).
     """
     ch = chapters.select("article_id", "chapter_id").dropDuplicates(["article_id"])
     have = tree.select("qid", "article_id").distinct()
@@ -231,7 +260,8 @@ def cross_check(tree: DataFrame, dual: DataFrame, chapters: DataFrame, most: int
     fresh = missing.join(low, "qid", "left_semi").join(ch, "article_id").filter("chapter_id is not null").join(seen, ["qid", "chapter_id"], "left_anti")
     first = ranked(fresh.drop("rank"), k=most, rank="_r").select("qid", "article_id", "score", F.lit("chapter").alias("why"))
     strong = missing.filter("rank <= 7 and score > 0.55").select("qid", "article_id", "score", F.lit("score").alias("why"))
-    return first.unionByName(strong).groupBy("qid", "article_id").agg(F.max("score").alias("score"), F.min("why").alias("why"))
+    both = first.unionByName(strong) if bridge else first
+    return both.groupBy("qid", "article_id").agg(F.max("score").alias("score"), F.min("why").alias("why"))
 
 
 def reranked(results: DataFrame, model_score: str, k: int) -> DataFrame:
@@ -264,47 +294,97 @@ def filtered_by_document(results: DataFrame, hints: DataFrame, mode: str, boost:
     return d.drop("hit", "hinted")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qid", key: str = "vec_id") -> DataFrame:
-    """(qid, key, similarity, rank): the k most similar vectors of each query vector. Queries are the stated set, sent to every task."""
-    q = queries.select(F.col(query_key).alias("qid"), F.col("embedding").alias("_q")).filter("_q is not null")
-    d = vectors.select(key, "embedding").filter("embedding is not null").join(F.broadcast(q), F.lit(True))
-    s = d.select("qid", key, F.round(text.cosine(F.col("_q"), F.col("embedding")), 6).alias("similarity"))
-    return ranked(s, score="similarity", k=k, tie=key)
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qid", key: str = "vec_id", block: int = QUERY_ROWS) -> DataFrame:
+    """(qid, key, similarity, rank): the k most similar vectors of each query vector by cosine, rounded to six places, ties by key.
+
+    Queries are the stated set. They go to the tasks in blocks of about `block` rows, so what is sent is bounded whatever their number; for each block the
+    vectors are read in place once, multiplied as matrices, and every task keeps its best k of each query, which one window merges. Null and zero
+    vectors: null ones are left out, zero ones are 0 to all.
+    """
+    q = queries.select(F.col(query_key).alias("qid"), F.col("embedding").cast("array<double>").alias("_q")).filter("_q is not null")
+    d = vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding")).filter(f"embedding is not null and `{key}` is not null")
+    schema = f"qid {queries.schema[query_key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, similarity double"
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], np.array([r["_q"] for r in rows])))
+        one = d.mapInPandas(_best_of_block(sent, k, key), schema)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    return ranked(out, score="similarity", k=k, tie=key)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best_of_block(sent, k: int, key: str):
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, raw = sent.value
+        q = _unit(raw).T
+        least = np.full(len(ids), -np.inf)
+        best = None
+        for f in frames:
+            for at in range(0, len(f), VECTOR_ROWS):
+                part = f.iloc[at : at + VECTOR_ROWS]
+                names = part[key].to_numpy()
+                s = np.round(_unit(np.stack(part["embedding"].to_numpy())) @ q, 6)
+                if len(part) > k:  # no more than these can be among the best
+                    least = np.maximum(least, np.partition(s, len(part) - k, axis=0)[len(part) - k])
+                i, j = np.nonzero(s >= least)
+                more = pd.DataFrame({"q": j, "k": names[i], "s": s[i, j]})
+                best = more if best is None else pd.concat([best, more])
+                best = best.sort_values(["q", "s", "k"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+                full = best.groupby("q")["s"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                least[full.index.to_numpy()] = np.maximum(least[full.index.to_numpy()], full["min"].to_numpy())
+        if best is not None:
+            yield pd.DataFrame({"qid": [ids[x] for x in best["q"]], key: best["k"].to_numpy(), "similarity": best["s"].to_numpy()})
+
+    return work
+
+
+def high_level(queries: DataFrame, themes: DataFrame, members: DataFrame, mentions: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, article_id, theme): the similarity of the k nearest themes given to the first source of each of their entities, the greatest of an article.
+
+    queries (qid, embedding), themes (theme, embedding), members (theme, entity_id), mentions (entity_id, article_id, ord).
+    """
+    near = nearest(queries, themes, k, key="theme").select("qid", "theme", "similarity")
+    first = mentions.groupBy("entity_id").agg(F.min_by("article_id", F.struct("ord", "article_id")).alias("article_id"))
+    articles = members.join(first, "entity_id").select("theme", "article_id").distinct()
+    return parted_join(near, articles, ["theme"]).groupBy("qid", "article_id").agg(F.max("similarity").alias("theme"))
+
 
+def related_names(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, entity_id): for each name the entity that bears it, else the first by id whose name has it inside.
 
-def tree_without_model(documents: DataFrame, articles: DataFrame, queries: DataFrame, most_documents: int = 3, most_chapters: int = 6, most_articles: int = 7) -> DataFrame:
-    """(qid, article_id, rank, confidence): the tree's way without a model: the primary laws, else the first documents; their first chapters in order, of each
-    the first articles, of all of them the first seven. Where a question asks for a definition and no chapter kept is one of general provisions, the
-    first such is put in front. documents (document_id, title), articles (article_id, document_id, chapter_id, chapter_title?, article_number).
+    names (name) is a stated batch of at most QUERY_BYTES, sought in the entities' names (entity_id, name) by an automaton, in place; null and empty names
+    have none.
     """
-    title = F.lower("title")
-    primary = title.contains("luật") & ~title.contains("nghị định")
-    w = Window.orderBy("document_id")
-    docs = documents.groupBy("document_id").agg(F.min("title").alias("title")).withColumn("primary", F.coalesce(primary, F.lit(False)))
-    first = docs.orderBy(F.desc("primary"), "document_id").limit(most_documents)
-    # All of at most most_documents rows: a primary law leaves the others out.
-    picked = first.withColumn("any", F.max("primary").over(Window.partitionBy(F.lit(1)))).filter("primary or not any").withColumn("d", F.row_number().over(w)).select("document_id", "d")
-    has_title = "chapter_title" in articles.columns
-    a = articles.select("article_id", "document_id", F.coalesce("chapter_id", F.concat("document_id", F.lit(":c0"))).alias("chapter_id"), *(["chapter_title"] if has_title else []), "article_number").dropDuplicates(["article_id"])
-    a = a.join(F.broadcast(picked), "document_id")
-    chapters = a.groupBy("d", "document_id", "chapter_id").agg(F.min("article_number").alias("at"), *([F.min("chapter_title").alias("chapter_title")] if has_title else []))
-    order = Window.partitionBy(F.lit(1)).orderBy("d", "at", "chapter_id")
-    chapters = chapters.orderBy("d", "at", "chapter_id").withColumn("c", F.row_number().over(order))
-    general = F.lower("chapter_title").contains("quy định chung") if has_title else F.lit(False)
-    kept = chapters.filter(F.col("c") <= most_chapters).select("chapter_id", "c", general.alias("general"))
-    spare = chapters.filter(general).filter(F.col("c") > most_chapters).orderBy("c").limit(1).select("chapter_id", F.lit(0).alias("c"), F.lit(True).alias("general"))
-    asks = queries.select("qid", F.coalesce(F.lower("text").rlike("là gì|định nghĩa|khái niệm|nghĩa là|được hiểu"), F.lit(False)).alias("asks"))
-    without = kept.agg(F.max(F.col("general").cast("int")).alias("g")).select((F.coalesce("g", F.lit(0)) == 0).alias("none"))
-    extra = spare.join(F.broadcast(without), F.col("none")).drop("none")
-    inside = Window.partitionBy("chapter_id").orderBy("article_number", "article_id")
-    arts = a.withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= most_articles).select("article_id", "chapter_id", "n")
-    plain = arts.join(kept, "chapter_id")
-    more = arts.join(extra, "chapter_id")
-    cross = asks.join(F.broadcast(plain.unionByName(more)), (F.col("c") > 0) | F.col("asks"))
-    r = cross.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("c", "n"))).filter(F.col("rank") <= most_articles)
-    return r.select("qid", "article_id", "rank", F.lit(0.5).alias("confidence"))
-
-
-def tree_confidence(chapter: Column, articles: Column) -> Column:
-    """min(.95, .45 of the chapters' confidence + .55 of the articles' mean)."""
-    return F.least(F.lit(0.95), 0.45 * chapter + 0.55 * articles)
+    n = names.select("name").filter("length(name) > 0").distinct()
+    size = n.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    if size > QUERY_BYTES:
+        raise ValueError(f"the batch of names has {size} bytes of at most {QUERY_BYTES}; look it up in several")
+    sent = names.sparkSession.sparkContext.broadcast([r[0] for r in n.collect()])
+    kind = entities.schema["entity_id"].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for w in sent.value:
+            a.add_word(w, w)
+        if not sent.value:
+            return
+        a.make_automaton()
+        for f in frames:
+            rows = [(w, e, w != name) for e, name in zip(f["entity_id"], f["name"]) for w in {w for _, w in a.iter(name)}]
+            yield pd.DataFrame(rows, columns=["name", "entity_id", "inside"])
+
+    hits = entities.select("entity_id", "name").filter("name is not null and entity_id is not null").mapInPandas(work, f"name string, entity_id {kind}, inside boolean")
+    return hits.groupBy("name").agg(F.min(F.struct("inside", "entity_id"))["entity_id"].alias("entity_id"))

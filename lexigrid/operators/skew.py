@@ -42,6 +42,24 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count
     return met.select(*keys, *others, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in rest])
 
 
+def parted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], part_rows: int = HOT_LEAST, counts: DataFrame | None = None) -> DataFrame:
+    """left and right joined on keys, of which both may have many rows of one key.
+
+    right's rows of a key are dealt out by their hash in parts of about part_rows, and left's rows of the key go to every part, spread by their own
+    hash over as many tasks again; so no task has more than some part_rows of a key, and small keys have one part. counts (keys..., n), the rows of right by
+    key, is worked out where it isn't given. Null keys match nothing.
+    """
+    keys = list(keys)
+    n = right.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    parts = n.filter(F.col("n") > part_rows).select(*keys, F.ceil(F.col("n") / part_rows).cast("int").alias("_parts"))
+    # Keys of more than part_rows rows are as many as right has parts of that size; they are met by a join of their own kind.
+    plain = [f.name for f in right.schema.fields if not isinstance(f.dataType, MapType)]
+    one = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = right.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*plain), one).cast("int")).drop("_parts")
+    spread = left.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return spread.join(dealt, [*keys, "_part"]).drop("_part")
+
+
 def running_total(df: DataFrame, value: str, bucket: Column, order: Sequence[Column], partition: Sequence[str] = (), out: str = "running") -> DataFrame:
     """The sum of value over all rows up to and including this one, in the order bucket, then order, within partition.
 

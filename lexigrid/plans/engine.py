@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, query, text
-from lexigrid.operators import graph, kg, retrieve
+from lexigrid.operators import graph, kg, ontology, retrieve, tree
 from lexigrid.operators.evaluate import Ablation
 from lexigrid.session import cut
+from lexigrid.sources import io
 
 #: Keyphrase score from which an entity seeds PageRank.
 SEED_LEAST = 0.3
+#: Characters of a text by which repeats are told.
+HEAD = 200
+#: Similarity above which an article from the graph has to do with the question.
+RELEVANT = 0.4
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """documents (document_id, title), articles (article_id, document_id, chapter_id, article_number, content), entities (entity_id, name, type_str), mentions
-    (entity_id, article_id, article_number, ord), edges (src, dst, relation_type, confidence)."""
+    """documents (document_id, title), articles (article_id, document_id, chapter_id, article_number, content[, chapter_title]), entities (entity_id, name,
+    type_str), mentions (entity_id, article_id, article_number, ord), edges (src, dst, relation_type, confidence)."""
 
     documents: DataFrame
     articles: DataFrame
@@ -28,10 +34,43 @@ class Corpus:
     edges: DataFrame
 
 
+@dataclass(frozen=True)
+class Models:
+    """What models have to say, each optional; without it the engine does what needs none.
+
+    Scores are frames of question and article: semantic (qid, article_id, semantic), concept (.., concept), hierarchy (.., hierarchy), relevance
+    (.., similarity), rerank (.., model). themes is (vectors of questions (qid, embedding), theme index (theme, embedding), members (theme, entity_id)). picks
+    (qid, level, node_id, place, confidence) are the model's choices on the tree. answer writes from a prompt, with its cache (cache_key, response).
+    """
+
+    semantic: DataFrame | None = None
+    concept: DataFrame | None = None
+    hierarchy: DataFrame | None = None
+    relevance: DataFrame | None = None
+    rerank: DataFrame | None = None
+    themes: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    picks: DataFrame | None = None
+    answer: Callable[[str], str] | None = None
+    cache: DataFrame | None = None
+
+
+@dataclass
+class Shared:
+    """What runs of several configurations over the same questions and corpus have in common, computed once."""
+
+    done: dict = field(default_factory=dict)
+
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.done:
+            self.done[key] = cut(make())
+        return self.done[key]
+
+
 def corpus(documents: DataFrame, articles: DataFrame, entities: DataFrame, relations: DataFrame) -> Corpus:
     """A corpus from the tables of laws, articles, entities and relations; deleted entities, repeated rows and edges to nowhere are left out."""
     docs = documents.filter("id is not null").groupBy(F.col("id").alias("document_id")).agg(F.min("title").alias("title"))
-    arts = articles.filter("id is not null").groupBy(F.col("id").alias("article_id")).agg(*[F.min(c).alias(c) for c in ("document_id", "chapter_id", "article_number", "content")])
+    cols = ["document_id", "chapter_id", "article_number", "content", *(["chapter_title"] if "chapter_title" in articles.columns else [])]
+    arts = articles.filter("id is not null").groupBy(F.col("id").alias("article_id")).agg(*[F.min(c).alias(c) for c in cols])
     live = entities.filter("deleted_at is null and id is not null")
     ents = live.groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"), F.min("type_str").alias("type_str"))
     m = live.select(F.col("id").alias("entity_id"), F.posexplode("source_ids").alias("ord", "article_id")).distinct()
@@ -43,40 +82,70 @@ def corpus(documents: DataFrame, articles: DataFrame, entities: DataFrame, relat
     return Corpus(docs, arts, ents, m, e)
 
 
+#: The intents of questions as PageRank knows them.
+INTENTS = {"penalty": "consequence", "definition": "concept", "procedure": "procedure", "requirement": "obligation", "reference": "general", "general": "general"}
+
+
 def intents_of(analyzed: DataFrame) -> DataFrame:
     """(intent_set, intent, weight): each question's intent as PageRank knows them; the name is the set."""
-    spark = analyzed.sparkSession
-    to = {"penalty": "consequence", "definition": "concept", "procedure": "procedure", "requirement": "obligation", "reference": "general", "general": "general"}
-    return spark.createDataFrame([(k, v, 1.0) for k, v in to.items()], "intent_set string, intent string, weight double")
+    return analyzed.sparkSession.createDataFrame([(k, v, 1.0) for k, v in INTENTS.items()], "intent_set string, intent string, weight double")
+
+
+def _asked(analyzed: DataFrame, switches: Ablation) -> DataFrame:
+    """(qid, text): what is looked up in the graph: the question with abbreviations and synonyms, and the labels the ontology adds."""
+    q = analyzed.select("qid", F.col("expanded" if switches.query_expansion else "text").alias("text"))
+    if not switches.ontology:
+        return q
+    terms = ontology.expanded_terms(analyzed.select("qid", "text"), ontology.default_classes(analyzed.sparkSession)).filter("relation <> 'named' and label is not null")
+    more = terms.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), " ").alias("more"))
+    return q.join(more, "qid", "left").select("qid", F.concat_ws(" ", "text", "more").alias("text"))
 
 
-def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 50) -> DataFrame:
-    """(qid, article_id, score, rank): keyphrase and PageRank combined per article."""
-    text_col = "expanded" if switches.query_expansion else "text"
-    k = cut(retrieve.keyphrase_scores(analyzed.select("qid", F.col(text_col).alias("text")), c.entities))
-    parts = []
+def _pagerank(analyzed: DataFrame, k: DataFrame, c: Corpus, switches: Ablation, iterations: int) -> DataFrame:
+    """(qid, article_id, ppr)."""
+    sets = analyzed.select("qid", (F.col("intent") if switches.classification else F.lit("general")).alias("intent_set"))
+    w = graph.transition(c.edges, intents_of(analyzed))
+    # A node of a question walks on its intent's edges: both go into one key.
+    edges = w.select(F.concat_ws("\x01", "intent_set", "src").alias("src"), F.concat_ws("\x01", "intent_set", "dst").alias("dst"), "w")
+    seeds = k.filter(F.col("score") >= SEED_LEAST).join(sets, "qid").select("qid", F.concat_ws("\x01", "intent_set", "entity_id").alias("node"), F.col("score").alias("weight"))
+    p = graph.personalized_pagerank(edges, seeds, iterations=iterations).withColumn("node", F.split_part("node", F.lit("\x01"), F.lit(2)))
+    return graph.pagerank_articles(p, c.mentions).withColumnRenamed("score", "ppr")
+
+
+def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None) -> DataFrame:
+    """(qid, article_id, score, rank): keyphrase, PageRank and what models say combined per article; mode 'low', or 'dual' with themes and hierarchy."""
+    s = shared or Shared()
+    words = (switches.query_expansion, switches.ontology)
+    asked = s.get(("asked", *words), lambda: _asked(analyzed, switches))
+    k = s.get(("keyphrase", *words), lambda: retrieve.keyphrase_scores(asked, c.entities))
+    parts = {}
     if switches.keyphrase:
-        parts.append(retrieve.article_keyphrase(k, c.mentions).select("qid", "article_id", F.lit("keyphrase").alias("part"), F.col("keyphrase").alias("v")))
+        parts["keyphrase"] = s.get(("articles", *words), lambda: retrieve.article_keyphrase(k, c.mentions))
     if switches.ppr:
-        sets = analyzed.select("qid", F.col("intent").alias("intent_set"))
-        w = graph.transition(c.edges, intents_of(analyzed))
-        # A node of a question walks on its intent's edges: both go into one key.
-        edges = w.select(F.concat_ws("\x01", "intent_set", "src").alias("src"), F.concat_ws("\x01", "intent_set", "dst").alias("dst"), "w")
-        seeds = k.filter(F.col("score") >= SEED_LEAST).join(sets, "qid").select("qid", F.concat_ws("\x01", "intent_set", "entity_id").alias("node"), F.col("score").alias("weight"))
-        p = graph.personalized_pagerank(edges, seeds, iterations=iterations).withColumn("node", F.split_part("node", F.lit("\x01"), F.lit(2)))
-        parts.append(graph.pagerank_articles(p, c.mentions).select("qid", "article_id", F.lit("ppr").alias("part"), F.col("score").alias("v")))
-    d = parts[0]
-    for x in parts[1:]:
-        d = d.unionByName(x)
+        parts["ppr"] = s.get(("ppr", *words, switches.classification, iterations), lambda: _pagerank(analyzed, k, c, switches, iterations))
+    for name, on in (("semantic", switches.semantic), ("concept", switches.concept)):
+        if on and getattr(models, name) is not None:
+            parts[name] = getattr(models, name)
+    d = None
+    for name, x in parts.items():
+        one = x.select("qid", "article_id", F.lit(name).alias("part"), F.col(name).alias("v"))
+        d = one if d is None else d.unionByName(one)
+    if d is None:
+        d = analyzed.select("qid", F.lit(None).cast("string").alias("article_id"), F.lit("none").alias("part"), F.lit(None).cast("double").alias("v")).limit(0)
     pick = lambda n: F.max(F.when(F.col("part") == n, F.col("v"))).alias(n)
-    comp = d.groupBy("qid", "article_id").agg(pick("keyphrase"), pick("ppr")).withColumn("semantic", F.lit(None).cast("double")).withColumn("concept", F.lit(None).cast("double"))
-    low = retrieve.low_level(comp).withColumn("low", F.round("low", 9))
-    return retrieve.ranked(retrieve.fused(low, mode="low"), k=50)
+    low = retrieve.low_level(d.groupBy("qid", "article_id").agg(*map(pick, ("keyphrase", "ppr", "semantic", "concept")))).withColumn("low", F.round("low", 9))
+    theme = hierarchy = None
+    if mode == "dual":
+        if switches.theme and models.themes is not None:
+            theme = retrieve.high_level(*models.themes, c.mentions)
+        if switches.hierarchy and models.hierarchy is not None:
+            hierarchy = models.hierarchy
+    return retrieve.ranked(retrieve.fused(low, theme, hierarchy, mode=mode), k=50)
 
 
 def kg_expanded(seeds: DataFrame, c: Corpus, most: int = 3) -> DataFrame:
     """(qid, article_id, rank): articles of entities that the seeds' entities lead to, not seeds themselves, by the edge's confidence, `most` per question."""
-    first = c.mentions.groupBy("entity_id").agg(F.min_by("article_id", F.struct("ord", "article_id")).alias("article_id"))
+    first = graph.first_articles(c.mentions)
     s = seeds.select("qid", "article_id").distinct()
     src = s.join(c.mentions.select("entity_id", "article_id").distinct(), "article_id").select("qid", F.col("entity_id").alias("src")).distinct()
     step = src.join(c.edges, "src").groupBy("qid", "dst").agg(F.max("confidence").alias("confidence"))
@@ -84,25 +153,89 @@ def kg_expanded(seeds: DataFrame, c: Corpus, most: int = 3) -> DataFrame:
     return retrieve.ranked(found.join(s, ["qid", "article_id"], "left_anti"), k=most).select("qid", "article_id", "rank")
 
 
-def retrieve_articles(queries: DataFrame, c: Corpus, switches: Ablation = Ablation(), top: int = 50, iterations: int = 50) -> DataFrame:
-    """(qid, article_id, score, source, rank): the ranked articles of each question (qid, text)."""
-    a = cut(query.analyzed(queries))
+def kg_expanded_by_chapters(seeds: DataFrame, c: Corpus, relevance: DataFrame | None = None, cross: int = 3, same: int = 2, most: int = 3) -> DataFrame:
+    """(qid, article_id, rank, crosses): articles that the graph relates to the seeds (qid, article_id): strong relations into chapters the seeds don't have,
+    and relations that explain or extend, into any; at most `cross` of other chapters and `same` of the seeds' own, of them the first `most`.
+
+    The surest relation goes first, ties by id; an article that comes both ways counts as crossing. With relevance (qid, article_id, similarity) only articles above
+    RELEVANT count. Articles without chapter are in no chapter and so never cross.
+    """
+    s = seeds.select("qid", "article_id").distinct()
+    chapter = c.articles.select("article_id", "chapter_id").filter("chapter_id is not null").dropDuplicates(["article_id"])
+    related = s.join(graph.related_articles(c.edges, c.mentions), "article_id").select("qid", F.col("related_id").alias("article_id"), "relation_type", "confidence")
+    related = related.filter(F.col("relation_type").isin(*dims.STRONG_RELATIONS, *dims.EXPANSION_RELATIONS)).join(s, ["qid", "article_id"], "left_anti")
+    own = s.join(chapter, "article_id").select("qid", "chapter_id", F.lit(True).alias("own")).distinct()
+    d = related.join(chapter, "article_id", "left").join(own, ["qid", "chapter_id"], "left")
+    d = d.withColumn("crosses", F.col("chapter_id").isNotNull() & F.col("own").isNull()).filter(F.col("crosses") | F.col("relation_type").isin(*dims.EXPANSION_RELATIONS))
+    if relevance is not None:
+        d = d.join(relevance.filter(F.col("similarity") > RELEVANT).select("qid", "article_id").distinct(), ["qid", "article_id"], "left_semi")
+    g = d.groupBy("qid", "article_id").agg(F.max("crosses").alias("crosses"), F.max("confidence").alias("score"))
+    g = retrieve.ranked(g.withColumn("_p", F.struct("qid", "crosses")), rank="_n", by="_p").filter(F.when(F.col("crosses"), F.col("_n") <= cross).otherwise(F.col("_n") <= same))
+    g = g.withColumn("_s", F.col("score") + F.when(F.col("crosses"), 2).otherwise(0))
+    return retrieve.ranked(g, score="_s", k=most).select("qid", "article_id", "rank", "crosses")
+
+
+def _documents_named(analyzed: DataFrame) -> DataFrame:
+    """(qid, doc_type, number, year): the documents questions name by number."""
+    return query.detected_documents(analyzed.select("qid", "text"), "qid", "text").filter("number is not null").select("qid", "doc_type", "number", "year")
+
+
+def with_document(results: DataFrame) -> DataFrame:
+    """results with doc_type, number and year of the article's document, as its id has them: 4114-2001-ND-CP is decree 4114 of 2001."""
+    p = F.split(text.document_of(F.col("article_id")), "-")
+    kind = {"ND": "nghi_dinh", "TT": "thong_tu", "QD": "quyet_dinh", "NQ": "nghi_quyet"}
+    t = F.coalesce(F.try_element_at(text.literal_map(kind), F.upper(F.get(p, F.lit(2)))), F.when(F.upper(F.get(p, F.lit(2))).startswith("QH"), "luat"))
+    return results.withColumn("doc_type", t).withColumn("number", F.get(p, F.lit(0))).withColumn("year", F.get(p, F.lit(1)))
+
+
+def _lightened(c: Corpus, s: Shared) -> Corpus:
+    """The corpus as retrieval needs it, each table worked out once: of contents the beginning, by which repeats are told; what begins with blanks only is marked."""
+    head = F.substring("content", 1, HEAD)
+    begun = F.when(F.length(F.trim(head)) > 0, head).when(F.length(F.trim("content")) > 0, F.concat(head, F.lit("…")))
+    articles = s.get(("articles",), lambda: c.articles.withColumn("content", begun))
+    return Corpus(c.documents, articles, s.get(("entities",), lambda: c.entities), s.get(("mentions",), lambda: c.mentions), s.get(("edges",), lambda: c.edges))
+
+
+def retrieve_articles(
+    queries: DataFrame, c: Corpus, switches: Ablation = Ablation(), top: int = 50, iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None
+) -> DataFrame:
+    """(qid, article_id, score, source, rank): the ranked articles of each question (qid, text).
+
+    Every switch is read here or in dual. What a model would say comes from models; without it that part is silent.
+    """
+    s = shared or Shared()
+    a = s.get(("analyzed",), lambda: query.analyzed(queries))
+    c = _lightened(c, s)
     lists: dict[str, DataFrame] = {}
     d = t = None
-    if switches.dual and (switches.keyphrase or switches.ppr):
-        d = cut(dual(a, c, switches, iterations))
+    if switches.dual:
+        parts = ("keyphrase", "ppr", "semantic", "concept", "theme", "hierarchy", "query_expansion", "ontology", "classification")
+        of_dual = ("dual", mode, iterations, *[getattr(switches, x) for x in parts])
+        d = s.get(of_dual, lambda: dual(a, c, switches, iterations, models, mode, s))
     if switches.tree:
-        t = cut(retrieve.tree_without_model(c.documents, c.articles, queries).select("qid", "article_id", "rank"))
+        t = s.get(("tree",), lambda: tree.searched(c.documents, c.articles, queries, models.picks).select("qid", "article_id", "rank", "confidence"))
         lists["tree"] = t
     if d is not None:
         lists["dual"] = d.select("qid", "article_id", "rank")
     extra = []
-    if switches.cross_check and d is not None and t is not None:
-        x = retrieve.cross_check(t, d, c.articles)
-        extra.append(retrieve.ranked(x).select("qid", "article_id", "rank"))
+    if d is not None and t is not None:
+        both = s.get(("overlap", of_dual), lambda: retrieve.overlap(t, d).select("qid", "ratio"))
+        if switches.cross_check:
+            extra.append(s.get(("cross", switches.bridge, of_dual), lambda: retrieve.ranked(retrieve.cross_check(t, d, c.articles, bridge=switches.bridge)).select("qid", "article_id", "rank")))
+        if switches.filter_dual:
+            # What dual has below the threshold, lowered for unclear questions, is not merged.
+            conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
+            kind = F.col("query_type") if switches.classification else F.lit("general")
+            lower = retrieve.ambiguity(F.col("text"), kind, F.col("article_refs"), F.coalesce("confidence", F.lit(0.0)))
+            cal = a.join(conf, "qid", "left").select("qid", (lower if switches.ambiguity else F.lit(1.0)).alias("calibration"))
+            limit = retrieve.adaptive_threshold(F.col("ratio")) if switches.adaptive_threshold else F.lit(retrieve.FIXED_THRESHOLD)
+            kept = retrieve.calibrated(d, both.select("qid", limit.alias("threshold")), cal)
+            lists["dual"] = retrieve.ranked(kept.drop("rank")).select("qid", "article_id", "rank")
     if switches.kg_expansion and lists:
-        seeds = next(iter(lists.values())) if d is None else d.filter("rank <= 5")
-        extra.append(kg_expanded(seeds.select("qid", "article_id"), c))
+        if t is not None:
+            extra.append(s.get(("chapters",), lambda: kg_expanded_by_chapters(t, c, models.relevance).select("qid", "article_id", "rank")))
+        if d is not None and switches.kg_retrieval:
+            extra.append(s.get(("expanded", of_dual), lambda: kg_expanded(d.filter("rank <= 5"), c)))
     if extra:
         e = extra[0]
         for x in extra[1:]:
@@ -110,8 +243,12 @@ def retrieve_articles(queries: DataFrame, c: Corpus, switches: Ablation = Ablati
         lists["kg"] = e.groupBy("qid", "article_id").agg(F.min("rank").alias("rank"))
     if not lists:
         return queries.sparkSession.createDataFrame([], "qid long, article_id string, score double, source string, rank int")
-    if switches.bridge and switches.rrf:
+    if switches.rrf and switches.bridge:
         merged = retrieve.rrf(lists)
+    elif switches.rrf and t is not None:  # two lists by the tree's confidence
+        conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
+        other = lists.get("dual", lists.get("kg", t.select("qid", "article_id", "rank").limit(0)))
+        merged = retrieve.weighted_by_confidence(lists["tree"].select("qid", "article_id", "rank"), other, conf).withColumn("source", F.lit("merged"))
     else:  # one list after the other
         every = None
         for i, (name, x) in enumerate(lists.items()):
@@ -123,16 +260,30 @@ def retrieve_articles(queries: DataFrame, c: Corpus, switches: Ablation = Ablati
         merged = cut(merged.select("qid", "article_id", "score", "source"))
         near = retrieve.neighbours(merged, c.articles).select("qid", "article_id", "score", F.lit("adjacent").alias("source"))
         merged = merged.select("qid", "article_id", "score", "source").unionByName(near)
-    with_text = merged.join(c.articles.select("article_id", F.substring("content", 1, 200).alias("content")), "article_id")
-    return retrieve.ranked(retrieve.without_repeats(with_text), k=top).select("qid", "article_id", F.round("score", 6).alias("score"), "source", "rank")
+    if switches.document_filter:
+        named = s.get(("named",), lambda: _documents_named(a))
+        merged = retrieve.filtered_by_document(with_document(merged), named, "rerank").select("qid", "article_id", "score", "source")
+    with_text = merged.join(c.articles.select("article_id", "content"), "article_id")
+    best = retrieve.without_repeats(with_text)
+    if switches.rerank and models.rerank is not None:
+        scored = best.join(models.rerank.select("qid", "article_id", "model"), ["qid", "article_id"], "left").withColumn("model", F.coalesce("model", F.lit(0.0)))
+        best = retrieve.reranked(scored, "model", top).withColumn("score", F.col("blended")).drop("rank")
+    return retrieve.ranked(best, k=top).select("qid", "article_id", F.round("score", 6).alias("score"), "source", "rank")
 
 
-def answers(results: DataFrame, c: Corpus, sources: int = 3) -> DataFrame:
-    """(qid, answer, citations): without a model, the beginnings of the first articles and their citations."""
+def answers(results: DataFrame, c: Corpus, sources: int = 3, queries: DataFrame | None = None, models: Models = Models()) -> DataFrame:
+    """(qid, answer, citations): the beginnings of the first articles and their citations; with a model and the questions (qid, text) what it writes from them,
+    asked once for each different prompt that the cache lacks."""
     r = results.filter(F.col("rank") <= sources).join(c.articles.select("article_id", "content", "article_number"), "article_id")
     line = F.concat(F.lit("Điều "), F.col("article_number"), F.lit(": "), text.last_sentence_cut(F.trim("content"), 300))
     g = r.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l"), "article_id"))).alias("x"))
-    return g.select("qid", F.array_join(F.transform("x", lambda s: s["l"]), "\n").alias("answer"), F.transform("x", lambda s: s["article_id"]).alias("citations"))
+    out = g.select("qid", F.array_join(F.transform("x", lambda s: s["l"]), "\n").alias("answer"), F.transform("x", lambda s: s["article_id"]).alias("citations"))
+    if models.answer is None or queries is None:
+        return out
+    prompts = out.join(queries.select("qid", "text"), "qid").withColumn("prompt", F.concat(F.lit("Câu hỏi: "), "text", F.lit("\n\nĐiều khoản:\n"), "answer", F.lit("\n\nTrả lời, có dẫn số điều:")))
+    cache = models.cache if models.cache is not None else queries.sparkSession.createDataFrame([], "cache_key string, response string")
+    said = io.with_model(prompts.select("prompt").distinct(), cache, models.answer)
+    return prompts.join(said.select("prompt", "response"), "prompt").select("qid", F.col("response").alias("answer"), "citations")
 
 
 def offline_graph(feed: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,4 +295,4 @@ def offline_graph(feed: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
     return kept, kg.remapped(relations, remap)
 
 
-__all__ = ["Corpus", "answers", "corpus", "dual", "kg_expanded", "offline_graph", "retrieve_articles", "dims"]
+__all__ = ["Corpus", "Models", "Shared", "answers", "corpus", "dual", "kg_expanded", "kg_expanded_by_chapters", "offline_graph", "retrieve_articles", "dims"]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dims, query, text
-from lexigrid.operators import evaluate, extract, graph, hierarchy, kg, ontology, orphans, profiles, retrieve
+from lexigrid.operators import evaluate, extract, graph, hierarchy, kg, ontology, orphans, profiles, retrieve, skew, tree
 from lexigrid.plans import engine, sqltext as S
 from lexigrid.session import cut, table
 from lexigrid.sources import io
@@ -83,17 +83,22 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT DISTINCT document_id, id, pos, CAST(rank() OVER (PARTITION BY document_id ORDER BY pos, id) AS INTEGER) AS place FROM (SELECT DISTINCT document_id, id, pos FROM legal_articles WHERE section_id IS NULL)")
 def scan_children_ordered(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     a = table(spark, d, "legal_articles").filter("section_id is null").select("document_id", "id", "pos").distinct()
     return a.withColumn("place", F.rank().over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("pos"), "id")))
 
 
-@registered("SELECT DISTINCT so_hieu, title, created_at FROM legal_documents WHERE created_at IS NOT NULL ORDER BY created_at DESC, so_hieu, title LIMIT 50")
+@registered("SELECT DISTINCT id, so_hieu, title, created_at FROM legal_documents WHERE created_at IS NOT NULL")
 def documents_recent(spark: SparkSession, d: str) -> DataFrame:
-    """The latest documents: the limit is the feature."""
-    t = table(spark, d, "legal_documents").filter("created_at is not null").select("so_hieu", "title", "created_at").distinct()
-    return t.orderBy(F.desc("created_at"), F.asc_nulls_last("so_hieu"), F.asc_nulls_last("title")).limit(50)
+    """All documents, the latest first."""
+    t = table(spark, d, "legal_documents").filter("created_at is not null").select("id", "so_hieu", "title", "created_at").distinct()
+    return t.orderBy(F.desc("created_at"), F.asc_nulls_last("so_hieu"), F.asc_nulls_last("title"))
+
+
+@registered("SELECT DISTINCT id, title, content FROM legal_articles WHERE id = (SELECT min(id) FROM legal_articles)")
+def article_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """An article by its id: the filter reaches the scan."""
+    first = table(spark, d, "legal_articles").agg(F.min("id")).first()[0]
+    return table(spark, d, "legal_articles").filter(F.col("id") == first).select("id", "title", "content").distinct()
 
 
 @registered("SELECT DISTINCT a.id, a.document_id, d.title AS document_title FROM legal_articles a JOIN (SELECT id, min(title) AS title FROM legal_documents GROUP BY id) d ON a.document_id = d.id")
@@ -139,16 +144,22 @@ def chapter_ranges(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.chapter_ranges(table(spark, d, "legal_articles"))
 
 
-@registered()
+_CUT = "CASE WHEN length(x) <= 300 THEN x WHEN regexp_extract(left(x, 300), '(?s)^(.*\\.)', 1) <> '' THEN regexp_extract(left(x, 300), '(?s)^(.*\\.)', 1) ELSE left(x, 300) END"
+_KEYS = rf"list_filter(regexp_extract_all(x, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT list_contains({S.listed(dims.KEYWORD_STOP_WORDS)}, lower(w)) AND NOT regexp_matches(w, '^[0-9]+$'))"
+
+
+@registered(f"""WITH a AS (SELECT id, concat_ws(' ', title, content) AS x, trim(coalesce(content, '')) AS c FROM {_ART}), k AS (SELECT id, c, {_KEYS} AS k FROM a), l AS (SELECT id, c, k, list_transform(k, lambda w: lower(w)) AS l FROM k)
+    SELECT id AS article_id, array_to_string((list_filter(k, lambda w, i: list_position(l, lower(w)) = i))[1:15], ', ') AS keywords, {_CUT.replace('300', '200').replace('(x', '(c').replace(' x', ' c')} AS description FROM l""")
 def article_summaries(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.article_summaries(table(spark, d, "legal_articles"))
 
 
-@registered(f"""SELECT doc.id AS doc_id, so_hieu, loai_van_ban AS doc_type, doc.title, coalesce(n_ch, 0) AS num_chapters, coalesce(n_art, 0) AS num_articles FROM
+@registered(f"""WITH x AS (SELECT document_id, article_number AS n, regexp_replace(trim(content), '(?i)^(phạm vi điều chỉnh|đối tượng áp dụng)[:. ]*', '') AS x FROM {_ART}), sc AS (SELECT document_id, max({_CUT}) FILTER (WHERE n = 1) AS scope, max({_CUT}) FILTER (WHERE n = 2) AS subjects FROM x GROUP BY document_id)
+    SELECT doc.id AS doc_id, so_hieu, loai_van_ban AS doc_type, doc.title, scope, subjects, coalesce(n_ch, 0) AS num_chapters, coalesce(n_art, 0) AS num_articles FROM
     (SELECT id, min(so_hieu) AS so_hieu, min(title) AS title, min(loai_van_ban) AS loai_van_ban FROM legal_documents WHERE id IS NOT NULL GROUP BY id) doc
-    LEFT JOIN (SELECT document_id, count(DISTINCT chapter_id) AS n_ch, count(*) AS n_art FROM {_ART} GROUP BY document_id) a ON a.document_id = doc.id""")
+    LEFT JOIN (SELECT document_id, count(DISTINCT chapter_id) AS n_ch, count(*) AS n_art FROM {_ART} GROUP BY document_id) a ON a.document_id = doc.id LEFT JOIN sc ON sc.document_id = doc.id""")
 def document_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.document_summaries(table(spark, d, "legal_documents"), table(spark, d, "legal_articles")).drop("scope", "subjects")
+    return hierarchy.document_summaries(table(spark, d, "legal_documents"), table(spark, d, "legal_articles"))
 
 
 # ---- text functions
@@ -319,12 +330,12 @@ def dual_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     c = _components(spark, d)
-    one = lambda n: retrieve.ranked(c.filter(F.col(n).isNotNull()).select("qid", "article_id", F.col(n).alias("score")), k=20)
+    one = lambda n: retrieve.ranked(c.filter(F.col(n).isNotNull()).select("qid", "article_id", F.col(n).alias("score")))
     return {"tree": one("keyphrase"), "dual": one("semantic"), "kg": one("ppr")}
 
 
 def _list_sql(c: str, n: str) -> str:
-    return f"{n} AS (SELECT qid, article_id, {c} AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {c} DESC, article_id) AS INTEGER) AS rank FROM comp WHERE {c} IS NOT NULL QUALIFY rank <= 20)"
+    return f"{n} AS (SELECT qid, article_id, {c} AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {c} DESC, article_id) AS INTEGER) AS rank FROM comp WHERE {c} IS NOT NULL)"
 
 
 _LISTS = f"{_COMP}, {_list_sql('keyphrase', 'l_tree')}, {_list_sql('semantic', 'l_dual')}, {_list_sql('ppr', 'l_kg')}"
@@ -365,10 +376,15 @@ def tree_dual_overlap(spark: SparkSession, d: str) -> DataFrame:
     return o.select("qid", "common", F.round("ratio", 6).alias("ratio"), F.round(retrieve.adaptive_threshold(F.col("ratio")), 6).alias("threshold"))
 
 
-@registered()
+@registered(f"""WITH {_LISTS}, have AS (SELECT DISTINCT qid, article_id FROM l_tree WHERE rank <= 5), ch AS (SELECT id AS article_id, chapter_id FROM {_ART} WHERE chapter_id IS NOT NULL), g AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5),
+    o AS (SELECT qid, (SELECT count(*) FROM g WHERE g.qid = h.qid AND EXISTS (SELECT 1 FROM have x WHERE x.qid = g.qid AND x.article_id = g.article_id)) / greatest(1, least(count(*), (SELECT count(*) FROM g WHERE g.qid = h.qid))) AS ratio FROM have h GROUP BY qid),
+    miss AS (SELECT l.* FROM l_dual l WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM have h WHERE h.qid = l.qid AND h.article_id = l.article_id)),
+    fresh AS (SELECT m.qid, m.article_id, m.score FROM miss m JOIN o ON o.qid = m.qid AND ratio < 0.4 JOIN ch USING (article_id) WHERE NOT EXISTS (SELECT 1 FROM have h JOIN ch c2 ON c2.article_id = h.article_id WHERE h.qid = m.qid AND c2.chapter_id = ch.chapter_id) QUALIFY row_number() OVER (PARTITION BY m.qid ORDER BY score DESC, m.article_id) <= 3),
+    u AS (SELECT qid, article_id, score, 'chapter' AS why FROM fresh UNION ALL SELECT qid, article_id, score, 'score' FROM miss WHERE rank <= 7 AND score > 0.55) SELECT qid, article_id, round(max(score), 6) AS score, min(why) AS why FROM u GROUP BY ALL""")
 def cross_check(spark: SparkSession, d: str) -> DataFrame:
+    """The tree has the first five of its list here, so that dual has something to add."""
     x = _lists(spark, d)
-    return retrieve.cross_check(x["tree"], x["dual"], _corpus(spark, d).articles)
+    return retrieve.cross_check(x["tree"].filter("rank <= 5"), x["dual"], _corpus(spark, d).articles).withColumn("score", F.round("score", 6))
 
 
 @registered(f"WITH {_RRF}, c AS (SELECT qid, article_id, round(score, 9) AS score, substring(content, 1, 200) AS head FROM rrf JOIN {_ART} a ON a.id = rrf.article_id) SELECT qid, article_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY qid, head ORDER BY score DESC, article_id) = 1")
@@ -377,12 +393,37 @@ def text_truncate_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.without_repeats(r).select("qid", "article_id", F.round("score", 6).alias("score"))
 
 
-@registered(f"WITH {_LISTS}, b AS (SELECT * FROM l_tree WHERE rank <= 15), s AS (SELECT b.qid, b.article_id, b.rank AS original_rank, round(0.6 * coalesce(c.ppr, 0) + 0.4 * b.score, 6) AS blended FROM b JOIN comp c USING (qid, article_id)) SELECT qid, article_id, original_rank, blended, CAST(row_number() OVER (PARTITION BY qid ORDER BY blended DESC, article_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+@registered(f"WITH {_LISTS}, b AS (SELECT * FROM l_tree WHERE rank <= 15), s AS (SELECT b.qid, b.article_id, b.rank AS original_rank, 0.6 * coalesce(c.ppr, 0) + 0.4 * b.score AS blended FROM b JOIN comp c USING (qid, article_id)) SELECT qid, article_id, original_rank, round(blended, 6) AS blended, CAST(row_number() OVER (PARTITION BY qid ORDER BY blended DESC, article_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
 def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
+    """The first 15 by the blend with a model's score, five of them: the limits are the feature."""
     t = _lists(spark, d)["tree"].join(_components(spark, d).select("qid", "article_id", F.coalesce("ppr", F.lit(0.0)).alias("model")), ["qid", "article_id"])
-    base = retrieve.ranked(t.drop("rank"), rank="original_rank", k=15)
-    r = base.withColumn("blended", F.round(0.6 * F.col("model") + 0.4 * F.col("score"), 6))
-    return retrieve.ranked(r, score="blended", k=5).select("qid", "article_id", "original_rank", "blended", "rank")
+    return retrieve.reranked(t, "model", 5).select("qid", "article_id", "original_rank", F.round("blended", 6).alias("blended"), "rank")
+
+
+_ASKED = "(SELECT DISTINCT item_id AS qid, question FROM eval_items)"
+_VAGUE = "như thế nào|ra sao|thế nào|làm sao|là gì"
+
+
+@registered(rf"""WITH {_LISTS}, t AS (SELECT DISTINCT qid, article_id FROM l_tree), g AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5), n AS (SELECT qid, count(*) FILTER (WHERE (qid, article_id) IN (SELECT qid, article_id FROM g)) / greatest(1, least(count(*), (SELECT count(*) FROM g WHERE g.qid = t.qid))) AS ratio FROM t GROUP BY qid),
+    th AS (SELECT qid, CASE WHEN ratio >= 0.7 THEN 0.6 WHEN ratio <= 0.3 THEN 0.4 ELSE 0.4 + (ratio - 0.3) / 0.4 * 0.2 END AS threshold FROM n),
+    am AS (SELECT qid, greatest(0.7, 1 - 0.075 * (CAST(len({S.words('question')}) <= 3 AS INTEGER) + CAST(len(list_concat(regexp_extract_all(question, '[Đđ]iều\s+(\d{{1,9}})', 1), regexp_extract_all(question, '[Đđ]\.\s*(\d{{1,9}})', 1))) = 0 AS INTEGER) + CAST({S.query_type('question')} = 'general' AS INTEGER) + CAST((qid % 10) / 10.0 < 0.5 AS INTEGER) + CAST(regexp_matches(question, '(?i)({_VAGUE})') AS INTEGER))) AS calibration FROM {_ASKED})
+    SELECT l.qid, article_id, round(score, 6) AS score, round(coalesce(threshold, 0.5) * coalesce(calibration, 1.0), 6) AS threshold FROM l_dual l LEFT JOIN th USING (qid) LEFT JOIN am USING (qid) WHERE score >= coalesce(threshold, 0.5) * coalesce(calibration, 1.0)""")
+def calibrated_filter(spark: SparkSession, d: str) -> DataFrame:
+    """What dual has from the threshold on that follows the overlap with the tree, lowered for unclear questions."""
+    x = _lists(spark, d)
+    th = retrieve.overlap(x["tree"], x["dual"]).select("qid", retrieve.adaptive_threshold(F.col("ratio")).alias("threshold"))
+    q = _questions(spark, d)
+    c = F.col("text")
+    cal = q.select("qid", retrieve.ambiguity(c, query.query_type(c), query.article_refs(c), (F.col("qid") % 10) / 10.0).alias("calibration"))
+    limit = F.coalesce("threshold", F.lit(retrieve.FIXED_THRESHOLD)) * F.coalesce("calibration", F.lit(1.0))
+    kept = retrieve.calibrated(x["dual"].drop("rank"), th, cal)
+    return kept.join(th, "qid", "left").join(cal, "qid", "left").select("qid", "article_id", F.round("score", 6).alias("score"), F.round(limit, 6).alias("threshold"))
+
+
+@registered("SELECT c, a, round(least(0.95, 0.45 * c + 0.55 * a), 6) AS confidence FROM (SELECT unnest([0.0, 0.5, 0.9, 1.0]) AS c), (SELECT unnest([0.0, 0.5, 1.0]) AS a)")
+def tree_confidence(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([(float(c), float(a)) for c in (0, 0.5, 0.9, 1) for a in (0, 0.5, 1)], "c double, a double")
+    return t.select("c", "a", F.round(tree.confidence(F.col("c"), F.col("a")), 6).alias("confidence"))
 
 
 def _doc_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -418,6 +459,12 @@ _COS = "round(coalesce(list_dot_product(a, b) / nullif(sqrt(list_dot_product(a,
 _VEC = "v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS a, label FROM embeddings), qv AS (SELECT vec_id AS qid, a AS b FROM v WHERE vec_id % 50 = 0)"
 
 
+def _themes(v: DataFrame) -> DataFrame:
+    """(label, embedding): the mean vector of each label."""
+    long = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+
+
 @registered(f"WITH {_VEC} SELECT qid, vec_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_COS} DESC, vec_id) AS INTEGER) AS rank FROM v, qv QUALIFY rank <= 10")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 50, against all."""
@@ -428,15 +475,17 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"WITH {_VEC}, th AS (SELECT label, list_transform(range(1, 65), lambda i: avg_[i]) AS a FROM (SELECT label, list(m ORDER BY i) AS avg_ FROM (SELECT label, i, avg(a[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label)) SELECT qid, label, {_COS.replace('a,', 'th.a,').replace('(a', '(th.a')} AS similarity FROM th, qv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, label) <= 5".replace("th.th.", "th."))
 def theme_search(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", "embedding", "label").dropDuplicates(["vec_id"])
-    long = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    themes = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+    themes = _themes(v)
     return retrieve.nearest(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), themes, 5, key="label").drop("rank")
 
 
-@registered()
+@registered(f"""WITH docs AS (SELECT id, min(title) AS t FROM legal_documents WHERE id IS NOT NULL GROUP BY id), p AS (SELECT id, coalesce(contains(lower(t), 'luật') AND NOT contains(lower(t), 'nghị định'), FALSE) AS pr FROM docs ORDER BY pr DESC, id LIMIT 3),
+    k AS (SELECT id, row_number() OVER (ORDER BY id) AS d FROM p WHERE pr OR NOT (SELECT bool_or(pr) FROM p)), a AS (SELECT art.id, d, document_id, coalesce(chapter_id, document_id || ':c0') AS ch, article_number AS n FROM {_ART} art JOIN k ON k.id = document_id),
+    c AS (SELECT ch, row_number() OVER (ORDER BY d, min(n) NULLS FIRST, ch) AS c FROM a GROUP BY d, document_id, ch QUALIFY c <= 6), r AS (SELECT id, ch, row_number() OVER (PARTITION BY ch ORDER BY n NULLS FIRST, id) AS i FROM a QUALIFY i <= 7),
+    f AS (SELECT id, CAST(row_number() OVER (ORDER BY c, i) AS INTEGER) AS rank FROM r JOIN c USING (ch) QUALIFY rank <= 7) SELECT qid, id AS article_id, rank, CAST(0.5 AS DOUBLE) AS confidence FROM f, (SELECT DISTINCT item_id AS qid, question FROM eval_items)""")
 def tree_select_nollm(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
-    return retrieve.tree_without_model(c.documents, c.articles, _questions(spark, d))
+    return tree.searched(c.documents, c.articles, _questions(spark, d))
 
 
 # ---- the graph
@@ -447,7 +496,7 @@ def symmetric_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.symmetric(_corpus(spark, d).edges).groupBy("relation_type").agg(F.count("*").alias("edges"))
 
 
-_ITER = 4
+_ITER = 50
 _WGEN = "CASE relation_type " + " ".join(f"WHEN {S.s(k)} THEN {v}" for k, v in dims.INTENT_RELATION_WEIGHTS["general"].items()) + f" ELSE {dims.UNKNOWN_RELATION} END"
 _PPR = (
     f"""e AS MATERIALIZED (SELECT * FROM {_EDGE}), sy AS (SELECT * FROM e UNION ALL SELECT dst, src, relation_type, confidence FROM e WHERE list_contains({S.listed(dims.SYMMETRIC_RELATIONS)}, relation_type)),
@@ -458,38 +507,40 @@ _PPR = (
 )
 
 
-def _ppr(spark: SparkSession, d: str, iterations: int = _ITER, tolerance: float = 0.0) -> tuple[DataFrame, engine.Corpus]:
+def _ppr(spark: SparkSession, d: str) -> tuple[DataFrame, engine.Corpus]:
     """Seeds: the entities of the articles that each category's test items refer to."""
     c = _corpus(spark, d)
     items = table(spark, d, "eval_items").select("item_id", "category", "article_ref").distinct().select(F.col("category").alias("qid"), text.article_number(F.col("article_ref")).alias("article_number"))
+    items = items.groupBy("qid", "article_number").agg(F.count("*").alias("n"))
     m = c.mentions.filter("article_number is not null").select("entity_id", "article_number").distinct()
-    seeds = items.join(m, "article_number").groupBy("qid", F.col("entity_id").alias("node")).agg(F.count("*").cast("double").alias("weight"))
+    seeds = skew.parted_join(items, m, ["article_number"]).groupBy("qid", F.col("entity_id").alias("node")).agg(F.sum("n").cast("double").alias("weight"))
     intents = spark.createDataFrame([("general", "general", 1.0)], "intent_set string, intent string, weight double")
     w = graph.transition(c.edges, intents).select("src", "dst", "w")
-    return graph.personalized_pagerank(w, seeds, iterations=iterations, tolerance=tolerance), c
+    return graph.personalized_pagerank(w, seeds), c
 
 
-@registered(f"WITH {_PPR} SELECT qid, node, round(p, 6) AS score FROM p{_ITER} WHERE p > 0")
+@registered(f"WITH {_PPR} SELECT qid, node, round(p, 5) AS score FROM p{_ITER} WHERE round(p, 5) > 0")
 def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _ppr(spark, d)[0].select("qid", "node", F.round("score", 6).alias("score"))
+    """Until nothing changes by 1e-6, at most 50 steps, to five places; SQL takes all 50."""
+    return _ppr(spark, d)[0].select("qid", "node", F.round("score", 5).alias("score")).filter("score > 0")
 
 
 @registered(f"""WITH {_PPR}, m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_number, (ord, article_id)) AS n FROM m WHERE article_number IS NOT NULL GROUP BY entity_id), b AS (SELECT qid, n, max(p) AS score FROM p{_ITER} JOIN f ON f.entity_id = node WHERE p > 0 GROUP BY ALL)
-    SELECT qid, article_id, round(score, 6) AS score FROM b JOIN (SELECT DISTINCT article_id, article_number FROM m) a ON a.article_number = n""")
+    SELECT qid, article_id, round(score, 5) AS score FROM b JOIN (SELECT DISTINCT article_id, article_number FROM m) a ON a.article_number = n WHERE round(score, 5) > 0""")
 def ppr_articles(spark: SparkSession, d: str) -> DataFrame:
     p, c = _ppr(spark, d)
-    return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 6))
+    return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 5)).filter("score > 0")
 
 
 @registered()
 def ppr_scores_settled(spark: SparkSession, d: str) -> DataFrame:
-    """ppr_scores until nothing changes; SQL can only unroll its first steps."""
-    return _ppr(spark, d, iterations=50, tolerance=1e-6)[0].select("qid", "node", F.round("score", 6).alias("score"))
+    """ppr_scores to six places, which the 50 steps of SQL may not share."""
+    return _ppr(spark, d)[0].select("qid", "node", F.round("score", 6).alias("score"))
 
 
 @registered()
 def ppr_articles_settled(spark: SparkSession, d: str) -> DataFrame:
-    p, c = _ppr(spark, d, iterations=50, tolerance=1e-6)
+    p, c = _ppr(spark, d)
     return graph.pagerank_articles(p, c.mentions).withColumn("score", F.round("score", 6))
 
 
@@ -506,29 +557,64 @@ def kg_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(c.edges, c.mentions.select("article_id", F.col("entity_id").alias("node")), "article_id")
 
 
-_STRICT = f"(SELECT DISTINCT src, dst FROM {_EDGE} WHERE relation_type = 'REFERENCES' AND confidence >= 0.985)"
-_CC = f"e AS MATERIALIZED (SELECT * FROM {_STRICT}), n AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a) SELECT * FROM r), cc AS (SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a)"
-
-
-def _strict(spark: SparkSession, d: str) -> DataFrame:
-    return _corpus(spark, d).edges.filter("relation_type = 'REFERENCES' and confidence >= 0.985").select("src", "dst").distinct()
+#: Steps of the SQL's labels; each also follows a label's label, so ways of some 2^12 edges are followed.
+_HOPS = 12
+_CC = (
+    f"eg AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGE} WHERE src <> dst), n AS MATERIALIZED (SELECT src AS a, dst AS b FROM eg UNION SELECT dst, src FROM eg), l0 AS (SELECT a AS node, least(a, min(b)) AS c FROM n GROUP BY a)"
+    + "".join(f", h{i} AS MATERIALIZED (SELECT x.node, least(min(x.c), min(y.c)) AS c FROM l{i - 1} x JOIN n ON n.a = x.node JOIN l{i - 1} y ON y.node = n.b GROUP BY x.node), l{i} AS MATERIALIZED (SELECT x.node, least(x.c, y.c) AS c FROM h{i} x JOIN h{i} y ON y.node = x.c)" for i in range(1, _HOPS + 1))
+    + f", cc AS (SELECT node, c AS component FROM l{_HOPS}), tp AS (SELECT component AS theme, node, count(*) OVER (PARTITION BY component) AS size, row_number() OVER (PARTITION BY component ORDER BY node) AS i FROM cc)"
+)
 
 
-@registered()
+@registered(f"WITH {_CC} SELECT node, component FROM cc")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_corpus(spark, d).edges, "src", "dst")
 
 
-@registered(f"WITH {_CC} SELECT node, component FROM cc WHERE EXISTS (SELECT 1 FROM e WHERE src <> dst AND (src = node OR dst = node))")
-def components_strict(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_strict(spark, d), "src", "dst")
-
-
-@registered()
+@registered(f"WITH {_CC} SELECT theme, node, size FROM tp WHERE size >= 3 AND i <= 50")
 def theme_partition(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty of each theme: the limit is the feature."""
     return graph.theme_partition(_corpus(spark, d).edges)
 
 
+_REL_ART = f"""m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_id, (ord, article_id)) AS article_id FROM m GROUP BY entity_id), ge AS (SELECT * FROM {_EDGE}), gb AS (SELECT src AS e, dst AS o, relation_type, confidence FROM ge UNION ALL SELECT dst, src, relation_type, confidence FROM ge),
+    ra AS (SELECT a.article_id, f.article_id AS related_id, relation_type, max(confidence) AS confidence FROM gb JOIN (SELECT DISTINCT entity_id, article_id FROM m) a ON a.entity_id = e JOIN f ON f.entity_id = o WHERE a.article_id <> f.article_id GROUP BY ALL)"""
+
+
+@registered(f"WITH {_REL_ART} SELECT article_id, related_id, relation_type, confidence FROM ra")
+def related_articles(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    return graph.related_articles(c.edges, c.mentions)
+
+
+@registered(f"""WITH {_LISTS}, {_REL_ART}, s AS (SELECT DISTINCT qid, article_id FROM l_tree WHERE rank <= 7), ch AS (SELECT id AS article_id, chapter_id FROM {_ART} WHERE chapter_id IS NOT NULL),
+    r AS (SELECT s.qid, ra.related_id AS article_id, relation_type, confidence FROM s JOIN ra USING (article_id) WHERE relation_type IN {(*dims.STRONG_RELATIONS, *dims.EXPANSION_RELATIONS)} AND NOT EXISTS (SELECT 1 FROM s t WHERE t.qid = s.qid AND t.article_id = ra.related_id)),
+    x AS (SELECT r.*, ch.chapter_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s JOIN ch c2 ON c2.article_id = s.article_id WHERE s.qid = r.qid AND c2.chapter_id = ch.chapter_id) AS crosses FROM r LEFT JOIN ch USING (article_id)),
+    y AS (SELECT qid, article_id, bool_or(crosses) AS crosses, max(confidence) AS score FROM x WHERE (crosses OR relation_type IN {dims.EXPANSION_RELATIONS}) AND (qid, article_id) IN (SELECT qid, article_id FROM comp WHERE semantic > 0.4) GROUP BY ALL),
+    z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY qid, crosses ORDER BY score DESC, article_id) <= CASE WHEN crosses THEN 3 ELSE 2 END)
+    SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY crosses DESC, score DESC, article_id) AS INTEGER) AS rank, crosses FROM z QUALIFY rank <= 3""")
+def kg_expand_by_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Articles the graph relates to the tree's first seven, of those whose semantic score is above .4: the limits are the feature."""
+    near = _components(spark, d).select("qid", "article_id", F.col("semantic").alias("similarity"))
+    return engine.kg_expanded_by_chapters(_lists(spark, d)["tree"].filter("rank <= 7"), _corpus(spark, d), near)
+
+
+@registered(f"WITH q AS (SELECT DISTINCT name FROM entity_feed WHERE length(name) > 0), e AS (SELECT id, name AS n FROM {_ENT} WHERE name IS NOT NULL) SELECT q.name, arg_min(id, (n <> q.name, id)) AS entity_id FROM q JOIN e ON contains(n, q.name) GROUP BY q.name")
+def entity_of_name(spark: SparkSession, d: str) -> DataFrame:
+    """The entity that each name of the feed means: that of the name, else the first whose name has it inside."""
+    return retrieve.related_names(table(spark, d, "entity_feed").select("name"), _corpus(spark, d).entities)
+
+
+@registered(f"""WITH {_NODES}, s AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN article_id ELSE regexp_extract(article_id, ':([^:]+)$', 1) END AS a, score FROM (SELECT qid, article_id, semantic AS score FROM (SELECT qid, article_id, max(CASE WHEN component = 'semantic' THEN score END) AS semantic FROM component_scores WHERE CAST(score AS VARCHAR) <> 'nan' GROUP BY ALL) WHERE semantic IS NOT NULL)),
+    nd AS (SELECT DISTINCT node_id FROM nodes WHERE node_id IS NOT NULL), en AS (SELECT regexp_extract(node_id, ':([^:]+)$', 1) AS a, min(node_id) AS node_id FROM nd WHERE contains(node_id, ':') GROUP BY 1)
+    SELECT qid, node_id, round(max(score), 6) AS score FROM (SELECT qid, a AS node_id, score FROM s WHERE a IN (SELECT node_id FROM nd) UNION ALL SELECT qid, en.node_id, score FROM s JOIN en USING (a) WHERE a NOT IN (SELECT node_id FROM nd)) GROUP BY ALL""")
+def tree_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on the nodes they mean; those of odd questions are named by their last part only."""
+    t = table(spark, d, "component_scores").filter("component = 'semantic' and score is not null and not isnan(score)").groupBy("qid", "article_id").agg(F.max("score").alias("score"))
+    t = t.withColumn("article_id", F.when(F.col("qid") % 2 == 0, F.col("article_id")).otherwise(F.regexp_extract("article_id", ":([^:]+)$", 1)))
+    return tree.matched_hints(_nodes(spark, d), t).withColumn("score", F.round("score", 6))
+
+
 @registered(f"""WITH {_LISTS}, s AS (SELECT DISTINCT qid, article_id FROM l_dual WHERE rank <= 5), m AS (SELECT * FROM {_MEN}), f AS (SELECT entity_id, arg_min(article_id, (ord, article_id)) AS article_id FROM m GROUP BY entity_id),
     x AS (SELECT DISTINCT qid, entity_id AS src FROM s JOIN (SELECT DISTINCT entity_id, article_id FROM m) USING (article_id)), y AS (SELECT qid, f.article_id, max(confidence) AS score FROM x JOIN {_EDGE} e USING (src) JOIN f ON f.entity_id = dst GROUP BY ALL)
     SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, article_id) AS INTEGER) AS rank FROM y WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = y.qid AND s.article_id = y.article_id) QUALIFY rank <= 3""")
@@ -545,11 +631,11 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entity_feed").select(F.col("record_id").alias("ord"), "name", "type_str", "description", "confidence", "source_id", "document_id").distinct()
 
 
-@registered(f"""SELECT {S.slug('name')} AS entity_id, arg_min(name, record_id) AS name, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count,
-    array_to_string(list_sort(list_distinct(list(source_id))), ',') AS source_ids, array_to_string(list_sort(list_distinct(list(document_id))), ',') AS document_ids FROM {_FEED} WHERE length({S.slug('name')}) > 0 GROUP BY {S.slug('name')}""")
+@registered(f"""SELECT {S.slug('name')} AS entity_id, arg_min(name, record_id) AS name, arg_min_null(type_str, record_id) AS type_str, arg_max_null(description, (coalesce(length(description), 0), -record_id)) AS description, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count,
+    array_to_string(list_sort(list_distinct(list(source_id))), ',') AS source_ids, array_to_string(list_sort(list_distinct(list(document_id))), ',') AS document_ids, array_to_string(list_sort(list_distinct(list(name))), '|') AS aliases FROM {_FEED} WHERE length({S.slug('name')}) > 0 GROUP BY {S.slug('name')}""")
 def kg_entity_merge(spark: SparkSession, d: str) -> DataFrame:
     m = kg.merged_entities(_feed(spark, d))
-    return m.select("entity_id", "name", "confidence", "occurrence_count", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("document_ids", ",").alias("document_ids"))
+    return m.select("entity_id", "name", "type_str", "description", "confidence", "occurrence_count", *[F.array_join(c, g).alias(c) for c, g in (("source_ids", ","), ("document_ids", ","), ("aliases", "|"))])
 
 
 @registered(f"SELECT {S.slug('name')} AS slug, arg_max(name, (coalesce({S.valid('confidence')}, -1), id)) AS name, max(coalesce({S.valid('confidence')}, -1)) AS confidence, count(*) AS merge_count FROM (SELECT DISTINCT id, name, confidence FROM kg_entities WHERE deleted_at IS NULL) WHERE length({S.slug('name')}) > 0 GROUP BY {S.slug('name')}")
@@ -566,10 +652,13 @@ def _relations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "kg_relations").select(F.col("relation_id").alias("ord"), key("source_id").alias("src"), key("target_id").alias("dst"), "predicate", "relation_type", "evidence", "confidence", "article_ids").distinct()
 
 
-@registered(f"SELECT src, predicate, dst, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(flatten(list(article_ids)))), ',') AS article_ids FROM {_REL} WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL")
+@registered(f"""WITH r AS (SELECT * FROM {_REL} WHERE src IS NOT NULL AND dst IS NOT NULL), ev AS (SELECT src, predicate, dst, evidence, min(relation_id) AS o FROM r WHERE length(evidence) > 0 GROUP BY ALL),
+    fo AS (SELECT src, predicate, dst, list_reduce(list_concat([''], list(evidence ORDER BY o, evidence)), lambda a, e: CASE WHEN a = '' THEN e WHEN contains(a, e) THEN a ELSE a || ' | ' || e END) AS evidence FROM ev GROUP BY ALL),
+    g AS (SELECT src, predicate, dst, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(flatten(list(article_ids)))), ',') AS article_ids FROM r GROUP BY ALL)
+    SELECT g.*, coalesce(fo.evidence, '') AS evidence FROM g LEFT JOIN fo ON fo.src = g.src AND fo.dst = g.dst AND fo.predicate IS NOT DISTINCT FROM g.predicate""")
 def kg_relation_merge(spark: SparkSession, d: str) -> DataFrame:
     m = kg.merged_relations(_relations(spark, d))
-    return m.select("src", "predicate", "dst", "confidence", "occurrence_count", F.array_join("article_ids", ",").alias("article_ids"))
+    return m.select("src", "predicate", "dst", "confidence", "occurrence_count", F.array_join("article_ids", ",").alias("article_ids"), "evidence")
 
 
 _REMAP = f"rm AS (SELECT id AS old_id, first AS canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY {S.canonical('name')}, type_str) AS first FROM {_ENT} WHERE length({S.canonical('name')}) > 0) WHERE id <> first)"
@@ -602,7 +691,11 @@ def type_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "kg_relations").filter("predicate is not null").select("predicate", kg.relation_type(F.col("predicate")).alias("relation_type")).distinct()
 
 
-@registered()
+_EXACT = f"{S.mapped({k.upper(): v for k, v in dims.QUERY_ABBREVIATIONS.items()})}[upper(trim(name))]"
+
+
+@registered(f"""WITH f AS (SELECT DISTINCT record_id, name, type_str, document_id FROM entity_feed), x AS (SELECT *, {_EXACT} AS ex FROM f), y AS (SELECT *, coalesce(ex, {S.canonical('name')}) AS whole FROM x), z AS (SELECT *, {S.slug('whole')} AS canonical FROM y)
+    SELECT record_id, concat_ws(':', lower(type_str), canonical, {S.document_number('document_id')}) AS entity_id, canonical, ex IS NOT NULL AS is_abbreviation FROM z""")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return kg.resolved(table(spark, d, "entity_feed").select("record_id", "name", "type_str", "document_id").distinct()).select("record_id", "entity_id", "canonical", "is_abbreviation")
 
@@ -724,13 +817,14 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return extract.pages_text(table(spark, d, "legal_articles").select("id", "raw_text").distinct(), "id", "raw_text")
 
 
-@registered("SELECT sha256(question) AS cache_key, count(*) AS n FROM (SELECT DISTINCT item_id, question FROM eval_items) GROUP BY 1")
+@registered("SELECT sha256(question) AS cache_key, count(*) AS n, item_id % 3 <> 0 AS answered FROM (SELECT DISTINCT item_id, question FROM eval_items) GROUP BY ALL")
 def llm_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every question asked again meets its cached answer."""
+    """The cache holds the answers to two questions of three; the others are missing."""
     q = _questions(spark, d).select("qid", F.col("text").alias("prompt"))
-    cache = q.select(io.cache_key(F.col("prompt")).alias("cache_key"), F.col("prompt").alias("response")).distinct()
+    cache = q.filter("qid % 3 <> 0").select(io.cache_key(F.col("prompt")).alias("cache_key"), F.col("prompt").alias("response")).distinct()
     have, miss = io.cached_answers(q, cache)
-    return have.groupBy("cache_key").agg(F.count("*").alias("n"))
+    one = lambda x, yes: x.groupBy("cache_key").agg(F.count("*").alias("n")).withColumn("answered", F.lit(yes))
+    return one(have, True).unionByName(one(miss, False))
 
 
 # ---- ontology
@@ -747,9 +841,10 @@ def ontology_expand(spark: SparkSession, d: str) -> DataFrame:
     return ontology.expanded_terms(q, ontology.default_classes(spark))
 
 
-@registered("SELECT 'Thing' AS name, NULL AS parent, 0 AS instances UNION ALL SELECT array_to_string(list_transform(string_split(lower(type_str), '_'), lambda w: upper(w[1]) || w[2:]), ''), 'Thing', count(DISTINCT id) FROM kg_entities WHERE type_str IS NOT NULL AND deleted_at IS NULL GROUP BY type_str")
+@registered("""WITH e AS (SELECT type_str, id, min(name) AS name FROM kg_entities WHERE type_str IS NOT NULL AND deleted_at IS NULL GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY type_str ORDER BY id) AS i FROM e)
+    SELECT 'Thing' AS name, NULL AS parent, 0 AS instances, '' AS examples UNION ALL SELECT array_to_string(list_transform(string_split(lower(type_str), '_'), lambda w: upper(w[1]) || w[2:]), ''), 'Thing', count(*), coalesce(string_agg(name, '; ' ORDER BY i) FILTER (WHERE i <= 3), '') FROM x GROUP BY type_str""")
 def ontology_generate(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.generated_classes(table(spark, d, "kg_entities").filter("deleted_at is null")).select("name", "parent", "instances")
+    return ontology.generated_classes(table(spark, d, "kg_entities").filter("deleted_at is null")).select("name", "parent", "instances", "examples")
 
 
 @registered(f"""SELECT relation_type AS name, 'object' AS kind, array_to_string(list_sort(list_distinct(list(a.type_str))), ',') AS domains, array_to_string(list_sort(list_distinct(list(b.type_str))), ',') AS ranges, count(*) AS uses FROM {_EDGE} e JOIN {_TYPES} a ON a.id = src JOIN {_TYPES} b ON b.id = dst WHERE relation_type IS NOT NULL GROUP BY relation_type
@@ -776,11 +871,15 @@ def ontology_evaluate(spark: SparkSession, d: str) -> DataFrame:
     return ontology.quality(k, p, table(spark, d, "kg_entities").filter("deleted_at is null"))
 
 
-@registered("SELECT 'entity' AS kind, count(*) AS total, count(*) FILTER (WHERE type_str IS NULL) AS unknown, round(1 - count(*) FILTER (WHERE type_str IS NULL) / greatest(count(*), 1), 6) AS rate FROM kg_entities UNION ALL SELECT 'relation', count(*), count(*) FILTER (WHERE relation_type IS NULL OR relation_type NOT IN ('REQUIRES', 'REFERENCES', 'RELATED_TO')), round(1 - count(*) FILTER (WHERE relation_type IS NULL OR relation_type NOT IN ('REQUIRES', 'REFERENCES', 'RELATED_TO')) / greatest(count(*), 1), 6) FROM kg_relations")
+_KNOWN = sorted(set(dims.ENTITY_TYPES.values()) - {"LOCATION", "PENALTY"})
+_KNOWN_RELATIONS = ("REQUIRES", "REFERENCES", "RELATED_TO")
+
+
+@registered("".join(f"{u}SELECT '{k}' AS kind, count(*) AS total, count(*) FILTER (WHERE x) AS unknown, round(1 - count(*) FILTER (WHERE x) / greatest(count(*), 1), 6) AS rate FROM (SELECT {c} IS NULL OR {c} NOT IN {tuple(v)} AS x FROM {t})" for u, k, c, v, t in (("", "entity", "type_str", _KNOWN, "kg_entities"), (" UNION ALL ", "relation", "relation_type", _KNOWN_RELATIONS, "kg_relations"))))
 def kg_conformance(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "kg_entities")
-    rel = spark.createDataFrame([("REQUIRES",), ("REFERENCES",), ("RELATED_TO",)], "name string")
-    return kg.conformance(e, table(spark, d, "kg_relations"), e.select(F.col("type_str").alias("name")).filter("name is not null"), rel)
+    """Against an ontology without two types of entities and with three of relations."""
+    one = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    return kg.conformance(table(spark, d, "kg_entities"), table(spark, d, "kg_relations"), one(_KNOWN), one(_KNOWN_RELATIONS))
 
 
 # ---- evaluation: an article is relevant when its ppr score is among the question's first three
@@ -844,7 +943,7 @@ def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
     return profiles.entity_profiles(_corpus(spark, d).entities).drop("confidence")
 
 
-@registered()
+@registered(f"WITH {_CC}, tn AS (SELECT theme, type_str, count(*) AS n FROM tp JOIN {_ENT} e ON e.id = node WHERE size >= 3 AND i <= 50 GROUP BY ALL), g AS (SELECT theme, arg_min(type_str, (-n, type_str)) AS t, CAST(sum(n) AS BIGINT) AS size FROM tn GROUP BY theme) SELECT theme, substring(sha256('fallback:' || t), 1, 16) AS theme_id, 'Nhóm ' || t AS name, size, 0.5 AS confidence FROM g")
 def theme_profiles(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
     return profiles.theme_profiles(graph.theme_partition(c.edges), c.entities)
@@ -868,7 +967,8 @@ def doc_detect(spark: SparkSession, d: str) -> DataFrame:
     return profiles.keyword_documents(_questions(spark, d), spark.createDataFrame(_KEYWORDS, "doc_id string, keyword string, weight double"))
 
 
-@registered()
+@registered(f"""WITH {_LISTS}, t AS (SELECT l.qid, l.rank, a.content AS c, coalesce(sum(length(a.content)) OVER (PARTITION BY l.qid ORDER BY l.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM l_tree l JOIN {_ART} a ON a.id = l.article_id WHERE a.content IS NOT NULL),
+    p AS (SELECT qid, rank, CASE WHEN length(c) <= 4000 - b THEN c WHEN 4000 - b > 100 THEN substring(c, 1, CAST(4000 - b AS BIGINT)) || '...' END AS p FROM t) SELECT qid, string_agg('[Article ' || rank || ']: ' || p, chr(10) ORDER BY rank) AS context FROM p WHERE p IS NOT NULL GROUP BY qid""")
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
     return profiles.contexts(_lists(spark, d)["tree"].join(c.articles.select("article_id", "content"), "article_id"))
@@ -884,33 +984,60 @@ def ontology_properties_inherited(spark: SparkSession, d: str) -> DataFrame:
 # ---- the engine
 
 
+def _models(spark: SparkSession, d: str) -> engine.Models:
+    """What stands for models: the tables' scores of the same questions, and themes of the embeddings."""
+    c = _components(spark, d)
+    one = lambda n, out: c.filter(F.col(n).isNotNull()).select("qid", "article_id", F.col(n).alias(out))
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label").dropDuplicates(["vec_id"])
+    themes = _themes(v).withColumnRenamed("label", "theme")
+    ids = table(spark, d, "kg_entities").select("id").filter("id is not null").distinct()
+    members = ids.select(F.pmod(F.xxhash64("id"), F.lit(10)).cast("int").alias("theme"), F.col("id").alias("entity_id"))
+    asked = _questions(spark, d).select("qid").join(v.select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+    return engine.Models(one("semantic", "semantic"), one("concept", "concept"), one("keyphrase", "hierarchy"), one("semantic", "similarity"), one("ppr", "model"), (asked, themes, members))
+
+
 @registered()
 def engine_full(spark: SparkSession, d: str) -> DataFrame:
     return engine.retrieve_articles(_questions(spark, d), _corpus(spark, d))
 
 
 @registered()
-def engine_answers(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
-    return engine.answers(engine.retrieve_articles(_questions(spark, d), c, evaluate.Ablation(ppr=False)), c)
+def engine_with_models(spark: SparkSession, d: str) -> DataFrame:
+    """Every switch on, with scores and themes in the place of models."""
+    return engine.retrieve_articles(_questions(spark, d), _corpus(spark, d), evaluate.Ablation.everything(), models=_models(spark, d), mode="dual")
 
 
 @registered()
-def engine_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Average metrics of some configurations; the articles test items refer to are relevant, by number."""
+def engine_answers(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
-    rel = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), text.article_number(F.col("article_ref")).cast("string").alias("item")).distinct()
+    return engine.answers(engine.retrieve_articles(_questions(spark, d), c), c)
+
+
+def _ablated(spark: SparkSession, d: str, configurations: list[evaluate.Ablation]) -> DataFrame:
+    """(config, k, metrics): averages of configurations; the articles test items refer to are relevant, by number."""
+    c, shared, models, questions = _corpus(spark, d), engine.Shared(), _models(spark, d), cut(_questions(spark, d))
+    rel = cut(table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), text.article_number(F.col("article_ref")).cast("string").alias("item")).distinct())
     out = None
-    for a in evaluate.ablations():
-        if a.name in ("tree_only", "no_ppr", "no_adjacent"):
-            a = evaluate.Ablation.from_dict(a.as_dict() | {"ppr": False})
-            r = engine.retrieve_articles(_questions(spark, d), c, a)
-            run = r.select("qid", text.article_number(F.col("article_id")).cast("string").alias("item"), "rank")
-            m = evaluate.averages(evaluate.metrics(run, rel)).withColumn("config", F.lit(a.name))
-            out = m if out is None else out.unionByName(m)
+    for a in configurations:
+        r = engine.retrieve_articles(questions, c, a, models=models, mode="dual", shared=shared)
+        run = r.select("qid", text.article_number(F.col("article_id")).cast("string").alias("item"), "rank")
+        m = cut(evaluate.averages(evaluate.metrics(run, rel)).withColumn("config", F.lit(a.name)))
+        out = m if out is None else out.unionByName(m)
     return out
 
 
+@registered()
+def engine_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Every named configuration."""
+    return _ablated(spark, d, evaluate.ablations())
+
+
+@registered()
+def engine_part_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Each part of the second tier and of the question's treatment off."""
+    return _ablated(spark, d, evaluate.part_ablations())
+
+
 @registered("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, d, "events"), "ts", ["event_type"])
