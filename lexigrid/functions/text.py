@@ -50,6 +50,19 @@ def article_number(c: Column) -> Column:
     return F.coalesce(first(r":d(\d+)"), first(r"(?iu)điều\s+(\d+)"), first(r"^d?(\d+)$")).cast("int")
 
 
+def document_kind(c: Column) -> Column:
+    """The kind of a document by how it is named, "Bộ luật Lao động" or "NGHỊ ĐỊNH": the longest name it begins with; null for others."""
+    low = F.trim(F.lower(c))
+    out = F.lit(None).cast("string")
+    for name in sorted(dims.DOCUMENT_KINDS, key=len):  # longer ones are tried before, so they are put round shorter ones
+        out = F.when(low.startswith(name) | fold(low).startswith(_plain(name)), dims.DOCUMENT_KINDS[name]).otherwise(out)
+    return out
+
+
+def _plain(s: str) -> str:
+    return s.translate(str.maketrans(_MARKED, _PLAIN))
+
+
 def document_of(c: Column) -> Column:
     return F.split_part(c, F.lit(":"), F.lit(1))
 

@@ -311,3 +311,64 @@ def pages_text(df: DataFrame, key: str, column: str) -> DataFrame:
     marked = d.filter(F.col("t").rlike(r"<[a-zA-Z/!][^>]*>|&[a-zA-Z#]")).mapInPandas(work, f"`{key}` {kind}, text string")
     plain = d.filter(~F.col("t").rlike(r"<[a-zA-Z/!][^>]*>|&[a-zA-Z#]")).select(F.col("k").alias(key), F.trim(F.regexp_replace(F.regexp_replace("t", r"[ \t]+", " "), r"\s*[\r\n]+\s*", "\n\n")).alias("text"))
     return marked.unionByName(plain)
+
+
+class _Fields(HTMLParser):
+    """Titles of a page by where they stand, and rows of two cells."""
+
+    PLACES = ("h1", "og", "title", "h2")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.titles: dict[str, str] = {}
+        self.rows: list[list[str]] = []
+        self.inside: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "meta" and a.get("property") == "og:title" and a.get("content"):
+            self.titles.setdefault("og", a["content"])
+        if tag == "tr":
+            self.rows.append([])
+        if tag in ("td", "th") and self.rows:
+            self.rows[-1].append("")
+        if tag not in ("meta", "br", "img", "input", "link", "hr"):
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        for t in ("h1", "title", "h2"):
+            if t in self.inside:
+                self.titles[t] = self.titles.get(t, "") + data
+        if self.rows and self.rows[-1] and ("td" in self.inside or "th" in self.inside):
+            self.rows[-1][-1] += data
+
+
+def page_fields(s: str) -> tuple[str | None, dict[str, str]]:
+    """(title, fields) of a page: the first heading, else the title it gives to others, its own, a lesser heading; fields are the rows of two cells, the first of a name."""
+    p = _Fields()
+    p.feed(s)
+    p.close()
+    squeezed = lambda t: " ".join(t.split())
+    title = next((x for k in _Fields.PLACES if (x := squeezed(p.titles.get(k, "")))), None)
+    fields: dict[str, str] = {}
+    for r in p.rows:
+        if len(r) == 2 and squeezed(r[0]):
+            fields.setdefault(squeezed(r[0]).rstrip(": "), squeezed(r[1]))
+    return title, fields
+
+
+def pages_fields(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, title, fields) of pages; null pages are left out, texts without markup have neither."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *page_fields(t)) for k, t in zip(f["k"], f["t"])]
+            yield pd.DataFrame(rows, columns=[key, "title", "fields"])
+
+    return df.select(F.col(key).alias("k"), F.col(column).alias("t")).filter("t is not null").mapInPandas(work, f"`{key}` {kind}, title string, fields map<string,string>")

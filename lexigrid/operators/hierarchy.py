@@ -32,9 +32,14 @@ def nodes(documents: DataFrame, articles: DataFrame) -> DataFrame:
     return out.withColumn("depth", F.size("path") - 1)
 
 
-def statistics(n: DataFrame) -> DataFrame:
-    """(node_type, nodes, documents, deepest)."""
-    return n.groupBy("node_type").agg(F.count("*").alias("nodes"), F.countDistinct("document_id").alias("documents"), F.max("depth").alias("deepest"))
+def statistics(n: DataFrame, crossrefs: DataFrame | None = None) -> DataFrame:
+    """(node_type, nodes, documents, deepest), and with cross-references (src_article, dst_article) a row 'cross_reference' of how many lead from one to another document's
+    tree or stay in one, those with both ends."""
+    out = n.groupBy("node_type").agg(F.count("*").alias("nodes"), F.countDistinct("document_id").alias("documents"), F.max("depth").alias("deepest"))
+    if crossrefs is None:
+        return out
+    doc = text.document_of(F.col("src_article"))
+    return out.unionByName(crossrefs.filter("src_article is not null and dst_article is not null").agg(F.lit("cross_reference").alias("node_type"), F.count("*").alias("nodes"), F.countDistinct(doc).alias("documents"), F.lit(0).alias("deepest")))
 
 
 def children(n: DataFrame) -> DataFrame:
@@ -76,6 +81,18 @@ def article_summaries(articles: DataFrame, top: int = 15, limit: int = 200) -> D
     return a.select(F.col("id").alias("article_id"), F.array_join(words, ", ").alias("keywords"), text.last_sentence_cut(F.trim(F.coalesce("content", F.lit(""))), limit).alias("description"))
 
 
+def chapter_summaries(articles: DataFrame, top: int = 10) -> DataFrame:
+    """(chapter_id, article_range, keywords, description): summaries without a model: the most common keywords of the articles' titles, ties by the word, and the titles
+    in order, cut at 300 characters. A chapter's articles' titles are one task's."""
+    a = articles.filter("chapter_id is not null and id is not null").groupBy("chapter_id", "id").agg(F.min("title").alias("title"), F.min("article_number").alias("n"))
+    words = a.select("chapter_id", F.explode(text.keywords(F.coalesce("title", F.lit("")))).alias("w")).groupBy("chapter_id", F.lower("w").alias("w")).agg(F.count("*").alias("c"))
+    first = words.withColumn("r", F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("c"), "w"))).filter(F.col("r") <= top)
+    k = first.groupBy("chapter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), ", ").alias("keywords"))
+    t = a.filter("title is not null").groupBy("chapter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "title"))), lambda x: x["title"]), ". ").alias("titles"))
+    d = chapter_ranges(articles).select("chapter_id", "article_range").join(k, "chapter_id", "left").join(t, "chapter_id", "left")
+    return d.select("chapter_id", "article_range", F.coalesce("keywords", F.lit("")).alias("keywords"), text.last_sentence_cut(F.coalesce("titles", F.lit("")), 300).alias("description"))
+
+
 def document_summaries(documents: DataFrame, articles: DataFrame) -> DataFrame:
     """(doc_id, so_hieu, doc_type, title, scope, subjects, num_chapters, num_articles): the tier that needs no model: scope and subjects from Điều 1 and 2."""
     d = documents.filter("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("so_hieu", "title", "loai_van_ban")])

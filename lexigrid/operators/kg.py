@@ -285,6 +285,21 @@ def updated(entities: DataFrame, relations: DataFrame, new_entities: DataFrame,
     return add_e, add_r, affected
 
 
+def update_counts(new_entities: DataFrame, new_relations: DataFrame, added_entities: DataFrame, added_relations: DataFrame, affected: DataFrame) -> DataFrame:
+    """One row: entities_added, entities_merged, relations_added, relations_merged, articles_affected of an update."""
+    one = lambda d, c: d.agg(F.count("*").alias(c))
+    d = one(new_entities.dropDuplicates(["id"]), "e").join(one(added_entities, "entities_added")).join(one(new_relations, "r")).join(one(added_relations, "relations_added")).join(one(affected, "articles_affected"))
+    return d.select("entities_added", (F.col("e") - F.col("entities_added")).alias("entities_merged"), "relations_added", (F.col("r") - F.col("relations_added")).alias("relations_merged"), "articles_affected")
+
+
+def entity_contexts(entities: DataFrame, articles: DataFrame, around: int = 150) -> DataFrame:
+    """(id, article_id, context): what stands around an entity's name in each of its sources, where the text has it; articles (article_id, content)."""
+    d = entities.filter("length(name) > 0").select("id", "name", F.explode("source_ids").alias("article_id")).distinct().join(articles.select("article_id", "content").dropDuplicates(["article_id"]), "article_id")
+    at = F.expr("locate(lower(name), lower(content))")
+    start = F.greatest(F.lit(1), at - around)
+    return d.filter(at > 0).select("id", "article_id", F.substr("content", start.cast("int"), (F.length("name") + at - start + around).cast("int")).alias("context"))
+
+
 def conformance(entities: DataFrame, relations: DataFrame, entity_types: DataFrame, relation_types: DataFrame) -> DataFrame:
     """(kind, total, unknown, rate): entities and relations whose type the ontology lacks; rate is 1 - unknown / max(total, 1)."""
     def one(d: DataFrame, col: str, known: DataFrame, kind: str) -> DataFrame:

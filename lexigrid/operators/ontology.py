@@ -125,10 +125,73 @@ def answerable(questions: DataFrame, classes: DataFrame, properties: DataFrame)
     return questions.select("question_id").distinct().join(hit, "question_id", "left").select("question_id", F.col("n").isNotNull().alias("answerable"), F.coalesce("n", F.lit(0)).alias("elements"))
 
 
-def turtle(classes: DataFrame, base: str = "http://example.org/ontology#") -> DataFrame:
-    """(ord, value): lines of the ontology in Turtle, prefixes first, then classes by name."""
+def coverage(questions: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """(dimension, value, answerable, unanswerable): competency questions (question_id, question, category, priority) the ontology can and can't answer, by category, by
+    priority and in all, from one aggregation."""
+    d = questions.join(answerable(questions, classes, properties), "question_id").select("answerable", F.coalesce("category", F.lit("")).alias("category"), F.coalesce(F.col("priority").cast("string"), F.lit("")).alias("priority"))
+    n = lambda yes: F.sum((F.col("answerable") == yes).cast("long"))
+    g = d.groupingSets([[F.col("category")], [F.col("priority")], []], "category", "priority").agg(F.grouping_id().alias("_g"), n(True).alias("answerable"), n(False).alias("unanswerable"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return g.select(F.when(F.col("_g") == 1, "category").when(F.col("_g") == 2, "priority").otherwise("all").alias("dimension"), F.coalesce("category", "priority", F.lit("all")).alias("value"), z("answerable"), z("unanswerable"))
+
+
+def trace(questions: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """(question_id, kind, name): the classes and properties whose name or label a question has in it, in lower case and as it is written."""
+    el = classes.select(F.lit("class").alias("kind"), "name", F.explode(F.array_compact(F.array(F.lower("name"), F.lower("label")))).alias("word")).union(properties.select(F.lit("property"), "name", F.lower("name")))
+    return questions.select("question_id", F.lower("question").alias("q")).join(F.broadcast(el.filter("length(word) > 0")), F.contains(F.col("q"), F.col("word"))).select("question_id", "kind", "name").distinct()
+
+
+def finding_counts(found: DataFrame, strict: bool = False) -> DataFrame:
+    """One row: errors, warnings, valid; with strict a warning makes the ontology invalid too."""
+    n = lambda sev: F.coalesce(F.sum((F.col("severity") == sev).cast("long")), F.lit(0))
+    d = found.agg(n("error").alias("errors"), n("warning").alias("warnings"))
+    return d.withColumn("valid", (F.col("errors") == 0) & ((F.col("warnings") == 0) if strict else F.lit(True)))
+
+
+def suggestions(q: DataFrame) -> DataFrame:
+    """(check, subject, advice) for what quality() found: a class for a gap, a parent or a merger for small classes, parts for large ones, a relation for isolated ones."""
+    advice = {"gap": "add a class for this type", "too_small": "merge it with a like class or drop it", "too_large": "divide it into subclasses", "isolated": "give it a property or a subclass"}
+    m = text.literal_map(advice)
+    return q.select("check", "subject", F.try_element_at(m, F.col("check")).alias("advice")).filter("advice is not null")
+
+
+def with_class(classes: DataFrame, name: str, parent: str | None = "Thing", label: str | None = None) -> DataFrame:
+    """classes with one more; a class of that name stays as it is."""
+    one = classes.sparkSession.createDataFrame([(name, parent, label)], "name string, parent string, label string")
+    return extended(classes.select("name", "parent", "label"), one)
+
+
+def extended(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """classes and those of more whose name they lack."""
+    return classes.unionByName(more.dropDuplicates(["name"]).join(classes.select("name"), "name", "left_anti"), allowMissingColumns=True)
+
+
+def parsed_model_output(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, properties) that a model's responses (response) say in JSON: {classes: [{name, parent, label}], properties: [{name, type, domain, range, label}]}.
+
+    A class without parent is a Thing; of a property's domains and ranges the first counts; the data properties are added where they lack.
+    """
+    end = "array<string>"
+    raw = responses.select(F.from_json(F.regexp_extract("response", r"(?s)(\{.*\})", 1), f"classes array<struct<name:string,parent:string,label:string>>, properties array<struct<name:string,type:string,domain:{end},range:{end},label:string>>").alias("o"))
+    c = raw.select(F.explode("o.classes").alias("c")).select("c.name", F.coalesce("c.parent", F.lit("Thing")).alias("parent"), "c.label").filter("name is not null").dropDuplicates(["name"])
+    p = raw.select(F.explode("o.properties").alias("p")).select("p.name", F.coalesce("p.type", F.lit("object")).alias("kind"), F.coalesce(F.get("p.domain", F.lit(0)), F.lit("Thing")).alias("domains"), F.coalesce(F.get("p.range", F.lit(0)), F.lit("Thing")).alias("ranges")).filter("name is not null").dropDuplicates(["name"])
+    data = responses.sparkSession.createDataFrame([(n, "data", "Thing", r) for n, r in (("hasName", "xsd:string"), ("hasDescription", "xsd:string"), ("hasConfidence", "xsd:decimal"))], "name string, kind string, domains string, ranges string")
+    return c, extended(p, data)
+
+
+def turtle(classes: DataFrame, base: str = "http://example.org/ontology#", properties: DataFrame | None = None) -> DataFrame:
+    """(ord, value): lines of the ontology in Turtle, prefixes first, then classes by name, then properties by name with their domains and ranges."""
     head = [f"@prefix : <{base}> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> ."]
+    if properties is not None:
+        head.append("@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .")
     h = classes.sparkSession.createDataFrame([(f"0{i}", v) for i, v in enumerate(head)], "ord string, value string")
     quoted = F.regexp_replace(F.regexp_replace("label", r"\\", r"\\\\\\\\"), '"', r'\\\\"')
     body = F.concat(F.lit(":"), F.col("name"), F.lit(" a owl:Class"), F.coalesce(F.concat(F.lit(" ; rdfs:subClassOf :"), F.col("parent")), F.lit("")), F.coalesce(F.concat(F.lit(' ; rdfs:label "'), quoted, F.lit('"@vi')), F.lit("")), F.lit(" ."))
-    return h.unionByName(classes.select(F.concat(F.lit("1"), F.col("name")).alias("ord"), body.alias("value")))
+    out = h.unionByName(classes.select(F.concat(F.lit("1"), F.col("name")).alias("ord"), body.alias("value")))
+    if properties is None:
+        return out
+    local = lambda x: F.when(x.startswith("xsd:"), x).otherwise(F.concat(F.lit(":"), x))
+    ends = lambda c, word: F.array_join(F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != ""), lambda x: F.concat(F.lit(f" ; rdfs:{word} "), local(x))), "")
+    kind = F.when(F.col("kind") == "data", "owl:DatatypeProperty").otherwise("owl:ObjectProperty")
+    line = F.concat(F.lit(":"), "name", F.lit(" a "), kind, ends(F.col("domains"), "domain"), ends(F.col("ranges"), "range"), F.lit(" ."))
+    return out.unionByName(properties.select(F.concat(F.lit("2"), "name").alias("ord"), line.alias("value")))

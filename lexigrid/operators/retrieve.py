@@ -215,6 +215,13 @@ def without_repeats(results: DataFrame, content: str = "content", first: int = 2
     return results.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def first_distinct(results: DataFrame, most: int = 7, order: str = "rank") -> DataFrame:
+    """(qid, article_id, rank): each article at its first place, the first `most` of each question, numbered anew."""
+    d = results.groupBy("qid", "article_id").agg(F.min(order).alias("_o"))
+    n = d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_o", "article_id")))
+    return n.filter(F.col("rank") <= most).select("qid", "article_id", "rank")
+
+
 def overlap(tree: DataFrame, dual: DataFrame, k: int = 5) -> DataFrame:
     """(qid, common, ratio): articles of the tree among the first k of dual, and their share of the smaller set."""
     t = tree.select("qid", "article_id").distinct()

@@ -1043,4 +1043,242 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, d, "events"), "ts", ["event_type"])
 
 
+# ---- planted texts: what the tables hardly have, with the results that must come out
+
+
+_TEXTS = [
+    ("59-2020-QH14:d1", "Doanh nghiệp thực hiện theo Điều 12, Khoản 3 Luật số 59/2020/QH14. Việc khác do hai bên định."),
+    ("59-2020-QH14:d2", "Khoản này được sửa đổi bởi Điều 7 Nghị định số 1/2021/NĐ-CP; phần sau thay thế cho Điều 9."),
+    ("59-2020-QH14:d3", "Quy định tại Điều 5 Khoản 2 và Điều 6"),
+    ("59-2020-QH14:d4", "Theo khoản 8 Điều 92 văn bản số 4063/2016/CT-TTg, hội đồng họp. Không có gì của điều khác."),
+    ("59-2020-QH14:d5", "Không dẫn chiếu gì cả."),
+]
+_REFS = [
+    ("59-2020-QH14:d1", 12, 3, "59/2020/QH14", "THAM_CHIẾU", 1.0), ("59-2020-QH14:d2", 7, None, "1/2021/NĐ-CP", "SỬA_ĐỔI", 0.95), ("59-2020-QH14:d2", 9, None, None, "THAY_THẾ", 0.9),
+    ("59-2020-QH14:d3", 5, 2, None, "THAM_CHIẾU", 0.97), ("59-2020-QH14:d4", 92, 8, "4063/2016/CT-TTg", "THAM_CHIẾU", 0.82),
+]
+
+
+@registered("SELECT id, CAST(article AS INTEGER) AS article, CAST(clause AS INTEGER) AS clause, law, predicate, CAST(confidence AS DOUBLE) AS confidence FROM " + S.values(_REFS, "id, article, clause, law, predicate, confidence"))
+def crossref_planted(spark: SparkSession, d: str) -> DataFrame:
+    """One text for each way to refer."""
+    t = spark.createDataFrame(_TEXTS, "id string, content string")
+    return extract.crossrefs(t).select("id", "article", "clause", "law", "predicate", "confidence")
+
+
+_TARGETS = [("59-2020-QH14:d1", "59-2020-QH14:d12", "references"), ("59-2020-QH14:d2", "1-2021-ND-CP:d7", "amends"), ("59-2020-QH14:d2", "59-2020-QH14:d9", "supersedes"), ("59-2020-QH14:d3", "59-2020-QH14:d5", "references"), ("59-2020-QH14:d4", None, "references")]
+
+
+def _planted_refs(spark: SparkSession) -> DataFrame:
+    docs = spark.createDataFrame([("59-2020-QH14",), ("1-2021-ND-CP",)], "id string")
+    return extract.resolved_crossrefs(extract.crossrefs(spark.createDataFrame(_TEXTS, "id string, content string")), docs)
+
+
+@registered("SELECT * FROM " + S.values(_TARGETS, "src_article, dst_article, ref_type"))
+def crossref_resolve_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Against two documents; a law that isn't there has no target."""
+    return _planted_refs(spark).select("src_article", "dst_article", "ref_type")
+
+
+@registered("SELECT * FROM " + S.values([("59-2020-QH14:d1", "59-2020-QH14:d12", "REFERENCES"), ("59-2020-QH14:d2", "1-2021-ND-CP:d7", "AMENDS"), ("59-2020-QH14:d2", "59-2020-QH14:d9", "SUPERSEDES")], "src, dst, relation_type"))
+def crossref_sync_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Into a graph that has one of the edges already."""
+    return kg.synced_crossrefs(_planted_refs(spark), spark.createDataFrame([("59-2020-QH14:d3", "59-2020-QH14:d5", "REFERENCES")], "src string, dst string, relation_type string"))
+
+
+@registered("SELECT * FROM " + S.values([("59-2020-QH14:d3", "59-2020-QH14:d5"), ("59-2020-QH14:d5", "59-2020-QH14:d3")], "node_id, related_id"))
+def tree_related_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Among the five planted articles."""
+    return hierarchy.related(spark.createDataFrame([(t[0],) for t in _TEXTS], "node_id string"), _planted_refs(spark))
+
+
+_REFERS = r"(?i)(?:theo|căn\s+cứ|tại|của)\s+(?:Điểm\s+([a-zđ])[,\s]+)?(?:Khoản\s+(\d+)[,\s]+)?Điều\s+(\d+)(?:\s+(?:văn\s+bản|Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)\s+(?:số\s+)?(\d+/\d{4}/[A-Za-zĐđ0-9-]+))?"
+
+
+@registered(f"WITH c AS (SELECT DISTINCT id, content FROM legal_articles WHERE content IS NOT NULL), x AS (SELECT id, unnest(list_zip(regexp_extract_all(content, '{_REFERS}', 3), regexp_extract_all(content, '{_REFERS}', 2), regexp_extract_all(content, '{_REFERS}', 4))) AS r FROM c) SELECT DISTINCT id, CAST(r[1] AS INTEGER) AS article, CAST(nullif(r[2], '') AS INTEGER) AS clause, nullif(r[3], '') AS law FROM x")
+def crossref_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What the articles refer to; the tables' texts name the smallest part first, and the law as a numbered text."""
+    return extract.crossrefs(table(spark, d, "legal_articles").select("id", "content").distinct()).select("id", "article", "clause", "law").distinct()
+
+
+_PARSED = [("Điều 5 Luật số 59/2020/QH14", 5, None, None, "59-2020-QH14"), ("điểm b khoản 2 Điều 17", 17, 2, "b", None), ("Nghị định 1/2021/NĐ-CP", None, None, None, "1-2021-ND-CP"), ("không có", None, None, None, None)]
+
+
+@registered("SELECT reference, CAST(article AS INTEGER) AS article, CAST(clause AS INTEGER) AS clause, point, document FROM " + S.values(_PARSED, "reference, article, clause, point, document"))
+def reference_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([(r[0],) for r in _PARSED], "reference string")
+    return t.withColumn("p", extract.parsed_reference(F.col("reference"))).select("reference", "p.*")
+
+
+_GLOSSARY = [
+    ("a1", "Giải thích từ ngữ", "Hội đồng thành viên công ty trách nhiệm hữu hạn (sau đây gọi là HDTV) họp định kỳ.", "HDTV", "Hội đồng thành viên công ty trách nhiệm hữu hạn", 0.95),
+    ("a2", "Tổ chức họp", "Cơ quan quản lý nhà nước về giá (sau đây gọi tắt là Cơ quan) kiểm tra.", "Cơ quan", "Cơ quan quản lý nhà nước về giá", 0.95),
+    ("a3", "Định nghĩa", "Không có từ nào.", None, None, None),
+]
+
+
+@registered("SELECT id, short_form, full_form, CAST(confidence AS DOUBLE) AS confidence FROM " + S.values([(r[0], *r[3:]) for r in _GLOSSARY if r[3] and r[0] != "a2"], "id, short_form, full_form, confidence"))
+def terminology_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Only articles that explain words by their title count."""
+    t = spark.createDataFrame([r[:3] for r in _GLOSSARY], "id string, title string, content string")
+    return extract.terminology(t, title="title").select("id", "short_form", "full_form", "confidence")
+
+
+_FORMS = [("ủy ban nhân dân (UBND) xã và Ủy ban nhân dân (UBND) huyện",), ("Bộ Tài chính (gọi tắt là BTC) ban hành",), ("ABC XYZ (ABC)",)]
+
+
+@registered("SELECT * FROM " + S.values([("UBND", 80), ("BTC", 95), ("ABC", 80)], "abbr, confidence"))
+def abbreviation_planted(spark: SparkSession, d: str) -> DataFrame:
+    return extract.full_forms(spark.createDataFrame(_FORMS, "text string"), "text").select("abbr", "confidence")
+
+
+@registered("SELECT DISTINCT id, article_id FROM (SELECT id, unnest(source_ids) AS article_id FROM kg_entities) WHERE article_id NOT IN (SELECT id FROM legal_articles WHERE id IS NOT NULL AND article_number > 3)")
+def link_validate_part(spark: SparkSession, d: str) -> DataFrame:
+    """Links of entities against a store that lacks the first three articles of each law."""
+    return kg.broken_links(table(spark, d, "kg_entities"), table(spark, d, "legal_articles").filter("article_number > 3"))
+
+
+# ---- further operators
+
+
+@registered(f"SELECT DISTINCT entity_type, coalesce({S.mapped(dims.entity_type_map())}[{S.predicate('entity_type')}], 'LEGAL_TERM') AS type_str, list_contains({S.listed(dims.entity_type_map())}, {S.predicate('entity_type')}) AS known FROM kg_entities WHERE entity_type IS NOT NULL")
+def entity_type_map(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("entity_type")
+    t = table(spark, d, "kg_entities").filter("entity_type is not null")
+    return t.select("entity_type", kg.entity_type(c).alias("type_str"), text.predicate(c).isin(*dims.entity_type_map()).alias("known")).distinct()
+
+
+_KIND = "CASE " + " ".join(f"WHEN starts_with(trim(lower(l)), {S.s(k)}) OR starts_with({S.fold('trim(lower(l))')}, {S.fold(S.s(k))}) THEN {S.s(v)}" for k, v in sorted(dims.DOCUMENT_KINDS.items(), key=lambda x: -len(x[0]))) + " END"
+
+
+@registered(f"SELECT DISTINCT l AS loai_van_ban, {_KIND} AS kind FROM (SELECT loai_van_ban AS l FROM legal_documents WHERE loai_van_ban IS NOT NULL)")
+def document_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "legal_documents").filter("loai_van_ban is not null").select("loai_van_ban", text.document_kind(F.col("loai_van_ban")).alias("kind")).distinct()
+
+
+_TITLE_WORDS = _KEYS.replace("(x,", "(coalesce(title, ''),")
+
+
+@registered(f"""WITH a AS (SELECT chapter_id, id, min(title) AS title, min(article_number) AS n FROM legal_articles WHERE chapter_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL), w AS (SELECT chapter_id, lower(unnest({_TITLE_WORDS})) AS w FROM a), c AS (SELECT * FROM (SELECT chapter_id, w, count(*) AS c FROM w GROUP BY chapter_id, w) QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY c DESC, w) <= 10),
+    k AS (SELECT chapter_id, string_agg(w, ', ' ORDER BY c DESC, w) AS keywords FROM c GROUP BY chapter_id), t AS (SELECT chapter_id, string_agg(title, '. ' ORDER BY n NULLS FIRST, id) AS x FROM a WHERE title IS NOT NULL GROUP BY chapter_id),
+    r AS (SELECT chapter_id, min(article_number) AS f, max(article_number) AS l FROM legal_articles WHERE chapter_id IS NOT NULL AND article_number IS NOT NULL GROUP BY chapter_id), y AS (SELECT r.*, keywords, coalesce(x, '') AS x FROM r LEFT JOIN k USING (chapter_id) LEFT JOIN t USING (chapter_id))
+    SELECT chapter_id, CASE WHEN f = l THEN 'Điều ' || f ELSE 'Điều ' || f || '-' || l END AS article_range, coalesce(keywords, '') AS keywords, {_CUT} AS description FROM y""")
+def chapter_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.chapter_summaries(table(spark, d, "legal_articles"))
+
+
+@registered(f"WITH {_NODES}, t AS (SELECT node_id AS at, min(title) AS title FROM (SELECT id AS node_id, min(title) AS title FROM legal_documents WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT id, title FROM {_ART} WHERE document_id IS NOT NULL) GROUP BY 1), p AS (SELECT node_id, unnest(path) AS at, generate_subscripts(path, 1) AS o FROM nodes) SELECT p.node_id, string_agg(coalesce(title, p.at), ' > ' ORDER BY o) AS trail FROM p LEFT JOIN t ON t.at = p.at GROUP BY p.node_id")
+def tree_names(spark: SparkSession, d: str) -> DataFrame:
+    return tree.name_path(_nodes(spark, d))
+
+
+_PROPERTIES = [("hasName", "Thing", "xsd:string"), ("hasShareholder", "Company", "Shareholder"), ("issuedBy", "Document", "Organization")]
+_ELEMENTS = sorted({e.lower() for c in dims.ONTOLOGY_CLASSES for e in (c[0], c[2]) if e} | {p[0].lower() for p in _PROPERTIES})
+
+
+def _default_properties(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, "data" if r.startswith("xsd:") else "object", d, r) for n, d, r in _PROPERTIES], "name string, kind string, domains string, ranges string")
+
+
+@registered(f"""WITH q AS (SELECT DISTINCT item_id, question, category, item_id % 3 AS priority FROM eval_items), w AS (SELECT *, len(list_filter(regexp_split_to_array({S.fold('lower(question)')}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3 AND len(list_filter({S.listed(_ELEMENTS)}, lambda e: contains(e, w))) > 0)) > 0 AS a FROM q),
+    u AS (SELECT 'category' AS dimension, coalesce(category, '') AS value, a FROM w UNION ALL SELECT 'priority', CAST(priority AS VARCHAR), a FROM w UNION ALL SELECT 'all', 'all', a FROM w) SELECT dimension, value, count(*) FILTER (WHERE a) AS answerable, count(*) FILTER (WHERE NOT a) AS unanswerable FROM u GROUP BY ALL""")
+def competency_coverage(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "eval_items").select(F.col("item_id").alias("question_id"), "question", "category", (F.col("item_id") % 3).alias("priority")).distinct()
+    return ontology.coverage(q, ontology.default_classes(spark), _default_properties(spark))
+
+
+@registered(f"WITH {_VALID} SELECT (SELECT count(*) FROM {_REL}) AS input, (SELECT count(*) FROM {_REL} WHERE src = dst) AS self_references, count(*) AS kept, count(*) FILTER (WHERE NOT coalesce(list_contains({S.listed(dims.relation_type_map())}, p), FALSE)) AS unknown_types, count(*) FILTER (WHERE NOT ({_RULES})) AS semantic_warnings FROM v")
+def validation_counts(spark: SparkSession, d: str) -> DataFrame:
+    v = _validated(spark, d).withColumn("known_type", F.coalesce("known_type", F.lit(False)))
+    return kg.validation_counts(_relations(spark, d), v)
+
+
+@registered("SELECT item_id AS qid FROM (SELECT DISTINCT item_id FROM eval_items) ORDER BY item_id LIMIT 20 OFFSET 10")
+def question_window(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty questions after the first ten: the limits are the feature."""
+    return evaluate.selected(_questions(spark, d).select("qid").distinct(), limit=20, offset=10)
+
+
+_HIT = "EXISTS (SELECT 1 FROM {} l JOIN qrel q ON q.qid = l.qid AND q.item = l.article_id WHERE rank <= 10 AND l.qid = m.qid)"
+_DIMENSIONS = ("query_type", "intent", "method", "category", "refs", "confidence", "pattern", "expected_bucket", "volume", "ontology")
+_METHOD = "CASE t.query_type " + " ".join(f"WHEN {S.s(r[0])} THEN {S.s(r[1])}" for r in dims.STRATEGIES) + " END"
+
+
+@registered(f"""WITH {_METRICS}, i AS (SELECT item_id AS qid, min(question) AS question, min(category) AS category FROM eval_items GROUP BY item_id), t AS (SELECT qid, category, {S.query_type('question')} AS query_type, {S.intent('question')} AS intent, len(list_concat(regexp_extract_all(question, '[Đđ]iều\\s+(\\d{{1,9}})', 1), regexp_extract_all(question, '[Đđ]\\.\\s*(\\d{{1,9}})', 1))) > 0 AS refs, {S.any_of('lower(question)', [c[2].lower() for c in dims.ONTOLOGY_CLASSES if c[2]])} AS ontology FROM i),
+    a AS (SELECT m.*, t.query_type, t.intent, {_METHOD} AS method, t.category, CAST(t.refs AS VARCHAR) AS refs, CASE WHEN (m.qid % 10) / 10.0 < 0.5 THEN 'low' WHEN (m.qid % 10) / 10.0 < 0.7 THEN 'medium' ELSE 'high' END AS confidence,
+        CASE WHEN {_HIT.format('l_tree')} AND {_HIT.format('l_dual')} THEN 'both' WHEN {_HIT.format('l_tree')} THEN 'tree_only' WHEN {_HIT.format('l_dual')} THEN 'kg_only' ELSE 'neither' END AS pattern, CASE WHEN expected <= 1 THEN '1' WHEN expected <= 3 THEN '2-3' ELSE '4+' END AS expected_bucket,
+        (SELECT CASE WHEN count(*) = 0 THEN '0' WHEN count(*) <= 10 THEN '1-10' WHEN count(*) <= 30 THEN '11-30' WHEN count(*) <= 50 THEN '31-50' ELSE '51+' END FROM l_tree l WHERE l.qid = m.qid) AS volume, CAST(t.ontology AS VARCHAR) AS ontology FROM metrics m LEFT JOIN t USING (qid) WHERE k = 10),
+    u AS ({' UNION ALL '.join(f"SELECT '{c}' AS dimension, coalesce({c}, '(none)') AS value, hit, recall, rr FROM a" for c in _DIMENSIONS)} UNION ALL SELECT 'all', 'all', hit, recall, rr FROM a) SELECT dimension, value, count(*) AS questions, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr FROM u GROUP BY ALL""")
+def ir_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics at 10 by everything an evaluation is broken down by."""
+    x = _lists(spark, d)
+    m, rel = cut(_metrics(spark, d)), _qrels(x)
+    q = table(spark, d, "eval_items").groupBy(F.col("item_id").alias("qid")).agg(F.min("question").alias("q"), F.min("category").alias("category"))
+    s = F.broadcast(spark.createDataFrame([r[:2] for r in dims.STRATEGIES], "query_type string, method string"))
+    c = F.col("q")
+    known = query.any_of(F.lower(c), tuple(k[2].lower() for k in dims.ONTOLOGY_CLASSES if k[2]))
+    t = q.select("qid", "category", query.query_type(c).alias("query_type"), query.intent(c).alias("intent"), (F.size(query.article_refs(c)) > 0).alias("refs"), known.alias("ontology")).join(s, "query_type", "left")
+    hit = lambda n: x[n].filter("rank <= 10").select("qid", F.col("article_id").alias("item")).join(rel, ["qid", "item"]).select("qid", F.lit(True).alias(f"in_{n}")).distinct()
+    size = x["tree"].groupBy("qid").agg(F.count("*").alias("n"))
+    a = m.filter("k = 10").select("qid", "expected").join(t, "qid", "left").join(hit("tree"), "qid", "left").join(hit("dual"), "qid", "left").join(size, "qid", "left")
+    a = a.withColumn("confidence", evaluate.confidence_bucket((F.col("qid") % 10) / 10.0)).withColumn("pattern", evaluate.hit_pattern(F.col("in_tree"), F.col("in_dual")))
+    a = a.withColumn("expected_bucket", evaluate.expected_bucket(F.col("expected"))).withColumn("volume", evaluate.volume_bucket(F.col("n")))
+    return evaluate.breakdown(m, a.select("qid", *_DIMENSIONS), _DIMENSIONS)
+
+
+@registered(f"""WITH {_VEC}, th AS (SELECT label, list(m ORDER BY i) AS a FROM (SELECT label, i, avg(a[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label), s AS (SELECT qid, label, {_COS.replace('a,', 'th.a,').replace('(a', '(th.a').replace('th.th.', 'th.')} AS similarity FROM th, qv),
+    f AS (SELECT entity_id, arg_min(article_id, (ord, article_id)) AS article_id FROM {_MEN} GROUP BY entity_id) SELECT qid, article_id, max(similarity) AS theme FROM s JOIN (SELECT DISTINCT CAST(right(id, 1) AS INTEGER) AS label, id FROM kg_entities WHERE regexp_matches(id, '[0-9]$')) m USING (label) JOIN f ON f.entity_id = m.id GROUP BY ALL""")
+def theme_articles(spark: SparkSession, d: str) -> DataFrame:
+    """From vectors through themes to articles; an entity's theme is the last digit of its id here."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label").dropDuplicates(["vec_id"])
+    members = table(spark, d, "kg_entities").filter(F.col("id").rlike("[0-9]$")).select(F.right("id", F.lit(1)).cast("int").alias("theme"), F.col("id").alias("entity_id")).distinct()
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return retrieve.high_level(asked, _themes(v).withColumnRenamed("label", "theme"), members, _corpus(spark, d).mentions)
+
+
+@registered(f"WITH {_LISTS}, u AS (SELECT qid, article_id, rank FROM l_tree UNION ALL SELECT qid, article_id, rank FROM l_dual), m AS (SELECT qid, article_id, min(rank) AS o FROM u GROUP BY ALL) SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY o, article_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 7")
+def keep_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first seven different articles of two lists: the limit is the feature."""
+    x = _lists(spark, d)
+    return retrieve.first_distinct(x["tree"].select("qid", "article_id", "rank").unionByName(x["dual"].select("qid", "article_id", "rank")))
+
+
+@registered()
+def entity_remap(spark: SparkSession, d: str) -> DataFrame:
+    return kg.remap_of(kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str")))
+
+
+@registered()
+def offline_graph(spark: SparkSession, d: str) -> DataFrame:
+    """How many entities and relations raw extraction comes to."""
+    e, r = engine.offline_graph(table(spark, d, "entity_feed").select("record_id", "name", "type_str", "description", "confidence", "source_id", "document_id").distinct(), _corpus(spark, d).edges)
+    return hierarchy.table_counts(entities=e, relations=r)
+
+
+@registered()
+def tree_related(spark: SparkSession, d: str) -> DataFrame:
+    refs = extract.resolved_crossrefs(extract.crossrefs(table(spark, d, "legal_articles").select("id", "content").distinct()), table(spark, d, "legal_documents"))
+    return hierarchy.related(_nodes(spark, d), refs)
+
+
+@registered()
+def ontology_turtle(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.turtle(ontology.default_classes(spark), properties=_default_properties(spark))
+
+
+@registered("SELECT DISTINCT e.id, a.id AS article_id FROM (SELECT id, name, unnest(source_ids) AS article_id FROM kg_entities WHERE length(name) > 0) e JOIN " + _ART + " a ON a.id = e.article_id WHERE contains(lower(a.content), lower(e.name))")
+def entity_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that their sources name, by where they stand."""
+    arts = _corpus(spark, d).articles
+    return kg.entity_contexts(table(spark, d, "kg_entities"), arts).select("id", "article_id").distinct()
+
+
+@registered(f"SELECT entity_id, CAST(max(n) AS BIGINT) AS rows FROM (SELECT {S.slug('name')} AS entity_id, count(*) AS n FROM {_FEED} GROUP BY ALL) WHERE length(entity_id) > 0 GROUP BY entity_id")
+def merged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The feed in two batches, the second merged into the first, as a stream merges them."""
+    f = _feed(spark, d)
+    parts = [kg.merged_entities(f.filter(F.pmod("ord", F.lit(2)) == b)).withColumn("batch", F.lit(b)) for b in (0, 1)]
+    return incremental.folded(parts[0].unionByName(parts[1])).select("entity_id", F.col("occurrence_count").alias("rows"))
+
+
 FLAGSHIP = "rrf_merge"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,3 +177,197 @@ def _over(a: Mapping, b: Mapping) -> dict:
     for k, v in b.items():
         out[k] = _over(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
     return out
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines; they stand under path as a whole or not at all: written beside it, then renamed."""
+    _swapped(df.sparkSession, path, lambda there: df.write.json(there))
+
+
+def _swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    there = f"{path}.{uuid.uuid4().hex}"
+    write(there)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = p(f"{there}.old")
+    had = fs.exists(p(path)) and fs.rename(p(path), old)
+    if not fs.rename(p(there), p(path)):
+        if had:
+            fs.rename(old, p(path))
+        raise OSError(f"could not rename {there} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+class Backups:
+    """Versions of the tables under path: a backup is a folder beside it, whole before it has its name; a rollback puts one back."""
+
+    def __init__(self, spark: SparkSession, path: str, tables: Sequence[str] = ("entities", "relations")):
+        self.spark, self.path, self.tables = spark, path, tables
+
+    def _copy(self, source: str, target: str) -> None:
+        for t in self.tables:
+            self.spark.read.parquet(f"{source}/{t}").write.parquet(f"{target}/{t}")
+
+    def versions(self) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}.backups")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(n for s in fs.listStatus(p) if "." not in (n := s.getPath().getName())) if fs.exists(p) else []
+
+    def save(self, name: str) -> None:
+        if name in self.versions():
+            raise ValueError(f"there is a backup {name} already")
+        _swapped(self.spark, f"{self.path}.backups/{name}", lambda there: self._copy(self.path, there))
+
+    def restore(self, name: str) -> None:
+        _swapped(self.spark, self.path, lambda there: self._copy(f"{self.path}.backups/{name}", there))
+
+
+def write_ontology(classes: DataFrame, properties: DataFrame, path: str, base: str = "http://example.org/ontology#") -> None:
+    """The ontology as one JSON line {base_uri, classes, properties, metadata}: a schema, small whatever the data."""
+    c = classes.select("name", "label", "parent", F.lit(None).cast("string").alias("description"), F.concat(F.lit(base), "name").alias("uri"))
+    ends = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), ","), lambda v: v != "")
+    p = properties.select("name", F.col("name").alias("label"), F.col("kind").alias("type"), ends("domains").alias("domain"), ends("ranges").alias("range"), F.lit(None).cast("string").alias("description"), F.concat(F.lit(base), "name").alias("uri"))
+    both = c.agg(F.array_sort(F.collect_list(F.struct(*c.columns))).alias("classes")).join(p.agg(F.array_sort(F.collect_list(F.struct(*p.columns))).alias("properties")))
+    write_json(both.select(F.lit(base).alias("base_uri"), "classes", "properties", F.create_map(F.lit("num_classes"), F.size("classes"), F.lit("num_properties"), F.size("properties")).alias("metadata")), path)
+
+
+def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(classes (name, parent, label), properties (name, kind, domains, ranges)) of an ontology's JSON, on one line or several."""
+    c = "name string, label string, parent string, description string, uri string"
+    p = "name string, label string, type string, domain array<string>, range array<string>, description string, uri string"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"base_uri string, classes array<struct<{_colons(c)}>>, properties array<struct<{_colons(p)}>>").alias("o"))
+    classes = raw.select(F.explode("o.classes").alias("c")).select("c.name", "c.parent", "c.label")
+    return classes, raw.select(F.explode("o.properties").alias("p")).select("p.name", F.col("p.type").alias("kind"), F.array_join("p.domain", ",").alias("domains"), F.array_join("p.range", ",").alias("ranges"))
+
+
+def write_themes(themes: DataFrame, members: DataFrame, path: str) -> None:
+    """A theme index: vectors (theme, embedding, ...) and members (theme, entity_id)."""
+    _swapped(themes.sparkSession, path, lambda there: (themes.write.parquet(f"{there}/themes"), members.write.parquet(f"{there}/members")))
+
+
+def read_themes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/themes"), spark.read.parquet(f"{path}/members")
+
+
+_NODE = "node_id string, node_type string, parent_id string, document_id string, path array<string>, ord int, title string, content string"
+
+
+def read_nested_forest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, cross-references) of files {trees: {id: {doc_id, root: {node_id, node_type, name, content, children: [...]}}}, cross_refs: [...]}; a tree is read by one
+    task, whatever its depth."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "trees map<string,string>, cross_refs array<struct<source_node_id:string,target_node_id:string,reference_text:string,confidence:double>>").alias("f"))
+
+    def flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for key, t in zip(f["k"], f["t"]):
+                tree = json.loads(t)
+                waiting = [(tree.get("root") or {}, None, [], 0)]
+                while waiting:
+                    n, parent, above, place = waiting.pop()
+                    me = n.get("node_id")
+                    if me is None:
+                        continue
+                    here = [*above, me]
+                    rows.append((me, n.get("node_type"), parent, tree.get("doc_id", key), here, place, n.get("name"), n.get("content")))
+                    waiting += [(c, me, here, i) for i, c in enumerate(n.get("children") or [])]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _NODE.split(", ")])
+
+    nodes = raw.select(F.explode("f.trees").alias("k", "t")).mapInPandas(flat, _NODE)
+    refs = raw.select(F.explode("f.cross_refs").alias("r")).select(F.col("r.source_node_id").alias("src_article"), F.col("r.target_node_id").alias("dst_article"), F.col("r.reference_text").alias("reference"), F.col("r.confidence").alias("confidence"))
+    return nodes, refs
+
+
+def nested_trees(nodes: DataFrame) -> DataFrame:
+    """(document_id, tree): each document's nodes (node_id, node_type, parent_id, document_id, ord, title) as nested JSON; a document is one task's."""
+
+    def nest(f: pd.DataFrame) -> pd.DataFrame:
+        below: dict = {}
+        f = f.sort_values(["ord", "node_id"], na_position="first")
+        for r in f.itertuples():
+            below.setdefault(r.parent_id if isinstance(r.parent_id, str) else None, []).append(r)
+
+        def node(r) -> dict:
+            return {"node_id": r.node_id, "node_type": r.node_type, "name": r.title if isinstance(r.title, str) else None, "children": [node(c) for c in below.get(r.node_id, [])]}
+
+        doc = f["document_id"].iloc[0]
+        roots = below.get(None, [])
+        return pd.DataFrame({"document_id": [doc], "tree": [json.dumps({"doc_id": doc, "root": node(roots[0]) if roots else None}, ensure_ascii=False)]})
+
+    cols = nodes.select("node_id", "node_type", "parent_id", "document_id", "ord", "title").dropDuplicates(["document_id", "node_id"])
+    return cols.groupBy("document_id").applyInPandas(nest, "document_id string, tree string")
+
+
+def cache_statistics(cache: DataFrame, model: str = "model") -> DataFrame:
+    """(model, entries) of a cache, and all of them under null."""
+    return cache.cube(model).agg(F.count("*").alias("entries"), F.grouping(model).alias("_g")).select(F.when(F.col("_g") == 0, F.coalesce(model, F.lit(""))).alias("model"), "entries")
+
+
+def read_training(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question, expected): rows of a training file, a list or lines of {question, article_ids}; numbered in the order of their questions."""
+    d = spark.read.schema("id string, question string, article_ids array<string>").json(path, multiLine=True)
+    numbers = F.array_sort(F.array_distinct(F.array_compact(F.transform("article_ids", text.article_number))))
+    return d.filter("question is not null").select(F.coalesce("id", text.hash_id(F.col("question"), 16)).alias("qid"), "question", numbers.alias("expected"))
+
+
+def merged_terms(old: DataFrame, new: DataFrame, key: str = "short_form") -> DataFrame:
+    """A table of terms with those of new whose key it lacks."""
+    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def term_lists(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the values of each key, each once, the surest first, ties by the value; pairs (key, value, confidence)."""
+    p = pairs.groupBy(key, value).agg(F.max("confidence").alias("c"))
+    return p.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("c"), F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
+
+
+def write_term_lists(lists: DataFrame, path: str, key: str) -> None:
+    """term_lists as a mapping: JSON, or YAML by its name, which is JSON too. A dictionary of words is read to the driver whole."""
+    rows = {r[key]: list(r["values"]) for r in lists.orderBy(key).collect()}
+    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=1), encoding="utf-8")
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], str], per_second: float = 1.0, retries: int = 3, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, html, attempts, error): pages that the hook brings, each address once. A task keeps `per_second` and tries again, waiting twice as long each time; what fails in
+    the end has its error. The rate is a task's own: as many tasks as partitions ask at a time."""
+
+    def bring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0.0
+        for f in frames:
+            rows = []
+            for url in f["url"]:
+                page = error = None
+                for attempt in range(1, retries + 1):
+                    wait = last + 1 / per_second - time.monotonic()
+                    if last and wait > 0:
+                        sleep(wait)
+                    last = time.monotonic()
+                    try:
+                        page, error = fetch(url), None
+                        break
+                    except Exception as e:  # the hook's own errors are the result
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt < retries:
+                            sleep(first_wait * 2 ** (attempt - 1))
+                rows.append((url, page, attempt, error))
+            yield pd.DataFrame(rows, columns=["url", "html", "attempts", "error"])
+
+    return urls.select("url").filter("url is not null").distinct().mapInPandas(bring, "url string, html string, attempts int, error string")
+
+
+def stream_events(c):
+    """The data of a server-sent stream of events, in order; [DONE] and comments left out."""
+    lines = F.filter(F.split(c, r"\r?\n"), lambda x: x.startswith("data:"))
+    data = F.transform(lines, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x))))
+    return F.filter(data, lambda x: (x != "[DONE]") & (x != ""))
+
+
+def streamed_text(c):
+    """The text that a stream of a model's events says: choices[0].delta.content of each."""
+    return F.array_join(F.transform(stream_events(c), lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.content"), F.lit(""))), "")
+
+
+def with_model_json(prompts: DataFrame, cache: DataFrame, model: Callable[[str], str], schema: str) -> DataFrame:
+    """with_model, and value: what the JSON in the response says by the schema; null where there is none."""
+    return with_model(prompts, cache, model).withColumn("value", F.from_json(text.salvaged_json(F.col("response")), schema))

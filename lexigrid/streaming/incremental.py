@@ -9,30 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 from lexigrid.operators import kg
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return like.limit(0)
-        raise
-
-
 def merge_entities(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Extracted entities (name, type_str, description, confidence, source_id, document_id, ord) merged by slug into the table at path: each micro-batch is merged,
-    those already there are left out by an anti join, the rest is appended under the batch's number, so a repeated batch replaces itself."""
+    """Extracted entities (name, type_str, description, confidence, source_id, document_id, ord) merged by slug under path: each micro-batch is merged in itself and
+    written under its number, so a repeated batch replaces itself; merged_batches() reads all of them as one. No batch is read again to take the next one."""
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = kg.merged_entities(batch)
-        have = _read(spark, path, new.withColumn("batch", F.lit(n)))
-        fresh = new.join(have.filter(F.col("batch") != n).select("entity_id"), "entity_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        kg.merged_entities(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def merged_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The entities that merge_entities has written, those of one slug as one: what a later batch knows of an entity is folded into the earlier.
+
+    See folded.
+    """
+    return folded(spark.read.parquet(path))
+
+
+def folded(batches: DataFrame) -> DataFrame:
+    """Merged entities with a batch number, those of one slug as one: the first batch's name and type, the greatest confidence, the longest description, the first of
+    equals; sorted sources, documents and names; the sum of rows."""
+    d = batches
+    length = F.coalesce(F.length("description"), F.lit(0))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return d.groupBy("entity_id").agg(
+        F.min_by("name", "batch").alias("name"), F.min_by("type_str", "batch").alias("type_str"), F.max("confidence").alias("confidence"), F.max_by("description", F.struct(length, -F.col("batch"))).alias("description"),
+        every("source_ids"), every("document_ids"), every("aliases"), F.sum("occurrence_count").alias("occurrence_count"),
+    )
+
+
+def compact_batches(spark: SparkSession, path: str, target: str) -> None:
+    """merged_batches as one batch under target, to go on from."""
+    merged_batches(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def running_rates(results: DataFrame, group: str, hit: str, name: str) -> StreamingQuery:
     """Hit rates per group, kept up to date in a memory table."""
     d = results.groupBy(group).agg(F.count("*").alias("questions"), F.avg(F.col(hit).cast("double")).alias("rate"))
