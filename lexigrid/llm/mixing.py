@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -22,14 +22,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BUCKET_ROWS = 20_000
 
 
-def token_counter(vocabulary: str = VOCABULARY):
-    """A column function: tokens of a text; 0 for null."""
+def token_counter(spark: SparkSession, vocabulary: str = VOCABULARY):
+    """A column function: tokens of a text; 0 for null. The driver reads the vocabulary, a few megabytes, and sends it to every task, so only it needs the file."""
+    sent = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     @pandas_udf("long")
     def count(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(vocabulary).read_bytes().splitlines() if x)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in sent.value.splitlines() if x)}
         coder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for s in frames:
             yield pd.Series([len(coder.encode_ordinary(t)) if t else 0 for t in s], dtype="int64")
@@ -45,7 +46,7 @@ def source_name(c: Column) -> Column:
 def sized(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = 0) -> DataFrame:
     """(doc_id, source, tokens, place): documents with tokens; place is their random spot in their source's order, uniform over 64 bits."""
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("doc_id is not null and source is not null and length(text) > 0")
-    return d.select("doc_id", "source", token_counter(vocabulary)("text").alias("tokens"), F.xxhash64("doc_id", F.lit(seed)).alias("place")).filter("tokens > 0")
+    return d.select("doc_id", "source", token_counter(docs.sparkSession, vocabulary)("text").alias("tokens"), F.xxhash64("doc_id", F.lit(seed)).alias("place")).filter("tokens > 0")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lexigrid.llm.history import plain
 from lexigrid.llm.syllables import one_edit, valid
 from lexigrid.operators.graph import connected_components
-from lexigrid.operators.skew import hot_split_join
+from lexigrid.operators.kg import jaro_winkler
+from lexigrid.operators.skew import hot_split_join, parted_join
 from lexigrid.session import cut
 
 #: Jaro-Winkler similarity of two whole names, their syllables paired, from which one may be a slip of the other.
@@ -117,33 +118,6 @@ def proper(name: str, kind: str) -> tuple[str, list[str]] | None:
     return (branch, t) if t and sum(map(len, t)) > 3 else None
 
 
-def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
-    """Jaro's similarity, raised by up to four letters of common start."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    hits: list[str] = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                hits.append(c)
-                break
-    m = len(hits)
-    if not m:
-        return 0.0
-    other = [c for j, c in enumerate(b) if not free[j]]
-    swaps = sum(x != y for x, y in zip(hits, other)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    start = 0
-    while start < min(4, len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    return jaro + start * scale * (1 - jaro)
-
-
 def slip(a: str, b: str, only: bool) -> bool:
     """If one syllable may be a slip of the other: of the same phonetic code, one edit apart, or, where nothing else differs, what is no syllable and alike.
 
@@ -300,7 +274,7 @@ def linked_ids(entities: DataFrame) -> DataFrame:
         wide = d.filter("large").withColumn("key", F.explode(narrow("tokens", "key")))
         few[name] = d.filter("not large").unionByName(wide).drop("large")
     other = few["targets"].select("type_str", "key", F.col("form").alias("form2"), F.col("tokens").alias("tokens2"))
-    pairs = few["probes"].join(other, ["type_str", "key"]).filter("form <> form2").select("type_str", "form", "tokens", "form2", "tokens2").distinct()
+    pairs = parted_join(few["probes"], other, ["type_str", "key"], PART_ROWS).filter("form <> form2").select("type_str", "form", "tokens", "form2", "tokens2").distinct()
 
     @F.pandas_udf("string")
     def judged(a: pd.Series, c: pd.Series, kind: pd.Series) -> pd.Series:

@@ -513,3 +513,28 @@ def test_nicknames_and_alike_names(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK_PAIRS", 0)  # all by another syllable
     monkeypatch.setattr(names, "PART_ROWS", 2)
     assert {(r.id_a, r.id_b) for r in names.same_entities(d).collect()} == got
+
+
+def test_shares_against_brute_force(spark, sf):
+    """The report's shares by a plain count of what was taken, and each source within a document of what its share asks."""
+    import base64
+    from pathlib import Path
+
+    import tiktoken
+
+    from lexigrid.session import table
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(mixing.VOCABULARY).read_bytes().splitlines() if x)}
+    coder = tiktoken.Encoding("mix", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {(r.doc_id): r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect() if r.text}
+    taken, shares = queries.p9_mix(spark, sf).collect(), {r.source: r for r in queries.p9_shares(spark, sf).collect()}
+    tokens = {}
+    for r in taken:
+        assert r.tokens == len(coder.encode_ordinary(docs[r.doc_id]))
+        tokens[r.source] = tokens.get(r.source, 0) + r.tokens
+    total = sum(tokens.values())
+    there = {s: r for s, r in shares.items() if r.rows}
+    assert set(there) == set(tokens) and all(there[s].tokens == n and there[s].share == pytest.approx(n / total, abs=1e-6) for s, n in tokens.items())
+    whole = sum(r.target_share for r in there.values())
+    largest = max(r.tokens for r in taken)
+    assert all(abs(r.tokens - total * r.target_share / whole) <= 2 * largest for r in there.values()) and all(r.copies <= r.max_repeats for r in there.values())
