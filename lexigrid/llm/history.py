@@ -38,6 +38,8 @@ SMALL_KEY = 64
 PART_ROWS = 2000
 #: Keys or ids up to which the tables are read by pushed-down points.
 POINTS = 1000
+#: Rows of a page of the tables: what a point reads at least.
+PAGE_ROWS = 1000
 #: Words that may be left unexplained between two descriptions that say the same, as a share of the longer.
 UNEXPLAINED = 0.05
 
@@ -68,7 +70,7 @@ _TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+|[/%-]")
 _PUNCTUATION = re.compile(r"[^\w\s/.,%-]|_|[.,](?=\s|$)")
 #: Ends of sentences, after plain().
 _SENTENCE = re.compile(r"[.;!?]+(?:\s+|$)")
-_EMPTY = re.compile(r"\b(?:" + "|".join(sorted(EMPTY_PHRASES, key=len, reverse=True)) + r")\b")
+_EMPTY = re.compile(r"\b(?:" + "|".join(p.replace(" ", " +") for p in sorted(EMPTY_PHRASES, key=len, reverse=True)) + r")\b")
 
 
 def plain(text: str) -> str:
@@ -108,59 +110,49 @@ class Said:
 
     def __init__(self, text: str):
         self.numbers, self.refs, self.words, self.sentences = [], [], [], []
-        for part in _SENTENCE.split(plain(text)):
-            words = self._read(_EMPTY.sub(" ", " ".join(_PUNCTUATION.sub(" ", part).split())))
+        for line in _EMPTY.sub(" ", _PUNCTUATION.sub(" ", _SENTENCE.sub("\n", plain(text)))).split("\n"):
+            tokens = _TOKEN.findall(line)
+            if not tokens:
+                continue
+            words = self._read(tokens)
             if words:
-                self.words += [w for w in words if w[0] != "#"]
                 self.sentences.append(" ".join(words))
         self.numbers.sort()
         self.refs.sort()
         self.sentences.sort()
 
-    def _read(self, s: str) -> list[str]:
-        """The words of a sentence and, after #, its numbers and codes, which are kept too."""
-        tokens = _TOKEN.findall(s)
-        numbers, refs, words = [], [], []
-        i = 0
-        while i < len(tokens):
+    def _read(self, tokens: list[str]) -> list[str]:
+        """The words of a sentence and, after #, its numbers and codes; all are kept."""
+        out, plain_words = [], self.words
+        i, n = 0, len(tokens)
+        while i < n:
             t = tokens[i]
-            if t[0].isdigit():
-                before = len(numbers), len(refs)
+            i += 1
+            if t.isalpha():
+                full = ABBREVIATIONS.get(t)
+                if full is None:
+                    out.append(t)
+                    plain_words.append(t)
+                else:
+                    out += full.split()
+                    plain_words += full.split()
+            elif t[0].isdigit():
                 # A reference goes on over slashes and hyphens: 3071/2005/TT-NHNN.
-                j = i + 1
                 code = []
-                while j + 1 < len(tokens) and tokens[j] in "/-" and _adjoining(tokens[j + 1]):
-                    code.append(tokens[j + 1])
-                    j += 2
+                while i + 1 < n and tokens[i] in "/-" and tokens[i + 1][0].isalnum():
+                    code.append(tokens[i + 1])
+                    i += 2
                 if code:
-                    numbers.append(number_value(t, None) if not _plain_int(t) else str(int(t)))
-                    for c in code:
-                        if c[0].isdigit():
-                            numbers.append(str(int(c)) if _plain_int(c) else number_value(c, None))
-                        else:
-                            refs.append(c)
+                    numbers = [str(int(c)) if c.isdigit() else number_value(c, None) for c in (t, *code) if c[0].isdigit()]
+                    refs = [c for c in code if not c[0].isdigit()]
+                    self.refs += refs
                 else:
-                    scale = tokens[j] if j < len(tokens) and tokens[j] in SCALES else None
-                    numbers.append(number_value(t, scale))
-                    if scale:
-                        j += 1
-                words += ["#" + x for x in numbers[before[0] :] + refs[before[1] :]]
-                i = j
-                continue
-            if t[0].isalpha():
-                words.extend(ABBREVIATIONS[t].split() if t in ABBREVIATIONS else [t])
-            i += 1
-        self.numbers += numbers
-        self.refs += refs
-        return words
-
-
-def _adjoining(t: str) -> bool:
-    return t[0].isdigit() or t[0].isalpha()
-
-
-def _plain_int(t: str) -> bool:
-    return t.isdigit()
+                    scale = tokens[i] if i < n and tokens[i] in SCALES else None
+                    numbers, refs = [number_value(t, scale)], []
+                    i += scale is not None
+                self.numbers += numbers
+                out += ["#" + x for x in numbers + refs]
+        return out
 
 
 _VOTES: dict[str, np.ndarray] = {}
@@ -511,9 +503,9 @@ class FingerprintStore:
         return self.spark.read.schema(_TABLES[name]).parquet(*[f"{self.path}/v{v:09d}/{name}" for v in live])
 
     def _write(self, d: DataFrame, name: str, version: int, by: str, rows: int) -> None:
-        # Small row groups in the order of `by`, so that a point reads little.
+        # Small row groups and pages in the order of `by`, so that a point reads little, whatever the size of history.
         d = d.repartitionByRange(max(1, rows // 2_000_000), by).sortWithinPartitions(by)
-        d.write.mode("overwrite").option("parquet.block.size", str(1 << 20)).parquet(f"{self.path}/v{version:09d}/{name}")
+        d.write.mode("overwrite").option("parquet.block.size", str(1 << 20)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).parquet(f"{self.path}/v{version:09d}/{name}")
 
     def _at(self, table: DataFrame, column: str, points: DataFrame) -> DataFrame:
         """The table's rows at the points: of a few by pushed-down values, so that only row groups that may hold them are read, of many by a join."""
