@@ -146,9 +146,12 @@ def tagged(words: DataFrame, tagger: Callable[[str, str], str | None], word: str
     return words.join(tags.select(F.col(word).alias("_w"), F.col(context).alias("_c"), "tag"), F.col(word).eqNullSafe(F.col("_w")) & F.col(context).eqNullSafe(F.col("_c")), "left").drop("_w", "_c")
 
 
-def listed_abbreviations(a: DataFrame, confidence: int = 0, least: int = 1) -> DataFrame:
-    """abbreviations() of at least so many uses and such confidence, the most used first, ties by the word."""
-    return a.filter((F.col("corpus_count") >= least) & (F.col("confidence") >= confidence)).orderBy(F.desc("corpus_count"), "abbr")
+def listed_abbreviations(a: DataFrame, confidence: int = 0, least: int = 0, category: str | None = None) -> DataFrame:
+    """abbreviations() of at least so many uses and such confidence, and of a category where the table has one; the most used first, ties by the word."""
+    kept = a.filter((F.col("corpus_count") >= least) & (F.col("confidence") >= confidence))
+    if category is not None:
+        kept = kept.filter(F.col("category") == category)
+    return kept.orderBy(F.desc("corpus_count"), "abbr")
 
 
 _UPPER = r"[\p{Lu}][\p{Lu}0-9\-]{1,9}"

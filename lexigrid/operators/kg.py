@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import dims, text
 from lexigrid.operators.graph import connected_components
 from lexigrid.operators.skew import parted_join
+from lexigrid.session import cut
 
 
 def merged_entities(raw: DataFrame) -> DataFrame:
@@ -187,6 +188,31 @@ def remap_of(pairs: DataFrame) -> DataFrame:
     return c.filter("node <> component").select(F.col("node").alias("old_id"), F.col("component").alias("canonical_id"))
 
 
+def greedy_remap(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(old_id, canonical_id) as taking entities one after the other by id gives it: an entity that is like one already kept goes over into the most alike, ties by
+    id, and isn't kept itself; all others are kept.
+
+    An entity is decided as soon as all that are like it and come before are, so a round settles every entity whose turn has come; rounds are as many as the
+    longest chain of alike entities, each later than the last. pairs (id_a, id_b, similarity), id_a < id_b.
+    """
+    e = cut(pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity")))
+    every = e.select(F.col("id_a").alias("id")).union(e.select("id_b")).distinct()
+    kept = cut(every.join(e.select(F.col("id_b").alias("id")), "id", "left_anti").withColumn("kept", F.lit(True)))
+    n, total = kept.count(), every.count()
+    for _ in range(max_rounds):
+        if n == total:
+            break
+        ask = e.join(kept.select(F.col("id").alias("id_b")), "id_b", "left_anti").join(kept.withColumnRenamed("id", "id_a"), "id_a", "left")
+        said = ask.groupBy(F.col("id_b").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("like"), F.max(F.col("kept").isNull()).alias("open"))
+        now = said.filter("like or not open").select("id", (~F.col("like")).alias("kept"))
+        kept = cut(kept.union(now))
+        n = kept.count()
+    else:
+        raise RuntimeError(f"the order did not settle in {max_rounds} rounds")
+    best = e.join(kept.filter("not kept").select(F.col("id").alias("id_b")), "id_b", "left_semi").join(kept.filter("kept").select(F.col("id").alias("id_a")), "id_a", "left_semi")
+    return best.groupBy(F.col("id_b").alias("old_id")).agg(F.min_by("id_a", F.struct(-F.col("similarity"), "id_a")).alias("canonical_id"))
+
+
 def resolved(mentions: DataFrame, abbreviations: Mapping[str, str] = dims.QUERY_ABBREVIATIONS, scope: bool = True) -> DataFrame:
     """mentions (name, type_str, document_id) with expanded, canonical, is_abbreviation and entity_id: slug of the canonical name, type and, with
     scope, the document. Variants and abbreviations of one name get one id, in any order."""

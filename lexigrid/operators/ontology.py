@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,62 @@ def expanded_terms(queries: DataFrame, classes: DataFrame, depth: int = 2, most:
     return r.select("qid", "name", "label", F.col("x.relation").alias("relation"), "rank")
 
 
+def expanded_questions(queries: DataFrame, classes: DataFrame, mode: str = "children", most: int = 10, up: int = 2, down: int = 2) -> DataFrame:
+    """(qid, matched, terms, expanded): a question's (qid, text) spans of three, two and one word that mean a class, longer ones first and none twice, and the labels of what
+    stands near these classes: their children (mode children), parents, siblings or all; at most `most`, appended to the question where it lacks them.
+
+    A span means the class of that label or abbreviation, else the first, in the order of the ontology, whose label is in the span or has the span in it. Parents go
+    up to `up` levels, not to Thing; children down `down`. The ontology is a schema: it goes to every task. Null questions have none.
+    """
+    if mode not in ("children", "parents", "siblings", "all"):
+        raise ValueError(f"no such mode: {mode}")
+    rows = [tuple(r) for r in classes.select("name", "parent", "label").collect()]
+    label = {n: x for n, _, x in rows if x}
+    parent = {n: p for n, p, _ in rows}
+    below: dict[str, list[str]] = {}
+    for n, p, _ in rows:
+        below.setdefault(p, []).append(n)
+    known = {x.lower(): n for n, x in reversed(label.items())}
+    meaning = {x.lower(): known[x.lower()] for x in label.values()} | {a: n for a, n in dims.ONTOLOGY_ABBREVIATIONS.items() if n in parent and a not in known}
+
+    def near(name: str) -> list[str]:
+        out = []
+        if mode in ("parents", "all"):
+            at = parent.get(name)
+            while at and at != "Thing" and len(out) < up:
+                out.append(at)
+                at = parent.get(at)
+        if mode in ("children", "all"):
+            level = below.get(name, [])
+            for _ in range(down):
+                out += level
+                level = [c for n in level for c in below.get(n, [])]
+        if mode in ("siblings", "all") and parent.get(name):
+            out += [c for c in below.get(parent[name], []) if c != name]
+        return out
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, t in zip(f["qid"], f["text"]):
+                words, taken, found = t.lower().split(), set(), []
+                for n in (3, 2, 1):
+                    for i in range(len(words) - n + 1):
+                        if taken.isdisjoint(range(i, i + n)):
+                            span = " ".join(words[i : i + n])
+                            c = meaning.get(span) or next((c for x, c in meaning.items() if x in span or span in x), None)
+                            if c:
+                                found.append(c)
+                                taken.update(range(i, i + n))
+                terms = list(dict.fromkeys(label[c] for m in found for c in near(m) if c in label))[:most]
+                more = [x for x in terms if x.lower() not in t.lower()]
+                out.append((q, list(dict.fromkeys(found)), terms, " ".join([t, *more])))
+            yield pd.DataFrame(out, columns=["qid", "matched", "terms", "expanded"])
+
+    kind = queries.schema["qid"].dataType.simpleString()
+    return queries.select("qid", "text").filter("text is not null").mapInPandas(work, f"qid {kind}, matched array<string>, terms array<string>, expanded string")
+
+
 def inherited_properties(classes: DataFrame, properties: DataFrame) -> DataFrame:
     """(name, property, inherited): properties of each class and of its ancestors; properties (property, domain)."""
     own = properties.select(F.col("domain").alias("name"), "property", F.lit(False).alias("inherited"))

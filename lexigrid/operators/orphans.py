@@ -123,13 +123,12 @@ def orphan_references(
     ).filter("first_full <= last_full")
     parent_ranges = cover.join(codes, "key").select("rng", "pos", "first_full", "last_full")
     left = by_range.groupBy("rng").cogroup(parent_ranges.groupBy("rng")).applyInPandas(_and_not, "rng long, pos int, period int")
-    suspects = left.join(codes, ["rng", "pos"]).join(used, ["key", "period"]).select("key", "period", "n")
-    maybe = hot_split_join(long.filter("at is not null"), cut(suspects), ["key", "period"], "n")
-    found = maybe.alias("t").join(
-        alive.alias("p"),
-        (F.col("t.key") == F.col("p.key")) & (F.col("p.start") <= F.col("t.at")) & (F.col("p.stop").isNull() | (F.col("p.stop") > F.col("t.at"))),
-        "left_anti",
-    )
+    suspects = cut(left.join(codes, ["rng", "pos"]).join(used, ["key", "period"]).select("key", "period", "n"))
+    maybe = hot_split_join(long.filter("at is not null"), suspects, ["key", "period"], "n")
+    # A key's lives in one row, so a key that many references name is met like any other hot key.
+    lives = alive.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("lives")).join(suspects.groupBy("key").agg(F.sum("n").alias("n")), "key")
+    lived = F.exists("lives", lambda p: (p["start"] <= F.col("at")) & (p["stop"].isNull() | (p["stop"] > F.col("at"))))
+    found = hot_split_join(maybe, cut(lives), ["key"], "n", "left").filter(~F.coalesce(lived, F.lit(False)))
     never = long.filter("at is null")
     return found.select("ref_id", "endpoint", "key", "period").union(never.select("ref_id", "endpoint", "key", "period")).distinct()
 

@@ -1248,6 +1248,11 @@ def entity_remap(spark: SparkSession, d: str) -> DataFrame:
     return kg.remap_of(kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str")))
 
 
+@registered()
+def entity_remap_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return kg.greedy_remap(kg.comparable_pairs(_corpus(spark, d).entities.select(F.col("entity_id").alias("id"), "name", "type_str")))
+
+
 @registered()
 def offline_graph(spark: SparkSession, d: str) -> DataFrame:
     """How many entities and relations raw extraction comes to."""
@@ -1281,4 +1286,37 @@ def merged_stream(spark: SparkSession, d: str) -> DataFrame:
     return incremental.folded(parts[0].unionByName(parts[1])).select("entity_id", F.col("occurrence_count").alias("rows"))
 
 
+@registered()
+def abbreviations_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Those used twice or more, the most used first."""
+    return extract.listed_abbreviations(extract.abbreviations(table(spark, d, "documents").select("doc_id", "text").distinct(), "text"), least=2)
+
+
+@registered()
+def ontology_questions(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.expanded_questions(_questions(spark, d), ontology.default_classes(spark), "all")
+
+
+_NEAR_PLANTED = [(1, "Company", "công ty cổ phần,công ty trách nhiệm hữu hạn,doanh nghiệp tư nhân,công ty hợp danh,công ty TNHH một thành viên,công ty TNHH hai thành viên"), (2, "Law", ""), (3, "", "")]
+
+
+@registered("SELECT qid, matched, terms FROM " + S.values(_NEAR_PLANTED, "qid, matched, terms"))
+def ontology_questions_planted(spark: SparkSession, d: str) -> DataFrame:
+    """A label, a word within a label, and neither."""
+    q = spark.createDataFrame([(1, "Công ty"), (2, "luật"), (3, "zzz"), (4, None)], "qid int, text string")
+    return ontology.expanded_questions(q, ontology.default_classes(spark)).select("qid", F.array_join("matched", ",").alias("matched"), F.array_join("terms", ",").alias("terms"))
+
+
+_NAMED = f"nr AS (SELECT r.relation_id, {S.slug('a.name')} AS src, {S.slug('b.name')} AS dst, predicate, evidence, confidence, article_ids FROM {_REL} r JOIN {_ENT} a ON a.id = src JOIN {_ENT} b ON b.id = dst), fs AS (SELECT DISTINCT {S.slug('name')} AS s FROM {_FEED}), nk AS (SELECT * FROM nr WHERE src <> dst AND src IN (SELECT s FROM fs) AND dst IN (SELECT s FROM fs))"
+
+
+@registered(f"WITH {_NAMED} SELECT src, predicate, dst, max({S.valid('confidence')}) AS confidence, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(flatten(list(article_ids)))), ',') AS article_ids FROM nk GROUP BY ALL")
+def kg_build(spark: SparkSession, d: str) -> DataFrame:
+    """The relations of a graph built from the feed's entities and relations between names, without self-loops and ends the feed doesn't name."""
+    names = _corpus(spark, d).entities
+    r = _relations(spark, d).join(names.select(F.col("entity_id").alias("src"), F.col("name").alias("source")), "src").join(names.select(F.col("entity_id").alias("dst"), F.col("name").alias("target")), "dst")
+    m = kg.built(_feed(spark, d), r.drop("src", "dst"))[1]
+    return m.select("src", "predicate", "dst", "confidence", "occurrence_count", F.array_join("article_ids", ",").alias("article_ids"))
+
+
 FLAGSHIP = "rrf_merge"

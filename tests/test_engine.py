@@ -7,6 +7,17 @@ from lexigrid.operators import evaluate, graph, retrieve, tree
 from lexigrid.plans import engine
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """Many small jobs: one partition each, planned once."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     kinds = ["REFERENCES", "RELATED_TO", "REQUIRES", "DEFINED_AS", "HAS_PENALTY"]

@@ -115,3 +115,57 @@ def test_structure_of_documents_of_any_kind(spark, tmp_path):
     rows = [("a", "van_ban", law), ("b", None, law), ("c", "an_le", law), ("d", None, "Không có cấu trúc."), ("e", "van_ban", None)]
     spark.createDataFrame(rows, "doc_id string, doc_kind string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in queries.QUERIES["hierarchy_extract"](spark, str(tmp_path)).collect()} == {"a", "b", "c"}
+
+
+def test_greedy_remap(spark):
+    import random
+
+    r = random.Random(9)
+    pairs = {(a, b): round(r.random(), 2) for a in range(30) for b in range(a + 1, 30) if r.random() < 0.12}
+    keep, want = [], {}
+    for b in range(30):
+        like = [(-pairs[a, b], a) for a in keep if (a, b) in pairs]
+        if like:
+            want[b] = min(like)[1]
+        else:
+            keep.append(b)
+    d = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "id_a int, id_b int, similarity double")
+    assert {x.old_id: x.canonical_id for x in kg.greedy_remap(d).collect()} == want
+    assert kg.greedy_remap(d.limit(0)).count() == 0
+
+
+def test_blocks_of_alike_names_are_exact(spark):
+    """Against all pairs, with names that differ in many words."""
+    import random
+
+    from lexigrid.functions import text
+
+    r = random.Random(2)
+    words = "cong ty trach nhiem huu han thuong mai dich vu xay dung phat trien dau tu san xuat xuat nhap khau nguyen tran phong lam viec quoc te".split()
+
+    def changed(s: str, k: int) -> str:
+        c = list(s)
+        for _ in range(k):
+            i = r.randrange(len(c) - 1)
+            m = r.randrange(3)
+            if m == 0:
+                c[i], c[i + 1] = c[i + 1], c[i]
+            elif m == 1:
+                c[i] = r.choice("abcdehijklmnoprstuvxy")
+            else:
+                c.insert(i, r.choice("aeionth"))
+        return "".join(c)
+
+    rows = []
+    for i in range(60):
+        base = " ".join(r.choice(words) for _ in range(r.randrange(4, 24)))
+        rows += [(f"{i}-{k}", changed(base, r.randrange(5)), "O") for k in range(4)]
+    rows += [("v0", "cong ty trach nhiem huu han thuong mai", "O"), ("v1", "cong ty trahc nhime huu hna thuong mai", "O")]
+    d = spark.createDataFrame(rows, "id string, name string, type_str string")
+    first: dict = {}
+    for x in d.select("id", text.canonical(F.col("name")).alias("c")).orderBy("id").collect():
+        first.setdefault(x.c, x.id)
+    names = sorted((i, c) for c, i in first.items() if len(c) >= 15)
+    want = {(i, j) for n, (i, a) in enumerate(names) for j, b in names[n + 1 :] if round(kg.jaro_winkler(a, b), 6) >= 0.98}
+    got = {(x.id_a, x.id_b) for x in kg.comparable_pairs(d).collect() if x.similarity < 1}
+    assert got == want and ("v0", "v1") in got
