@@ -9,23 +9,41 @@ from pyspark.sql.streaming import StreamingQuery
 from lexigrid.operators import kg
 
 
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
 def merge_entities(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Extracted entities (name, type_str, description, confidence, source_id, document_id, ord) merged by slug under path: each micro-batch is merged in itself and
-    written under its number, so a repeated batch replaces itself; merged_batches() reads all of them as one. No batch is read again to take the next one."""
+    """Extracted entities (name, type_str, description, confidence, source_id, document_id, ord) merged by slug: each micro-batch is merged in itself; what is new goes
+    under path, each slug once, and what a later batch knows of a known one under path.further, both under the batch's number, so a repeated batch replaces
+    itself. merged_batches() reads all of it as one."""
 
     def step(batch: DataFrame, n: int) -> None:
-        kg.merged_entities(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        spark = batch.sparkSession
+        new = kg.merged_entities(batch)
+        have = _there(spark, path)
+        known = new.select("entity_id").limit(0) if have is None else have.filter(F.col("batch") != n).select("entity_id")
+        new.join(known, "entity_id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={n}")
+        new.join(known, "entity_id", "left_semi").write.mode("overwrite").parquet(f"{path}.further/batch={n}")
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def merged_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The entities that merge_entities has written, those of one slug as one: what a later batch knows of an entity is folded into the earlier.
+    """The entities that merge_entities has written, those of one slug as one: what a later batch knows of an entity is folded into the earlier. See folded."""
+    first, further = spark.read.parquet(path), _there(spark, f"{path}.further")
+    return folded(first if further is None else first.unionByName(further))
+
 
-    See folded.
-    """
-    return folded(spark.read.parquet(path))
+def compact_batches(spark: SparkSession, path: str, target: str) -> None:
+    """merged_batches as one batch under target, to go on from."""
+    merged_batches(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
 def folded(batches: DataFrame) -> DataFrame:
