@@ -156,30 +156,52 @@ def letter_blocks(name: str, threshold: float) -> list[str]:
     return [" ".join(c) for c in combinations([f"{x}{k}" for _, x, k in marks[: max(SHARED, n - least + SHARED)]], SHARED)]
 
 
+#: Bits of a letter in a name's mask: one for each time it stands there, up to so many.
+TIMES = 8
+_MASKS = [f"m{i}" for i in range(-(-(len(LETTER_ORDER) + 1) * TIMES // 64))]
+
+
+def letter_mask(name: str) -> list[int]:
+    """The letters of a name, each as often as it stands there, as bits in longs: two names' masks differ in no more bits than their letters."""
+    bits, seen = 0, {}
+    for x in name:
+        k = seen[x] = seen.get(x, 0) + 1
+        if k <= TIMES:
+            bits |= 1 << ((LETTER_ORDER.find(x) if x in LETTER_ORDER else len(LETTER_ORDER)) * TIMES + k - 1)
+    words = [bits >> 64 * i & (1 << 64) - 1 for i in range(len(_MASKS))]
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
 def comparable_pairs(entities: DataFrame, threshold: float = 0.98, short: int = 15) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: pairs of canonical names that are alike by the rules of deduplication, from the threshold (above .9) on.
 
     Names of 15 characters or more, no references to the law, equal numbers where both have some; pairs of different types fall below any threshold above .8.
-    Equal names are linked through their least id, not by pairs. The blocks are exact: see letter_blocks.
+    Equal names are linked through their least id, not by pairs. The blocks are exact: see letter_blocks. What meets in a block is first compared by masks of letters,
+    in the JVM, which leave out only what has too few letters in common; few pairs are compared letter by letter.
     """
     c = entities.select("id", "type_str", text.canonical(F.col("name")).alias("c")).filter("length(c) > 0").distinct()
-    g = c.groupBy("c", "type_str").agg(F.min("id").alias("id"))
+    g = cut(c.groupBy("c", "type_str").agg(F.min("id").alias("id")))
     same = c.join(g.withColumnRenamed("id", "first"), ["c", "type_str"]).filter("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
     numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("c", F.lit(r"\d+"), F.lit(0)))), " ")
     long = g.filter((F.length("c") >= short) & ~F.col("c").rlike(LEGAL_REFERENCE)).withColumn("nums", numbers).withColumn("len", F.length("c"))
 
-    @F.pandas_udf("array<string>")
-    def blocks(names: pd.Series) -> pd.Series:
-        return pd.Series([letter_blocks(n, threshold) for n in names], dtype=object)
-
-    b = long.withColumn("keys", blocks("c")).select("id", "type_str", "c", "nums", "len", F.explode(F.array_distinct("keys")).alias("key"))
-    b = b.withColumn("key", F.xxhash64("type_str", "key"))
-    side = lambda x: b.select("key", *[F.col(v).alias(f"{v}_{x}") for v in ("id", "c", "type_str", "nums", "len")])
-    shorter = (3 * (threshold - 1e-6 - 0.4) / 0.6 - 2) * F.greatest("len_a", "len_b")
-    cand = parted_join(side("a"), side("b"), ["key"], 2000).filter("id_a < id_b and c_a <> c_b and type_str_a = type_str_b and (nums_a = '' or nums_b = '' or nums_a = nums_b)").filter(F.least("len_a", "len_b") >= shorter)
-    cand = cand.select("id_a", "id_b", "c_a", "c_b").distinct()
-    close = cand.withColumn("similarity", F.round(jaro_winkler_column()("c_a", "c_b"), 6)).filter(F.col("similarity") >= threshold)
-    return same.unionByName(close.select("id_a", "id_b", "similarity"))
+    @F.pandas_udf("struct<keys:array<string>," + ",".join(f"{m}:long" for m in _MASKS) + ">")
+    def blocks(names: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([letter_mask(n) for n in names], columns=_MASKS, dtype="int64")
+        out.insert(0, "keys", pd.Series([letter_blocks(n, threshold) for n in names], dtype=object))
+        return out
+
+    b = long.withColumn("_b", blocks("c")).select("id", "type_str", "nums", "len", *[f"_b.{m}" for m in _MASKS], F.explode(F.array_distinct("_b.keys")).alias("key"))
+    b = cut(b.withColumn("key", F.xxhash64("type_str", "key")).drop("type_str"))
+    side = lambda x: b.select("key", *[F.col(v).alias(f"{v}_{x}") for v in b.columns if v != "key"])
+    least = (3 * (threshold - 1e-6 - 0.4) / 0.6 - 1) * F.col("len_a") * F.col("len_b") / (F.col("len_a") + F.col("len_b"))
+    differ = F.expr(" + ".join(f"bit_count({m}_a ^ {m}_b)" for m in _MASKS))
+    cand = parted_join(side("a"), side("b"), ["key"], 2000).filter("id_a < id_b and (nums_a = '' or nums_b = '' or nums_a = nums_b)").filter(differ <= F.col("len_a") + F.col("len_b") - 2 * least + 1e-6)
+    cand = cand.select("id_a", "id_b").distinct()
+    name = lambda x: g.select(F.col("id").alias(f"id_{x}"), F.col("c").alias(f"c_{x}"), F.col("type_str").alias(f"t_{x}"))
+    close = cand.join(name("a"), "id_a").join(name("b"), "id_b").filter("t_a <=> t_b and c_a <> c_b")
+    close = close.withColumn("similarity", F.round(jaro_winkler_column()("c_a", "c_b"), 6)).filter(F.col("similarity") >= threshold)
+    return same.unionByName(close.select("id_a", "id_b", "similarity").distinct())
 
 
 def remap_of(pairs: DataFrame) -> DataFrame:
