@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexigrid.functions import dims, text
 from lexigrid.operators.skew import parted_join
@@ -19,126 +21,186 @@ from lexigrid.operators.tree import searched as tree_without_model  # noqa: F401
 QUERY_BYTES = 64_000_000
 #: Query vectors that go to every task at a time, and rows that are multiplied with them at a time: a matrix of some 64 MB.
 QUERY_ROWS, VECTOR_ROWS = 4096, 2048
+#: Scores of names and questions that are worked out at once: a matrix of some 16 MB.
+SCORE_CELLS = 2_000_000
 #: Threshold of dual's scores where it doesn't follow the overlap.
 FIXED_THRESHOLD = 0.5
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def keyphrase_value(ov: Column, terms: Column, two: Column, three: Column, name_in: Column, query_in: Column) -> Column:
+def keyphrase_value(ov: np.ndarray, terms: np.ndarray, two: np.ndarray, three: np.ndarray, name_in: np.ndarray, query_in: np.ndarray) -> np.ndarray:
     """How well a name fits a question, 0 to 1, from the number of shared terms and of terms, whether the name has two or three of the question's words in
     a row, whether the question has the name, and the name the question."""
-    base = F.when(ov > 0, (ov / terms) * F.when(ov >= 2, 1.5).otherwise(1.0)).otherwise(0.0)
-    a = F.when(two, F.greatest(base, F.lit(0.5)) * 1.5).otherwise(base)
-    b = F.when(three, F.greatest(a, F.lit(0.7)) * 1.5).otherwise(a)
-    return F.least(F.lit(1.0), F.when(name_in, F.greatest(b, F.lit(0.8)) * 1.5).when(query_in, F.greatest(b, F.lit(0.6)) * 1.2).otherwise(b))
+    s = np.where(ov > 0, ov / terms * np.where(ov >= 2, 1.5, 1.0), 0.0)
+    s = np.where(two, np.maximum(s, 0.5) * 1.5, s)
+    s = np.where(three, np.maximum(s, 0.7) * 1.5, s)
+    return np.minimum(1.0, np.where(name_in, np.maximum(s, 0.8) * 1.5, np.where(query_in, np.maximum(s, 0.6) * 1.2, s)))
 
 
 class _Batch:
-    """A batch of questions, to be met by one name after the other: terms by an inverted index, runs of words and whole questions by automatons."""
+    """A batch of questions, to be met by many names at once: terms by an inverted index, runs of words and whole questions by automatons."""
 
     def __init__(self, rows: Sequence[tuple]):
-        import ahocorasick
-
         self.ids = [r[0] for r in rows]
         self.questions = [r[1] for r in rows]
-        self.n_terms = [len(r[2]) for r in rows]
-        self.terms: dict[str, list[int]] = {}
-        runs: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, _, terms, two, three) in enumerate(rows):
-            for t in terms:
-                self.terms.setdefault(t, []).append(k)
-            for n, grams in ((2, two), (3, three)):
-                for g in set(grams):
-                    runs.setdefault(g, []).append((k, n))
-        self.automaton = ahocorasick.Automaton()
-        for g, v in runs.items():
-            self.automaton.add_word(g, v)
-        if runs:
-            self.automaton.make_automaton()
-        self.has_runs = bool(runs)
-        self.wholes = ahocorasick.Automaton()
-        whole: dict[str, list[int]] = {}
-        for k, q in enumerate(self.questions):
-            if q:
-                whole.setdefault(q, []).append(k)
-        for q, ks in whole.items():
-            self.wholes.add_word(q, ks)
-        if whole:
-            self.wholes.make_automaton()
-        self.has_wholes = bool(whole)
-
-    def inside(self, names: Sequence[str]) -> dict[str, set[int]]:
-        """For each of the names the questions that have it: an automaton of the names reads every question once."""
+        self.n_terms = np.array([len(r[2]) for r in rows], dtype=float)
+        self.terms, self.of_term = self._index((t, k) for k, r in enumerate(rows) for t in r[2])
+        self.runs: list[tuple] = []
+        for n in (3, 4):
+            runs, of_run = self._index((g, k) for k, r in enumerate(rows) for g in set(r[n]) if g)
+            self.runs.append((self._automaton(runs), of_run))
+        wholes, of_whole = self._index((q, k) for k, q in enumerate(self.questions) if q)
+        self.wholes = self._automaton(wholes), of_whole
+
+    @staticmethod
+    def _index(pairs: Iterable[tuple[str, int]]) -> tuple[dict[str, int], list[np.ndarray]]:
+        """Numbers of words, and for each number the questions."""
+        of: dict[str, list[int]] = {}
+        for w, k in pairs:
+            of.setdefault(w, []).append(k)
+        return {w: i for i, w in enumerate(of)}, [np.array(v, dtype=np.int64) for v in of.values()]
+
+    @staticmethod
+    def _automaton(numbers: Mapping[str, int]):
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for n in names:
-            if n:
-                a.add_word(n, n)
-        found: dict[str, set[int]] = {}
-        if len(a):
+        for w, i in numbers.items():
+            a.add_word(w, i)
+        if numbers:
             a.make_automaton()
+        return a if numbers else None
+
+    def _cells(self, found: Sequence[Iterable[int]], of: Sequence[np.ndarray]) -> np.ndarray:
+        """Places in a matrix of names and questions, one for each number found in a name and question of that number."""
+        width = len(self.ids)
+        parts = [of[i] + at * width for at, numbers in enumerate(found) for i in numbers]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+    def scores(self, names: Sequence[str]) -> np.ndarray:
+        """keyphrase_value of each of the names, which differ, with each question."""
+        shape = len(names), len(self.ids)
+        words = [{self.terms[w] for w in _BLANKS.split(n) if w in self.terms} for n in names]
+        ov = np.bincount(self._cells(words, self.of_term), minlength=shape[0] * shape[1]).reshape(shape)
+
+        def has(automaton, of: Sequence[np.ndarray]) -> np.ndarray:
+            out = np.zeros(shape[0] * shape[1], dtype=bool)
+            if automaton is not None:
+                out[self._cells([{i for _, i in automaton.iter(n)} for n in names], of)] = True
+            return out.reshape(shape)
+
+        (two, three), query_in = (has(*x) for x in self.runs), has(*self.wholes)
+        name_in = np.zeros(shape, dtype=bool)
+        at = {n: i for i, n in enumerate(names)}
+        if "" in at:
+            name_in[at[""]] = True
+        # An automaton of the names reads every question once.
+        seek = self._automaton({n: i for n, i in at.items() if n})
+        if seek is not None:
             for k, q in enumerate(self.questions):
-                for _, n in a.iter(q):
-                    found.setdefault(n, set()).add(k)
-        return found
-
-    def facts(self, name: str, inside: set[int]) -> Iterator[tuple[int, tuple]]:
-        """(question, (shared terms, terms, two, three, name in question, question in name)) for each question the name has to do with."""
-        shared: dict[int, int] = {}
-        for w in {w for w in _BLANKS.split(name) if w}:
-            for k in self.terms.get(w, ()):
-                shared[k] = shared.get(k, 0) + 1
-        two, three, around = set(), set(), set()
-        if self.has_runs:
-            for _, v in self.automaton.iter(name):
-                for k, n in v:
-                    (two if n == 2 else three).add(k)
-        if not name:
-            inside = set(range(len(self.ids)))
-        if self.has_wholes:
-            for _, ks in self.wholes.iter(name):
-                around.update(ks)
-        for k in shared.keys() | two | three | inside | around:
-            yield k, (shared.get(k, 0), self.n_terms[k], k in two, k in three, k in inside, k in around)
-
-
-def keyphrase_scores(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """(qid, entity_id, score) for score above 0: queries (qid, text) against entities (entity_id, name).
-
-    Names are scored once each, however many entities bear them. The question batch is the stated query set, checked against QUERY_BYTES; it goes
-    to every task as an index, so that a name meets only the questions it has to do with, and names are read in place. Questions of stop
-    words only have no rows, as have null names and questions.
-    """
+                name_in[[i for _, i in seek.iter(q)], k] = True
+        return keyphrase_value(ov, self.n_terms, two, three, name_in, query_in)
+
+    def blocks(self, names: Sequence[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(from, to, scores) of names, which may repeat, in blocks of at most SCORE_CELLS scores, a name at least."""
+        step = max(1, SCORE_CELLS // max(1, len(self.ids)))
+        for at in range(0, len(names), step):
+            codes, different = pd.factorize(np.array(names[at : at + step], dtype=object))
+            yield at, at + len(codes), self.scores(list(different))[codes]
+
+
+def _asked(queries: DataFrame):
+    """The batch of questions (qid, text) as it goes to every task, checked against QUERY_BYTES, without those of stop words only."""
     q = queries.select("qid", F.lower("text").alias("q")).filter("q is not null")
     size = q.agg(F.sum(F.octet_length("q"))).first()[0] or 0
     if size > QUERY_BYTES:
         raise ValueError(f"the batch of questions has {size} bytes of at most {QUERY_BYTES}; score it in several")
     w = q.select("qid", "q", text.words(F.col("q")).alias("w"))
     rows = w.select("qid", "q", text.terms(F.col("q")).alias("qt"), text.ngrams(F.col("w"), 2).alias("g2"), text.ngrams(F.col("w"), 3).alias("g3")).filter("size(qt) > 0").collect()
-    sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-    kind = queries.schema["qid"].dataType.simpleString()
+    return queries.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _spread(d: DataFrame, *by: str) -> DataFrame:
+    """d in as many tasks as a shuffle has: a few MB of names mean millions of scores, which the size of the rows doesn't tell."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def keyphrase_scores(queries: DataFrame, entities: DataFrame, least: float = 0.0) -> DataFrame:
+    """(qid, entity_id, score) for score above 0 and from `least` on: queries (qid, text) against entities (entity_id, name).
+
+    The question batch is the stated query set, checked against QUERY_BYTES; it goes to every task as an index, and names are scored where they are, so that
+    nothing has to be brought together afterwards. Questions of stop words only have no rows, as have null names and questions.
+    """
+    sent, kind, key = _asked(queries), queries.schema["qid"].dataType, entities.schema["entity_id"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = _Batch(sent.value)
-        for f in frames:
-            inside = batch.inside(f["n"])
-            out = [(batch.ids[k], n, *v) for n in f["n"] for k, v in batch.facts(n, inside.get(n, set()))]
-            yield pd.DataFrame(out, columns=["qid", "n", "ov", "nt", "two", "three", "name_in", "query_in"])
+        ids = pa.array(batch.ids, to_arrow_type(kind))
+        for f in batches:
+            for a, b, s in batch.blocks(f["n"].to_pylist()):
+                i, j = np.nonzero((s > 0) & (s >= least))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), f["entity_id"].slice(a, b - a).take(pa.array(i)), pa.array(s[i, j])], ["qid", "entity_id", "score"])
 
-    names = entities.select(F.lower("name").alias("n")).filter("n is not null").distinct()
-    facts = names.mapInPandas(work, f"qid {kind}, n string, ov int, nt int, two boolean, three boolean, name_in boolean, query_in boolean")
-    scored = facts.select("qid", "n", keyphrase_value(*map(F.col, ("ov", "nt", "two", "three", "name_in", "query_in"))).alias("score"))
-    return entities.select("entity_id", F.lower("name").alias("n")).join(scored, "n").select("qid", "entity_id", "score")
+    named = entities.select("entity_id", F.lower("name").alias("n")).filter("n is not null")
+    return _spread(named, "entity_id").mapInArrow(work, f"qid {kind.simpleString()}, entity_id {key.simpleString()}, score double")
 
 
 def article_keyphrase(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     """(qid, article_id, keyphrase): entity scores gathered per article: the greatest and, by the log of how many, the mean."""
-    m = scores.join(mentions.select("entity_id", "article_id").distinct(), "entity_id")
+    m = scores.hint("merge").join(mentions.select("entity_id", "article_id").distinct(), "entity_id")  # scores are many, however small they look
     g = m.groupBy("qid", "article_id").agg(F.max("score").alias("m"), F.avg("score").alias("a"), F.count("*").alias("n"))
     return g.select("qid", "article_id", (F.col("m") + 0.3 * F.log(F.col("n") + 1) * F.col("a")).alias("keyphrase"))
 
 
+def _of_articles(batch: _Batch, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+    """(articles, their keyphrase by question) from rows (article_id, n, ..) in the order of articles; an article is the first columns but n."""
+    last: tuple | None = None  # an article that may go on: itself, greatest, sum, number
+
+    def value(m, total, n):
+        return m + 0.3 * np.log(n + 1) * (total / np.maximum(n, 1))
+
+    for f in batches:
+        keys = list(zip(*(f[c].to_pylist() for c in f.schema.names if c != "n")))
+        for a, b, s in batch.blocks(f["n"].to_pylist()):
+            starts = [i for i in range(b - a) if not i or keys[a + i] != keys[a + i - 1]]
+            m, total, n = np.maximum.reduceat(s, starts, axis=0), np.add.reduceat(s, starts, axis=0), np.add.reduceat(s > 0, starts, axis=0, dtype=np.int64)
+            own = [keys[a + i] for i in starts]
+            if last is not None:
+                if last[0] == own[0]:
+                    m[0], total[0], n[0] = np.maximum(m[0], last[1]), total[0] + last[2], n[0] + last[3]
+                else:
+                    yield [last[0]], value(*(x[None] for x in last[1:]))
+            if len(own) > 1:
+                yield own[:-1], value(m[:-1], total[:-1], n[:-1])
+            last = own[-1], m[-1], total[-1], n[-1]
+    if last is not None:
+        yield [last[0]], value(*(x[None] for x in last[1:]))
+
+
+def mentioned_keyphrase(queries: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """article_keyphrase of keyphrase_scores: (qid, article_id, keyphrase).
+
+    Names go to the articles that mention them and are scored there, so that only what comes out of an article is a row for each question.
+    """
+    sent, kind, key = _asked(queries), queries.schema["qid"].dataType, mentions.schema["article_id"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = _Batch(sent.value)
+        ids = pa.array(batch.ids, to_arrow_type(kind))
+        for articles, v in _of_articles(batch, batches):
+            i, j = np.nonzero(v > 0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), pa.array([x[0] for x in articles], to_arrow_type(key)).take(pa.array(i)), pa.array(v[i, j])], ["qid", "article_id", "keyphrase"])
+
+    return _by_article(entities, mentions, "article_id").mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double")
+
+
+def _by_article(entities: DataFrame, mentions: DataFrame, *cols: str) -> DataFrame:
+    """(cols.., n): the names of the entities that an article mentions, an article's together."""
+    named = entities.select("entity_id", F.lower("name").alias("n")).filter("n is not null")
+    d = mentions.select("entity_id", *cols).distinct().join(named, "entity_id").select(*cols, "n")
+    return _spread(d, "article_id").sortWithinPartitions("article_id")
+
+
 def low_level(components: DataFrame, weights: Mapping[str, float] = dims.DUAL_WEIGHTS) -> DataFrame:
     """(qid, article_id, low): weighted sum of keyphrase, semantic, ppr and concept, absent 0, by the greatest of the question."""
     s = sum((F.coalesce(F.col(c), F.lit(0.0)) * weights[c] for c in ("keyphrase", "semantic", "ppr", "concept")), F.lit(0.0))

@@ -32,6 +32,62 @@ def test_article_keyphrase(spark):
     assert retrieve.article_keyphrase(s, m).first().keyphrase == pytest.approx(0.631833, abs=1e-6)
 
 
+def _names(spark):
+    words = ["vốn", "điều", "lệ", "công", "ty", "cổ", "phần", "thuế"]
+    names = [" ".join(words[(i * k + k) % 8] for k in range(1 + i % 4)) for i in range(60)] + ["", None, "ty cổ", "VỐN ĐIỀU LỆ"]
+    q = spark.createDataFrame([(1, "vốn điều lệ của công ty cổ phần"), (2, "thuế"), (3, None), (4, "là gì"), (5, "Công ty nộp thuế")], "qid int, text string")
+    e = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)] + [("twin", "công ty"), ("twin2", "công ty")], "entity_id string, name string")
+    return q, e, names
+
+
+def test_keyphrases_are_scored_in_place(spark):
+    """Nothing that has a row for each name and question is joined: it may look small and be broadcast."""
+    q, e, names = _names(spark)
+    r = retrieve.keyphrase_scores(q, e)
+    assert "Join" not in r._jdf.queryExecution().toString()
+    got = {(x.qid, x.entity_id): x.score for x in r.collect()}
+    text = {1: "vốn điều lệ của công ty cổ phần", 2: "thuế", 5: "công ty nộp thuế"}
+
+    def want(q, n):
+        w, stop = q.split(), set(retrieve.dims.STOP_WORDS)
+        terms = [x for x in dict.fromkeys(w) if x not in stop]
+        ov = len(set(terms) & set(n.split()))
+        s = ov / len(terms) * (1.5 if ov >= 2 else 1.0) if ov else 0.0
+        for k, low in ((2, 0.5), (3, 0.7)):
+            if any(" ".join(w[i : i + k]) in n for i in range(len(w) - k + 1)):
+                s = max(s, low) * 1.5
+        return min(1.0, max(s, 0.8) * 1.5 if n in q else max(s, 0.6) * 1.2 if q in n else s)
+
+    every = {(k, f"e{i}"): s for k, q in text.items() for i, n in enumerate(names) if n is not None and (s := want(q, n.lower())) > 0}
+    assert {k: v for k, v in got.items() if "twin" not in k[1]} == pytest.approx(every) and got[1, "twin"] == got[1, "twin2"] > 0
+    assert {(x.qid, x.entity_id) for x in retrieve.keyphrase_scores(q, e, 0.5).collect()} == {k for k, v in got.items() if v >= 0.5}
+    assert retrieve.keyphrase_scores(q.limit(0), e).count() == retrieve.keyphrase_scores(q, e.limit(0)).count() == 0
+
+
+def test_keyphrases_of_articles_are_gathered_where_names_are_scored(spark):
+    q, e, _ = _names(spark)
+    m = spark.createDataFrame([(f"e{i}", f"a{i % k}") for i in range(64) for k in (1, 3, 50)] + [("twin", "a0"), ("twin2", "a0"), ("e1", None), ("e1", "a1")], "entity_id string, article_id string")
+    r = retrieve.mentioned_keyphrase(q, e, m)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")] and "Aggregate" not in plan[: plan.index("MapInArrow")]
+    got = {(x.qid, x.article_id): x.keyphrase for x in r.collect()}
+    assert got == pytest.approx({(x.qid, x.article_id): x.keyphrase for x in retrieve.article_keyphrase(retrieve.keyphrase_scores(q, e), m).collect()}) and (1, None) in got
+    assert retrieve.mentioned_keyphrase(q.limit(0), e, m).count() == retrieve.mentioned_keyphrase(q, e, m.limit(0)).count() == 0
+
+
+def test_articles_that_go_on_in_the_next_block(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieve, "SCORE_CELLS", 3)
+    batch = retrieve._Batch([(1, "thuế vốn", ["thuế", "vốn"], [], [])])
+    rows = [("a", n) for n in ("thuế", "vốn", "x", "thuế vốn", "thuế", "y")] + [("b", "z"), ("c", "vốn"), ("c", "thuế")]
+    f = [pa.RecordBatch.from_pydict({"article_id": [r[0] for r in part], "n": [r[1] for r in part]}) for part in (rows[:4], rows[4:5], [], rows[5:])]
+    got = {x[0]: float(s[0]) for articles, v in retrieve._of_articles(batch, iter(f)) for x, s in zip(articles, v, strict=True)}
+    s = lambda n: [float(x) for x in batch.scores(n)[:, 0]]
+    want = {k: max(v) + 0.3 * math.log(len(v) + 1) * sum(v) / len(v) for k, v in (("a", s(["thuế", "vốn", "thuế vốn"]) + s(["thuế"])), ("c", s(["vốn", "thuế"])))}
+    assert got == pytest.approx(want | {"b": 0.0})
+
+
 def test_pagerank(spark):
     intents = spark.createDataFrame([("g", "general", 1.0)], "intent_set string, intent string, weight double")
     run = lambda edges, **k: {x.node: x.score for x in graph.personalized_pagerank(graph.transition(spark.createDataFrame(edges, "src string, dst string, relation_type string, confidence double"), intents).select("src", "dst", "w"), spark.createDataFrame([(1, "a", 2.0)], "qid int, node string, weight double"), **k).collect()}
