@@ -261,20 +261,15 @@ _KEYPHRASE = f"""q AS (SELECT DISTINCT item_id AS qid, lower(question) AS q FROM
     keyphrase AS (SELECT qid, e.id AS entity_id, score FROM s4 JOIN {_ENT} e ON lower(e.name) = n WHERE score > 0)"""
 
 
-def _keyphrase(spark: SparkSession, d: str) -> tuple[DataFrame, engine.Corpus]:
-    c = _corpus(spark, d)
-    return retrieve.keyphrase_scores(_questions(spark, d), c.entities), c
-
-
 @registered(f"WITH {_KEYPHRASE} SELECT qid, entity_id, round(score, 6) AS score FROM keyphrase")
 def keyphrase_score(spark: SparkSession, d: str) -> DataFrame:
-    return _keyphrase(spark, d)[0].select("qid", "entity_id", F.round("score", 6).alias("score"))
+    return retrieve.keyphrase_scores(_questions(spark, d), _corpus(spark, d).entities).select("qid", "entity_id", F.round("score", 6).alias("score"))
 
 
 @registered(f"WITH {_KEYPHRASE}, m AS (SELECT DISTINCT qid, article_id, k.entity_id, score FROM keyphrase k JOIN {_MEN} m ON m.entity_id = k.entity_id) SELECT qid, article_id, round(max(score) + 0.3 * ln(count(*) + 1) * avg(score), 6) AS keyphrase FROM m GROUP BY ALL")
 def keyphrase_articles(spark: SparkSession, d: str) -> DataFrame:
-    k, c = _keyphrase(spark, d)
-    return retrieve.article_keyphrase(k, c.mentions).select("qid", "article_id", F.round("keyphrase", 6).alias("keyphrase"))
+    c = _corpus(spark, d)
+    return retrieve.mentioned_keyphrase(_questions(spark, d), c.entities, c.mentions).select("qid", "article_id", F.round("keyphrase", 6).alias("keyphrase"))
 
 
 _COMP = """comp AS (SELECT qid, article_id, max(CASE WHEN component = 'keyphrase' THEN score END) AS keyphrase, max(CASE WHEN component = 'semantic' THEN score END) AS semantic,
