@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexigrid.functions import dims
 from lexigrid.operators.skew import hot_split_join, parted_join
@@ -179,6 +182,167 @@ def _walked_by_joins(e: DataFrame, s: DataFrame, alpha: float, iterations: int,
     return p.filter("p > 0").select("qid", "node", F.col("p").alias("score"))
 
 
+#: Numbers of a block's matrix of scores, of which there are two, and questions of a block at most.
+BLOCK_CELLS, BLOCK_QUESTIONS = 12_000_000, 32
+#: Edges of a set of intents that go to every block of questions: 16 bytes each.
+BLOCK_EDGES = 10_000_000
+
+
+def numbered(edges: DataFrame, *others: DataFrame) -> DataFrame:
+    """(node, id): the ends of edges (src, dst) and the nodes of others, whose first column it is, numbered from 0 without gaps."""
+    d = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    for x in others:
+        d = d.union(x.select(x.columns[0]))
+    d = cut(d.filter("node is not null").distinct().withColumn("_i", F.monotonically_increasing_id()))
+    part = F.shiftright("_i", 33)
+    ends = sorted((r["p"], r["n"]) for r in d.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in ends:
+        starts.append((p, before))
+        before += n
+    first = d.sparkSession.createDataFrame(starts, "p long, first long")
+    return d.join(F.broadcast(first), part == F.col("p")).select("node", (F.col("first") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id"))
+
+
+def coded(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """edges with the numbers of their ends in place of src and dst."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    for c in ("src", "dst"):
+        edges = edges.withColumnRenamed(c, "node").join(ids, "node").drop("node").withColumnRenamed("id", c)
+    return edges.select("src", "dst", *rest)
+
+
+def _packed(w: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(intent_set, src, w, starts, targets): edges (intent_set, src, dst, w) in the order of their targets, some thousands to a row as bytes; without intent_set,
+    numbers (id, number) as src and targets."""
+    schema = "intent_set string, src binary, w binary, starts binary, targets binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            sets = np.array(f["intent_set"].to_pylist(), dtype=object)
+            src, dst, w = (f[c].to_numpy(zero_copy_only=False) for c in ("src", "dst", "w"))
+            for x in dict.fromkeys(sets):
+                at = np.nonzero(sets == x)[0]
+                targets, starts = np.unique(dst[at], return_index=True)
+                row = [x, src[at].astype(np.int32), w[at].astype(float), starts.astype(np.int32), targets.astype(np.int32)]
+                yield pa.RecordBatch.from_pylist([{k: v if k == "intent_set" else v.tobytes() for k, v in zip(("intent_set", "src", "w", "starts", "targets"), row)}], schema=to_arrow_schema(w0))
+
+    w0 = w.sparkSession.createDataFrame([], schema).schema
+    n = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = w.select("intent_set", "src", "dst", "w").repartition(n, "intent_set", "dst").sortWithinPartitions("intent_set", "dst", "src").mapInArrow(pack, schema)
+
+    def pack_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            if f.num_rows:
+                a, b = (f[c].to_numpy().astype(np.int32).tobytes() for c in ("id", "number"))
+                yield pa.RecordBatch.from_pylist([{"intent_set": None, "src": a, "w": b"", "starts": b"", "targets": b}], schema=to_arrow_schema(w0))
+
+    return e.union(numbers.select("id", "number").mapInArrow(pack_numbers, schema))
+
+
+def pagerank_numbers(
+    w: DataFrame, sets: DataFrame, seeds: DataFrame, numbers: DataFrame, nodes: int, alpha: float = 0.15, iterations: int = 50, tolerance: float = 1e-6, every: int = 5
+) -> DataFrame:
+    """(qid, number, score): the greatest personalised PageRank of the nodes with a number, for score above 0.
+
+    w (intent_set, src, dst, w) as of transition, sets (qid, intent_set), seeds (qid, ids, weights), many as bytes of int32 and float64, numbers (id, number), one for an
+    id; ends and ids are numbers below `nodes`.
+    The walk is personalized_pagerank's. The questions of a set are dealt out in blocks, to each of which the set's edges go through the shuffle as bytes; a block is walked
+    as matrices and hands out what belongs to numbers only. So the driver carries no edges, and no row is made for a node.
+    """
+    spark = w.sparkSession
+    width = int(np.clip(BLOCK_CELLS // max(nodes, 1), 1, BLOCK_QUESTIONS))
+    of = Window.partitionBy("intent_set").orderBy("qid")
+    asked = cut(sets.withColumn("block", F.floor((F.row_number().over(of) - 1) / width).cast("int")))
+    blocks = asked.select("intent_set", "block").distinct()
+    tasks = 4 * max(1, blocks.count())
+    s = seeds.join(F.broadcast(asked), "qid").select("intent_set", "block", "qid", "ids", "weights")
+    packed = _packed(w, numbers)
+    named = packed.withColumnRenamed("intent_set", "_set").join(F.broadcast(blocks), F.col("_set").isNull() | (F.col("_set") == F.col("intent_set")))
+    kind = sets.schema["qid"].dataType
+    out = spark.createDataFrame([], f"qid {kind.simpleString()}, number int, score double").schema
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        edges, at, number = [], [], []
+        for r in right.select(["_set", "src", "w", "starts", "targets"]).to_pylist():
+            src, targets = (np.frombuffer(r[c], np.int32) for c in ("src", "targets"))
+            if r["_set"] is None:
+                at.append(src)
+                number.append(targets)
+            else:
+                edges.append((src, np.repeat(targets, np.diff(np.append(np.frombuffer(r["starts"], np.int32), len(src)))), np.frombuffer(r["w"], float)))
+        none = pa.Table.from_pylist([], schema=to_arrow_schema(out))
+        if not left.num_rows or not at:
+            return none
+        qids = left["qid"].combine_chunks().unique()
+        p = np.zeros((nodes, len(qids)))
+        for k, ids, weights in zip(pc.index_in(left["qid"], qids).to_pylist(), left["ids"].to_pylist(), left["weights"].to_pylist()):
+            p[np.frombuffer(ids, np.int32), k] = np.frombuffer(weights, float)
+        p /= p.sum(axis=0)
+        step = _Rounds(*map(np.concatenate, zip(*edges)), 1 - alpha).step if edges else np.zeros_like
+        row, column = np.nonzero(p)
+        seed = p[row, column] * alpha
+        for i in range(iterations):
+            q = step(p)
+            q[row, column] += seed
+            stop = (i + 1) % every == 0 and _change(p, q) < tolerance
+            p = q
+            if stop:
+                break
+        at, number = np.concatenate(at), np.concatenate(number)
+        order = np.argsort(number, kind="stable")
+        different, starts = np.unique(number[order], return_index=True)
+        best = np.maximum.reduceat(p[at[order]], starts, axis=0)
+        i, j = np.nonzero(best > 0)
+        return pa.Table.from_arrays([qids.take(pa.array(j)), pa.array(different[i], pa.int32()), pa.array(best[i, j])], schema=to_arrow_schema(out))
+
+    key = ["intent_set", "block"]
+    together = s.repartition(tasks, *key).groupBy(*key).cogroup(named.repartition(tasks, *key).groupBy(*key))
+    return together.applyInArrow(walk, out)
+
+
+class _Rounds:
+    """Edges dealt out in rounds: the first into each node, the second, and so on, so that a round adds rows to different nodes; those into nodes with more than
+    ROUNDS are multiplied a node at a time. Rows are gathered ROUND_ROWS at a time, which stay in the cache."""
+
+    ROUNDS, ROUND_ROWS = 64, 4000
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, share: float):
+        order = np.lexsort((src, dst))
+        src, w = src[order], w[order] * share
+        nodes, first, n = np.unique(dst[order], return_index=True, return_counts=True)
+        hub = n > self.ROUNDS
+        self.hubs = [(x, src[a : a + k], w[a : a + k]) for x, a, k in zip(nodes[hub], first[hub], n[hub])]
+        by_size = np.argsort(-n[~hub], kind="stable")
+        self.nodes, first, n = nodes[~hub][by_size], first[~hub][by_size], n[~hub][by_size]
+        self.rounds = []
+        for k in range(n[0] if len(n) else 0):
+            at = first[: np.count_nonzero(n > k)] + k
+            self.rounds.append((src[at], w[at][:, None]))
+
+    def step(self, p: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(p)
+        for a in range(0, len(self.nodes), self.ROUND_ROWS):
+            total = np.zeros((min(self.ROUND_ROWS, len(self.nodes) - a), p.shape[1]))
+            for src, w in self.rounds:
+                some = src[a : a + self.ROUND_ROWS]
+                if not len(some):
+                    break
+                flow = p.take(some, axis=0)
+                flow *= w[a : a + self.ROUND_ROWS]
+                total[: len(some)] += flow
+            out[self.nodes[a : a + self.ROUND_ROWS]] = total
+        for x, src, w in self.hubs:
+            for a in range(0, len(src), 65536):
+                out[x] += w[a : a + 65536] @ p.take(src[a : a + 65536], axis=0)
+        return out
+
+
+def _change(p: np.ndarray, q: np.ndarray) -> float:
+    """The greatest change of a question, worked out in parts."""
+    return sum((np.abs(p[a : a + 65536] - q[a : a + 65536]).sum(axis=0) for a in range(0, len(p), 65536)), np.zeros(p.shape[1])).max(initial=0)
+
+
 def first_articles(mentions: DataFrame) -> DataFrame:
     """(entity_id, article_id): each entity's first source, ties by id."""
     return mentions.groupBy("entity_id").agg(F.min_by("article_id", F.struct("ord", "article_id")).alias("article_id"))
@@ -196,16 +360,25 @@ def related_articles(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     return met.groupBy("article_id", "related_id", "relation_type").agg(F.max("confidence").alias("confidence"))
 
 
+def first_numbers(mentions: DataFrame) -> DataFrame:
+    """(node, number): the article number of each entity's first source that has one, ties by id."""
+    first = mentions.filter("article_number is not null").groupBy(F.col("entity_id").alias("node"))
+    return first.agg(F.min_by("article_number", F.struct("ord", "article_id")).alias("number"))
+
+
+def articles_of_numbers(scores: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(qid, article_id, score): scores (qid, number, score) given to all articles of the number."""
+    # Numbers are few and every law has the first of them: many rows on both sides.
+    articles = mentions.filter("article_number is not null").select(F.col("article_number").alias("number"), "article_id").distinct()
+    return parted_join(scores, articles, ["number"]).select("qid", "article_id", "score")
+
+
 def pagerank_articles(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     """(qid, article_id, score): the greatest entity score per article number of the entity's first source, given to all articles of that number.
 
     mentions (entity_id, article_id, article_number, ord).
     """
-    first = mentions.filter("article_number is not null").groupBy("entity_id").agg(F.min_by("article_number", F.struct("ord", "article_id")).alias("article_number"))
-    best = scores.join(first.withColumnRenamed("entity_id", "node"), "node").groupBy("qid", "article_number").agg(F.max("score").alias("score"))
-    # Numbers are few and every law has the first of them: many rows on both sides.
-    articles = mentions.filter("article_number is not null").select("article_number", "article_id").distinct()
-    return parted_join(best, articles, ["article_number"]).select("qid", "article_id", "score")
+    return articles_of_numbers(scores.join(first_numbers(mentions), "node").groupBy("qid", "number").agg(F.max("score").alias("score")), mentions)
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:

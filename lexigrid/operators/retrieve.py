@@ -106,7 +106,9 @@ class _Batch:
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         for at in range(0, len(names), step):
             codes, different = pd.factorize(np.array(names[at : at + step], dtype=object))
-            yield at, at + len(codes), self.scores(list(different))[codes]
+            s = np.zeros((len(codes), len(self.ids)))
+            s[codes >= 0] = self.scores(list(different))[codes[codes >= 0]]  # no name, no score
+            yield at, at + len(codes), s
 
 
 def _asked(queries: DataFrame):
@@ -145,6 +147,24 @@ def keyphrase_scores(queries: DataFrame, entities: DataFrame, least: float = 0.0
     return _spread(named, "entity_id").mapInArrow(work, f"qid {kind.simpleString()}, entity_id {key.simpleString()}, score double")
 
 
+def packed_seeds(queries: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """keyphrase_scores of nodes (id, name), an int32, from `least` on as (qid, ids, weights): a row for a question and many nodes, as bytes of int32 and float64."""
+    sent, kind = _asked(queries), queries.schema["qid"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = _Batch(sent.value)
+        ids = pa.array(batch.ids, to_arrow_type(kind))
+        for f in batches:
+            for a, b, s in batch.blocks(f["n"].to_pylist()):
+                node = f["id"].slice(a, b - a).to_numpy().astype(np.int32)
+                rows = [(k, node[i].tobytes(), s[i, k].tobytes()) for k in range(len(ids)) if len(i := np.nonzero((s[:, k] > 0) & (s[:, k] >= least))[0])]
+                k, i, w = zip(*rows) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(k, pa.int64())), pa.array(i, pa.binary()), pa.array(w, pa.binary())], ["qid", "ids", "weights"])
+
+    named = nodes.select("id", F.lower("name").alias("n")).filter("n is not null and id is not null")
+    return _spread(named, "id").mapInArrow(work, f"qid {kind.simpleString()}, ids binary, weights binary")
+
+
 def article_keyphrase(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     """(qid, article_id, keyphrase): entity scores gathered per article: the greatest and, by the log of how many, the mean."""
     m = scores.hint("merge").join(mentions.select("entity_id", "article_id").distinct(), "entity_id")  # scores are many, however small they look
@@ -191,13 +211,75 @@ def mentioned_keyphrase(queries: DataFrame, entities: DataFrame, mentions: DataF
             i, j = np.nonzero(v > 0)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), pa.array([x[0] for x in articles], to_arrow_type(key)).take(pa.array(i)), pa.array(v[i, j])], ["qid", "article_id", "keyphrase"])
 
-    return _by_article(entities, mentions, "article_id").mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double")
+    return _by_article(entities, mentions, "article_id").filter("n is not null").mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double")
+
+
+def best_articles(queries: DataFrame, entities: DataFrame, mentions: DataFrame, numbers: DataFrame | None, most: int, keyphrase: bool = True, also: DataFrame | None = None, slack: float = 1e-8) -> DataFrame:
+    """(qid, article_id, keyphrase, ppr): of the articles that mention entities, all that can be among the first `most` of a question by the weighted sum of keyphrase and ppr,
+    and the pairs also (qid, article_id), whatever their sum.
+
+    numbers (qid, number, score) is what pagerank gives to all articles of a number; it goes to every task. An article's sums are worked out where its names are scored, and a task
+    hands out its best only. Sums that differ by slack or less count as equal, as they may be after rounding; of equal ones the first by id.
+    """
+    sent, kind, key = _asked(queries), queries.schema["qid"].dataType, mentions.schema["article_id"].dataType
+    ranks = queries.sparkSession.sparkContext.broadcast([] if numbers is None else [tuple(r) for r in numbers.select("qid", "number", "score").collect()])
+    paired, wk, wp = also is not None, dims.DUAL_WEIGHTS["keyphrase"], dims.DUAL_WEIGHTS["ppr"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = _Batch(sent.value)
+        column = {q: i for i, q in enumerate(batch.ids)}
+        place = {n: i for i, n in enumerate(dict.fromkeys(r[1] for r in ranks.value))}
+        given = np.zeros((len(place) + 1, len(column)))  # the last for articles without number
+        for q, n, s in ranks.value:
+            if q in column:
+                given[place[n], column[q]] = s
+        least = np.full(len(column), -np.inf)
+        found: list[pd.DataFrame] = []
+        rows = 0
+        for articles, k in _of_articles(batch, batches):
+            k = k if keyphrase else np.zeros_like(k)
+            p = given[[place.get(x[1], len(place)) for x in articles]]
+            s = wk * k + wp * p
+            kept = np.zeros(s.shape, dtype=bool)
+            if paired:
+                for i, x in enumerate(articles):
+                    kept[i, [column[q] for q in x[2] or () if q in column]] = True
+            rest = np.where(kept, -np.inf, s)
+            if len(rest) >= most:
+                least = np.maximum(least, np.partition(rest, len(rest) - most, axis=0)[len(rest) - most])
+            i, j = np.nonzero((s > 0) & (kept | (rest >= least - slack)))
+            found.append(pd.DataFrame({"a": np.array([x[0] for x in articles], dtype=object)[i], "q": j, "s": rest[i, j], "k": k[i, j], "p": p[i, j], "kept": kept[i, j]}))
+            rows += len(i)
+            if rows > 4 * most * len(column):
+                found = [_first(pd.concat(found), most, slack)]
+                rows = 0
+        if found:
+            f = _first(pd.concat(found), most, slack)
+            some = lambda c: pa.array(f[c].to_numpy(), mask=f[c].to_numpy() <= 0)
+            ids = pa.array(batch.ids, to_arrow_type(kind)).take(pa.array(f["q"].to_numpy(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(f["a"].to_list(), to_arrow_type(key)), some("k"), some("p")], ["qid", "article_id", "keyphrase", "ppr"])
+
+    m = mentions.select("entity_id", "article_id", F.col("article_number").alias("number"))
+    cols = ["article_id", "number"]
+    if also is not None:
+        m = m.join(also.groupBy("article_id").agg(F.array_sort(F.collect_set("qid")).alias("also")), "article_id", "left")
+        cols.append("also")
+    return _by_article(entities, m, *cols).mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double, ppr double")
+
+
+def _first(f: pd.DataFrame, most: int, slack: float) -> pd.DataFrame:
+    """Rows (a, q, s, .., kept) that are kept or among the first by s of their q, with those that differ by slack; of one s the first `most` by a."""
+    f = f.sort_values(["q", "s", "a"], ascending=[True, False, True], ignore_index=True)
+    own = f[~f["kept"]]
+    last = own[own.groupby("q").cumcount() == most - 1].set_index("q")["s"]
+    at = f["q"].map(last).fillna(-np.inf)
+    return f[f["kept"] | ((f["s"] >= at - slack) & (f.groupby(["q", "s"]).cumcount() < most))]
 
 
 def _by_article(entities: DataFrame, mentions: DataFrame, *cols: str) -> DataFrame:
-    """(cols.., n): the names of the entities that an article mentions, an article's together."""
-    named = entities.select("entity_id", F.lower("name").alias("n")).filter("n is not null")
-    d = mentions.select("entity_id", *cols).distinct().join(named, "entity_id").select(*cols, "n")
+    """(cols.., n): the names of the entities that an article mentions, an article's together; null for those without."""
+    named = entities.select("entity_id", F.lower("name").alias("n"))
+    d = mentions.select("entity_id", *cols).distinct().join(named, "entity_id", "left").select(*cols, "n")
     return _spread(d, "article_id").sortWithinPartitions("article_id")
 
 

@@ -20,6 +20,10 @@ SEED_LEAST = 0.3
 HEAD = 200
 #: Similarity above which an article from the graph has to do with the question.
 RELEVANT = 0.4
+#: Articles that the graph and names give a question at most.
+DUAL_MOST = 50
+#: Scores of questions and article numbers that go to every task, some 30 MB at most.
+RANK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -101,15 +105,22 @@ def _asked(analyzed: DataFrame, switches: Ablation) -> DataFrame:
     return q.join(more, "qid", "left").select("qid", F.concat_ws(" ", "text", "more").alias("text"))
 
 
-def _pagerank(analyzed: DataFrame, k: DataFrame, c: Corpus, switches: Ablation, iterations: int) -> DataFrame:
-    """(qid, article_id, ppr)."""
+def _pagerank(analyzed: DataFrame, asked: DataFrame, c: Corpus, switches: Ablation, iterations: int, s: Shared) -> DataFrame:
+    """(qid, number, score): PageRank from the entities whose names fit, the greatest of an article number; a question walks on its intent's edges."""
     sets = analyzed.select("qid", (F.col("intent") if switches.classification else F.lit("general")).alias("intent_set"))
-    w = graph.transition(c.edges, intents_of(analyzed))
+    ids = s.get(("ids",), lambda: graph.numbered(c.edges, c.entities.select("entity_id")))
+    edges = s.get(("coded",), lambda: graph.coded(c.edges, ids))
+    named = s.get(("named entities",), lambda: c.entities.join(ids, c.entities["entity_id"] == ids["node"]).select("id", "name"))
+    numbers = s.get(("numbers",), lambda: graph.first_numbers(c.mentions).join(ids, "node").select("id", "number"))
+    w = graph.transition(edges, intents_of(analyzed).join(F.broadcast(sets.select("intent_set").distinct()), "intent_set", "left_semi"))
+    if 2 * edges.count() <= graph.BLOCK_EDGES:
+        return graph.pagerank_numbers(w, sets, retrieve.packed_seeds(asked, named, SEED_LEAST), numbers, ids.count(), iterations=iterations)
     # A node of a question walks on its intent's edges: both go into one key.
-    edges = w.select(F.concat_ws("\x01", "intent_set", "src").alias("src"), F.concat_ws("\x01", "intent_set", "dst").alias("dst"), "w")
-    seeds = k.filter(F.col("score") >= SEED_LEAST).join(sets, "qid").select("qid", F.concat_ws("\x01", "intent_set", "entity_id").alias("node"), F.col("score").alias("weight"))
-    p = graph.personalized_pagerank(edges, seeds, iterations=iterations).withColumn("node", F.split_part("node", F.lit("\x01"), F.lit(2)))
-    return graph.pagerank_articles(p, c.mentions).withColumnRenamed("score", "ppr")
+    seeds = retrieve.keyphrase_scores(asked, named.withColumnRenamed("id", "entity_id"), SEED_LEAST).select("qid", F.col("entity_id").alias("id"), F.col("score").alias("weight"))
+    of = lambda x: F.concat_ws("\x01", "intent_set", x)
+    p = graph.personalized_pagerank(w.select(of("src").alias("src"), of("dst").alias("dst"), "w"), seeds.join(sets, "qid").select("qid", of("id").alias("node"), "weight"), iterations=iterations)
+    p = p.withColumn("id", F.split_part("node", F.lit("\x01"), F.lit(2)).cast("int"))
+    return p.join(numbers, "id").groupBy("qid", "number").agg(F.max("score").alias("score"))
 
 
 def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None) -> DataFrame:
@@ -117,15 +128,29 @@ def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 5
     s = shared or Shared()
     words = (switches.query_expansion, switches.ontology)
     asked = s.get(("asked", *words), lambda: _asked(analyzed, switches))
-    k = s.get(("keyphrase", *words), lambda: retrieve.keyphrase_scores(asked, c.entities))
+    said = {name: getattr(models, name) for name in ("semantic", "concept") if getattr(switches, name) and getattr(models, name) is not None}
+    theme = hierarchy = None
+    if mode == "dual":
+        if switches.theme and models.themes is not None:
+            theme = s.get(("theme",), lambda: retrieve.high_level(*models.themes, c.mentions))
+        if switches.hierarchy and models.hierarchy is not None:
+            hierarchy = models.hierarchy
+    of_ppr = ("ppr", *words, switches.classification, iterations) if switches.ppr else ()
+    numbers = s.get(of_ppr, lambda: _pagerank(analyzed, asked, c, switches, iterations, s)) if switches.ppr else None
     parts = {}
-    if switches.keyphrase:
-        parts["keyphrase"] = s.get(("articles", *words), lambda: retrieve.article_keyphrase(k, c.mentions))
-    if switches.ppr:
-        parts["ppr"] = s.get(("ppr", *words, switches.classification, iterations), lambda: _pagerank(analyzed, k, c, switches, iterations))
-    for name, on in (("semantic", switches.semantic), ("concept", switches.concept)):
-        if on and getattr(models, name) is not None:
-            parts[name] = getattr(models, name)
+    if theme is not None or numbers is not None and numbers.count() > RANK_ROWS:
+        if switches.keyphrase:
+            parts["keyphrase"] = s.get(("articles", *words), lambda: retrieve.mentioned_keyphrase(asked, c.entities, c.mentions))
+        if switches.ppr:
+            parts["ppr"] = graph.articles_of_numbers(numbers, c.mentions).withColumnRenamed("score", "ppr")
+    elif switches.keyphrase or switches.ppr:
+        # Of most articles there is nothing but these two, and of them the first of a question only are wanted: an article with less of both than they have has no place.
+        also = None
+        for x in [*said.values(), *([hierarchy] if hierarchy is not None else [])]:
+            also = x.select("qid", "article_id") if also is None else also.union(x.select("qid", "article_id"))
+        best = s.get(("best", *words, *of_ppr, switches.keyphrase, *said, hierarchy is not None), lambda: retrieve.best_articles(asked, c.entities, c.mentions, numbers, DUAL_MOST, switches.keyphrase, also, _slack(said)))
+        parts |= {name: best for name in ("keyphrase", "ppr")}
+    parts |= said
     d = None
     for name, x in parts.items():
         one = x.select("qid", "article_id", F.lit(name).alias("part"), F.col(name).alias("v"))
@@ -134,13 +159,13 @@ def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 5
         d = analyzed.select("qid", F.lit(None).cast("string").alias("article_id"), F.lit("none").alias("part"), F.lit(None).cast("double").alias("v")).limit(0)
     pick = lambda n: F.max(F.when(F.col("part") == n, F.col("v"))).alias(n)
     low = retrieve.low_level(d.groupBy("qid", "article_id").agg(*map(pick, ("keyphrase", "ppr", "semantic", "concept")))).withColumn("low", F.round("low", 9))
-    theme = hierarchy = None
-    if mode == "dual":
-        if switches.theme and models.themes is not None:
-            theme = retrieve.high_level(*models.themes, c.mentions)
-        if switches.hierarchy and models.hierarchy is not None:
-            hierarchy = models.hierarchy
-    return retrieve.ranked(retrieve.fused(low, theme, hierarchy, mode=mode), k=50)
+    return retrieve.ranked(retrieve.fused(low, theme, hierarchy, mode=mode), k=DUAL_MOST)
+
+
+def _slack(said: dict[str, DataFrame]) -> float:
+    """How far apart sums may be that are the same after rounding to nine places of the greatest, which what models say may raise."""
+    most = [x.agg(F.max(F.abs(name))).first()[0] or 0.0 for name, x in said.items()]
+    return 1e-8 * (1 + sum(most))
 
 
 def kg_expanded(seeds: DataFrame, c: Corpus, most: int = 3) -> DataFrame:

@@ -84,6 +84,40 @@ def test_small_and_large_graphs_give_the_same_scores(spark, corpus):
     assert graph.personalized_pagerank(w, seeds.limit(0)).count() == 0 and graph.personalized_pagerank(w.limit(0), seeds).count() > 0
 
 
+def test_blocks_walk_as_joins_do(spark, corpus, monkeypatch):
+    """Several blocks of a set, hubs and rounds, nodes without edges: the greatest score of each number is personalized_pagerank's; no row is made for a node."""
+    from lexigrid.functions import query
+
+    monkeypatch.setattr(graph, "BLOCK_QUESTIONS", 2)
+    monkeypatch.setattr(graph._Rounds, "ROUNDS", 3)
+    q = spark.createDataFrame([*QUESTIONS, (6, "vốn"), (7, "tổ chức công ty"), (8, "xa lạ")], "qid int, text string")
+    a, on = query.analyzed(q), evaluate.Ablation()
+    c = engine.Corpus(corpus.documents, corpus.articles, corpus.entities.union(spark.createDataFrame([("alone", "vốn góp", "X")], corpus.entities.schema)), corpus.mentions.union(spark.createDataFrame([("alone", "9-2020-QH14:d77", 77, 0)], corpus.mentions.schema)), corpus.edges)
+    asked = engine._asked(a, on)
+    got = {(r.qid, r.number): r.score for r in engine._pagerank(a, asked, c, on, 50, engine.Shared()).collect()}
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 0)
+    want = {(r.qid, r.number): r.score for r in engine._pagerank(a, asked, c, on, 50, engine.Shared()).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and {n for _, n in got} >= {77} and len({k for k, _ in got}) > 4
+
+
+@pytest.mark.parametrize("said", [False, True])
+def test_only_the_first_articles_of_a_question_are_brought_together(spark, corpus, models, monkeypatch, said):
+    """With a limit of few places the result is that of all rows; what leaves the articles is little more than the places."""
+    from lexigrid.functions import query
+
+    a, on = query.analyzed(spark.createDataFrame(QUESTIONS, "qid int, text string")), evaluate.Ablation.everything()
+    m = engine.Models(models.semantic.filter("semantic > 0.6"), models.concept.filter("concept > 0.8"), models.hierarchy.filter("hierarchy > 0.9")) if said else engine.Models()
+    monkeypatch.setattr(engine, "DUAL_MOST", 4)
+    shared = engine.Shared()
+    got = [tuple(r) for r in engine.dual(a, corpus, on, models=m, mode="dual", shared=shared).orderBy("qid", "rank").collect()]
+    best = next(x for k, x in shared.done.items() if k[0] == "best")
+    monkeypatch.setattr(engine, "RANK_ROWS", 0)
+    want = [tuple(r) for r in engine.dual(a, corpus, on, models=m, mode="dual").orderBy("qid", "rank").collect()]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want]) and len(got) > 12
+    every = engine.retrieve.mentioned_keyphrase(engine._asked(a, on), corpus.entities, corpus.mentions).count()
+    assert best.count() < every / 2 or said
+
+
 def test_picks_of_a_model(spark, corpus):
     q = spark.createDataFrame(QUESTIONS[:2], "qid int, text string")
     options = spark.createDataFrame([(1, "1-2020-QH14:c1", "Chương 1", 1), (1, "1-2020-QH14:c3", "Chương 3", 2), (2, "2-2021-ND-CP:c2", "Chương 2", 1)], "qid int, node_id string, name string, place int")
