@@ -214,15 +214,21 @@ def mentioned_keyphrase(queries: DataFrame, entities: DataFrame, mentions: DataF
     return _by_article(entities, mentions, "article_id").filter("n is not null").mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double")
 
 
-def best_articles(queries: DataFrame, entities: DataFrame, mentions: DataFrame, numbers: DataFrame | None, most: int, keyphrase: bool = True, also: DataFrame | None = None, slack: float = 1e-8) -> DataFrame:
-    """(qid, article_id, keyphrase, ppr): of the articles that mention entities, all that can be among the first `most` of a question by the weighted sum of keyphrase and ppr,
-    and the pairs also (qid, article_id), whatever their sum.
-
-    numbers (qid, number, score) is what pagerank gives to all articles of a number; it goes to every task. An article's sums are worked out where its names are scored, and a task
-    hands out its best only. Sums that differ by slack or less count as equal, as they may be after rounding; of equal ones the first by id.
+def best_articles(
+    queries: DataFrame, entities: DataFrame, mentions: DataFrame, numbers: DataFrame | None, most: int, keyphrase: bool = True, also: DataFrame | None = None, slack: float = 1e-8,
+    near: DataFrame | None = None, grouped: DataFrame | None = None,
+) -> DataFrame:
+    """(qid, article_id, keyphrase, ppr, theme): of the articles that mention entities, all that can be among the first `most` of a question by the weighted sum of keyphrase and ppr
+    and by theme, whatever their weights, and the pairs also (qid, article_id), whatever their sum.
+
+    numbers (qid, number, score) is what pagerank gives to all articles of a number, near (qid, theme, similarity) the few themes of a question and grouped (theme, article_id) the
+    themes' articles, of which the most similar counts; numbers and near go to every task. An article's sums are worked out where its names are scored, and a task hands out its best
+    only: an article has no place if `most` have greater sums and themes as near. Sums that differ by slack or less count as equal, as they may be after rounding; of equal ones the
+    first by id.
     """
     sent, kind, key = _asked(queries), queries.schema["qid"].dataType, mentions.schema["article_id"].dataType
     ranks = queries.sparkSession.sparkContext.broadcast([] if numbers is None else [tuple(r) for r in numbers.select("qid", "number", "score").collect()])
+    themes = queries.sparkSession.sparkContext.broadcast([] if near is None else [tuple(r) for r in near.select("qid", "theme", "similarity").collect()])
     paired, wk, wp = also is not None, dims.DUAL_WEIGHTS["keyphrase"], dims.DUAL_WEIGHTS["ppr"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,47 +239,102 @@ def best_articles(queries: DataFrame, entities: DataFrame, mentions: DataFrame,
         for q, n, s in ranks.value:
             if q in column:
                 given[place[n], column[q]] = s
-        least = np.full(len(column), -np.inf)
+        nearness = _Nearness(themes.value, column)
+        least = np.full((nearness.levels, len(column)), -np.inf)
+        every = np.arange(len(column))
         found: list[pd.DataFrame] = []
         rows = 0
         for articles, k in _of_articles(batch, batches):
             k = k if keyphrase else np.zeros_like(k)
             p = given[[place.get(x[1], len(place)) for x in articles]]
             s = wk * k + wp * p
+            level, has = nearness.of([x[2] for x in articles])
             kept = np.zeros(s.shape, dtype=bool)
             if paired:
                 for i, x in enumerate(articles):
-                    kept[i, [column[q] for q in x[2] or () if q in column]] = True
+                    kept[i, [column[q] for q in x[3] or () if q in column]] = True
             rest = np.where(kept, -np.inf, s)
-            if len(rest) >= most:
-                least = np.maximum(least, np.partition(rest, len(rest) - most, axis=0)[len(rest) - most])
-            i, j = np.nonzero((s > 0) & (kept | (rest >= least - slack)))
-            found.append(pd.DataFrame({"a": np.array([x[0] for x in articles], dtype=object)[i], "q": j, "s": rest[i, j], "k": k[i, j], "p": p[i, j], "kept": kept[i, j]}))
+            some = (s > 0) | has
+            if len(rest) >= most and np.count_nonzero(some & (rest >= least[level, every] - slack)) > most * len(column):
+                for n in range(nearness.levels):
+                    above = np.where(level <= n, rest, -np.inf)
+                    least[n] = np.maximum(least[n], np.partition(above, len(rest) - most, axis=0)[len(rest) - most])
+            i, j = np.nonzero(some & (kept | (rest >= least[level, every] - slack)))
+            found.append(pd.DataFrame({"a": np.array([x[0] for x in articles], dtype=object)[i], "q": j, "l": level[i, j], "s": rest[i, j], "k": k[i, j], "p": p[i, j], "has": has[i, j], "kept": kept[i, j]}))
             rows += len(i)
-            if rows > 4 * most * len(column):
-                found = [_first(pd.concat(found), most, slack)]
+            if rows > 8 * most * len(column):
+                found = [_first(pd.concat(found), most, slack, least)]
                 rows = 0
         if found:
-            f = _first(pd.concat(found), most, slack)
+            f = _first(pd.concat(found), most, slack, least)
             some = lambda c: pa.array(f[c].to_numpy(), mask=f[c].to_numpy() <= 0)
             ids = pa.array(batch.ids, to_arrow_type(kind)).take(pa.array(f["q"].to_numpy(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(f["a"].to_list(), to_arrow_type(key)), some("k"), some("p")], ["qid", "article_id", "keyphrase", "ppr"])
+            theme = pa.array(nearness.value[f["l"].to_numpy(), f["q"].to_numpy()], mask=~f["has"].to_numpy())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(f["a"].to_list(), to_arrow_type(key)), some("k"), some("p"), theme], ["qid", "article_id", "keyphrase", "ppr", "theme"])
 
     m = mentions.select("entity_id", "article_id", F.col("article_number").alias("number"))
     cols = ["article_id", "number"]
-    if also is not None:
-        m = m.join(also.groupBy("article_id").agg(F.array_sort(F.collect_set("qid")).alias("also")), "article_id", "left")
-        cols.append("also")
-    return _by_article(entities, m, *cols).mapInArrow(work, f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double, ppr double")
-
-
-def _first(f: pd.DataFrame, most: int, slack: float) -> pd.DataFrame:
-    """Rows (a, q, s, .., kept) that are kept or among the first by s of their q, with those that differ by slack; of one s the first `most` by a."""
+    for name, d, c in (("themes", grouped, "theme"), ("also", also, "qid")):
+        if d is None:
+            m = m.withColumn(name, F.lit(None).cast("array<int>"))
+        else:
+            m = m.join(d.groupBy("article_id").agg(F.array_sort(F.collect_set(c)).alias(name)), "article_id", "left")
+        cols.append(name)
+    out = f"qid {kind.simpleString()}, article_id {key.simpleString()}, keyphrase double, ppr double, theme double"
+    best = _by_article(entities, m, *cols).mapInArrow(work, out)
+    asked = {r[0] for r in sent.value}
+    silent = [r for r in themes.value if r[0] not in asked]
+    if not silent:
+        return best
+    # Questions of stop words only have themes all the same, and nothing else.
+    none = F.lit(None).cast("double")
+    rest = parted_join(queries.sparkSession.createDataFrame(silent, near.schema), grouped, ["theme"]).groupBy("qid", "article_id").agg(F.max("similarity").alias("theme"))
+    return best.unionByName(rest.select("qid", "article_id", none.alias("keyphrase"), none.alias("ppr"), "theme"))
+
+
+class _Nearness:
+    """How near the themes of articles are to questions, as levels: for each question the different similarities of its themes and 0, which articles of none of them have, from the
+    greatest. value[level, question] is the similarity."""
+
+    def __init__(self, near: Sequence[tuple], column: Mapping):
+        own: list[dict] = [{} for _ in column]
+        for q, t, v in near:
+            if q in column:
+                own[column[q]][t] = v
+        order = [sorted({0.0, *x.values()}, reverse=True) for x in own]
+        self.levels = max(map(len, order), default=1)
+        self.value = np.zeros((self.levels, len(column)))
+        self.none = np.array([x.index(0.0) for x in order], dtype=np.int64)
+        self.place = {t: i for i, t in enumerate(dict.fromkeys(r[1] for r in near))}
+        self.level = np.full((len(self.place), len(column)), self.levels, dtype=np.int64)  # beyond the last: not a theme of the question
+        for j, (x, o) in enumerate(zip(own, order)):
+            self.value[: len(o), j] = o
+            for t, v in x.items():
+                self.level[self.place[t], j] = o.index(v)
+
+    def of(self, themes: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        """(levels, whether the question has a theme of the article) of articles by their themes."""
+        out = np.full((len(themes), len(self.none)), self.levels, dtype=np.int64)
+        for i, x in enumerate(themes):
+            at = [self.place[t] for t in x or () if t in self.place]
+            if at:
+                out[i] = self.level[at].min(axis=0)
+        has = out < self.levels
+        return np.where(has, out, self.none), has
+
+
+def _first(f: pd.DataFrame, most: int, slack: float, least: np.ndarray) -> pd.DataFrame:
+    """Rows (a, q, l, s, .., kept) that are kept or among the first by s of the rows of their q and of their level l or a lower, with those that differ by slack; of one s and level
+    the first `most` by a. What the first `most` have at least goes into least[level, q]."""
     f = f.sort_values(["q", "s", "a"], ascending=[True, False, True], ignore_index=True)
     own = f[~f["kept"]]
-    last = own[own.groupby("q").cumcount() == most - 1].set_index("q")["s"]
-    at = f["q"].map(last).fillna(-np.inf)
-    return f[f["kept"] | ((f["s"] >= at - slack) & (f.groupby(["q", "s"]).cumcount() < most))]
+    for n in range(len(least)):
+        above = own[own["l"] <= n]
+        last = above[above.groupby("q").cumcount() == most - 1]
+        q = last["q"].to_numpy()
+        least[n, q] = np.maximum(least[n, q], last["s"].to_numpy())
+    at = least[f["l"].to_numpy(), f["q"].to_numpy()]
+    return f[f["kept"] | ((f["s"] >= at - slack) & (f.groupby(["q", "l", "s"]).cumcount() < most))]
 
 
 def _by_article(entities: DataFrame, mentions: DataFrame, *cols: str) -> DataFrame:
@@ -505,10 +566,15 @@ def high_level(queries: DataFrame, themes: DataFrame, members: DataFrame, mentio
 
     queries (qid, embedding), themes (theme, embedding), members (theme, entity_id), mentions (entity_id, article_id, ord).
     """
+    near, articles = themes_near(queries, themes, members, mentions, k)
+    return parted_join(near, articles, ["theme"]).groupBy("qid", "article_id").agg(F.max("similarity").alias("theme"))
+
+
+def themes_near(queries: DataFrame, themes: DataFrame, members: DataFrame, mentions: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((qid, theme, similarity), (theme, article_id)): what high_level brings together: the k nearest themes of each question, and the themes' articles."""
     near = nearest(queries, themes, k, key="theme").select("qid", "theme", "similarity")
     first = mentions.groupBy("entity_id").agg(F.min_by("article_id", F.struct("ord", "article_id")).alias("article_id"))
-    articles = members.join(first, "entity_id").select("theme", "article_id").distinct()
-    return parted_join(near, articles, ["theme"]).groupBy("qid", "article_id").agg(F.max("similarity").alias("theme"))
+    return near, members.join(first, "entity_id").select(F.col("theme").cast(near.schema["theme"].dataType), "article_id").distinct()
 
 
 def related_names(names: DataFrame, entities: DataFrame) -> DataFrame:

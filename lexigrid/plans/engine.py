@@ -64,11 +64,14 @@ class Shared:
 
     done: dict = field(default_factory=dict)
 
-    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    def value(self, key: tuple, make: Callable[[], object]):
         if key not in self.done:
-            self.done[key] = cut(make())
+            self.done[key] = make()
         return self.done[key]
 
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        return self.value(key, lambda: cut(make()))
+
 
 def corpus(documents: DataFrame, articles: DataFrame, entities: DataFrame, relations: DataFrame) -> Corpus:
     """A corpus from the tables of laws, articles, entities and relations; deleted entities, repeated rows and edges to nowhere are left out."""
@@ -128,28 +131,37 @@ def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 5
     s = shared or Shared()
     words = (switches.query_expansion, switches.ontology)
     asked = s.get(("asked", *words), lambda: _asked(analyzed, switches))
-    said = {name: getattr(models, name) for name in ("semantic", "concept") if getattr(switches, name) and getattr(models, name) is not None}
-    theme = hierarchy = None
-    if mode == "dual":
-        if switches.theme and models.themes is not None:
-            theme = s.get(("theme",), lambda: retrieve.high_level(*models.themes, c.mentions))
-        if switches.hierarchy and models.hierarchy is not None:
-            hierarchy = models.hierarchy
+    scores = {name: getattr(models, name) for name in ("semantic", "concept") if getattr(models, name) is not None}
+    said = {name: x for name, x in scores.items() if getattr(switches, name)}
+    themed = mode == "dual" and models.themes is not None
+    theme = None
+    hierarchy = models.hierarchy if mode == "dual" and switches.hierarchy else None
     of_ppr = ("ppr", *words, switches.classification, iterations) if switches.ppr else ()
     numbers = s.get(of_ppr, lambda: _pagerank(analyzed, asked, c, switches, iterations, s)) if switches.ppr else None
     parts = {}
-    if theme is not None or numbers is not None and numbers.count() > RANK_ROWS:
+    if (0 if numbers is None else numbers.count()) > RANK_ROWS:
         if switches.keyphrase:
             parts["keyphrase"] = s.get(("articles", *words), lambda: retrieve.mentioned_keyphrase(asked, c.entities, c.mentions))
         if switches.ppr:
             parts["ppr"] = graph.articles_of_numbers(numbers, c.mentions).withColumnRenamed("score", "ppr")
-    elif switches.keyphrase or switches.ppr:
-        # Of most articles there is nothing but these two, and of them the first of a question only are wanted: an article with less of both than they have has no place.
+        if themed and switches.theme:
+            theme = s.get(("theme",), lambda: retrieve.high_level(*models.themes, c.mentions))
+    elif switches.keyphrase or switches.ppr or themed and switches.theme:
+        # Of most articles there is nothing but these and the theme, and of them the first of a question only are wanted: an article with less of all than they have has no place.
+        # Models that are off only add pairs, so one frame serves all configurations of the same words.
         also = None
-        for x in [*said.values(), *([hierarchy] if hierarchy is not None else [])]:
+        for x in [*scores.values(), *([models.hierarchy] if mode == "dual" and models.hierarchy is not None else [])]:
             also = x.select("qid", "article_id") if also is None else also.union(x.select("qid", "article_id"))
-        best = s.get(("best", *words, *of_ppr, switches.keyphrase, *said, hierarchy is not None), lambda: retrieve.best_articles(asked, c.entities, c.mentions, numbers, DUAL_MOST, switches.keyphrase, also, _slack(said)))
-        parts |= {name: best for name in ("keyphrase", "ppr")}
+        near = grouped = None
+        if themed:
+            near, grouped = s.value(("themes",), lambda: tuple(map(cut, retrieve.themes_near(*models.themes, c.mentions))))
+        best = s.get(
+            ("best", mode, *words, *of_ppr, switches.keyphrase),
+            lambda: retrieve.best_articles(asked, c.entities, c.mentions, numbers, DUAL_MOST, switches.keyphrase, also, s.value(("slack",), lambda: _slack(scores)), near, grouped),
+        )
+        parts |= {name: best for name in ("keyphrase", "ppr") if getattr(switches, name)}
+        if themed and switches.theme:
+            theme = best.select("qid", "article_id", "theme").filter("theme is not null")
     parts |= said
     d = None
     for name, x in parts.items():

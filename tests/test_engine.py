@@ -118,6 +118,30 @@ def test_only_the_first_articles_of_a_question_are_brought_together(spark, corpu
     assert best.count() < every / 2 or said
 
 
+def test_themes_make_no_row_of_each_question_and_article(spark, corpus, models, monkeypatch):
+    """With themes, some of them unlike, and questions of stop words only the result is that of all rows; a theme's articles that have no place are no rows."""
+    from lexigrid.functions import query
+
+    a, on = query.analyzed(spark.createDataFrame([*QUESTIONS, (6, "là và của")], "qid int, text string")), evaluate.Ablation.everything()
+    asked, themes, members = models.themes
+    asked = asked.union(asked.filter("qid = 1").select(F.lit(6), "embedding"))
+    m = engine.Models(models.semantic.filter("semantic > 0.6"), hierarchy=models.hierarchy.filter("hierarchy > 0.9"), themes=(asked, themes, members))
+    monkeypatch.setattr(engine, "DUAL_MOST", 4)
+    shared = engine.Shared()
+    run = lambda x: [tuple(r) for r in engine.dual(a, corpus, x, 3, m, "dual", shared).orderBy("qid", "rank").collect()]
+    for off in ({}, {"keyphrase": False, "ppr": False}, {"semantic": False, "theme": False}):
+        one = evaluate.Ablation(**(on.as_dict() | off))
+        monkeypatch.setattr(engine, "RANK_ROWS", 1_000_000)
+        got = run(one)
+        assert [k for k in shared.done if k[0] == "best"] and (off or ("theme",) not in shared.done)
+        monkeypatch.setattr(engine, "RANK_ROWS", -1)
+        want = run(one)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want]) and len(got) > 12
+    near, grouped = retrieve.themes_near(asked.filter("qid < 6"), themes, members, corpus.mentions)
+    best = retrieve.best_articles(a.select("qid", "text"), corpus.entities, corpus.mentions, None, 4, near=near, grouped=grouped)
+    assert best.count() < retrieve.high_level(asked.filter("qid < 6"), themes, members, corpus.mentions).count()
+
+
 def test_picks_of_a_model(spark, corpus):
     q = spark.createDataFrame(QUESTIONS[:2], "qid int, text string")
     options = spark.createDataFrame([(1, "1-2020-QH14:c1", "Chương 1", 1), (1, "1-2020-QH14:c3", "Chương 3", 2), (2, "2-2021-ND-CP:c2", "Chương 2", 1)], "qid int, node_id string, name string, place int")
