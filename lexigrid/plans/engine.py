@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -240,9 +240,77 @@ def retrieve_articles(
 
     Every switch is read here or in dual. What a model would say comes from models; without it that part is silent.
     """
+    return retrieve_by_all(queries, c, [switches], top, iterations, models, mode, shared).drop("config")
+
+
+def retrieve_by_all(
+    queries: DataFrame, c: Corpus, configurations: Sequence[Ablation], top: int = 50, iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None
+) -> DataFrame:
+    """(config, qid, article_id, score, source, rank): retrieve_articles by each of the configurations, told by their place, as one plan.
+
+    What configurations have in common is worked out once. Their lists are merged, filled up and ranked together: a question of a configuration is a key of its own.
+    """
     s = shared or Shared()
     a = s.get(("analyzed",), lambda: query.analyzed(queries))
     c = _lightened(c, s)
+    key = lambda x, i: x.withColumn("qid", F.struct(F.lit(i).alias("config"), "qid"))
+    fused: dict[str, list[DataFrame]] = {}
+    sure, trees, others, rows = [], [], [], []
+    for i, switches in enumerate(configurations):
+        lists = _lists(queries, a, c, switches, iterations, models, mode, s)
+        if not lists:
+            continue
+        if switches.rrf and switches.bridge:
+            for name, x in lists.items():
+                fused.setdefault(name, []).append(key(x, i))
+        elif switches.rrf and "tree" in lists:  # two lists by the tree's confidence
+            sure.append(key(lists["tree"], i))
+            other = lists.get("dual", lists.get("kg"))
+            trees.append(key(lists["tree"].select("qid", "article_id", "rank"), i))
+            others.append(key((lists["tree"].limit(0) if other is None else other).select("qid", "article_id", "rank"), i))
+        else:  # one list after the other
+            for n, (name, x) in enumerate(lists.items()):
+                rows.append(key(x.select("qid", "article_id", (1.0 - 0.3 * n - F.col("rank") / 1000).alias("score"), F.lit(name).alias("source")), i))
+    merged = []
+    if fused:
+        merged.append(retrieve.rrf({name: _union(fused[name]) for name in ("tree", "dual", "kg") if name in fused}))
+    if trees:
+        conf = _union(sure).groupBy("qid").agg(F.max("confidence").alias("confidence"))
+        merged.append(retrieve.weighted_by_confidence(_union(trees), _union(others), conf).withColumn("source", F.lit("merged")))
+    if rows:
+        merged.append(_union(rows).groupBy("qid", "article_id").agg(F.max("score").alias("score"), F.max_by("source", "score").alias("source")))
+    if not merged:
+        return queries.sparkSession.createDataFrame([], "config int, qid long, article_id string, score double, source string, rank int")
+    merged = _union([x.select("qid", "article_id", "score", "source") for x in merged])
+    merged = merged.join(c.articles.filter("length(trim(content)) > 0").select("article_id"), "article_id", "left_semi").select("qid", "article_id", "score", "source")
+    having = lambda switch: [i for i, x in enumerate(configurations) if getattr(x, switch)]
+    within = lambda x, switch: x.filter(F.col("qid.config").isin(having(switch)))
+    if having("adjacent"):
+        merged = cut(merged)
+        near = retrieve.neighbours(within(merged, "adjacent"), c.articles).select("qid", "article_id", "score", F.lit("adjacent").alias("source"))
+        merged = merged.unionByName(near)
+    if having("document_filter"):
+        named = s.get(("named",), lambda: _documents_named(a)).withColumn("config", F.explode(F.array(*map(F.lit, having("document_filter"))))).withColumn("qid", F.struct("config", "qid"))
+        merged = retrieve.filtered_by_document(with_document(merged), named, "rerank").select("qid", "article_id", "score", "source")
+    with_text = merged.join(c.articles.select("article_id", "content"), "article_id")
+    best = retrieve.without_repeats(with_text)
+    if having("rerank") and models.rerank is not None:
+        said = models.rerank.select(F.col("qid").alias("_q"), "article_id", "model")
+        scored = best.withColumn("_q", F.col("qid.qid")).join(said, ["_q", "article_id"], "left").withColumn("model", F.coalesce("model", F.lit(0.0)))
+        again = retrieve.reranked(within(scored, "rerank"), "model", top).withColumn("score", F.col("blended"))
+        best = again.select("qid", "article_id", "score", "source").unionByName(best.filter(~F.col("qid.config").isin(having("rerank"))).select("qid", "article_id", "score", "source"))
+    return retrieve.ranked(best, k=top).select("qid.config", "qid.qid", "article_id", F.round("score", 6).alias("score"), "source", "rank")
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _lists(queries: DataFrame, a: DataFrame, c: Corpus, switches: Ablation, iterations: int, models: Models, mode: str, s: Shared) -> dict[str, DataFrame]:
+    """The lists (qid, article_id, rank) that a configuration merges, by name; the tree's has its confidence."""
     lists: dict[str, DataFrame] = {}
     d = t = None
     if switches.dual:
@@ -256,56 +324,29 @@ def retrieve_articles(
         lists["dual"] = d.select("qid", "article_id", "rank")
     extra = []
     if d is not None and t is not None:
-        both = s.get(("overlap", of_dual), lambda: retrieve.overlap(t, d).select("qid", "ratio"))
         if switches.cross_check:
             extra.append(s.get(("cross", switches.bridge, of_dual), lambda: retrieve.ranked(retrieve.cross_check(t, d, c.articles, bridge=switches.bridge)).select("qid", "article_id", "rank")))
         if switches.filter_dual:
-            # What dual has below the threshold, lowered for unclear questions, is not merged.
-            conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
-            kind = F.col("query_type") if switches.classification else F.lit("general")
-            lower = retrieve.ambiguity(F.col("text"), kind, F.col("article_refs"), F.coalesce("confidence", F.lit(0.0)))
-            cal = a.join(conf, "qid", "left").select("qid", (lower if switches.ambiguity else F.lit(1.0)).alias("calibration"))
-            limit = retrieve.adaptive_threshold(F.col("ratio")) if switches.adaptive_threshold else F.lit(retrieve.FIXED_THRESHOLD)
-            kept = retrieve.calibrated(d, both.select("qid", limit.alias("threshold")), cal)
-            lists["dual"] = retrieve.ranked(kept.drop("rank")).select("qid", "article_id", "rank")
+            both = s.get(("overlap", of_dual), lambda: retrieve.overlap(t, d).select("qid", "ratio"))
+
+            def kept() -> DataFrame:
+                # What dual has below the threshold, lowered for unclear questions, is not merged.
+                conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
+                kind = F.col("query_type") if switches.classification else F.lit("general")
+                lower = retrieve.ambiguity(F.col("text"), kind, F.col("article_refs"), F.coalesce("confidence", F.lit(0.0)))
+                cal = a.join(conf, "qid", "left").select("qid", (lower if switches.ambiguity else F.lit(1.0)).alias("calibration"))
+                limit = retrieve.adaptive_threshold(F.col("ratio")) if switches.adaptive_threshold else F.lit(retrieve.FIXED_THRESHOLD)
+                return retrieve.ranked(retrieve.calibrated(d, both.select("qid", limit.alias("threshold")), cal).drop("rank")).select("qid", "article_id", "rank")
+
+            lists["dual"] = s.get(("kept", of_dual, switches.classification, switches.ambiguity, switches.adaptive_threshold), kept)
     if switches.kg_expansion and lists:
         if t is not None:
             extra.append(s.get(("chapters",), lambda: kg_expanded_by_chapters(t, c, models.relevance).select("qid", "article_id", "rank")))
         if d is not None and switches.kg_retrieval:
             extra.append(s.get(("expanded", of_dual), lambda: kg_expanded(d.filter("rank <= 5"), c)))
     if extra:
-        e = extra[0]
-        for x in extra[1:]:
-            e = e.unionByName(x)
-        lists["kg"] = e.groupBy("qid", "article_id").agg(F.min("rank").alias("rank"))
-    if not lists:
-        return queries.sparkSession.createDataFrame([], "qid long, article_id string, score double, source string, rank int")
-    if switches.rrf and switches.bridge:
-        merged = retrieve.rrf(lists)
-    elif switches.rrf and t is not None:  # two lists by the tree's confidence
-        conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
-        other = lists.get("dual", lists.get("kg", t.select("qid", "article_id", "rank").limit(0)))
-        merged = retrieve.weighted_by_confidence(lists["tree"].select("qid", "article_id", "rank"), other, conf).withColumn("source", F.lit("merged"))
-    else:  # one list after the other
-        every = None
-        for i, (name, x) in enumerate(lists.items()):
-            one = x.select("qid", "article_id", (1.0 - 0.3 * i - F.col("rank") / 1000).alias("score"), F.lit(name).alias("source"))
-            every = one if every is None else every.unionByName(one)
-        merged = every.groupBy("qid", "article_id").agg(F.max("score").alias("score"), F.max_by("source", "score").alias("source"))
-    merged = merged.join(c.articles.filter("length(trim(content)) > 0").select("article_id"), "article_id", "left_semi")
-    if switches.adjacent:
-        merged = cut(merged.select("qid", "article_id", "score", "source"))
-        near = retrieve.neighbours(merged, c.articles).select("qid", "article_id", "score", F.lit("adjacent").alias("source"))
-        merged = merged.select("qid", "article_id", "score", "source").unionByName(near)
-    if switches.document_filter:
-        named = s.get(("named",), lambda: _documents_named(a))
-        merged = retrieve.filtered_by_document(with_document(merged), named, "rerank").select("qid", "article_id", "score", "source")
-    with_text = merged.join(c.articles.select("article_id", "content"), "article_id")
-    best = retrieve.without_repeats(with_text)
-    if switches.rerank and models.rerank is not None:
-        scored = best.join(models.rerank.select("qid", "article_id", "model"), ["qid", "article_id"], "left").withColumn("model", F.coalesce("model", F.lit(0.0)))
-        best = retrieve.reranked(scored, "model", top).withColumn("score", F.col("blended")).drop("rank")
-    return retrieve.ranked(best, k=top).select("qid", "article_id", F.round("score", 6).alias("score"), "source", "rank")
+        lists["kg"] = _union(extra).groupBy("qid", "article_id").agg(F.min("rank").alias("rank"))
+    return lists
 
 
 def answers(results: DataFrame, c: Corpus, sources: int = 3, queries: DataFrame | None = None, models: Models = Models()) -> DataFrame:
@@ -332,4 +373,4 @@ def offline_graph(feed: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
     return kept, kg.remapped(relations, remap)
 
 
-__all__ = ["Corpus", "Models", "Shared", "answers", "corpus", "dual", "kg_expanded", "kg_expanded_by_chapters", "offline_graph", "retrieve_articles", "dims"]
+__all__ = ["Corpus", "Models", "Shared", "answers", "corpus", "dual", "kg_expanded", "kg_expanded_by_chapters", "offline_graph", "retrieve_articles", "retrieve_by_all", "dims"]

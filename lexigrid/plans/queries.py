@@ -981,7 +981,7 @@ def ontology_properties_inherited(spark: SparkSession, d: str) -> DataFrame:
 
 def _models(spark: SparkSession, d: str) -> engine.Models:
     """What stands for models: the tables' scores of the same questions, and themes of the embeddings."""
-    c = _components(spark, d)
+    c = cut(_components(spark, d))
     one = lambda n, out: c.filter(F.col(n).isNotNull()).select("qid", "article_id", F.col(n).alias(out))
     v = table(spark, d, "embeddings").select("vec_id", "embedding", "label").dropDuplicates(["vec_id"])
     themes = _themes(v).withColumnRenamed("label", "theme")
@@ -1010,15 +1010,15 @@ def engine_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _ablated(spark: SparkSession, d: str, configurations: list[evaluate.Ablation]) -> DataFrame:
     """(config, k, metrics): averages of configurations; the articles test items refer to are relevant, by number."""
-    c, shared, models, questions = _corpus(spark, d), engine.Shared(), _models(spark, d), cut(_questions(spark, d))
-    rel = cut(table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), text.article_number(F.col("article_ref")).cast("string").alias("item")).distinct())
-    out = None
-    for a in configurations:
-        r = engine.retrieve_articles(questions, c, a, models=models, mode="dual", shared=shared)
-        run = r.select("qid", text.article_number(F.col("article_id")).cast("string").alias("item"), "rank")
-        m = cut(evaluate.averages(evaluate.metrics(run, rel)).withColumn("config", F.lit(a.name)))
-        out = m if out is None else out.unionByName(m)
-    return out
+    c, models, questions = _corpus(spark, d), _models(spark, d), cut(_questions(spark, d))
+    rel = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), text.article_number(F.col("article_ref")).cast("string").alias("item")).distinct()
+    names = spark.createDataFrame([(i, a.name) for i, a in enumerate(configurations)], "config int, name string")
+    r = engine.retrieve_by_all(questions, c, configurations, models=models, mode="dual")
+    # A question of a configuration is a question of its own; configurations without a result for it count too.
+    run = r.select(F.struct("config", "qid").alias("qid"), text.article_number(F.col("article_id")).cast("string").alias("item"), "rank")
+    asked = rel.crossJoin(F.broadcast(names.select("config"))).select(F.struct("config", "qid").alias("qid"), "item")
+    m = evaluate.averages(evaluate.metrics(run, asked).withColumn("config", F.col("qid.config")), ("config", "k"))
+    return m.join(F.broadcast(names), "config").drop("config").withColumnRenamed("name", "config")
 
 
 @registered()

@@ -61,6 +61,19 @@ def test_every_switch_changes_something(spark, corpus, models):
     assert engine.retrieve_articles(q.limit(0), corpus).count() == 0
 
 
+def test_configurations_are_merged_and_ranked_together(spark, corpus, models, monkeypatch):
+    """Every way to merge, fill up and rank at once gives what each configuration gives alone, and reads the articles once for all of them."""
+    q, shared = spark.createDataFrame(QUESTIONS, "qid int, text string"), engine.Shared()
+    names = ("full", "tree_only", "no_semantic_bridge", "no_rrf_merge", "no_tree_no_reranker", "no_doc_filter")
+    some = [a for a in evaluate.ablations() if a.name in names] + [evaluate.Ablation("nothing", tree=False, dual=False)]
+    calls, was = [], retrieve.neighbours
+    monkeypatch.setattr(retrieve, "neighbours", lambda *x: calls.append(1) or was(*x))
+    got = sorted(map(tuple, engine.retrieve_by_all(q, corpus, some, iterations=2, models=models, mode="dual", shared=shared).collect()))
+    assert len(calls) == 1
+    want = [(i, *r) for i, a in enumerate(some) for r in engine.retrieve_articles(q, corpus, a, iterations=2, models=models, mode="dual", shared=shared).collect()]
+    assert got == sorted(want) and {r[0] for r in got} == set(range(len(names)))
+
+
 def test_chapters_and_strong_relations(spark):
     arts = spark.createDataFrame([("A:d1", "A", "A:c1", 1, "x"), ("A:d2", "A", "A:c1", 2, "x"), ("A:d3", "A", "A:c2", 3, "x"), ("A:d4", "A", None, 4, "x"), ("A:d5", "A", "A:c2", 5, "x")], "article_id string, document_id string, chapter_id string, article_number int, content string")
     mentions = spark.createDataFrame([(f"e{i}", f"A:d{i}", i, 0) for i in range(1, 6)], "entity_id string, article_id string, article_number int, ord int")
