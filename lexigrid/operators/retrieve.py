@@ -101,13 +101,14 @@ class _Batch:
                 name_in[[i for _, i in seek.iter(q)], k] = True
         return keyphrase_value(ov, self.n_terms, two, three, name_in, query_in)
 
-    def blocks(self, names: Sequence[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(from, to, scores) of names, which may repeat, in blocks of at most SCORE_CELLS scores, a name at least."""
+    def blocks(self, names: Sequence[str], scored: bool = True) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(from, to, scores) of names, which may repeat, in blocks of at most SCORE_CELLS scores, a name at least; zeros if they aren't scored."""
         step = max(1, SCORE_CELLS // max(1, len(self.ids)))
         for at in range(0, len(names), step):
             codes, different = pd.factorize(np.array(names[at : at + step], dtype=object))
             s = np.zeros((len(codes), len(self.ids)))
-            s[codes >= 0] = self.scores(list(different))[codes[codes >= 0]]  # no name, no score
+            if scored:
+                s[codes >= 0] = self.scores(list(different))[codes[codes >= 0]]  # no name, no score
             yield at, at + len(codes), s
 
 
@@ -172,8 +173,8 @@ def article_keyphrase(scores: DataFrame, mentions: DataFrame) -> DataFrame:
     return g.select("qid", "article_id", (F.col("m") + 0.3 * F.log(F.col("n") + 1) * F.col("a")).alias("keyphrase"))
 
 
-def _of_articles(batch: _Batch, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
-    """(articles, their keyphrase by question) from rows (article_id, n, ..) in the order of articles; an article is the first columns but n."""
+def _of_articles(batch: _Batch, batches: Iterator[pa.RecordBatch], scored: bool = True) -> Iterator[tuple[list, np.ndarray]]:
+    """(articles, their keyphrase by question) from rows (article_id, n, ..) in the order of articles; an article is the first columns but n. Without scores of names it is 0."""
     last: tuple | None = None  # an article that may go on: itself, greatest, sum, number
 
     def value(m, total, n):
@@ -181,7 +182,7 @@ def _of_articles(batch: _Batch, batches: Iterator[pa.RecordBatch]) -> Iterator[t
 
     for f in batches:
         keys = list(zip(*(f[c].to_pylist() for c in f.schema.names if c != "n")))
-        for a, b, s in batch.blocks(f["n"].to_pylist()):
+        for a, b, s in batch.blocks(f["n"].to_pylist(), scored):
             starts = [i for i in range(b - a) if not i or keys[a + i] != keys[a + i - 1]]
             m, total, n = np.maximum.reduceat(s, starts, axis=0), np.add.reduceat(s, starts, axis=0), np.add.reduceat(s > 0, starts, axis=0, dtype=np.int64)
             own = [keys[a + i] for i in starts]
@@ -244,8 +245,7 @@ def best_articles(
         every = np.arange(len(column))
         found: list[pd.DataFrame] = []
         rows = 0
-        for articles, k in _of_articles(batch, batches):
-            k = k if keyphrase else np.zeros_like(k)
+        for articles, k in _of_articles(batch, batches, keyphrase):
             p = given[[place.get(x[1], len(place)) for x in articles]]
             s = wk * k + wp * p
             level, has = nearness.of([x[2] for x in articles])

@@ -98,14 +98,17 @@ def intents_of(analyzed: DataFrame) -> DataFrame:
     return analyzed.sparkSession.createDataFrame([(k, v, 1.0) for k, v in INTENTS.items()], "intent_set string, intent string, weight double")
 
 
-def _asked(analyzed: DataFrame, switches: Ablation) -> DataFrame:
+def _asked(analyzed: DataFrame, switches: Ablation, s: Shared | None = None) -> DataFrame:
     """(qid, text): what is looked up in the graph: the question with abbreviations and synonyms, and the labels the ontology adds."""
     q = analyzed.select("qid", F.col("expanded" if switches.query_expansion else "text").alias("text"))
     if not switches.ontology:
         return q
-    terms = ontology.expanded_terms(analyzed.select("qid", "text"), ontology.default_classes(analyzed.sparkSession)).filter("relation <> 'named' and label is not null")
-    more = terms.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), " ").alias("more"))
-    return q.join(more, "qid", "left").select("qid", F.concat_ws(" ", "text", "more").alias("text"))
+
+    def labels() -> DataFrame:
+        terms = ontology.expanded_terms(analyzed.select("qid", "text"), ontology.default_classes(analyzed.sparkSession)).filter("relation <> 'named' and label is not null")
+        return terms.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), " ").alias("more"))
+
+    return q.join((s or Shared()).get(("labels",), labels), "qid", "left").select("qid", F.concat_ws(" ", "text", "more").alias("text"))
 
 
 def _pagerank(analyzed: DataFrame, asked: DataFrame, c: Corpus, switches: Ablation, iterations: int, s: Shared) -> DataFrame:
@@ -128,52 +131,81 @@ def _pagerank(analyzed: DataFrame, asked: DataFrame, c: Corpus, switches: Ablati
 
 def dual(analyzed: DataFrame, c: Corpus, switches: Ablation, iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None) -> DataFrame:
     """(qid, article_id, score, rank): keyphrase, PageRank and what models say combined per article; mode 'low', or 'dual' with themes and hierarchy."""
+    return duals(analyzed, c, [switches], iterations, models, mode, shared).withColumn("qid", F.col("qid.qid"))
+
+
+def duals(analyzed: DataFrame, c: Corpus, several: Sequence[Ablation], iterations: int = 50, models: Models = Models(), mode: str = "low", shared: Shared | None = None) -> DataFrame:
+    """dual by each of several switches as one plan; qid is (config, qid), the place of the switches and the question."""
     s = shared or Shared()
-    words = (switches.query_expansion, switches.ontology)
-    asked = s.get(("asked", *words), lambda: _asked(analyzed, switches))
     scores = {name: getattr(models, name) for name in ("semantic", "concept") if getattr(models, name) is not None}
-    said = {name: x for name, x in scores.items() if getattr(switches, name)}
-    themed = mode == "dual" and models.themes is not None
-    theme = None
-    hierarchy = models.hierarchy if mode == "dual" and switches.hierarchy else None
-    of_ppr = ("ppr", *words, switches.classification, iterations) if switches.ppr else ()
-    numbers = s.get(of_ppr, lambda: _pagerank(analyzed, asked, c, switches, iterations, s)) if switches.ppr else None
-    parts = {}
-    if (0 if numbers is None else numbers.count()) > RANK_ROWS:
-        if switches.keyphrase:
-            parts["keyphrase"] = s.get(("articles", *words), lambda: retrieve.mentioned_keyphrase(asked, c.entities, c.mentions))
-        if switches.ppr:
-            parts["ppr"] = graph.articles_of_numbers(numbers, c.mentions).withColumnRenamed("score", "ppr")
-        if themed and switches.theme:
-            theme = s.get(("theme",), lambda: retrieve.high_level(*models.themes, c.mentions))
-    elif switches.keyphrase or switches.ppr or themed and switches.theme:
-        # Of most articles there is nothing but these and the theme, and of them the first of a question only are wanted: an article with less of all than they have has no place.
-        # Models that are off only add pairs, so one frame serves all configurations of the same words.
-        also = None
-        for x in [*scores.values(), *([models.hierarchy] if mode == "dual" and models.hierarchy is not None else [])]:
-            also = x.select("qid", "article_id") if also is None else also.union(x.select("qid", "article_id"))
-        near = grouped = None
-        if themed:
-            near, grouped = s.value(("themes",), lambda: tuple(map(cut, retrieve.themes_near(*models.themes, c.mentions))))
-        best = s.get(
-            ("best", mode, *words, *of_ppr, switches.keyphrase),
-            lambda: retrieve.best_articles(asked, c.entities, c.mentions, numbers, DUAL_MOST, switches.keyphrase, also, s.value(("slack",), lambda: _slack(scores)), near, grouped),
-        )
-        parts |= {name: best for name in ("keyphrase", "ppr") if getattr(switches, name)}
-        if themed and switches.theme:
-            theme = best.select("qid", "article_id", "theme").filter("theme is not null")
-    parts |= said
-    d = None
-    for name, x in parts.items():
-        one = x.select("qid", "article_id", F.lit(name).alias("part"), F.col(name).alias("v"))
-        d = one if d is None else d.unionByName(one)
-    if d is None:
-        d = analyzed.select("qid", F.lit(None).cast("string").alias("article_id"), F.lit("none").alias("part"), F.lit(None).cast("double").alias("v")).limit(0)
+    # Frames with a column of the part's name, and the places of the switches that take it from there.
+    parts: dict[str, dict[int, tuple[DataFrame, list[int]]]] = {}
+
+    def take(name: str, x: DataFrame, place: int) -> None:
+        parts.setdefault(name, {}).setdefault(id(x), (x, []))[1].append(place)
+
+    for place, switches in enumerate(several):
+        words = (switches.query_expansion, switches.ontology)
+        asked = s.get(("asked", *words), lambda: _asked(analyzed, switches, s))
+        themed = mode == "dual" and models.themes is not None
+        of_ppr = ("ppr", *words, switches.classification, iterations) if switches.ppr else ()
+        numbers = s.get(of_ppr, lambda: _pagerank(analyzed, asked, c, switches, iterations, s)) if switches.ppr else None
+        if (0 if numbers is None else s.value(("count", *of_ppr), numbers.count)) > RANK_ROWS:
+            if switches.keyphrase:
+                take("keyphrase", s.get(("articles", *words), lambda: retrieve.mentioned_keyphrase(asked, c.entities, c.mentions)), place)
+            if switches.ppr:
+                take("ppr", s.value(("spread", *of_ppr), lambda: graph.articles_of_numbers(numbers, c.mentions).withColumnRenamed("score", "ppr")), place)
+            if themed and switches.theme:
+                take("theme", s.get(("theme",), lambda: retrieve.high_level(*models.themes, c.mentions)), place)
+        elif switches.keyphrase or switches.ppr or themed and switches.theme:
+            # Of most articles there is nothing but these and the theme, and of them the first of a question only are wanted: an article with less of all than they have has no place.
+            # Models that are off only add pairs, so one frame serves all configurations of the same words.
+            also = None
+            for x in [*scores.values(), *([models.hierarchy] if mode == "dual" and models.hierarchy is not None else [])]:
+                also = x.select("qid", "article_id") if also is None else also.union(x.select("qid", "article_id"))
+            near = grouped = None
+            if themed:
+                near, grouped = s.value(("themes",), lambda: tuple(map(cut, retrieve.themes_near(*models.themes, c.mentions))))
+            best = s.get(
+                ("best", mode, *words, *of_ppr, switches.keyphrase),
+                lambda: retrieve.best_articles(asked, c.entities, c.mentions, numbers, DUAL_MOST, switches.keyphrase, also, s.value(("slack",), lambda: _slack(scores)), near, grouped),
+            )
+            for name in ("keyphrase", "ppr", *(["theme"] if themed else [])):
+                if getattr(switches, name):
+                    take(name, best, place)
+        for name, x in scores.items():
+            if getattr(switches, name):
+                take(name, x, place)
+        if mode == "dual" and models.hierarchy is not None and switches.hierarchy:
+            take("hierarchy", models.hierarchy, place)
+    given = {name: _union([_keyed(x.select("qid", "article_id", name), places) for x, places in xs.values()]) for name, xs in parts.items()}
+    theme, hierarchy = (given[name].filter(F.col(name).isNotNull()) if name in given else None for name in ("theme", "hierarchy"))
+    low = [given[name].select("qid", "article_id", F.lit(name).alias("part"), F.col(name).alias("v")) for name in ("keyphrase", "ppr", "semantic", "concept") if name in given]
+    if low:
+        d = _union(low)
+    else:
+        d = _keyed(analyzed.select("qid", F.lit(None).cast("string").alias("article_id"), F.lit("none").alias("part"), F.lit(None).cast("double").alias("v")), [0]).limit(0)
     pick = lambda n: F.max(F.when(F.col("part") == n, F.col("v"))).alias(n)
     low = retrieve.low_level(d.groupBy("qid", "article_id").agg(*map(pick, ("keyphrase", "ppr", "semantic", "concept")))).withColumn("low", F.round("low", 9))
     return retrieve.ranked(retrieve.fused(low, theme, hierarchy, mode=mode), k=DUAL_MOST)
 
 
+def _keyed(x: DataFrame, places: Sequence[int]) -> DataFrame:
+    """x for each of the places of configurations: qid becomes (config, qid)."""
+    if len(places) == 1:
+        return x.withColumn("qid", F.struct(F.lit(places[0]).alias("config"), "qid"))
+    return x.withColumn("_c", F.explode(F.array(*map(F.lit, places)))).withColumn("qid", F.struct(F.col("_c").alias("config"), F.col("qid"))).drop("_c")
+
+
+def _dealt(x: DataFrame, to: Sequence[Sequence[int]]) -> DataFrame:
+    """x, whose qid is (config, qid), given to the configurations that `to` has in the place of its own; to none where it has none."""
+    if list(map(list, to)) == [[j] for j in range(len(to))]:
+        return x
+    places = F.array(*[F.array(*map(F.lit, y)).cast("array<int>") for y in to])
+    d = x.withColumn("_c", F.explode(F.get(places, F.col("qid.config"))))
+    return d.withColumn("qid", F.struct(F.col("_c").alias("config"), F.col("qid.qid").alias("qid"))).drop("_c")
+
+
 def _slack(said: dict[str, DataFrame]) -> float:
     """How far apart sums may be that are the same after rounding to nine places of the greatest, which what models say may raise."""
     most = [x.agg(F.max(F.abs(name))).first()[0] or 0.0 for name, x in said.items()]
@@ -253,52 +285,51 @@ def retrieve_by_all(
     s = shared or Shared()
     a = s.get(("analyzed",), lambda: query.analyzed(queries))
     c = _lightened(c, s)
-    key = lambda x, i: x.withColumn("qid", F.struct(F.lit(i).alias("config"), "qid"))
-    fused: dict[str, list[DataFrame]] = {}
-    sure, trees, others, rows = [], [], [], []
-    for i, switches in enumerate(configurations):
-        lists = _lists(queries, a, c, switches, iterations, models, mode, s)
-        if not lists:
-            continue
-        if switches.rrf and switches.bridge:
-            for name, x in lists.items():
-                fused.setdefault(name, []).append(key(x, i))
-        elif switches.rrf and "tree" in lists:  # two lists by the tree's confidence
-            sure.append(key(lists["tree"], i))
-            other = lists.get("dual", lists.get("kg"))
-            trees.append(key(lists["tree"].select("qid", "article_id", "rank"), i))
-            others.append(key((lists["tree"].limit(0) if other is None else other).select("qid", "article_id", "rank"), i))
-        else:  # one list after the other
-            for n, (name, x) in enumerate(lists.items()):
-                rows.append(key(x.select("qid", "article_id", (1.0 - 0.3 * n - F.col("rank") / 1000).alias("score"), F.lit(name).alias("source")), i))
+    names = [_names(x) for x in configurations]
+    lists = _lists(queries, a, c, configurations, iterations, models, mode, s)
+    if len(configurations) > 1:
+        lists = {name: cut(x) for name, x in lists.items()}
+    only = lambda name, of: lists[name] if len(of) == len(configurations) else lists[name].filter(F.col("qid.config").isin(of))
+    some = lambda name, of: only(name, of).select("qid", "article_id", "rank")
+    having = lambda name, of: [i for i in of if name in names[i]]
+    fused = [i for i, x in enumerate(configurations) if names[i] and x.rrf and x.bridge]
+    sure = [i for i, x in enumerate(configurations) if x.rrf and not x.bridge and x.tree]  # two lists by the tree's confidence
+    rest = [i for i in range(len(configurations)) if names[i] and i not in fused and i not in sure]  # one list after the other
     merged = []
     if fused:
-        merged.append(retrieve.rrf({name: _union(fused[name]) for name in ("tree", "dual", "kg") if name in fused}))
-    if trees:
-        conf = _union(sure).groupBy("qid").agg(F.max("confidence").alias("confidence"))
-        merged.append(retrieve.weighted_by_confidence(_union(trees), _union(others), conf).withColumn("source", F.lit("merged")))
+        merged.append(retrieve.rrf({name: some(name, of) for name in ("tree", "dual", "kg") if (of := having(name, fused))}))
+    if sure:
+        conf = only("tree", sure).groupBy("qid").agg(F.max("confidence").alias("confidence"))
+        second = {name: [i for i in having(name, sure) if name == "dual" or "dual" not in names[i]] for name in ("dual", "kg")}
+        others = [some(name, of) for name, of in second.items() if of] or [some("tree", sure).limit(0)]
+        merged.append(retrieve.weighted_by_confidence(some("tree", sure), _union(others), conf).withColumn("source", F.lit("merged")))
+    rows = []
+    for name in ("tree", "dual", "kg"):
+        if of := having(name, rest):
+            first = F.get(F.array(*[F.lit(1.0 - 0.3 * (x.index(name) if name in x else 0)) for x in names]), F.col("qid.config"))
+            rows.append(some(name, of).select("qid", "article_id", (first - F.col("rank") / 1000).alias("score"), F.lit(name).alias("source")))
     if rows:
         merged.append(_union(rows).groupBy("qid", "article_id").agg(F.max("score").alias("score"), F.max_by("source", "score").alias("source")))
     if not merged:
         return queries.sparkSession.createDataFrame([], "config int, qid long, article_id string, score double, source string, rank int")
     merged = _union([x.select("qid", "article_id", "score", "source") for x in merged])
     merged = merged.join(c.articles.filter("length(trim(content)) > 0").select("article_id"), "article_id", "left_semi").select("qid", "article_id", "score", "source")
-    having = lambda switch: [i for i, x in enumerate(configurations) if getattr(x, switch)]
-    within = lambda x, switch: x.filter(F.col("qid.config").isin(having(switch)))
-    if having("adjacent"):
+    switched = lambda switch: [i for i, x in enumerate(configurations) if getattr(x, switch)]
+    within = lambda x, switch: x.filter(F.col("qid.config").isin(switched(switch)))
+    if switched("adjacent"):
         merged = cut(merged)
         near = retrieve.neighbours(within(merged, "adjacent"), c.articles).select("qid", "article_id", "score", F.lit("adjacent").alias("source"))
         merged = merged.unionByName(near)
-    if having("document_filter"):
-        named = s.get(("named",), lambda: _documents_named(a)).withColumn("config", F.explode(F.array(*map(F.lit, having("document_filter"))))).withColumn("qid", F.struct("config", "qid"))
+    if switched("document_filter"):
+        named = s.get(("named",), lambda: _documents_named(a)).withColumn("config", F.explode(F.array(*map(F.lit, switched("document_filter"))))).withColumn("qid", F.struct("config", "qid"))
         merged = retrieve.filtered_by_document(with_document(merged), named, "rerank").select("qid", "article_id", "score", "source")
     with_text = merged.join(c.articles.select("article_id", "content"), "article_id")
     best = retrieve.without_repeats(with_text)
-    if having("rerank") and models.rerank is not None:
+    if switched("rerank") and models.rerank is not None:
         said = models.rerank.select(F.col("qid").alias("_q"), "article_id", "model")
         scored = best.withColumn("_q", F.col("qid.qid")).join(said, ["_q", "article_id"], "left").withColumn("model", F.coalesce("model", F.lit(0.0)))
         again = retrieve.reranked(within(scored, "rerank"), "model", top).withColumn("score", F.col("blended"))
-        best = again.select("qid", "article_id", "score", "source").unionByName(best.filter(~F.col("qid.config").isin(having("rerank"))).select("qid", "article_id", "score", "source"))
+        best = again.select("qid", "article_id", "score", "source").unionByName(best.filter(~F.col("qid.config").isin(switched("rerank"))).select("qid", "article_id", "score", "source"))
     return retrieve.ranked(best, k=top).select("qid.config", "qid.qid", "article_id", F.round("score", 6).alias("score"), "source", "rank")
 
 
@@ -309,41 +340,76 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _lists(queries: DataFrame, a: DataFrame, c: Corpus, switches: Ablation, iterations: int, models: Models, mode: str, s: Shared) -> dict[str, DataFrame]:
-    """The lists (qid, article_id, rank) that a configuration merges, by name; the tree's has its confidence."""
+def _names(x: Ablation) -> list[str]:
+    """The lists that a configuration merges, in their order."""
+    kg = x.tree and (x.kg_expansion or x.dual and x.cross_check) or x.dual and x.kg_expansion and x.kg_retrieval
+    return [name for name, there in (("tree", x.tree), ("dual", x.dual), ("kg", kg)) if there]
+
+
+def _lists(queries: DataFrame, a: DataFrame, c: Corpus, configurations: Sequence[Ablation], iterations: int, models: Models, mode: str, s: Shared) -> dict[str, DataFrame]:
+    """The lists (qid, article_id, rank) that configurations merge, by name; the tree's has its confidence. qid is (config, qid).
+
+    Each step is one plan for all configurations; what some of them have in common is worked out once and dealt out to them.
+    """
     lists: dict[str, DataFrame] = {}
-    d = t = None
-    if switches.dual:
-        parts = ("keyphrase", "ppr", "semantic", "concept", "theme", "hierarchy", "query_expansion", "ontology", "classification")
-        of_dual = ("dual", mode, iterations, *[getattr(switches, x) for x in parts])
-        d = s.get(of_dual, lambda: dual(a, c, switches, iterations, models, mode, s))
-    if switches.tree:
-        t = s.get(("tree",), lambda: tree.searched(c.documents, c.articles, queries, models.picks).select("qid", "article_id", "rank", "confidence"))
-        lists["tree"] = t
-    if d is not None:
-        lists["dual"] = d.select("qid", "article_id", "rank")
     extra = []
-    if d is not None and t is not None:
-        if switches.cross_check:
-            extra.append(s.get(("cross", switches.bridge, of_dual), lambda: retrieve.ranked(retrieve.cross_check(t, d, c.articles, bridge=switches.bridge)).select("qid", "article_id", "rank")))
-        if switches.filter_dual:
-            both = s.get(("overlap", of_dual), lambda: retrieve.overlap(t, d).select("qid", "ratio"))
+    on = lambda *switches: [i for i, x in enumerate(configurations) if all(getattr(x, y) for y in switches)]
+    t = None
+    if trees := on("tree"):
+        t = s.get(("tree",), lambda: tree.searched(c.documents, c.articles, queries, models.picks).select("qid", "article_id", "rank", "confidence"))
+        lists["tree"] = _keyed(t, trees)
+    if on("dual"):
+        parts = ("keyphrase", "ppr", "semantic", "concept", "theme", "hierarchy", "query_expansion", "ontology", "classification")
+        of_dual = lambda x: tuple(getattr(x, y) for y in parts)
+        kinds: dict[tuple, list[int]] = {}
+        for i in on("dual"):
+            kinds.setdefault(of_dual(configurations[i]), []).append(i)
+        one = [configurations[of[0]] for of in kinds.values()]
+        d = s.get(("dual", mode, iterations, *kinds), lambda: duals(a, c, one, iterations, models, mode, s))
+
+        def of_kinds(which: Sequence[int]) -> tuple[list[int], list[list[int]], tuple]:
+            # The kinds of dual that these configurations have, which of them have each, and the name of all that.
+            to = [[i for i in of if i in which] for of in kinds.values()]
+            places = [j for j, x in enumerate(to) if x]
+            return places, to, (mode, iterations, len(kinds), *[(j, k) for j, k in enumerate(kinds) if to[j]])
+
+        within = lambda x, places: x if len(places) == len(kinds) else x.filter(F.col("qid.config").isin(places))
+        for bridge in (True, False):
+            which = [i for i in on("tree", "dual", "cross_check") if configurations[i].bridge == bridge]
+            if which:
+                places, to, name = of_kinds(which)
+                x = s.get(("cross", bridge, name), lambda: retrieve.ranked(retrieve.cross_check(_keyed(t, places), within(d, places), c.articles, bridge=bridge)).select("qid", "article_id", "rank"))
+                extra.append(_dealt(x, to))
+        filtered = on("tree", "dual", "filter_dual")
+        whole = [i for i in on("dual") if i not in filtered]
+        dual_lists = []
+        if whole:
+            dual_lists.append(_dealt(d.select("qid", "article_id", "rank"), of_kinds(whole)[1]))
+        if filtered:
+            places, to, name = of_kinds(filtered)
+            both = s.get(("overlap", name), lambda: retrieve.overlap(_keyed(t, places), within(d, places)).select("qid", "ratio"))
 
             def kept() -> DataFrame:
                 # What dual has below the threshold, lowered for unclear questions, is not merged.
+                of = lambda switch: F.col("qid.config").isin([i for i in filtered if getattr(configurations[i], switch)])
                 conf = t.groupBy("qid").agg(F.max("confidence").alias("confidence"))
-                kind = F.col("query_type") if switches.classification else F.lit("general")
+                q = _keyed(a.join(conf, "qid", "left"), filtered)
+                kind = F.when(of("classification"), F.col("query_type")).otherwise("general")
                 lower = retrieve.ambiguity(F.col("text"), kind, F.col("article_refs"), F.coalesce("confidence", F.lit(0.0)))
-                cal = a.join(conf, "qid", "left").select("qid", (lower if switches.ambiguity else F.lit(1.0)).alias("calibration"))
-                limit = retrieve.adaptive_threshold(F.col("ratio")) if switches.adaptive_threshold else F.lit(retrieve.FIXED_THRESHOLD)
-                return retrieve.ranked(retrieve.calibrated(d, both.select("qid", limit.alias("threshold")), cal).drop("rank")).select("qid", "article_id", "rank")
-
-            lists["dual"] = s.get(("kept", of_dual, switches.classification, switches.ambiguity, switches.adaptive_threshold), kept)
-    if switches.kg_expansion and lists:
-        if t is not None:
-            extra.append(s.get(("chapters",), lambda: kg_expanded_by_chapters(t, c, models.relevance).select("qid", "article_id", "rank")))
-        if d is not None and switches.kg_retrieval:
-            extra.append(s.get(("expanded", of_dual), lambda: kg_expanded(d.filter("rank <= 5"), c)))
+                cal = q.select("qid", F.when(of("ambiguity"), lower).otherwise(1.0).alias("calibration"))
+                limit = F.when(of("adaptive_threshold"), retrieve.adaptive_threshold(F.col("ratio"))).otherwise(retrieve.FIXED_THRESHOLD)
+                return retrieve.ranked(retrieve.calibrated(_dealt(d, to), _dealt(both, to).select("qid", limit.alias("threshold")), cal).drop("rank")).select("qid", "article_id", "rank")
+
+            flags = [(i, of_dual(x := configurations[i]), x.ambiguity, x.adaptive_threshold) for i in filtered]
+            dual_lists.append(s.get(("kept", mode, iterations, *flags), kept))
+        lists["dual"] = _union(dual_lists)
+        if which := on("dual", "kg_expansion", "kg_retrieval"):
+            places, to, name = of_kinds(which)
+            x = s.get(("expanded", name), lambda: kg_expanded(within(d, places).filter("rank <= 5"), c))
+            extra.append(_dealt(x, to))
+    if which := on("tree", "kg_expansion"):
+        x = s.get(("chapters",), lambda: kg_expanded_by_chapters(t, c, models.relevance).select("qid", "article_id", "rank"))
+        extra.append(_keyed(x, which))
     if extra:
         lists["kg"] = _union(extra).groupBy("qid", "article_id").agg(F.min("rank").alias("rank"))
     return lists
@@ -373,4 +439,4 @@ def offline_graph(feed: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
     return kept, kg.remapped(relations, remap)
 
 
-__all__ = ["Corpus", "Models", "Shared", "answers", "corpus", "dual", "kg_expanded", "kg_expanded_by_chapters", "offline_graph", "retrieve_articles", "retrieve_by_all", "dims"]
+__all__ = ["Corpus", "Models", "Shared", "answers", "corpus", "dual", "duals", "kg_expanded", "kg_expanded_by_chapters", "offline_graph", "retrieve_articles", "retrieve_by_all", "dims"]

@@ -74,6 +74,24 @@ def test_configurations_are_merged_and_ranked_together(spark, corpus, models, mo
     assert got == sorted(want) and {r[0] for r in got} == set(range(len(names)))
 
 
+def test_dual_and_its_lists_are_one_plan_for_all_configurations(spark, corpus, models, monkeypatch):
+    """What follows from dual is worked out once for all configurations, not for each; names are scored only for those with keyphrases, labels found once."""
+    q, some = spark.createDataFrame(QUESTIONS, "qid int, text string"), evaluate.part_ablations()
+    calls = {}
+    for module, name in ((retrieve, "low_level"), (retrieve, "overlap"), (retrieve, "calibrated"), (retrieve, "cross_check"), (engine, "kg_expanded"), (engine.ontology, "expanded_terms")):
+        was = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *x, _was=was, _name=name, **y: calls.update({_name: calls.get(_name, 0) + 1}) or _was(*x, **y))
+    got = sorted(map(tuple, engine.retrieve_by_all(q, corpus, some, iterations=2, models=models, mode="dual").collect()))
+    # overlap is called by cross_check too
+    assert calls == {"low_level": 1, "overlap": 2, "calibrated": 1, "cross_check": 1, "kg_expanded": 1, "expanded_terms": 1}
+    i = [a.name for a in some].index("no_keyphrase")
+    alone = [(i, *r) for r in engine.retrieve_articles(q, corpus, some[i], iterations=2, models=models, mode="dual").collect()]
+    assert [r for r in got if r[0] == i] == sorted(alone) and {r[0] for r in got} == set(range(len(some)))
+    monkeypatch.setattr(retrieve._Batch, "scores", lambda *_: 1 / 0)
+    rows = list(retrieve._of_articles(retrieve._Batch([(1, "vốn", ["vốn"], [], [])]), [__import__("pyarrow").RecordBatch.from_pylist([{"article_id": "a", "n": "vốn"}])], False))
+    assert [(x, v.tolist()) for x, v in rows] == [([("a",)], [[0.0]])]
+
+
 def test_chapters_and_strong_relations(spark):
     arts = spark.createDataFrame([("A:d1", "A", "A:c1", 1, "x"), ("A:d2", "A", "A:c1", 2, "x"), ("A:d3", "A", "A:c2", 3, "x"), ("A:d4", "A", None, 4, "x"), ("A:d5", "A", "A:c2", 5, "x")], "article_id string, document_id string, chapter_id string, article_number int, content string")
     mentions = spark.createDataFrame([(f"e{i}", f"A:d{i}", i, 0) for i in range(1, 6)], "entity_id string, article_id string, article_number int, ord int")
